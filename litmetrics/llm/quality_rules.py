@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"  # none is special between brackets of an expression, as they stand
 MIN_WORDS, MAX_REPEATED = 50, 50  # words, per cent
 #: name -> (numerator, denominator, limit): a text fails where numerator > limit * denominator
 RATIO_RULES = {"symbols": ("n_symbols", "n_words", 0.5), "lines": ("n_dup_lines", "n_lines", 0.5), "long_words": ("word_chars", "n_words", 15.0)}
@@ -29,34 +29,37 @@ MAX_RATE = 0.5
 STRENGTH = (1.0, 10000.0)
 
 
-def _repeated_words(words: str, hashes: str) -> Column:
-    """Words covered by windows whose hash occurs at least twice."""
-    n = F.size(hashes)
-    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    before = F.concat(F.array(F.lit(None).cast("struct<h: bigint, i: int>")), F.slice(ordered, 1, n - 1))
-    after = F.concat(F.slice(ordered, 2, n - 1), F.array(F.lit(None).cast("struct<h: bigint, i: int>")))
-    near = F.filter(F.arrays_zip(before.alias("b"), ordered.alias("o"), after.alias("a")), lambda x: F.coalesce(x["b"]["h"] == x["o"]["h"], F.lit(False)) | F.coalesce(x["a"]["h"] == x["o"]["h"], F.lit(False)))
-    places = F.transform(near, lambda x: x["o"]["i"])
-    covered = F.size(F.array_distinct(F.concat(places, F.transform(places, lambda p: p + 1), F.transform(places, lambda p: p + 2))))
-    return F.when(F.size(F.array_distinct(hashes)) == n, F.lit(0)).otherwise(covered).cast("long")
-
-
 def text_counts(df: DataFrame, text: str) -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words of the column `text`."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    step = df.select("*", body.alias("_b")).select("*", F.regexp_extract_all("_b", F.lit(WORD), F.lit(0)).alias("_w"), lines.alias("_lines"))
-    triple = F.arrays_zip(F.col("_w").alias("x"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("y"), F.slice("_w", 3, F.greatest(F.size("_w"), F.lit(1))).alias("z"))
-    windows = F.when(F.size("_w") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice(triple, F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda t: F.xxhash64(t["x"], t["y"], t["z"])))
-    step = step.select("*", windows.alias("_h"))
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words of the column `text`.
+
+    Every step is a projection of its own, so that arrays used several times are built once; only texts in which some
+    window occurs twice pay for sorting their windows.
+    """
+    blanks = " \t\n\x0b\x0c\r"
+    held = F.col("_r")
+    step = df.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_b"))
+    step = step.select("*", F.btrim("_b", F.lit(blanks)).alias("_t"))
+    step = step.select("*", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", r"[\x20\x09-\x0D]+", -1)).alias("_w"), F.filter(F.split("_b", "\n", -1), lambda x: x.rlike(WORD)).alias("_l"))
+    step = step.select("*", F.size("_w").alias("_n"))
+    triple = F.arrays_zip(F.slice("_w", F.lit(1), F.col("_n") - 2).alias("x"), F.slice("_w", F.lit(2), F.col("_n") - 2).alias("y"), F.slice("_w", F.lit(3), F.col("_n") - 2).alias("z"))
+    step = step.select("*", F.when(F.col("_n") >= 3, F.transform(triple, lambda t: F.xxhash64(t["x"], t["y"], t["z"]))).alias("_h"))
+    step = step.select("*", (F.size(F.array_distinct("_h")) < F.size("_h")).alias("_twice"))
+    step = step.select("*", F.when(F.col("_twice"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_r"))
+    none = F.array(F.lit(None).cast("struct<h: bigint, i: int>"))
+    near = F.filter(
+        F.arrays_zip(F.concat(none, held).alias("b"), F.concat(held, none).alias("o"), F.concat(F.slice(held, F.lit(2), F.size(held)), none, none).alias("a")),
+        lambda x: F.coalesce(x["b"]["h"] == x["o"]["h"], F.lit(False)) | F.coalesce(x["a"]["h"] == x["o"]["h"], F.lit(False)),
+    )
+    step = step.select("*", F.when(F.col("_twice"), F.transform(near, lambda x: x["o"]["i"])).alias("_p"))
+    covered = F.size(F.array_distinct(F.concat(F.col("_p"), F.transform("_p", lambda p: p + 1), F.transform("_p", lambda p: p + 2))))
     return step.select(
         *df.columns,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_b", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_b") - F.length(F.translate("_b", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        _repeated_words("_w", "_h").alias("n_repeat_words"),
+        F.col("_n").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.when(F.col("_b").rlike(f"[{SYMBOLS}]"), F.length("_b") - F.length(F.translate("_b", SYMBOLS, ""))).otherwise(F.lit(0)).cast("long").alias("n_symbols"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.size("_l").cast("long").alias("n_lines"),
+        F.when(F.col("_twice"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
