@@ -1,0 +1,2 @@
+"""Incremental reads. The domain has no streaming semantics; every operator here is a batch plan that also accepts the
+micro-batches of `foreachBatch`, because none of them keeps state outside its DataFrames."""
