@@ -70,7 +70,7 @@ OP3_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as hex from p),
 b as (
-  select *, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as payload_digest,
     min(page_id) over (partition by hex, payload_bytes) as first_id
   from d)
@@ -84,10 +84,10 @@ OP10_SQL = r"""
 with t as (select doc_id, source, coalesce(text, '') as b from documents),
 w as (
   select doc_id, source, b, regexp_extract_all(b, '[^\x20\x09-\x0D]+') as w,
-    list_filter(string_split(b, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+    list_filter(string_split(b, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
   from t),
 h as (
-  select *, case when len(w) < 3 then [] else list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end as g
+  select *, case when len(w) < 3 then [] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end as g
   from w),
 u as (select doc_id, source, unnest(g) as g, generate_subscripts(g, 1) as i from h),
 r as (select doc_id, source, i from (select *, count(*) over (partition by doc_id, source, g) as n from u) where n > 1),
