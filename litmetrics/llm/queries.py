@@ -22,7 +22,7 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), keep=None).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -404,7 +404,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = GRAM, group_l
     return spans, [spans]
 
 
-def _cut(keep_text: bool):
+def _cut(keep: str | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
@@ -421,17 +421,19 @@ def _cut(keep_text: bool):
                     kept.append(raw[at:a])
                     at = b
                 rest = b"".join([*kept, raw[at:]])
-                for c, v in zip(out, (len(raw), len(raw) - len(rest), [{"a": a, "b": b} for a, b in merged], hashlib.sha256(rest).hexdigest(), rest if keep_text else None), strict=True):
+                for c, v in zip(out, (len(raw), len(raw) - len(rest), [{"a": a, "b": b} for a, b in merged], hashlib.sha256(rest).hexdigest(), rest if keep == "bytes" else rest.decode("utf-8", "ignore") if keep == "text" else None), strict=True):
                     c.append(v)
             spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            made = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), spans_type, pa.string(), pa.binary()), strict=True)]
+            made = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), spans_type, pa.string(), pa.string() if keep == "text" else pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, f in enumerate(batch.schema.names) if f not in ("_text", "spans")), *made], names=[*(f for f in batch.schema.names if f not in ("_text", "spans")), "n_bytes", "n_removed", "removed", "kept_sha256", "kept"])
 
     return work
 
 
-def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = 400, keep_text: bool = True, carry: list[str] | None = None, group_limit: int = GROUP_LIMIT, gram: int = GRAM) -> DataFrame:
-    """Per row of df: key, n_bytes, n_removed, removed (spans a, b), kept_sha256, kept (the remaining bytes, if keep_text).
+def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = 400, keep: str | None = "bytes", carry: list[str] | None = None, group_limit: int = GROUP_LIMIT, gram: int = GRAM) -> DataFrame:
+    """Per row of df: key, n_bytes, n_removed, removed (spans a, b), kept_sha256, kept.
+
+    keep: kept as "bytes", as "text" (what remains of characters cut apart is left out), or None for no such column.
 
     carry: further columns to return under their own names, after those.
     """
@@ -443,6 +445,6 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_byt
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     joined = docs.join(by_doc, "_uid", "left").select(*[f"_c{i}" for i in range(len(names))], "_text", "spans")
     schema = ", ".join(f"_c{i} {fields[f'_c{i}']}" for i in range(len(names)))
-    out = joined.mapInArrow(_cut(keep_text), schema + ", n_bytes long, n_removed long, removed array<struct<a: long, b: long>>, kept_sha256 string, kept binary")
-    made = ["n_bytes", "n_removed", "removed", "kept_sha256", *(["kept"] if keep_text else [])]
+    out = joined.mapInArrow(_cut(keep), schema + ", n_bytes long, n_removed long, removed array<struct<a: long, b: long>>, kept_sha256 string, kept " + ("string" if keep == "text" else "binary"))
+    made = ["n_bytes", "n_removed", "removed", "kept_sha256", *(["kept"] if keep else [])]
     return out.select(F.col("_c0").alias(key), *made, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if i])
