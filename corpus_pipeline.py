@@ -35,10 +35,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A cut inside a character removes the rest of that character; documents of which nothing is left go.
     """
-    cut = suffix_dedup.suffix_dedup(docs.withColumnRenamed("text", "_body"), text="_body", carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", F.lit("utf-8"))).otherwise(F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", ""))
-    clean = cut.withColumn("text", text).filter(F.length("text") > 0)
-    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    cut = suffix_dedup.suffix_dedup(docs, keep="text", carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    clean = cut.filter("kept <> ''")
+    left = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return clean.select(*[left.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
