@@ -7,8 +7,8 @@ texts agree in a coordinate with the probability of their weighted Jaccard simil
 signature of k coordinates, however large the set is; texts with an empty coordinate throw again over twice the time.
 
 Stages: equal texts are one representative; signatures are cut into bands; the texts of a band bucket are compared with
-the bucket's smallest id, and those that fail with all others of the bucket not yet in their class, so that groups of
-thousands give thousands of pairs, not millions; the comparison is exact; classes are connected components.
+the one among them that shares most buckets with others, and those that fail with all others of its buckets not yet in their class, in blocks where
+there are many, so that groups of thousands give thousands of pairs, not millions; the comparison is exact; classes are connected components.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^40 = 5e-6.
 
@@ -22,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,6 +158,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return sized.select(*pairs.columns, F.when(possible, both >= F.lit(threshold) * either - 1e-9).otherwise(F.lit(False)).alias("similar"))
 
 
+def spanning_links(x: list[np.ndarray], cx: np.ndarray, y: list[np.ndarray], cy: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Places (i, j) of similar sets x[i], y[j] of different classes, only so many as join all classes that links join."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    ax, ay = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(ax, ay)
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    both = np.zeros((len(x), len(y)), np.float32)
+    at_x, at_y = np.searchsorted(common, ax), np.searchsorted(common, ay)
+    of_x, of_y = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    for lo in range(0, len(common), 4096):  # so many columns at once
+        part = common[lo : lo + 4096]
+        mx, my = np.zeros((len(x), len(part)), np.float32), np.zeros((len(y), len(part)), np.float32)
+        for m, values, at, of in ((mx, ax, at_x, of_x), (my, ay, at_y, of_y)):
+            use = (at >= lo) & (at < lo + len(part))
+            use[use] = common[at[use]] == values[use]
+            m[of[use], at[use] - lo] = 1
+        both += mx @ my.T
+    similar = both >= threshold * (nx[:, None] + ny[None, :] - both) - 1e-6 * np.maximum(1, both)
+    out = []
+    for i, j in zip(*np.nonzero(similar & (cx[:, None] != cy[None, :])), strict=True):
+        p, q = root(int(cx[i])), root(int(cy[j]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(i), int(j)))
+    return out
+
+
+def _second_links(checked: DataFrame, known: DataFrame, sets: DataFrame, threshold: float, few: int = 1024, block: int = 1024) -> tuple[DataFrame, list[DataFrame]]:
+    """Links of texts that differ from their leader with the other texts of its buckets, where these are of another class.
+
+    checked (a: leader, b, similar). Families with at most `few` comparisons are joined; larger ones are cut into blocks
+    of texts, and every two blocks meet in one task that returns spanning links, so no pairs are written out.
+    """
+    tagged = checked.join(known.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "similar", F.coalesce("component", "b").alias("c"))
+    size = tagged.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("similar")).alias("lost"), F.min("c").alias("low"), F.max("c").alias("high"))
+    open_ones = size.filter("lost > 0 and n > 1 and low != high").select("a", "n", "lost")
+    rows = materialise(tagged.join(open_ones, "a"), "families")
+    small, large = rows.filter(F.col("n") * F.col("lost") <= few), rows.filter(F.col("n") * F.col("lost") > few)
+    lost = small.filter("not similar").select("a", F.col("b").alias("x"), F.col("c").alias("cx"))
+    others = small.select("a", F.col("b").alias("y"), F.col("c").alias("cy"))
+    pairs = lost.join(others, "a").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = _verified(pairs, sets, threshold).filter("similar").select("a", "b")
+    if not large.limit(1).count():
+        return found, [rows]
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("long")
+    own = lambda c: F.pmod(F.xxhash64("b"), blocks(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
+    left = large.filter("not similar").select("a", own("lost").alias("i"), each("n").alias("j"), "b", "c")
+    right = large.select("a", each("lost").alias("i"), own("n").alias("j"), "b", "c")
+    content = sets.select(F.col("_uid").alias("b"), "set")
+
+    def work(cell: pd.DataFrame) -> pd.DataFrame:
+        x, y = cell[cell["side"] == 0], cell[cell["side"] == 1]
+        links = spanning_links(x["set"].tolist(), x["c"].to_numpy(), y["set"].tolist(), y["c"].to_numpy(), threshold) if len(x) and len(y) else []
+        a, b = x["b"].to_numpy()[[i for i, _ in links]], y["b"].to_numpy()[[j for _, j in links]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64)
+
+    cells = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).join(content, "b")
+    met = cells.groupBy("a", "i", "j").applyInPandas(work, "a long, b long")
+    return found.unionByName(met), [rows]
+
+
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weighted: bool = False) -> DataFrame:
     """(key, _uid, class_id, kept): class_id is the smallest row number of the class (the key, where keys are unique), whose row is kept.
 
@@ -170,26 +240,25 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     copies = materialise(worded.groupBy("digest").agg(F.min("_uid").alias("rep")), "copies")
     chosen = worded.join(copies.select(F.col("rep").alias("_uid")), "_uid", "left_semi")
     entries = materialise(chosen.select("_uid", F.explode("keys").alias("bucket")), "bands")
-    crowds = entries.groupBy("bucket").agg(F.min("_uid").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = materialise(entries.join(crowds, "bucket"), "buckets")
-    pairs = members.filter("_uid != leader").select(F.col("leader").alias("a"), F.col("_uid").alias("b")).distinct()
+    crowds = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = materialise(entries.join(crowds, "bucket"), "shared")
+    # the text that meets most others leads its buckets: the original of a group resembles its copies more than they each other
+    degrees = shared.groupBy("_uid").agg(F.sum("members").alias("degree"))
+    leaders = shared.join(degrees, "_uid").groupBy("bucket").agg(F.max_by("_uid", F.struct("degree", -F.col("_uid"))).alias("leader"))
+    members = materialise(shared.join(leaders, "bucket"), "buckets")
+    pairs = members.filter("_uid != leader").select(F.col("leader").alias("a"), F.col("_uid").alias("b")).distinct()  # one row for each member and leader
     pairs = materialise(pairs, "pairs")
     involved = members.select("_uid").distinct()
     sets = materialise(docs.select("_uid", "_text").join(involved, "_uid", "left_semi").mapInArrow(_sets(words), "_uid long, set array<long>"), "sets")
     checked = materialise(_verified(pairs, sets, threshold), "checked")
-    written = [entries, pairs, checked, members, sets]
+    written = [entries, shared, pairs, checked, members, sets]
     links = checked.filter("similar").select("a", "b")
-    failed = checked.filter("not similar").select(F.col("a").alias("leader"), F.col("b").alias("_uid"))
-    left = members.filter("members > 2").join(failed, ["leader", "_uid"], "left_semi")
-    if left.limit(1).count():
-        # whoever differs from the leader meets the rest of the bucket, unless both are already of one class
+    if checked.filter("not similar").limit(1).count():
+        # whoever differs from the leader meets the rest of the leader's buckets, unless both are already of one class
         known = materialise(components(links, "a", "b"), "known")
-        tagged = members.filter("members > 2").join(known.withColumnRenamed("node", "_uid"), "_uid", "left").select("bucket", "_uid", "leader", F.coalesce("component", "_uid").alias("c"))
-        lost = tagged.join(failed, ["leader", "_uid"], "left_semi").select("bucket", F.col("_uid").alias("x"), F.col("c").alias("cx"))
-        others = tagged.filter("_uid != leader").select("bucket", F.col("_uid").alias("y"), F.col("c").alias("cy"))
-        more = lost.join(others, "bucket").filter("x != y and cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        again = materialise(_verified(more, sets, threshold).filter("similar").select("a", "b"), "again")
-        written += [known, again]
+        more, used = _second_links(checked, known, sets, threshold)
+        again = materialise(more, "again")
+        written += [known, again, *used]
         links = links.unionByName(again)
     found = materialise(components(links, "a", "b"), "classes")
     for x in written:

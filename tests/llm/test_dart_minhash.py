@@ -78,3 +78,42 @@ def test_shingles_match_words():
     who, _, count = shingles(offsets, np.frombuffer(b"".join(raw), np.uint8))
     assert np.bincount(who, minlength=4).tolist() == [len(sets_of(t)) for t in texts]
     assert count.sum() == 2 + 1 + 8
+
+
+def test_blocks_find_the_links_that_pairs_find():
+    from litmetrics.llm.dart_minhash import spanning_links
+
+    rng = np.random.default_rng(1)
+    base = np.arange(6000)
+    x = [np.sort(rng.choice(base[:60], 50, replace=False)) if i % 2 else np.sort(rng.choice(base, 50, replace=False)) for i in range(30)]
+    y = [np.sort(rng.choice(base[:60], 52, replace=False)) for _ in range(40)]
+    links = spanning_links(x, np.arange(30), y, np.arange(100, 140), 0.8)
+    want = {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))}
+    assert want and set(links) <= want
+
+    def joined(pairs):
+        label = list(range(70))
+        for _ in range(70):
+            for i, j in pairs:
+                label[i] = label[30 + j] = min(label[i], label[30 + j])
+        return label
+
+    assert joined(links) == joined(want)
+
+
+def test_families_in_blocks_against_brute_force(spark, monkeypatch):
+    import litmetrics.llm.dart_minhash as d
+
+    original = d._second_links
+    monkeypatch.setattr(d, "_second_links", lambda *a: original(*a, few=0, block=2))
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = []
+    for _ in range(40):
+        c = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            c[rng.randrange(len(c))] = f"v{rng.randrange(999)}"
+        texts.append(" ".join(c))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
