@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, utf8_column, with_uid
@@ -31,6 +31,7 @@ from .common import pieces, utf8_column, with_uid
 BUCKETS = 1 << 14
 UNKNOWN = "und"
 BLOCK = 1 << 18
+SHARES = 16
 
 
 def trigrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +72,13 @@ def train(docs: DataFrame, per_language: int, max_languages: int) -> tuple[list[
     languages = [r["_declared"] for r in counts.orderBy(F.desc("n"), "_declared").limit(max_languages).collect()]
     if not languages:
         return [], np.full((1, BUCKETS), -math.log(BUCKETS), np.float32)
-    from pyspark.sql import Window
-
     known = docs.filter(F.col("_declared").isin(languages))
-    nth = F.row_number().over(Window.partitionBy("_declared").orderBy(F.xxhash64("_uid"), "_uid"))
-    chosen = known.select("_uid", "_declared").withColumn("nth", nth).filter(F.col("nth") <= per_language).select("_uid")
+    # ranked in shares first, so that no task ranks more than SHARES * per_language rows of a language in the end
+    chosen = known.select("_uid", "_declared", (F.spark_partition_id() % SHARES).alias("_share"))
+    for group in (["_declared", "_share"], ["_declared"]):
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("_uid"), "_uid"))
+        chosen = chosen.withColumn("nth", nth).filter(F.col("nth") <= per_language).drop("nth")
+    chosen = chosen.select("_uid")
     # at most per_language * max_languages keys of eight bytes
     sample = known.join(F.broadcast(chosen), "_uid", "left_semi").select("_text", "_declared")
     parts = sample.mapInArrow(_counting(languages), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
