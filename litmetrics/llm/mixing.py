@@ -7,10 +7,12 @@ rounded dependently. Two documents with fractions p and q and sizes s and t trad
 d = min((1 - p) s, q t) or it loses g = min(p s, (1 - q) t), with probabilities g / (d + g) and d / (d + g), so each keeps
 its expectation, the words of the pair stay the same, and one of the two becomes integral. What remains of a bucket of
 about `bucket` documents is one document with a fraction, and with it a reserve of the bucket's smallest documents, not yet
-rounded. Both go up a reduction tree, `fan` buckets at a time, to one group per source. There the last document is
-rounded by chance, the words so won or lost are taken from or given to the reserve (in expectation nothing), and the
-reserve is rounded in the same pairwise way: what a source misses its target by is the size of a small document, unless
-the reserve cannot hold a very long one. Random numbers are hashes of seed and document, so reruns agree.
+rounded, large enough to make up for the bucket's longest document if half of the bucket can. Both go up a reduction
+tree, `fan` buckets at a time, to one group per source. There the last document is rounded by chance (or, where the
+reserve cannot make up for that outcome, to the one it can make up for better), the words so won or lost are taken from
+or given to the reserve, and the reserve is rounded in the same pairwise way: what a source misses its target by is the
+size of a small document, unless neither outcome of a very long one can be made up for. Random numbers are hashes of seed
+and document, so reruns agree.
 
 Defined results: null text has size 0; documents without words are taken as often as the integral part says; sources
 without words have target 0; rows with repeated or null keys are documents of their own.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +58,15 @@ def chance(*parts: object) -> float:
     return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=7).digest(), "big") / (1 << 56)
 
 
+def reserve(sizes: np.ndarray, parts: np.ndarray) -> int:
+    """How many of the smallest documents (sizes descend) can take over what rounding the longest one wins or loses, half of all at most."""
+    if not len(sizes):
+        return 0
+    part = float(np.median(parts))
+    need = 2 * sizes[0] / max(min(part, 1 - part), 1e-6)
+    return min(len(sizes) // 2, max(RESERVE, int(np.searchsorted(np.cumsum(sizes[::-1]), need)) + 1))
+
+
 def pivotal(ids: list, sizes: list[float], parts: list[float], seed: int) -> tuple[list[int | None], int | None, float]:
     """Rounds the fractions of one bucket: bits (None for the residual), the residual's index and its fraction."""
     bits: list[int | None] = [None] * len(ids)
@@ -102,7 +114,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
             # the order decides who trades with whom, so it must not depend on how the rows arrived
             pdf = pdf.assign(_o=[chance(seed, "o", u) for u in pdf["_uid"]]).sort_values(["_size", "_o", "_uid"], ascending=False).drop(columns="_o").reset_index(drop=True)
-            spare = min(RESERVE, int((pdf["_size"] > 0).sum()) // 2)
+            spare = reserve(pdf.loc[pdf["_size"] > 0, "_size"].to_numpy(), pdf["_part"].to_numpy())
             empty = int((pdf["_size"] <= 0).sum())
             ids, sizes, parts = pdf["_uid"].tolist(), pdf["_size"].tolist(), pdf["_part"].tolist()
             most = len(ids) - spare - empty
@@ -118,10 +130,18 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
                 rest = list(range(most, most + spare))
                 if held is not None:
                     one = first[held]
-                    bits[one] = int(chance(seed, "last", ids[one]) < p)
-                    owed, room = (p - bits[one]) * sizes[one], sum(sizes[i] for i in rest)
+                    up, down = sum((1 - parts[i]) * sizes[i] for i in rest) or 1.0, sum(parts[i] * sizes[i] for i in rest) or 1.0
+                    bit = int(chance(seed, "last", ids[one]) < p)
+                    lacking = [max(p * sizes[one] - up, 0.0), max((1 - p) * sizes[one] - down, 0.0)]
+                    if lacking[bit] > lacking[1 - bit]:
+                        bit = 1 - bit
+                    bits[one] = bit
+                    owed = (p - bit) * sizes[one]
                     for i in rest:
-                        parts[i] = min(1.0, max(0.0, parts[i] + owed / room))
+                        if owed > 0:
+                            parts[i] += (1 - parts[i]) * min(1.0, owed / up)
+                        else:
+                            parts[i] *= 1 - min(1.0, -owed / down)
                 got, held, p = pivotal(*pick(rest), seed)
                 for i, x in zip(rest, got, strict=True):
                     bits[i] = x
