@@ -59,12 +59,12 @@ def chance(*parts: object) -> float:
 
 
 def reserve(sizes: np.ndarray, parts: np.ndarray) -> int:
-    """How many of the smallest documents (sizes descend) can take over what rounding the longest one wins or loses, half of all at most."""
+    """How many of the smallest documents (sizes descend) can take over what rounding the longest one wins or loses; half of all or of a bucket at most."""
     if not len(sizes):
         return 0
     part = float(np.median(parts))
     need = 2 * sizes[0] / max(min(part, 1 - part), 1e-6)
-    return min(len(sizes) // 2, max(RESERVE, int(np.searchsorted(np.cumsum(sizes[::-1]), need)) + 1))
+    return min(len(sizes) // 2, BUCKET // 2, max(RESERVE, int(np.searchsorted(np.cumsum(sizes[::-1]), need)) + 1))
 
 
 def pivotal(ids: list, sizes: list[float], parts: list[float], seed: int) -> tuple[list[int | None], int | None, float]:

@@ -278,3 +278,14 @@ def test_bad_hosts_are_rejected_and_small_ones_need_more_evidence(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality_rules.quality_verdicts(empty).count() == 0
     assert quality_rules.text_counts(empty.select("text"), "text").agg(F.count("*")).first()[0] == 0
+
+
+def test_mix_reserve_is_bounded_and_makes_up_for_a_long_document(spark):
+    sizes = np.sort(np.random.default_rng(1).integers(1, 500, 300_000))[::-1]
+    assert mixing.reserve(sizes, np.full(len(sizes), 1e-6)) == mixing.BUCKET // 2
+    assert mixing.reserve(sizes[:10], np.full(10, 0.5)) == 5 and mixing.reserve(sizes[:0], np.zeros(0)) == 0
+    rows = [(i, " ".join(["w"] * (900 if i < 2 else 20)), "ab"[i % 2]) for i in range(402)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "ab":
+        mine = [r for r in got if r["_row"]["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 40
