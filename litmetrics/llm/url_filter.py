@@ -1,83 +1,92 @@
 """URL filters: rules first, then the ratio of two character language models.
 
 Models: variable-order Markov models with Witten-Bell smoothing (order `order` down to single characters), one for URLs
-the rules accept and one for those they reject. They learn from at most `per_class` URLs of each (a bounded sample, the
-smallest hashes of the URL). A fifth of the sample is held out; the threshold on the log-likelihood difference per
-character is the one with the best balanced accuracy there. URLs without a rule are blocked below the threshold.
-
-Defined results: null URLs and URLs without `://` have empty host and path, fit no rule and, like every URL when one of
-the classes is empty, are judged with difference 0 and threshold 0: allowed.
+the rules accept and one for those they reject. Their counts are grouped aggregates over all different URLs that have a
+rule, but for a fifth (by hash) that is held out; so they grow with the input. What is shared with the executors does
+not: characters in context are counted in 2^gram_bits cells of a hash, contexts in 2^context_bits. The threshold on the
+log-likelihood difference per character is the one with the best balanced accuracy on all held-out URLs, whose scores are
+counted in steps of 1/1024. URLs without a rule are blocked below the threshold.
+
+Defined results: null URLs and URLs without `://` have empty host and path and fit no rule; they and, where a class has
+fewer than five different URLs, all URLs without a rule are judged with difference 0 and threshold 0: allowed.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
+
+CLASSES = ("allow", "block")
+STEPS, MOST = 1024, 64  # steps of a score in the calibration, and the largest score told apart
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@dataclass
 class Markov:
     """Witten-Bell smoothed character model: P(c | context) backs off to ever shorter contexts and at last to 1/256."""
 
-    def __init__(self, texts: list[str], order: int):
-        self.order = order
-        self.counts: dict[str, Counter] = defaultdict(Counter)
-        for text in texts:
-            line = "\x02" + text + "\x03"
-            for i in range(1, len(line)):
-                for n in range(min(order, i) + 1):
-                    self.counts[line[i - n : i]][line[i]] += 1
-        self.totals = {k: sum(v.values()) for k, v in self.counts.items()}
-        self.counts = dict(self.counts)
+    grams: np.ndarray  # times a context and its next character were seen, by hash
+    totals: np.ndarray  # times a context was seen, by hash
+    kinds: np.ndarray  # different characters after a context, by hash
 
     def probability(self, context: str, char: str) -> float:
         p = 1 / 256
         for n in range(len(context) + 1):
-            seen = self.counts.get(context[len(context) - n :])
-            if seen is None:
+            tail = context[len(context) - n :]
+            at = bucket_of(tail, len(self.totals))
+            total, kinds = int(self.totals[at]), int(self.kinds[at])
+            if not total:
                 break
-            total, kinds = self.totals[context[len(context) - n :]], len(seen)
-            p = (seen.get(char, 0) + kinds * p) / (total + kinds)
+            p = (int(self.grams[bucket_of(tail + char, len(self.grams))]) + kinds * p) / (total + kinds)
         return p
 
 
+def bucket_of(text: str, size: int) -> int:
+    """The cell that the aggregation files a text under; size is a power of two."""
+    return xxhash.xxh64_intdigest(text.encode(), 42) & (size - 1)
+
+
 class Ratio:
     """Log-likelihood difference per character, accepted minus rejected; remembers what it has computed, up to a bound."""
 
-    def __init__(self, accepted: Markov, rejected: Markov):
-        self.accepted, self.rejected, self.memo = accepted, rejected, {}
+    def __init__(self, accepted: Markov, rejected: Markov, order: int):
+        self.accepted, self.rejected, self.order, self.memo = accepted, rejected, order, {}
 
     def score(self, text: str) -> float:
-        line, total, order = "\x02" + text + "\x03", 0.0, self.accepted.order
+        line, total = "\x02" + text + "\x03", 0.0
         for i in range(1, len(line)):
-            gram = line[max(0, i - order) : i + 1]
+            gram = line[max(0, i - self.order) : i + 1]
             step = self.memo.get(gram)
             if step is None:
-                if len(self.memo) > 1_000_000:
+                if len(self.memo) > 250_000:
                     self.memo.clear()
                 step = self.memo[gram] = math.log(self.accepted.probability(gram[:-1], gram[-1])) - math.log(self.rejected.probability(gram[:-1], gram[-1]))
             total += step
         return total / (len(line) - 1)
 
 
-def calibrate(good: list[float], bad: list[float]) -> float:
-    """The threshold with the best balanced accuracy, half-way between two scores; ties to the one nearest 0."""
+def calibrate(good: dict[int, int], bad: dict[int, int]) -> float:
+    """Held-out URLs by step of their score: the threshold (start of a step) with the best balanced accuracy; ties to the one nearest 0."""
     if not good or not bad:
         return 0.0
-    marks = sorted({*good, *bad})
-    options = [marks[0] - 1e-9, *((a + b) / 2 for a, b in zip(marks, marks[1:], strict=False)), marks[-1] + 1e-9]
-    def quality(t: float) -> float:
-        return sum(x >= t for x in good) / len(good) + sum(x < t for x in bad) / len(bad)
-    if len(options) > 400:  # the quality is a step function; 400 evenly spaced steps of it are enough
-        options = options[:: len(options) // 400 + 1] + [options[-1]]
-    return max(options, key=lambda t: (round(quality(t), 12), -abs(t)))
+    low, high = min(*good, *bad), max(*good, *bad) + 1
+    kept, dropped, best = sum(good.values()), 0, None
+    for step in range(low, high + 1):
+        quality = round(kept / sum(good.values()) + dropped / sum(bad.values()), 12)
+        if best is None or (quality, -abs(step)) > best[:2]:
+            best = quality, -abs(step), step
+        kept, dropped = kept - good.get(step, 0), dropped + bad.get(step, 0)
+    return best[2] / STEPS
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -98,33 +107,70 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule if rule is not None else F.lit(None).cast("string"), verdict if verdict is not None else F.lit(None).cast("string")
 
 
+def count_grams(bodies: DataFrame, order: int) -> DataFrame:
+    """bodies (says, body): (says, gram, n) for each character and its contexts of 0 to `order` characters.
+
+    Only the longest context of a character is read off the texts; the shorter ones follow from those counts.
+    """
+    line = F.concat(F.lit("\x02"), F.col("body"), F.lit("\x03"))
+    longest = F.transform(F.sequence(F.lit(2), F.length("line")), lambda i: F.substring(F.col("line"), F.greatest(F.lit(1), i - order), F.least(i, F.lit(order + 1))))
+    full = bodies.select("says", line.alias("line")).select("says", F.explode(longest).alias("gram")).groupBy("says", "gram").agg(F.count(F.lit(1)).alias("n"))
+    tails = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.substring(F.col("gram"), -i, i))
+    return full.select("says", F.explode(tails).alias("gram"), "n").groupBy("says", "gram").agg(F.sum("n").alias("n"))
+
+
+def train(bodies: DataFrame, order: int, gram_bits: int, context_bits: int) -> Ratio:
+    """Models of all bodies (says, body); at most 2 * (2^gram_bits + 2^context_bits) rows of counts reach the driver."""
+    cell = lambda c, bits: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1)).alias("cell")
+    counts = materialise(count_grams(bodies, order), "grams")
+    grams = counts.groupBy("says", cell(F.col("gram"), gram_bits)).agg(F.sum("n").alias("n"))
+    context = F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1)
+    contexts = counts.groupBy("says", cell(context, context_bits)).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+    found = {says: Markov(*(np.zeros(1 << bits, np.int64) for bits in (gram_bits, context_bits, context_bits))) for says in CLASSES}
+    gram_rows, context_rows = grams.toArrow().to_pandas(), contexts.toArrow().to_pandas()
+    for says, model in found.items():
+        g, c = gram_rows[gram_rows["says"] == says], context_rows[context_rows["says"] == says]
+        model.grams[g["cell"]] = g["n"]
+        model.totals[c["cell"]], model.kinds[c["cell"]] = c["n"], c["kinds"]
+    discard(counts)
+    return Ratio(found["allow"], found["block"], order)
+
+
 def _body(url: str | None) -> str:
     return (url or "").partition("://")[2]
 
 
-def _fit(labelled: DataFrame, per_class: int, order: int) -> tuple[Ratio | None, float]:
-    """labelled (url, says): the ratio and its threshold."""
-    held: dict[str, list[str]] = {}
-    for says in ("allow", "block"):
-        rows = labelled.filter(F.col("says") == says).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(per_class).collect()
-        held[says] = [_body(r.url) for r in rows]
-    if min(len(v) for v in held.values()) < 5:
-        return None, 0.0
-    models = [Markov([u for i, u in enumerate(held[s]) if i % 5], order) for s in ("allow", "block")]
-    ratio = Ratio(*models)
-    good, bad = ([ratio.score(u) for i, u in enumerate(held[s]) if i % 5 == 0] for s in ("allow", "block"))
-    ratio.memo.clear()
-    return ratio, calibrate(good, bad)
+def _fit(labelled: DataFrame, order: int, gram_bits: int, context_bits: int):
+    """labelled (url, says): the ratio as a broadcast (of None without a model) and its threshold."""
+    spark = labelled.sparkSession
+    # a URL has one rule, so it has one class
+    rows = materialise(labelled.distinct().select("says", F.expr("substring(url, locate('://', url) + 3)").alias("body"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")), "labelled")
+    sizes = {r.says: r.n for r in rows.groupBy("says").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(sizes.get(says, 0) for says in CLASSES) < 5:
+        discard(rows)
+        return spark.sparkContext.broadcast(None), 0.0
+    shared = spark.sparkContext.broadcast(train(rows.filter("not held"), order, gram_bits, context_bits))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = shared.value
+        for batch in batches:
+            score = [ratio.score(x) for x in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("says"), pa.array(score, pa.float64())], names=["says", "score"])
+
+    step = F.floor(F.least(F.greatest(F.col("score"), F.lit(-float(MOST))), F.lit(float(MOST))) * STEPS).cast("int")
+    bins = rows.filter("held").select("says", "body").mapInArrow(work, "says string, score double").groupBy("says", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    good, bad = ({r.step: r.n for r in bins if r.says == says} for says in CLASSES)
+    discard(rows)
+    return shared, calibrate(good, bad)
 
 
-def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, per_class: int = 2000, order: int = 4) -> DataFrame:
+def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, order: int = 4, gram_bits: int = 20, context_bits: int = 18) -> DataFrame:
     """Per row: key, host, path, rule, verdict, and score (log-likelihood difference per character, null where a rule decides)."""
     picked = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").cast("string").alias("url"))
     host, path = split_url(F.col("url"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     judged = picked.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("says", says)
-    ratio, threshold = _fit(judged.filter("says is not null").select("url", "says"), per_class, order)
-    shared = df.sparkSession.sparkContext.broadcast(ratio)  # bounded by per_class URLs
+    shared, threshold = _fit(judged.filter("says is not null").select("url", "says"), order, gram_bits, context_bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,9 +157,22 @@ def test_url_model_separates_held_out_urls(spark):
     assert sum(got[5000 + i] == "allow" for i in range(40)) >= 38 and sum(got[6000 + i] == "block" for i in range(40)) >= 38
 
 
-def test_markov_probabilities_add_up():
-    m = url_filter.Markov(["abcab", "abd"], 3)
-    assert math.isclose(sum(m.probability("ab", chr(c)) for c in range(256)), 1.0)
+def test_url_models_count_every_context(spark):
+    bodies = [("allow", "abcab"), ("allow", "abd\u00fc"), ("block", "ab"), ("block", "")]
+    want = Counter()
+    for says, body in bodies:
+        line = "\x02" + body + "\x03"
+        want.update((says, line[i - n : i + 1]) for i in range(1, len(line)) for n in range(min(3, i) + 1))
+    df = spark.createDataFrame(bodies, "says string, body string")
+    assert {(r.says, r.gram): r.n for r in url_filter.count_grams(df, 3).collect()} == dict(want)
+    ratio = url_filter.train(df, 3, 16, 16)
+    assert ratio.accepted.totals[url_filter.bucket_of("ab", 1 << 16)] == 3 and ratio.accepted.kinds[url_filter.bucket_of("ab", 1 << 16)] == 3
+    assert math.isclose(sum(ratio.accepted.probability("ab", chr(c)) for c in range(256)), 1.0, rel_tol=1e-9)
+
+
+def test_url_threshold():
+    assert url_filter.calibrate({5: 3, 9: 1}, {-7: 2, 1: 1}) == 2 / url_filter.STEPS
+    assert url_filter.calibrate({}, {1: 1}) == 0.0
 
 
 # Mixing ---------------------------------------------------------------------------------------------------------------
