@@ -57,6 +57,12 @@ def _standardized(df: DataFrame, mean: list[float], scale: list[float]) -> DataF
     return df.withColumn("_x", array_to_vector(F.transform(F.arrays_zip(F.col("features").alias("f"), m.alias("m"), s.alias("s")), lambda t: (t["f"] - t["m"]) / t["s"])))
 
 
+def _mean_one(df: DataFrame) -> DataFrame:
+    """df with its weights w scaled to mean 1."""
+    mean = df.agg(F.avg("w")).first()[0] or 1.0
+    return df.withColumn("w", F.col("w") / F.lit(float(mean)))
+
+
 def _fit(df: DataFrame, c: float) -> tuple[list[float], list[float], LogisticRegressionModel]:
     mean, scale = _moments(df)
     total = df.agg(F.sum("w")).first()[0]
@@ -65,13 +71,16 @@ def _fit(df: DataFrame, c: float) -> tuple[list[float], list[float], LogisticReg
 
 
 def fit_selected(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = None, k: int = 5, seed: int = 42, grid: tuple[float, ...] = C_GRID) -> Hybrid:
-    """df (key, stratum, features, y, w); fixed rows (features, y, w) join every training part. The fits of the grid run
-    side by side; each is a handful of passes over a table of labelled papers."""
-    parts = folds(df, [stratum, "y"], key, k, seed).select("features", "y", "w", "fold").cache()
+    """df (key, stratum, features, y, w); fixed rows (features, y, w) join every training part. The weights of df are
+    scaled to mean 1 in every training part, and stay as they are where thresholds are compared. The fits of the grid
+    run side by side; each is a handful of passes over a table of labelled papers."""
+    kept = folds(df, [stratum, "y"], key, k, seed).select("features", "y", "w", "fold").cache()
+    # every step of a fit is a job: a few labelled papers are not worth many tasks
+    parts = kept.coalesce(1 + kept.count() // 1024)
     extra = fixed.select("features", "y", "w") if fixed is not None else None
 
     def held_out(c: float, fold: int) -> DataFrame:
-        train = parts.filter(F.col("fold") != fold).select("features", "y", "w")
+        train = _mean_one(parts.filter(F.col("fold") != fold).select("features", "y", "w"))
         mean, scale, model = _fit(train.unionByName(extra) if extra is not None else train, c)
         out = model.transform(_standardized(parts.filter(F.col("fold") == fold), mean, scale))
         return out.select("y", "w", vector_to_array("probability")[1].alias("score"))
@@ -86,7 +95,36 @@ def fit_selected(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None
     with ThreadPoolExecutor(len(grid)) as pool:
         results = list(pool.map(tried, grid))
     f1, threshold, c = max(results, key=lambda r: (r[0], -r[2]))
-    rows = parts.select("features", "y", "w")
+    rows = _mean_one(parts.select("features", "y", "w"))
     mean, scale, model = _fit(rows.unionByName(extra) if extra is not None else rows, c)
-    parts.unpersist()
+    kept.unpersist()
     return Hybrid(mean, scale, model, threshold, c)
+
+
+def source_weights(df: DataFrame, source: str, w: str, fixed: str = "llm", extra: str = "validation", share: float = 0.25) -> DataFrame:
+    """df with w set by source: rows of `fixed` scaled to mean 1, rows of `extra` together `share` of their total (which
+    is their number), all others as they are."""
+    per = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"), F.avg(w).alias("_mean"))  # one row a source
+    of_fixed = per.filter(F.col(source) == fixed).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_fixed"))
+    known = df.join(per, source).crossJoin(F.broadcast(of_fixed))
+    weight = F.when(F.col(source) == fixed, F.col(w) / F.col("_mean")).when(F.col(source) == extra, share * F.col("_fixed") / F.col("_n")).otherwise(F.col(w))
+    return known.withColumn(w, weight).select(*df.columns)
+
+
+def nested_cv(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = None, reps: int = 5, outer: int = 10, inner: int = 5, seed: int = 42, grid: tuple[float, ...] = C_GRID, parallel: int = 2) -> DataFrame:
+    """(key, rep, pred): out-of-fold predictions of every repetition. C and the threshold are chosen anew inside every
+    outer training part, so the held-out rows take no part in the choice. Rows are found by key, not by position."""
+    parts = [folds(df, [stratum, "y"], key, outer, seed + rep).withColumnRenamed("fold", "_outer") for rep in range(reps)]
+
+    def held_out(job: tuple[int, int]) -> DataFrame:
+        rep, fold = job
+        rows = parts[rep]
+        model = fit_selected(rows.filter(F.col("_outer") != fold).drop("_outer"), key, stratum, fixed, inner, seed, grid)
+        return model.predict(rows.filter(F.col("_outer") == fold)).select(key, F.lit(rep).alias("rep"), F.col("is_survey").alias("pred"))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        out = list(pool.map(held_out, [(r, f) for r in range(reps) for f in range(outer)]))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import features, indices, matching, metrics, profiles, rules, sampling, scoring
+from ..operators import baselines, features, hybrid, indices, matching, metrics, profiles, rules, sampling, scoring, verification
 from . import pipelines
 from .papers import papers, papers_sql
 
@@ -465,6 +465,148 @@ def hybrid_fit(spark, sf_dir):
     labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label")).filter("Label in ('0', '1')").join(vectors, "id")
     labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
     rows = features.hybrid_features(labelled, "proba", "embedding", keep=("id", "Label")).select("id", F.lit("all").alias("stratum"), "features", (F.col("Label") == "0").cast("double").alias("y"), F.lit(1.0).alias("w"))
-    from ..operators.hybrid import fit_selected
+    return hybrid.fit_selected(rows, "id", "stratum", grid=(0.1,), k=3).predict(rows).select("id", F.round("hybrid_proba", 4).alias("hybrid_proba"), "is_survey")
 
-    return fit_selected(rows, "id", "stratum", grid=(0.1,), k=3).predict(rows).select("id", F.round("hybrid_proba", 4).alias("hybrid_proba"), "is_survey")
+
+@query()
+def nested_cv(spark, sf_dir):
+    """Out-of-fold predictions of the hybrid without embeddings, the rare stratum's papers as fixed rows."""
+    labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label", "Stratum", "StratumWeight")).filter("Label in ('0', '1')")
+    labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
+    rows = features.hybrid_features(labelled, "proba", keep=("id", "Label", "Stratum", "StratumWeight"))
+    rows = rows.select("id", "Stratum", "features", (F.col("Label") == "0").cast("double").alias("y"), F.col("StratumWeight").alias("w"))
+    rare = F.col("Stratum") == "title_kw"
+    return hybrid.nested_cv(rows.filter(~rare), "id", "Stratum", rows.filter(rare), reps=1, outer=2, inner=2, grid=(0.1,))
+
+
+@query(f"""with {P}, s as (select id, case Stratum when 'title_kw' then 'validation' when 'abstract_cue' then 'llm' else 'hand' end as source, StratumWeight * (1 + id % 3) as w from p),
+t as (select source, count(*) as n, avg(w) as m from s group by source), l as (select coalesce(sum(n), 0) as n from t where source = 'llm')
+select s.id, s.source, round(case s.source when 'llm' then w / m when 'validation' then 0.25 * l.n / t.n else w end, 9) as w from s join t on s.source = t.source, l""")
+def source_weights(spark, sf_dir):
+    source = F.when(F.col("Stratum") == "title_kw", "validation").when(F.col("Stratum") == "abstract_cue", "llm").otherwise("hand")
+    rows = papers(spark, sf_dir).select("id", source.alias("source"), (F.col("StratumWeight") * (1 + F.col("id") % 3)).alias("w"))
+    return hybrid.source_weights(rows, "source", "w").select("id", "source", F.round("w", 9).alias("w"))
+
+
+_TERMS = """d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from documents),
+g as (select doc_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as term from d),
+c as (select doc_id, term, count(*) as tf from g group by all),
+f as (select term, ln((1 + (select count(*) from documents)) / (1 + count(*))) + 1 as idf from c group by term having count(*) >= 2),
+r as (select doc_id, c.term, (1 + ln(tf)) * idf as x from c join f on c.term = f.term)"""
+
+
+@query(f"with {_TERMS} select doc_id, term, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) as weight from r")
+def tfidf_weights(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return baselines.TfIdf.fit(docs, F.col("text")).transform(docs, "doc_id", F.col("text")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def tfidf_svm(spark, sf_dir):
+    """Held-out predictions of the baseline: trained on the papers of earlier years."""
+    rows = papers(spark, sf_dir).filter("Label in ('0', '1')").select("id", "year", X.paper_text(F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("text"), (F.col("Label") == "0").cast("int").alias("y"))
+    out = baselines.tfidf_svm(rows.filter("year < 2020"), rows.filter("year >= 2020"), "id", F.col("text"), "y")
+    return out.select("id", "p", F.round("margin", 3).alias("margin"))
+
+
+# Verification ---------------------------------------------------------------------------------------------------------
+
+
+_TOP = f"{P}, k as (select id, author, {key_sql('title')} as k, year, coalesce(citationCount, 0)::bigint as c, {CATEGORY} as cat, case when Label = '0' then 'S' when Label = '1' then 'R' else 'B' end as truth from p), r as (select id as ref, author, truth, year, case when year % 3 = 0 then left(k, 24) else k end as k from k where id % 5 = 0)"
+
+
+def _profile(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Keyed papers, and the fifth of them that serves as reference lists."""
+    truth = F.when(F.col("Label") == "0", "S").when(F.col("Label") == "1", "R").otherwise("B")
+    k = papers(spark, sf_dir).select("id", "author", X.norm_title(F.col("title")).alias("k"), "year", F.coalesce("citationCount", F.lit(0)).cast("long").alias("c"), category().alias("cat"), truth.alias("truth"))
+    refs = k.filter("id % 5 = 0").select(F.col("id").alias("ref"), "author", "truth", "year", F.when(F.col("year") % 3 == 0, F.substring("k", 1, 24)).otherwise(F.col("k")).alias("k"))
+    return k, refs
+
+
+@query(f"""with {_TOP} select r.author, count(*) filter (exists (select 1 from k where k.author = r.author and k.year < 2022 and case when length(r.k) >= 20 then starts_with(k.k, r.k) else k.k = r.k end))::bigint as found, count(*)::bigint as total from r group by r.author""")
+def title_coverage(spark, sf_dir):
+    k, refs = _profile(spark, sf_dir)
+    return verification.coverage(refs, k.filter("year < 2022"), "author", "k")
+
+
+@query(f"""with {_TOP}, h as (select r.author, r.truth, r.year, k.cat from r left join k on r.ref = k.id and k.year < 2022),
+o as (select author, truth = 'S' and cat = 'survey' or truth = 'R' and cat = 'research' or truth = 'B' and cat in ('research', 'non-paper') as ok, year >= 2015 as fresh from h where cat is not null)
+select coalesce(author, 'Total') as author, count(*) filter (ok)::bigint as correct, count(*)::bigint as total, count(*) filter (ok and fresh)::bigint as unseen_correct, count(*) filter (fresh)::bigint as unseen_total from o group by rollup (author)""")
+def top_verification(spark, sf_dir):
+    k, refs = _profile(spark, sf_dir)
+    checked = refs.select("ref", "author", "truth", "year").join(k.filter("year < 2022").select(F.col("id").alias("ref"), "cat"), "ref", "left").withColumn("seen", F.col("year") < 2015)
+    return verification.agreement(checked, "author", "truth", "cat", "seen")
+
+
+@query(f"""with {_TOP}, s as (select *, case when year < 2018 then 'A' else 'B' end as source from k), q as (select author || '|' || source as g, c, id from s), i as ({h_sql('q', 'g', 'c')}),
+f as (select author || '|' || source as g, count(*)::bigint as found from s where id % 5 = 0 group by all)
+select split_part(i.g, '|', 1) as author, split_part(i.g, '|', 2) as source, papers, citations, h_index, i10_index, coalesce(found, 0)::bigint as found from i left join f on i.g = f.g""")
+def profile_completeness(spark, sf_dir):
+    k = _profile(spark, sf_dir)[0].withColumn("source", F.when(F.col("year") < 2018, "A").otherwise("B"))
+    out = verification.completeness(k, k.filter("id % 5 = 0").select("author", "source"), "author", "source", "c")
+    return out.select("author", "source", "papers", "citations", "h_index", "i10_index", "found")
+
+
+@query("""with c as (select l_suppkey, l_shipmode, count(*)::bigint as n from (select *, l_linestatus || l_returnflag as l_shipmode from lineitem) group by all)
+select l_suppkey, round(100 * sum(case when l_shipmode in ('OR', 'FA') then 0 else n end) / greatest(1, sum(n)), 9) as outside from c group by l_suppkey""")
+def outside_share(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.concat("l_linestatus", "l_returnflag").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    return verification.outside_share(c, "l_suppkey", "g", "n", ("OR", "FA")).select("l_suppkey", F.round("outside", 9).alias("outside"))
+
+
+@query(r"""with n as (select c_custkey, ['Li-Wei Chen ' || c_nationkey, 'li wei chen ' || c_nationkey, 'L. Chen', 'Chen', c_mktsegment || ' Chen', 'Wei Chen', 'Li Chen', 'Wei Li Chen'] as v from customer),
+u as (select c_custkey, unnest(v) as variant, generate_subscripts(v, 1) as p from n),
+f as (select *, lower(replace(variant, '-', ' ')) as k from u where p = 1 or not contains(variant, '.') and contains(variant, ' ')),
+d as (select c_custkey, arg_min(variant, p) as variant, min(p) as p from f group by c_custkey, k)
+select c_custkey, variant, place from (select c_custkey, variant, row_number() over (partition by c_custkey order by p)::int as place from d) where place <= 4""")
+def name_variants(spark, sf_dir):
+    nation = F.col("c_nationkey").cast("string")
+    others = F.array(F.concat(F.lit("li wei chen "), nation), F.lit("L. Chen"), F.lit("Chen"), F.concat("c_mktsegment", F.lit(" Chen")), F.lit("Wei Chen"), F.lit("Li Chen"), F.lit("Wei Li Chen"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Li-Wei Chen "), nation).alias("name"), others.alias("others"))
+    return verification.name_variants(rows, "c_custkey", "name", "others")
+
+
+_RATES = "e as (select doc_id % 3 as rep, quality as y, toxic as p, 1 + doc_id % 4 as w from labels), a as (select rep, sum(w) filter (y = 1 and p = 1) / sum(w) filter (y = 1) as tpr, coalesce(sum(w) filter (y = 0 and p = 1), 0) / sum(w) filter (y = 0) as fpr from e group by rep)"
+
+
+def _rated(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").select((F.col("doc_id") % 3).alias("rep"), "quality", "toxic", (1 + F.col("doc_id") % 4).alias("w"))
+
+
+@query(f"with {_RATES} select round(avg(coalesce(tpr, 0)), 9) as tpr, round(avg(fpr), 9) as fpr from a")
+def error_rates(spark, sf_dir):
+    out = verification.error_rates(_rated(spark, sf_dir), [], "rep", F.col("quality"), F.col("toxic"), F.col("w"))
+    return out.select(F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
+
+
+@query(f"""with {P}, a as (select author, avg(({CATEGORY} = 'survey')::int) as q, coalesce(sum(citationCount) filter ({CATEGORY} = 'survey'), 0) / greatest(1, coalesce(sum(citationCount), 0)) as c from p group by author),
+s as (select unnest(range(0, 50)) as rep), r as (select author, q, c, -1 as rep, 0.8 as tpr, 0.05 as fpr from a union all select author, q, c, rep, 0.7 + rep * 0.004 as tpr, 0.01 + (rep * 7 % 50) * 0.002 as fpr from a, s),
+b as (select *, least(greatest((q - fpr) / greatest(tpr - fpr, 1e-9), 0), 1) as pi from r),
+m as (select author, rep, q, c, pi as papers, case when q > 0 then least(greatest(tpr * pi / q, 0), 1) else 0 end * c + case when q < 1 then least(greatest((1 - tpr) * pi / (1 - q), 0), 1) else 0 end * (1 - c) as citations from b),
+w as (select author, rep, q, c, papers, citations from m union all select 'Average', rep, avg(q), avg(c), avg(papers), avg(citations) from m group by rep)
+select author, round(any_value(papers) filter (rep < 0), 6) as papers, round(quantile_cont(papers, 0.025) filter (rep >= 0), 6) as papers_low, round(quantile_cont(papers, 0.975) filter (rep >= 0), 6) as papers_high,
+ round(any_value(citations) filter (rep < 0), 6) as citations, round(quantile_cont(citations, 0.025) filter (rep >= 0), 6) as citations_low, round(quantile_cont(citations, 0.975) filter (rep >= 0), 6) as citations_high from w group by author""")
+def corrected_table(spark, sf_dir):
+    survey, cites = category() == "survey", F.coalesce(F.sum("citationCount"), F.lit(0.0))
+    shares = papers(spark, sf_dir).groupBy("author").agg(F.avg(survey.cast("int")).alias("flagged"), (F.coalesce(F.sum(F.when(survey, F.col("citationCount"))), F.lit(0.0)) / F.greatest(F.lit(1), cites)).alias("cites"))
+    samples = spark.range(50).select(F.col("id").alias("rep"), (0.7 + F.col("id") * 0.004).alias("tpr"), (0.01 + (F.col("id") * 7 % 50) * 0.002).alias("fpr"))
+    out = verification.corrected_table(shares, "author", (0.8, 0.05), samples)
+    return out.select("author", *[F.round(c, 6).alias(c) for c in ("papers", "papers_low", "papers_high", "citations", "citations_low", "citations_high")])
+
+
+@query("""select d.source, count(*)::bigint as papers, round(coalesce(count(*) filter (quality = 1 and toxic = 1) / nullif(count(*) filter (quality = 1), 0), 0), 9) as recall,
+ round(2 * count(*) filter (quality = 1 and toxic = 1) / greatest(1, 2 * count(*) filter (quality = 1 and toxic = 1) + count(*) filter (quality <> toxic)), 9) as f1 from labels l join documents d on l.doc_id = d.doc_id group by 1""")
+def recall_by_group(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    out = metrics.confusion(rows, ["source"], F.col("quality"), F.col("toxic"))
+    return out.select("source", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("long").alias("papers"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
+
+
+@query("""with e as (select doc_id, quality from labels), s as (select doc_id, toxic from labels where doc_id % 2 = 0)
+select e.doc_id, quality, toxic, 'all' as part from e join s on e.doc_id = s.doc_id where e.doc_id % 2 = 0 union all
+select e.doc_id, quality, toxic, 'some' from e join s on e.doc_id = s.doc_id where not exists (select 1 from e where doc_id % 2 <> 0)""")
+def aligned_predictions(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    known, rows = labels.filter("doc_id % 2 = 0").select("doc_id", "toxic"), labels.select("doc_id", "quality")
+    whole = verification.aligned(rows.filter("doc_id % 2 = 0"), known, "doc_id").withColumn("part", F.lit("all"))
+    return whole.unionByName(verification.aligned(rows, known, "doc_id").withColumn("part", F.lit("some")))

@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from litmetrics import report
 from litmetrics.functions import text as X
 from litmetrics.functions import vocabulary as V
-from litmetrics.operators import indices, matching, metrics, profiles, rules, sampling
+from litmetrics.operators import baselines, hybrid, indices, matching, metrics, profiles, rules, sampling, verification
 from litmetrics.plans import pipelines, registry
 from litmetrics.sources import files, rest
 
@@ -102,6 +103,40 @@ def test_matching(spark):
     assert one(spark, rules.same_person(F.lit("Jean-Paul Roe"), F.lit("J. Roe"))) and not one(spark, rules.same_person(F.lit("Ann Roe"), F.lit("Bob Roe")))
 
 
+def test_tfidf(spark):
+    df = spark.createDataFrame([(1, "Deep nets, deep nets"), (2, "a deep net"), (3, None)], "id long, text string")
+    got = {(r.id, r.term): r.weight for r in baselines.TfIdf.fit(df, F.col("text")).transform(df, "id", F.col("text")).collect()}
+    assert got == {(1, "deep"): pytest.approx(1.0), (2, "deep"): pytest.approx(1.0)}
+    every = baselines.TfIdf.fit(df, F.col("text"), min_df=1).transform(df, "id", F.col("text")).filter("id = 1").collect()
+    common, rare = math.log(4 / 3) + 1, math.log(4 / 2) + 1
+    raw = {"deep": (1 + math.log(2)) * common, "nets": (1 + math.log(2)) * rare, "deep nets": (1 + math.log(2)) * rare, "nets deep": rare}
+    size = math.sqrt(sum(v * v for v in raw.values()))
+    assert {r.term: r.weight for r in every} == {k: pytest.approx(v / size) for k, v in raw.items()}
+
+
+def test_svm_separates_topics(spark):
+    rows = [(i, f"survey overview taxonomy item{i % 5}" if i % 2 else f"decoder circuit latency item{i % 5}", i % 2) for i in range(40)]
+    df = spark.createDataFrame([*rows, (99, "", 0)], "id long, text string, y int")
+    got = {r.id: r.p for r in baselines.tfidf_svm(df.filter("id < 20"), df.filter("id >= 20"), "id", F.col("text"), "y").collect()}
+    assert len(got) == 21 and all(got[i] == i % 2 for i in range(20, 40))
+
+
+def test_nested_cv_predicts_every_row_once(spark):
+    rows = [(i, "s", [float((i * 7) % 20 - 10), float(i % 3)], float((i * 7) % 20 >= 10), 2.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, stratum string, features array<double>, y double, w double")
+    got = hybrid.nested_cv(df, "id", "stratum", reps=1, outer=2, inner=2, grid=(1.0,)).collect()
+    assert sorted(r.id for r in got) == list(range(60)) and sum(r.pred == rows[r.id][3] for r in got) >= 57
+
+
+def test_verification_edges(spark):
+    refs = spark.createDataFrame([("a", "x" * 20), ("a", "short"), ("b", "none"), ("c", "y" * 25)], "author string, k string")
+    prof = spark.createDataFrame([("a", "x" * 30), ("a", "shorter"), ("b", "none"), ("c", "y" * 24)], "author string, k string")
+    assert {r.author: (r.found, r.total) for r in verification.coverage(refs, prof, "author", "k").collect()} == {"a": (1, 2), "b": (1, 1), "c": (0, 1)}
+    table = spark.createDataFrame([("a", "S2", 3), ("a", "OA", 9), ("b", "OA", 1), ("b", "X", 1)], "author string, source string, found int")
+    assert {r.author: r.source for r in verification.preferred_source(table, "author", "source", "S2").collect()} == {"a": "S2", "b": "OA"}
+    assert verification.agreement(table.filter("false").selectExpr("author", "'S' as t", "source as c", "true as seen"), "author", "t", "c", "seen").count() == 0
+
+
 def test_files_and_rest(spark, tmp_path):
     (tmp_path / "a.csv").write_text('title,abstract,citationCount\n"A ""survey""","two\nlines",3\nB,NA,\n')
     df = files.read_csv(spark, str(tmp_path / "a.csv"), provenance=True)
