@@ -233,6 +233,14 @@ def test_page_without_article_elements():
     assert html_extract.extract(page) == " ".join([text.strip()] * 2)
 
 
+def test_article_that_is_not_the_main_text():
+    texts = [f"Part {i} of the main text with many words in it. " * 8 for i in range(4)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in texts)
+    whole = " ".join(" ".join(texts).split())
+    assert html_extract.extract(PAGE % f"<article class='card'><p>More</p></article><div>{paragraphs}</div>") == whole
+    assert html_extract.extract(PAGE % "".join(f"<article><h2>H{i}</h2><p>{t}</p><p>{t}</p></article>" for i, t in enumerate(texts))) == " ".join(f"H{i} {t.strip()} {t.strip()}" for i, t in enumerate(texts))
+
+
 def test_odd_pages(spark):
     odd = [None, "", "   ", "plain text", "<", "<p", "<p>a", "</p></div>b", "<script>x", "<!-- x", "<a>" * 3000 + "deep", "<p title=\"a>b\">ok"]
     assert [html_extract.extract(p) for p in odd] == ["", "", "", "plain text", "<", "<p", "a", "b", "", "", "deep", "ok"]
