@@ -8,7 +8,8 @@ is C/T * log_b(C/LC * T/LT), b = ln(C/(C-LC) * LC + LCbody/Cbody * C + e). A nod
 densities. The subtree with the largest sum is found; the smallest density on the path from it to the body is the
 threshold; going down from the body, a node that reaches the threshold contributes the subtree below it with the
 largest sum. An `article` or `main` element around a subtree so found is taken whole, as the page's own statement of
-what the article is.
+what the article is. If the largest sum is the body's, the body is taken whole, unless an article's sum exceeds that of
+all that stands beside it.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
@@ -190,31 +191,44 @@ def extract(page: str | None) -> str:
             total[parent[i]] += density[i]
     # a node without children holds its own text: its density is its sum
     whole = [total[i] or density[i] for i in range(n)]
-    best = max((i for i in range(n) if alive[i] and chars[i]), key=lambda i: (whole[i], -i))
-    threshold, up = density[best], best
-    while up not in (body, 0):
-        up = parent[up]
-        threshold = min(threshold, density[up])
-    # the node with the largest sum below each node, itself included
-    peak = list(range(n))
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        if alive[i] and whole[peak[i]] > whole[peak[p]]:
-            peak[p] = peak[i]
-    chosen, reached = set(), [False] * n
-    for i in range(n):
-        if i and reached[parent[i]]:
-            reached[i] = True
-        elif i not in (body, 0) and alive[i] and chars[i] and density[i] >= threshold - 1e-9 and tag[i] not in ("html", "head"):
-            reached[i] = True
-            # an inline root would cut its block apart
-            chosen.add(i if tag[peak[i]] in INLINE else peak[i])
-    if not chosen:
-        chosen = {body}
     # the outermost article or main around each node, itself included
     outer = [-1] * n
     for i in range(1, n):
         outer[i] = outer[parent[i]] if outer[parent[i]] >= 0 else i if tag[i] in ("article", "main") else -1
+    live = [i for i in range(n) if alive[i] and chars[i]]
+    best = max(live, key=lambda i: (whole[i], -i))
+    if tag[best] in ("html", "body", "#root"):
+        # an article holds its own against the body if what stands beside it adds up to less
+        below = max((i for i in live if outer[i] >= 0), key=lambda i: (whole[i], -i), default=-1)
+        up = below
+        while up > 0 and parent[up] != body:
+            up = parent[up]
+        if up > 0 and total[body] - density[up] < whole[below]:
+            best = below
+    if tag[best] in ("html", "body", "#root"):
+        # the paragraphs stand in the body itself: its own density is no threshold for its children
+        chosen = {best}
+    else:
+        threshold, up = density[best], best
+        while up not in (body, 0):
+            up = parent[up]
+            threshold = min(threshold, density[up])
+        # the node with the largest sum below each node, itself included
+        peak = list(range(n))
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            if alive[i] and whole[peak[i]] > whole[peak[p]]:
+                peak[p] = peak[i]
+        chosen, reached = set(), [False] * n
+        for i in range(n):
+            if i and reached[parent[i]]:
+                reached[i] = True
+            elif i not in (body, 0) and alive[i] and chars[i] and density[i] >= threshold - 1e-9 and tag[i] not in ("html", "head"):
+                reached[i] = True
+                # an inline root would cut its block apart
+                chosen.add(i if tag[peak[i]] in INLINE else peak[i])
+        if not chosen:
+            chosen = {body}
     chosen = {outer[i] if outer[i] >= 0 else i for i in chosen}
     taken = [False] * n
     out = []

@@ -241,6 +241,14 @@ def test_article_that_is_not_the_main_text():
     assert html_extract.extract(PAGE % "".join(f"<article><h2>H{i}</h2><p>{t}</p><p>{t}</p></article>" for i, t in enumerate(texts))) == " ".join(f"H{i} {t.strip()} {t.strip()}" for i, t in enumerate(texts))
 
 
+def test_paragraphs_directly_in_the_body():
+    long, short = "Long text of the main part with many words in it. " * 6, "A short paragraph of the same text. "
+    page = PAGE % f"<h1>Head</h1><p>{long}</p>loose<p>{short}</p><p>{long}</p>"
+    assert html_extract.extract(page) == f"Head {long}loose {short}{long.strip()}"
+    assert html_extract.extract(PAGE % f"<article class='card'><p>More</p></article><p>{long}</p><p>{short}</p><p>{long}</p>") == f"More {long}{short}{long.strip()}"
+    assert html_extract.extract(PAGE % f"<article><p>{long}</p></article><div>About us</div>") == long.strip()
+
+
 def test_odd_pages(spark):
     odd = [None, "", "   ", "plain text", "<", "<p", "<p>a", "</p></div>b", "<script>x", "<!-- x", "<a>" * 3000 + "deep", "<p title=\"a>b\">ok"]
     assert [html_extract.extract(p) for p in odd] == ["", "", "", "plain text", "<", "<p", "a", "b", "", "", "deep", "ok"]
