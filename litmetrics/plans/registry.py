@@ -465,7 +465,7 @@ def hybrid_fit(spark, sf_dir):
     labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label")).filter("Label in ('0', '1')").join(vectors, "id")
     labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
     rows = features.hybrid_features(labelled, "proba", "embedding", keep=("id", "Label")).select("id", F.lit("all").alias("stratum"), "features", (F.col("Label") == "0").cast("double").alias("y"), F.lit(1.0).alias("w"))
-    return hybrid.fit_selected(rows, "id", "stratum", grid=(0.1,), k=3).predict(rows).select("id", F.round("hybrid_proba", 4).alias("hybrid_proba"), "is_survey")
+    return hybrid.fit_selected(rows, "id", "stratum").predict(rows).select("id", F.round("hybrid_proba", 4).alias("hybrid_proba"), "is_survey")
 
 
 @query()
@@ -476,7 +476,7 @@ def nested_cv(spark, sf_dir):
     rows = features.hybrid_features(labelled, "proba", keep=("id", "Label", "Stratum", "StratumWeight"))
     rows = rows.select("id", "Stratum", "features", (F.col("Label") == "0").cast("double").alias("y"), F.col("StratumWeight").alias("w"))
     rare = F.col("Stratum") == "title_kw"
-    return hybrid.nested_cv(rows.filter(~rare), "id", "Stratum", rows.filter(rare), reps=1, outer=2, inner=2, grid=(0.1,))
+    return hybrid.nested_cv(rows.filter(~rare), "id", "Stratum", rows.filter(rare))
 
 
 @query(f"""with {P}, s as (select id, case Stratum when 'title_kw' then 'validation' when 'abstract_cue' then 'llm' else 'hand' end as source, StratumWeight * (1 + id % 3) as w from p),

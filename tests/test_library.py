@@ -121,6 +121,25 @@ def test_svm_separates_topics(spark):
     assert len(got) == 21 and all(got[i] == i % 2 for i in range(20, 40))
 
 
+def test_registered_models_use_the_whole_grid_and_all_folds(spark, sf_dir, monkeypatch):
+    grids, jobs = [], []
+
+    class Model:
+        def predict(self, df):
+            return df.selectExpr("*", "0.5 as hybrid_proba", "1 as is_survey")
+
+    def fit_selected(df, key, stratum, fixed=None, k=5, seed=42, grid=hybrid.C_GRID):
+        grids.append((k, grid))
+        return Model()
+
+    monkeypatch.setattr(hybrid, "fit_selected", fit_selected)
+    registry.queries()["hybrid_fit"](spark, sf_dir)
+    assert grids == [(5, (0.01, 0.1, 1.0))]
+    grids.clear()
+    registry.queries()["nested_cv"](spark, sf_dir)
+    assert grids == [(5, (0.01, 0.1, 1.0))] * 50
+
+
 def test_nested_cv_predicts_every_row_once(spark):
     rows = [(i, "s", [float((i * 7) % 20 - 10), float(i % 3)], float((i * 7) % 20 >= 10), 2.0) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, stratum string, features array<double>, y double, w double")
