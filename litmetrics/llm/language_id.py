@@ -12,8 +12,8 @@ posterior(l) ~ likelihood(text | l)^temper * P(declared | l) * prior(l | host)
 A row is rejected if `und` wins, if the best posterior is below `min_posterior`, or if there is no text to judge.
 
 Defined results: null or blank text is `und` and rejected; null hosts share one prior, null declarations tell nothing;
-languages are the `max_languages` most frequent declared ones (ties by name); a table without declarations knows no
-language and rejects all.
+declarations count by their primary subtag (`en-us` is `en`); every declared language is known; a table without
+declarations knows no language and rejects all.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ BUCKETS = 1 << 14
 UNKNOWN = "und"
 BLOCK = 1 << 18
 SHARES = 16
+TOGETHER = 64  # languages scored at a time
 
 
 def trigrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,32 +60,33 @@ def _counting(languages: list[str]):
             for i, j in pieces(offsets, BLOCK):
                 code, size = trigrams(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
                 which = np.repeat([index[x] for x in declared[i:j]], size)
-                total += np.bincount(which * BUCKETS + code, minlength=total.size).reshape(total.shape)
+                cells, n = np.unique(which * BUCKETS + code, return_counts=True)
+                total.reshape(-1)[cells] += n
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
     return work
 
 
-def train(docs: DataFrame, per_language: int, max_languages: int) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, per_language: int) -> tuple[list[str], np.ndarray]:
     """docs (_uid, _text, _declared): languages, and log probabilities of trigrams for each and for `und`."""
     counts = docs.filter("_declared is not null").groupBy("_declared").agg(F.count(F.lit(1)).alias("n"))
-    languages = [r["_declared"] for r in counts.orderBy(F.desc("n"), "_declared").limit(max_languages).collect()]
+    languages = [r["_declared"] for r in counts.orderBy(F.desc("n"), "_declared").collect()]
     if not languages:
         return [], np.full((1, BUCKETS), -math.log(BUCKETS), np.float32)
-    known = docs.filter(F.col("_declared").isin(languages))
+    known = docs.filter("_declared is not null")
     # ranked in shares first, so that no task ranks more than SHARES * per_language rows of a language in the end
     chosen = known.select("_uid", "_declared", (F.spark_partition_id() % SHARES).alias("_share"))
     for group in (["_declared", "_share"], ["_declared"]):
         nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("_uid"), "_uid"))
         chosen = chosen.withColumn("nth", nth).filter(F.col("nth") <= per_language).drop("nth")
     chosen = chosen.select("_uid")
-    # at most per_language * max_languages keys of eight bytes
+    # at most per_language keys a language, of eight bytes
     sample = known.join(F.broadcast(chosen), "_uid", "left_semi").select("_text", "_declared")
     parts = sample.mapInArrow(_counting(languages), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages) + 1, BUCKETS))
-    for r in parts.collect():  # at most languages * buckets rows
-        table[r.lang, r.bucket] = r.n
+    cells = parts.toArrow()  # at most languages * buckets rows
+    table[cells["lang"].to_numpy(), cells["bucket"].to_numpy()] = cells["n"].to_numpy()
     smooth = 0.5
     logs = np.log((table + smooth) / (table.sum(axis=1, keepdims=True) + smooth * BUCKETS))
     return languages, logs.astype(np.float32)
@@ -92,19 +94,22 @@ def train(docs: DataFrame, per_language: int, max_languages: int) -> tuple[list[
 
 def _scoring(table: np.ndarray, passed: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.ascontiguousarray(table.T)
+        blocks = [np.ascontiguousarray(table[i : i + TOGETHER].T) for i in range(0, len(table), TOGETHER)]
         for batch in batches:
             offsets, data = utf8_column(batch, "_text")
             scores, grams = [], []
             for i, j in pieces(offsets, BLOCK):
                 code, size = trigrams(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
-                sums = np.zeros((len(code) + 1, flat.shape[1]))
-                np.cumsum(flat[code], axis=0, out=sums[1:], dtype=np.float64)
                 edge = np.concatenate([[0], np.cumsum(size)])
-                scores.append(sums[edge[1:]] - sums[edge[:-1]])
+                some = []
+                for flat in blocks:
+                    sums = np.zeros((len(code) + 1, flat.shape[1]))
+                    np.cumsum(flat[code], axis=0, out=sums[1:], dtype=np.float64)
+                    some.append(sums[edge[1:]] - sums[edge[:-1]])
+                scores.append(np.hstack(some))
                 grams.append(size)
-            score = np.concatenate(scores) if scores else np.zeros((0, flat.shape[1]))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1, dtype=np.int32) * flat.shape[1]), pa.array(score.reshape(-1)))
+            score = np.concatenate(scores) if scores else np.zeros((0, len(table)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1, dtype=np.int32) * len(table)), pa.array(score.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), lists, pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))], names=[*passed, "_scores", "_grams"])
 
     return work
@@ -113,28 +118,37 @@ def _scoring(table: np.ndarray, passed: list[str]):
 def host_priors(docs: DataFrame, languages: list[str], strength: float = 20.0) -> DataFrame:
     """(_host, _prior): P(language | host) for each language in turn, smoothed host <- suffix <- all rows."""
     k = len(languages)
-    hosts = docs.groupBy("_host", "_suffix").agg(*[F.count(F.when(F.col("_declared") == x, 1)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)])
-    suffixes = hosts.groupBy("_suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(k)])
-    whole = suffixes.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(k)]).first()
-    total = sum(whole)
-    top = [(whole[f"w{i}"] + 1) / (total + k) for i in range(k)]
-    suffix_total = sum(F.col(f"s{i}") for i in range(k))
-    suffixes = suffixes.select(F.col("_suffix").alias("_s"), *[((F.col(f"s{i}") + strength * top[i]) / (suffix_total + strength)).alias(f"s{i}") for i in range(k)])
-    host_total = sum(F.col(f"n{i}") for i in range(k))
+    said = docs.groupBy("_host", "_suffix", "_declared").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    places = docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(languages)], "_declared string, i int")
+    said = said.join(F.broadcast(places), "_declared", "left")  # one row a language
+
+    def spread(df: DataFrame, by: list[str]) -> DataFrame:
+        """by, and the counts of the languages in turn."""
+        found = F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "n"))))
+        return df.groupBy(*by, "i").agg(F.sum("n").alias("n")).groupBy(*by).agg(found.alias("_found")).select(*by, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("_found", i), F.lit(0.0))).alias("_n"))
+
+    def total(c):
+        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+    hosts, suffixes = spread(said, ["_host", "_suffix"]), spread(said, ["_suffix"])
+    whole = {r.i: r.n for r in said.filter("i is not null").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    number = sum(whole.values())
+    top = F.array(*[F.lit(strength * (whole.get(i, 0.0) + 1) / (number + k)) for i in range(k)])
+    suffixes = suffixes.select(F.col("_suffix").alias("_s"), F.zip_with("_n", top, lambda n, t: (n + t) / (total(F.col("_n")) + strength)).alias("_above"))
     joined = hosts.join(suffixes, F.col("_suffix") == F.col("_s"))
-    return joined.select(F.col("_host").alias("_h"), F.array(*[(F.col(f"n{i}") + strength * F.col(f"s{i}")) / (host_total + strength) for i in range(k)]).alias("_prior"))
+    return joined.select(F.col("_host").alias("_h"), F.zip_with("_n", "_above", lambda n, s: (n + strength * s) / (total(F.col("_n")) + strength)).alias("_prior"))
 
 
-def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", per_language: int = 500, max_languages: int = 64, reliability: float = 0.9, temper: float = 0.2, min_posterior: float = 0.5, unknown_prior: float = 0.01, carry: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", per_language: int = 500, reliability: float = 0.9, temper: float = 0.2, min_posterior: float = 0.5, unknown_prior: float = 0.01, carry: list[str] | None = None) -> DataFrame:
     """df's rows as _row (a struct of the columns `carry`, all by default) with language, posterior and accepted."""
     col = lambda c: F.col(f"`{c}`")
     picked = df.select(
         F.struct(*[col(c) for c in carry or df.columns]).alias("_row"), col(key).alias("_key"), col(text).alias("_text"),
-        (F.nullif(F.lower(F.trim(col(declared).cast("string"))), F.lit("")) if declared else F.lit(None).cast("string")).alias("_declared"),
+        (F.nullif(F.substring_index(F.translate(F.lower(F.trim(col(declared).cast("string"))), "_", "-"), "-", 1), F.lit("")) if declared else F.lit(None).cast("string")).alias("_declared"),
         (F.coalesce(F.lower(col(host).cast("string")), F.lit("")) if host else F.lit("")).alias("_host"),
     )
     docs = with_uid(picked, "_key", ["_row", "_text", "_declared", "_host"]).withColumn("_suffix", F.when(F.col("_host").contains("."), F.element_at(F.split("_host", r"\."), -1)).otherwise(F.lit("")))
-    languages, table = train(docs, per_language, max_languages)
+    languages, table = train(docs, per_language)
     k = len(languages)
     kinds = {f.name: f.dataType.simpleString() for f in docs.select("_row", "_declared", "_host").schema.fields}
     schema = ", ".join(f"{a} {b}" for a, b in kinds.items())
@@ -145,14 +159,19 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     fused = scored.join(host_priors(docs, languages), F.col("_host") == F.col("_h"), "left")
     wrong = (1 - reliability) / max(1, k - 1)
 
-    def evidence(i: int):
-        said = F.when(F.col("_declared") == languages[i], math.log(reliability)).when(F.col("_declared").isin(languages), math.log(wrong) if wrong > 0 else -50.0).otherwise(0.0)
-        return F.col("_scores")[i] * temper + said + F.log(F.col("_prior")[i]) + math.log(1 - unknown_prior)
+    # null where nothing is declared: every declared language is known
+    place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("_declared")).cast("int") - 1
+    fused = fused.withColumn("_place", place)
 
-    unknown = F.col("_scores")[k] * temper + math.log(unknown_prior)
-    fused = fused.withColumn("_log", F.array(*[evidence(i) for i in range(k)], unknown))
+    def evidence(both, i):
+        said = F.when(F.col("_place") == i, math.log(reliability)).when(F.col("_place").isNotNull(), math.log(wrong) if wrong > 0 else -50.0).otherwise(0.0)
+        return both["_scores"] * temper + said + F.log(both["_prior"]) + math.log(1 - unknown_prior)
+
+    unknown = F.element_at("_scores", k + 1) * temper + math.log(unknown_prior)
+    known = F.arrays_zip(F.slice("_scores", 1, k).alias("_scores"), F.col("_prior"))
+    fused = fused.withColumn("_log", F.concat(F.transform(known, evidence), F.array(unknown)))
     fused = fused.withColumn("_best", F.array_max("_log"))
-    mass = sum(F.exp(F.col("_log")[i] - F.col("_best")) for i in range(k + 1))
+    mass = F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best")))
     names = F.array(*[F.lit(x) for x in [*languages, UNKNOWN]])
     empty = F.col("_grams") == 0
     named = fused.select("_row", F.when(empty, F.lit(UNKNOWN)).otherwise(F.element_at(names, F.array_position("_log", F.col("_best")).cast("int"))).alias("language"), F.when(empty, 1.0).otherwise(1 / mass).alias("posterior"))

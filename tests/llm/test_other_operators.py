@@ -274,6 +274,16 @@ def test_language_by_text_declaration_and_host(spark):
     assert language_id.identify(df.filter("false")).count() == 0
 
 
+def test_every_declared_language_is_known(spark):
+    rng = np.random.default_rng(8)
+    names = [f"l{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    words = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(6)] for x in names}
+    rows = [(j * 70 + i, " ".join(rng.choice(words[x], 60)), x + ["", "-US", "_br"][j % 3], "u") for i, x in enumerate(names) for j in range(4 if i < 64 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = language_id.identify(df).collect()
+    assert len(got) == len(rows) and all(r.language == r._row.lang[:3] and r.accepted for r in got)
+
+
 # Quality --------------------------------------------------------------------------------------------------------------
 
 
