@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import re
+import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+_LEFT: dict[str, SparkSession] = {}  # what materialise() wrote and nobody has discarded yet
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a single machine (a local master) takes a temporary folder of its own, which goes with the
+    process; on a cluster that is an error, as executors would not see each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="litmetrics-")
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -29,6 +46,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    _LEFT[path] = spark
     return out
 
 
@@ -37,6 +55,33 @@ def discard(df: DataFrame) -> None:
     spark, path = df.sparkSession, df._written_to
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    _LEFT.pop(path, None)
+
+
+@atexit.register
+def _discard_left() -> None:
+    """What lazy results still had to read goes when the process ends."""
+    for path, spark in list(_LEFT.items()):
+        try:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        except Exception:  # the JVM is gone: the folder is the cluster's to clean
+            return
+
+
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, after which the worker gives the memory it no longer uses back: workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return run
 
 
 def with_uid(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -53,6 +98,24 @@ def with_uid(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return materialise(df.select(F.monotonically_increasing_id().alias("_uid"), *picked), "keyed")
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `_nth`, its rows' places from 0 on in that order, written. No task sees more than a range of the rows.
+
+    The rows are dealt out in ranges and sorted there; the driver gets one row per range: how many rows it holds.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialise(ranges.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    table = df.sparkSession.createDataFrame(starts, "_p long, _before long")
+    out = rows.join(F.broadcast(table), part == F.col("_p"))  # one row a partition
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (place + F.col("_before")).alias("_nth"))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (the public SplitMix64 constants)."""
     x = x.astype(np.uint64, copy=True)
@@ -97,6 +160,23 @@ def utf8_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
+def word_places(offsets: np.ndarray, data: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end, hash) of each word `[^\\x20\\x09-\\x0D]+` of the texts data[offsets[i]:offsets[i + 1]]."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(~blank & (edge[:-1] | np.concatenate([[True], blank[:-1]])))
+    end = np.flatnonzero(~blank & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(byte_table(seed)[data] * up[:n], out=sums[1:])
+    return np.searchsorted(offsets, begin, "right") - 1, begin, end, mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def pieces(offsets: np.ndarray, most: int):
     """Cuts rows into consecutive ranges (first, last + 1) of at most `most` bytes, a longer row alone."""
     i, n = 0, len(offsets) - 1

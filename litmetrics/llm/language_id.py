@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8_column, with_uid
+from .common import materialise, pieces, releasing, utf8_column, with_uid
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -83,7 +83,7 @@ def train(docs: DataFrame, per_language: int) -> tuple[list[str], np.ndarray]:
     chosen = chosen.select("_uid")
     # at most per_language keys a language, of eight bytes
     sample = known.join(F.broadcast(chosen), "_uid", "left_semi").select("_text", "_declared")
-    parts = sample.mapInArrow(_counting(languages), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    parts = sample.mapInArrow(releasing(_counting(languages)), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages) + 1, BUCKETS))
     cells = parts.toArrow()  # at most languages * buckets rows
     table[cells["lang"].to_numpy(), cells["bucket"].to_numpy()] = cells["n"].to_numpy()
@@ -92,11 +92,14 @@ def train(docs: DataFrame, per_language: int) -> tuple[list[str], np.ndarray]:
     return languages, logs.astype(np.float32)
 
 
-def _scoring(table: np.ndarray, passed: list[str]):
+def _scoring(table: np.ndarray, passed: list[str], inner: str | None):
+    """Scores of `_text`, or of the field `inner` of `_row`: no text travels twice."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [np.ascontiguousarray(table[i : i + TOGETHER].T) for i in range(0, len(table), TOGETHER)]
         for batch in batches:
-            offsets, data = utf8_column(batch, "_text")
+            texts = pa.RecordBatch.from_arrays([batch.column("_row").field(inner) if inner else batch.column("_text")], names=["_text"])
+            offsets, data = utf8_column(texts, "_text")
             scores, grams = [], []
             for i, j in pieces(offsets, BLOCK):
                 code, size = trigrams(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
@@ -152,11 +155,14 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     k = len(languages)
     kinds = {f.name: f.dataType.simpleString() for f in docs.select("_row", "_declared", "_host").schema.fields}
     schema = ", ".join(f"{a} {b}" for a, b in kinds.items())
-    scored = docs.select("_row", "_declared", "_host", "_text").mapInArrow(_scoring(table, list(kinds)), f"{schema}, _scores array<double>, _grams long")
+    inner = text if text in (carry or df.columns) else None
+    scored = docs.select("_row", "_declared", "_host", *([] if inner else ["_text"])).mapInArrow(releasing(_scoring(table, list(kinds), inner)), f"{schema}, _scores array<double>, _grams long")
     if not k:
         return scored.select("_row", F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("posterior"), F.lit(False).alias("accepted"))
-    # one row per host: Spark broadcasts it if it is small, else joins by sorting and splits hot hosts
-    fused = scored.join(host_priors(docs, languages), F.col("_host") == F.col("_h"), "left")
+    # one row per host, written so that its size is known: Spark broadcasts it if it is small, without a shuffle of the
+    # texts, else joins by sorting and splits hot hosts
+    priors = materialise(host_priors(docs, languages), "priors")
+    fused = scored.join(priors, F.col("_host") == F.col("_h"), "left")
     wrong = (1 - reliability) / max(1, k - 1)
 
     # null where nothing is declared: every declared language is known
@@ -178,6 +184,15 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     return named.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("posterior") >= min_posterior))
 
 
+def identify_pages(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", **options) -> DataFrame:
+    """identify() for web pages: what the markup declares (`lang` of the html element) and the host of the URL are the evidence."""
+    col = lambda c: F.col(f"`{c}`")
+    said = F.regexp_extract(F.coalesce(col(page), F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]+)", 1)
+    host = F.regexp_replace(F.regexp_extract(F.coalesce(col(url), F.lit("")), r"^[^/?#]*://([^/?#]*)", 1), r"^.*@|:\d*$", "")
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), col(key).alias("_id"), col(page).alias("_page"), F.nullif(said, F.lit("")).alias("_said"), host.alias("_from"))
+    return identify(rows, "_id", "_page", "_said", "_from", carry=["_row"], **options).select("_row._row", "language", "posterior", "accepted")
+
+
 def keep_identified(df: DataFrame, **options) -> DataFrame:
     """df without the rows that identify() rejects, all columns kept."""
     return identify(df, **options).filter("accepted").select("_row.*")
