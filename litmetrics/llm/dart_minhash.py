@@ -1,6 +1,7 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-Every element of a text's weighted set owns a region: `weight` wide and as high as needed. Darts fall on the plane of
+The elements of a text are its word shingles, their weights how often they occur in it. Every element of such a
+weighted set owns a region: `weight` wide and as high as needed. Darts fall on the plane of
 (element, weight, time) as a Poisson process of rate 1 that depends only on hashes, so a dart is the same for every text
 whose region holds it. Each dart names one of `bands * rows` coordinates; a coordinate keeps its earliest dart. Two
 texts agree in a coordinate with the probability of their weighted Jaccard similarity. About k ln k + 2k darts fill a
@@ -8,7 +9,8 @@ signature of k coordinates, however large the set is; texts with an empty coordi
 
 Stages: equal texts are one representative; signatures are cut into bands; the texts of a band bucket are compared with
 the one among them that shares most buckets with others, and those that fail with all others of its buckets not yet in their class, in blocks where
-there are many, so that groups of thousands give thousands of pairs, not millions; the comparison is exact; classes are connected components.
+there are many, so that groups of thousands give thousands of pairs, not millions; the comparison is exact (sum of the
+smaller weights over the sum of the larger ones, at least the threshold); classes are connected components.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^40 = 5e-6.
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, discard, materialise, mix64, pieces, powers, utf8_column, with_uid
+from .common import discard, materialise, mix64, pieces, releasing, utf8_column, with_uid, word_places
 from .graph import components
 
 BANDS, ROWS = 40, 6
@@ -39,21 +41,8 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 def shingles(offsets: np.ndarray, data: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, count) of each distinct word shingle of the texts data[offsets[i]:offsets[i + 1]], by text and hash."""
-    n = len(data)
     none = np.zeros(0, np.int64)
-    if n == 0:
-        return none, none.astype(np.uint64), none
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    letter = ~blank
-    begin = np.flatnonzero(letter & (edge[:-1] | np.concatenate([[True], blank[:-1]])))
-    end = np.flatnonzero(letter & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(byte_table(4)[data] * up[:n], out=sums[1:])
-    word = mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    text = np.searchsorted(offsets, begin, "right") - 1
+    text, _, _, word = word_places(offsets, data)
     if not len(word):
         return none, none.astype(np.uint64), none
     size = np.bincount(text, minlength=len(offsets) - 1)
@@ -134,12 +123,20 @@ def _signing(bands: int, rows: int, words: int, weighted: bool):
     return work
 
 
-def _sets(words: int):
+def _sets(words: int, weighted: bool):
+    """Weights as sets: the i-th occurrence of a shingle is an element of its own, so the similarity of two such sets is the weighted one."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8_column(batch, "_text")
             for i, j in pieces(offsets, BLOCK):
-                who, code, _ = shingles(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], words)
+                who, code, count = shingles(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], words)
+                if weighted:
+                    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                    who, code = np.repeat(who, count), np.repeat(code, count)
+                    code = np.where(nth > 0, mix64(code + nth.astype(np.uint64) * _ODD[0]), code)
+                    order = np.lexsort((code, who))  # who ascends already
+                    code = code[order]
                 marks = np.searchsorted(who, np.arange(j - i + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(marks), pa.array(code.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("_uid").slice(i, j - i), lists], names=["_uid", "set"])
@@ -227,15 +224,15 @@ def _second_links(checked: DataFrame, known: DataFrame, sets: DataFrame, thresho
     return found.unionByName(met), [rows]
 
 
-def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weighted: bool = False) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weighted: bool = True) -> DataFrame:
     """(key, _uid, class_id, kept): class_id is the smallest row number of the class (the key, where keys are unique), whose row is kept.
 
-    weighted: signatures and bands use shingle counts as weights; links are then still decided on shingle sets.
+    weighted: shingles weigh as often as they occur, in signatures, bands and links; otherwise each weighs 1.
     """
     picked = df.select(F.col(text).alias("_text"), F.col(key).alias("_key"))
     docs = with_uid(picked, "_key", ["_text", "_key"])
     hashed = docs.select("_uid", "_text", F.unhex(F.md5(F.col("_text").cast("binary"))).alias("digest"))
-    signed = materialise(hashed.mapInArrow(_signing(bands, rows, words, weighted), "_uid long, digest binary, size long, keys array<long>"), "signatures")
+    signed = materialise(hashed.mapInArrow(releasing(_signing(bands, rows, words, weighted)), "_uid long, digest binary, size long, keys array<long>"), "signatures")
     worded = signed.filter("size > 0")
     copies = materialise(worded.groupBy("digest").agg(F.min("_uid").alias("rep")), "copies")
     chosen = worded.join(copies.select(F.col("rep").alias("_uid")), "_uid", "left_semi")
@@ -249,7 +246,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     pairs = members.filter("_uid != leader").select(F.col("leader").alias("a"), F.col("_uid").alias("b")).distinct()  # one row for each member and leader
     pairs = materialise(pairs, "pairs")
     involved = members.select("_uid").distinct()
-    sets = materialise(docs.select("_uid", "_text").join(involved, "_uid", "left_semi").mapInArrow(_sets(words), "_uid long, set array<long>"), "sets")
+    sets = materialise(docs.select("_uid", "_text").join(involved, "_uid", "left_semi").mapInArrow(releasing(_sets(words, weighted)), "_uid long, set array<long>"), "sets")
     checked = materialise(_verified(pairs, sets, threshold), "checked")
     written = [entries, shared, pairs, checked, members, sets]
     links = checked.filter("similar").select("a", "b")

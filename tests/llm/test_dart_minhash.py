@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -7,7 +8,11 @@ from litmetrics.llm.dart_minhash import dart_signatures, near_dedup, near_duplic
 
 def sets_of(text, n=5):
     w = [x for x in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if x]
-    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else Counter()
+
+
+def similar(a, b):
+    return bool(a and b) and 5 * (a & b).total() >= 4 * (a | b).total()
 
 
 def brute(texts):
@@ -21,7 +26,7 @@ def brute(texts):
     s = [sets_of(t) for t in texts]
     for i in range(len(s)):
         for j in range(i):
-            if s[i] and s[j] and 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]):
+            if similar(s[i], s[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return [find(i) for i in range(len(s))]
@@ -40,6 +45,9 @@ def corpus():
                 c[rng.randrange(len(c))] = f"v{rng.randrange(99)}"
             texts.append(" ".join(c))
     texts += [texts[-1], texts[-1], texts[20]]
+    # the same shingles, but not as often: alike as sets, not by weight
+    line = " ".join(say(30))
+    texts += [" ".join([line] * n) for n in (2, 3, 10, 11, 12)]
     rng.shuffle(texts)
     return texts
 
@@ -117,3 +125,13 @@ def test_families_in_blocks_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_duplicate_classes(df).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_classes_of_the_table_against_all_pairs(spark):
+    """Every pair of the smallest table at a weighted similarity of 0.8 or more is in one class, and no others are joined."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    want = brute([t for _, t in rows])
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(docs).collect()}
+    assert [got[i] for i, _ in rows] == [rows[c][0] for c in want]
+    assert len(set(want)) < len(rows)
