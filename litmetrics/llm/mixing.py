@@ -2,55 +2,63 @@
 
 Targets: sources in the order of their names (nulls last) weigh 1, 2, 3, 1, 2, 3, ... and share the total size by weight;
 no target exceeds `most` times its source, what it would have had more is shared again by weight until none exceeds.
+Sources are a table: they are numbered in ranges, and each round of sharing is one aggregate over them.
+
 Every document of a source is to be taken target / source_size times: the integral part is certain, the fraction is
 rounded dependently. Two documents with fractions p and q and sizes s and t trade words: either the first gains
 d = min((1 - p) s, q t) or it loses g = min(p s, (1 - q) t), with probabilities g / (d + g) and d / (d + g), so each keeps
 its expectation, the words of the pair stay the same, and one of the two becomes integral. What remains of a bucket of
 about `bucket` documents is one document with a fraction, and with it a reserve of the bucket's smallest documents, not yet
 rounded, large enough to make up for the bucket's longest document if half of the bucket can. Both go up a reduction
-tree, `fan` buckets at a time, to one group per source. There the last document is rounded by chance (or, where the
-reserve cannot make up for that outcome, to the one it can make up for better), the words so won or lost are taken from
-or given to the reserve, and the reserve is rounded in the same pairwise way: what a source misses its target by is the
-size of a small document, unless neither outcome of a very long one can be made up for. Random numbers are hashes of seed
-and document, so reruns agree.
+tree, `fan` buckets at a time, to one group per source.
+
+There the longest documents trade with all smaller ones at once, in the same way: one with fraction p becomes 1 with
+probability p, and the words so won or lost are shared among the others in proportion to what they can give and take in
+either case, so all keep their expectations and the words stay the same. The rest is paired, and the last residual and the
+smallest documents are settled from the longest to the shortest. Only where all smaller documents together cannot make up
+for one (the last few, or a long one in a source of few) is the total missed: by chance, if by no more than a thousandth of
+the target; otherwise the outcome nearer to the target is taken, and for that document the expectation shifts.
+Random numbers are hashes of seed and document, so reruns agree.
 
 Defined results: null text has size 0; documents without words are taken as often as the integral part says; sources
-without words have target 0; rows with repeated or null keys are documents of their own.
+without words have target 0; rows with repeated or null keys are documents of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_uid
+from .common import discard, materialise, numbered, with_uid
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET, FAN, RESERVE = 4096, 64, 256
-
-
-def targets(sizes: list[int], most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> list[float]:
-    """Targets of sources in order, by sharing the total by weight below the limits."""
-    limit = [most * s for s in sizes]
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while free:
-        total = sum(weight[i] for i in free)
-        over = {i for i in free if left * weight[i] / total > limit[i]}
-        if not over:
-            for i in free:
-                out[i] = left * weight[i] / total
+BUCKET, FAN, RESERVE, LONGEST = 4096, 64, 256, 128
+
+
+def source_targets(sources: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """sources (_source, words, ...) with `target`, written: the total shared by weight below the limits.
+
+    Every round finds the share of a unit of weight among the sources not yet at their limit; it only grows, so a source
+    at its limit stays there. A round gives the driver one row.
+    """
+    kinds = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = numbered(sources, F.col("_source").asc_nulls_last())
+    limit, weight = F.col("words") * F.lit(float(most)), F.element_at(kinds, (F.col("_nth") % len(weights) + 1).cast("int"))
+    rows = materialise(ranked.withColumn("_limit", limit).withColumn("_weight", weight).drop("_nth"), "sources")
+    total = float(rows.agg(F.sum("words")).first()[0] or 0)
+    part, over = 0.0, -1
+    while True:
+        full = F.col("_limit") < F.lit(part) * F.col("_weight")
+        found = rows.agg(F.sum(F.when(full, F.col("_limit")).otherwise(0.0)).alias("limits"), F.sum(F.when(full, 0.0).otherwise(F.col("_weight"))).alias("free"), F.count_if(full).alias("n")).first()
+        if found.n == over or not found.free:
             break
-        for i in over:
-            out[i] = limit[i]
-        left -= sum(limit[i] for i in sorted(over))
-        free -= over
-    return out
+        over, part = found.n, (total - found.limits) / found.free
+    goal = F.when(full, F.col("_limit")).otherwise(F.least(F.lit(part) * F.col("_weight"), F.col("_limit")))
+    return rows.withColumn("target", goal).drop("_limit", "_weight")
 
 
 def chance(*parts: object) -> float:
@@ -91,6 +99,66 @@ def pivotal(ids: list, sizes: list[float], parts: list[float], seed: int) -> tup
     return bits, held, p
 
 
+def settle(ids: list, sizes: list[float], parts: list[float], seed: int, goal: float, count: int | None = None) -> list[int | None]:
+    """Bits of documents in descending size: each trades with all later ones at once, as far as they can make up for it.
+
+    count: only the first so many, and of them only those that can be made up for; the others get None. parts is updated.
+    """
+    s, p = np.asarray(sizes, float), np.clip(np.asarray(parts, float), 0.0, 1.0)
+    bits: list[int | None] = [None] * len(ids)
+    off = 0.0  # words still owed by what could not be made up for
+    for i in range(len(ids) if count is None else min(count, len(ids))):
+        if s[i] <= 0 or p[i] <= 1e-12 or p[i] >= 1 - 1e-12:
+            bits[i] = int(p[i] > 0.5) if s[i] > 0 else 0
+            continue
+        rest = slice(i + 1, None)
+        room = s[rest] * np.minimum(p[rest] / ((1 - p[i]) * s[i]), (1 - p[rest]) / (p[i] * s[i]))
+        total = float(room.sum())
+        bit = int(chance(seed, "last", ids[i]) < p[i])
+        if total >= 1:
+            p[rest] += np.divide((p[i] - bit) * s[i] * room / total, s[rest], out=np.zeros(len(room)), where=s[rest] > 0)
+        elif count is not None:
+            continue
+        else:
+            up, down = float(((1 - p[rest]) * s[rest]).sum()), float((p[rest] * s[rest]).sum())
+            lacks = [max(off + p[i] * s[i] - up, 0.0), max((1 - p[i]) * s[i] - off - down, 0.0)]
+            if lacks[bit] > max(lacks[1 - bit], goal / 1000):
+                bit = 1 - bit
+            owed = off + (p[i] - bit) * s[i]
+            if owed > 0:
+                p[rest] += (1 - p[rest]) * min(1.0, owed / up if up else 0.0)
+            else:
+                p[rest] *= 1 - min(1.0, -owed / down if down else 0.0)
+            off = max(owed - up, 0.0) if owed > 0 else min(owed + down, 0.0)
+        p[rest] = np.clip(p[rest], 0.0, 1.0)
+        bits[i] = p[i] = bit
+    parts[:] = p.tolist()
+    return bits
+
+
+def round_group(ids: list, sizes: list[float], parts: list[float], seed: int, goal: float, final: bool) -> tuple[list[int | None], list[float]]:
+    """Bits (None: still open) and fractions of a group whose sizes descend; final leaves nothing open."""
+    full = sum(x > 0 for x in sizes)
+    bits: list[int | None] = [None] * full + [0] * (len(ids) - full)
+    parts = list(parts)
+    if final:
+        head = settle(ids[:full], sizes[:full], (mine := parts[:full]), seed, goal, LONGEST)
+        parts[:full], bits[:full] = mine, head
+    spare = min(full, 2 * RESERVE) if final else reserve(np.array(sizes[:full]), np.array(parts[:full]))
+    open_ones = sorted((i for i in range(full - spare) if bits[i] is None), key=lambda i: chance(seed, "t", ids[i]))
+    pick = lambda at: ([ids[i] for i in at], [sizes[i] for i in at], [parts[i] for i in at])
+    got, held, p = pivotal(*pick(open_ones), seed)
+    for i, x in zip(open_ones, got, strict=True):
+        bits[i] = x
+    if held is not None:
+        parts[open_ones[held]] = p
+    if final:
+        rest = [i for i in range(full) if bits[i] is None]
+        for i, x in zip(rest, settle(*pick(rest), seed, goal), strict=True):
+            bits[i] = x
+    return bits, parts
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20, bucket: int = BUCKET, fan: int = FAN, carry: list[str] | None = None) -> DataFrame:
     """df's rows as _row (a struct of the columns `carry`, all by default) with size, source_size, target, copies and taken (copies * size)."""
     col = lambda c: F.col(f"`{c}`")
@@ -98,70 +166,36 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     docs = with_uid(picked, "_key", ["_row", "_source", "_size"])
     narrow = materialise(docs.select("_uid", "_source", "_size"), "sizes")
     per = narrow.groupBy("_source").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("docs"))
-    found = sorted(per.collect(), key=lambda r: (r["_source"] is None, (r["_source"] or "").encode()))  # one row per source
-    goal = targets([r.words for r in found], most, weights)
-    share = [g / r.words if r.words else 0.0 for g, r in zip(goal, found, strict=True)]
+    share = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
     # an integral part within rounding error of the next whole number counts as that number
-    whole = [math.floor(x + 1e-9) for x in share]
-    buckets = [max(1, -(-r.docs // bucket)) for r in found]
-    spark = df.sparkSession
-    plan = [(i, r["_source"], r.words, g, w, max(0.0, x - w), b) for i, (r, g, x, w, b) in enumerate(zip(found, goal, share, whole, buckets, strict=True))]
-    table = spark.createDataFrame(plan, "_s int, _name string, source_size long, target double, _whole long, _part double, _buckets long")
-    rows = narrow.join(table, F.col("_source").eqNullSafe(F.col("_name"))).select("_uid", "_s", "_size", "_part", F.pmod(F.xxhash64("_uid"), F.col("_buckets")).alias("_bucket"))
-    schema = "_uid long, _s int, _size long, _part double, _bucket long, _bit int"
+    whole = F.floor(share + 1e-9)
+    goals = source_targets(per, most, weights)
+    goals = goals.select(F.col("_source").alias("_name"), F.col("words").alias("source_size"), "target", whole.alias("_whole"), F.greatest(F.lit(0.0), share - whole).alias("_part"), F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket)).cast("long").alias("_buckets"))
+    table = materialise(goals, "goals")
+    rows = narrow.join(table, F.col("_source").eqNullSafe(F.col("_name"))).select("_uid", "_source", "_size", "_part", F.col("target").alias("_goal"), F.pmod(F.xxhash64("_uid"), F.col("_buckets")).alias("_bucket"))
+    schema = "_uid long, _source string, _size long, _part double, _goal double, _bucket long, _bit int"
 
     def work_at(final: bool):
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
             # the order decides who trades with whom, so it must not depend on how the rows arrived
             pdf = pdf.assign(_o=[chance(seed, "o", u) for u in pdf["_uid"]]).sort_values(["_size", "_o", "_uid"], ascending=False).drop(columns="_o").reset_index(drop=True)
-            spare = reserve(pdf.loc[pdf["_size"] > 0, "_size"].to_numpy(), pdf["_part"].to_numpy())
-            empty = int((pdf["_size"] <= 0).sum())
-            ids, sizes, parts = pdf["_uid"].tolist(), pdf["_size"].tolist(), pdf["_part"].tolist()
-            most = len(ids) - spare - empty
-            first = sorted(range(most), key=lambda i: chance(seed, "t", ids[i]))
-            pick = lambda at: ([ids[i] for i in at], [sizes[i] for i in at], [parts[i] for i in at])
-            bits: list[int | None] = [None] * (most + spare) + [0] * empty
-            got, held, p = pivotal(*pick(first), seed)
-            for i, x in zip(first, got, strict=True):
-                bits[i] = x
-            if held is not None:
-                parts[first[held]] = p
-            if final:
-                rest = list(range(most, most + spare))
-                if held is not None:
-                    one = first[held]
-                    up, down = sum((1 - parts[i]) * sizes[i] for i in rest) or 1.0, sum(parts[i] * sizes[i] for i in rest) or 1.0
-                    bit = int(chance(seed, "last", ids[one]) < p)
-                    lacking = [max(p * sizes[one] - up, 0.0), max((1 - p) * sizes[one] - down, 0.0)]
-                    if lacking[bit] > lacking[1 - bit]:
-                        bit = 1 - bit
-                    bits[one] = bit
-                    owed = (p - bit) * sizes[one]
-                    for i in rest:
-                        if owed > 0:
-                            parts[i] += (1 - parts[i]) * min(1.0, owed / up)
-                        else:
-                            parts[i] *= 1 - min(1.0, -owed / down)
-                got, held, p = pivotal(*pick(rest), seed)
-                for i, x in zip(rest, got, strict=True):
-                    bits[i] = x
-                if held is not None:
-                    bits[rest[held]] = int(chance(seed, "last", ids[rest[held]]) < p)
-            return pdf.assign(_bit=pd.array(bits, dtype="Int32"), _part=parts)[["_uid", "_s", "_size", "_part", "_bucket", "_bit"]]
+            bits, parts = round_group(pdf["_uid"].tolist(), pdf["_size"].tolist(), pdf["_part"].tolist(), seed, float(pdf["_goal"].iloc[0]), final)
+            return pdf.assign(_bit=pd.array(bits, dtype="Int32"), _part=parts)[["_uid", "_source", "_size", "_part", "_goal", "_bucket", "_bit"]]
 
         return work
 
-    level, decided, at = max(buckets, default=1), [], rows
+    level, decided, at = table.agg(F.max("_buckets")).first()[0] or 1, [], rows
     while True:
-        done = materialise(at.groupBy("_s", "_bucket").applyInPandas(work_at(level == 1), schema), "rounded")
+        done = materialise(at.groupBy("_source", "_bucket").applyInPandas(work_at(level == 1), schema), "rounded")
         decided.append(done.filter("_bit is not null").select("_uid", "_bit"))
         if level == 1:
             break
         level = -(-level // fan)
-        at = done.filter("_bit is null").select("_uid", "_s", "_size", "_part", F.floor(F.col("_bucket") / fan).alias("_bucket"))
+        at = done.filter("_bit is null").select("_uid", "_source", "_size", "_part", "_goal", F.floor(F.col("_bucket") / fan).alias("_bucket"))
     bits = decided[0]
     for x in decided[1:]:
         bits = bits.unionByName(x)
+    discard(narrow)
     joined = docs.join(bits, "_uid").join(table, F.col("_source").eqNullSafe(F.col("_name")))
     copies = (F.col("_whole") + F.col("_bit")).cast("long")
     return joined.select("_row", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
