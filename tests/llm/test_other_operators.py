@@ -178,10 +178,47 @@ def test_url_threshold():
 # Mixing ---------------------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == [50.0, 100.0, 150.0]
-    got = mixing.targets([10, 1000, 0, 5])
-    assert got[0] <= 30 and got[2] == 0 and got[3] <= 15 and math.isclose(sum(got), 1015)
+def shared_targets(sizes, most=3.0, weights=(1, 2, 3)):
+    """Targets of sources in order by sharing what is left among those below their limit, one round after another."""
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while free:
+        unit = left / sum(weights[i % 3] for i in free)
+        over = [i for i in free if unit * weights[i % 3] > most * sizes[i]]
+        for i in over or free:
+            out[i] = most * sizes[i] if over else unit * weights[i % 3]
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free -= set(over)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 0, 5], [0, 0], [7], [1] * 50 + [100_000], [3, 5, 8, 13, 21, 34, 55, 2000, 1, 1, 1]])
+def test_targets_against_rounds(spark, sizes):
+    names = [f"s{i:03}" for i in range(len(sizes) - 1)] + [None]
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "_source string, words long").repartition(3)
+    got = {r._source: r.target for r in mixing.source_targets(df).collect()}
+    assert np.allclose([got[n] for n in names], shared_targets(sizes))
+
+
+def test_settling_keeps_expectations_and_totals():
+    sizes, part = [90.0, 40.0] + [10.0] * 30, 0.4
+    ids, totals, n = list(range(32)), np.zeros(32), 4000
+    for seed in range(n):
+        bits = mixing.settle(ids, sizes, [part] * 32, seed, 0.4 * 430)
+        assert abs(np.dot(bits, sizes) - 0.4 * 430) <= 10
+        totals += bits
+    # all but the last few keep their expectation
+    assert np.abs(totals[:28] / n - part).max() < 4 * (part * (1 - part) / n) ** 0.5
+
+
+def test_mix_of_few_documents_null_keys_and_ties(spark):
+    rows = [(None, "w " * 5, "a"), (None, "w " * 5, "a"), (1, "w " * 5, "a"), (1, "w " * 5, "b"), (2, None, "b"), (3, "w " * 2000, "c"), (4, "w", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert sorted(r.size for r in got) == [0, 1, 5, 5, 5, 5, 2000]
+    assert mixing.mix(df.filter("false")).count() == 0
 
 
 def test_mix_meets_targets_and_repeats(spark):
@@ -329,3 +366,59 @@ def test_mix_reserve_is_bounded_and_makes_up_for_a_long_document(spark):
     for source in "ab":
         mine = [r for r in got if r["_row"]["source"] == source]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 40
+
+
+# Language evidence ----------------------------------------------------------------------------------------------------
+
+
+def _accuracy(found, truth):
+    return sum(found[i] == truth[i] for i in truth) / len(truth)
+
+
+def test_language_holds_with_hidden_and_wrong_declarations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 100").select("doc_id", "text", "lang", "source")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    die = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10))
+    other = F.element_at(F.array_except(F.array(*map(F.lit, ("en", "fr", "de", "es"))), F.array("lang")), 1)
+    hidden = docs.withColumn("lang", F.when(die >= 4, F.col("lang")))
+    wrong = docs.withColumn("lang", F.when(die == 0, other).otherwise(F.col("lang")))
+    share = {}
+    for name, table in (("hidden", hidden), ("wrong", wrong)):
+        rows = language_id.identify(table, carry=["doc_id"]).select("_row.doc_id", "language").collect()
+        share[name] = _accuracy({r.doc_id: r.language for r in rows}, truth)
+        changed = {r.doc_id: r.lang for r in table.select("doc_id", "lang").collect()}
+        odd = {i: x for i, x in truth.items() if changed[i] != x}
+        assert len(odd) > 50
+        share[name + " where changed"] = _accuracy({r.doc_id: r.language for r in rows}, odd)
+    assert min(share.values()) > 0.95, share
+
+
+def test_hosts_and_suffixes_decide_where_texts_do_not(spark):
+    rows = [(i, "12345 67890", "de" if i % 2 else None, f"h{i % 5}.example.de") for i in range(200)]
+    rows += [(1000 + i, "12345 67890", "fr" if i % 2 else None, f"h{i % 5}.example.fr") for i in range(200)]
+    rows += [(2000, "12345 67890", None, "new.example.de"), (2001, "12345 67890", None, "other.fr"), (2002, "12345 67890", "fr", "new.example.de"), (2003, "x" * 300_000, None, "h1.example.de"), (2004, "12345", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    found = {r.doc_id: r.language for r in language_id.identify(df, carry=["doc_id"]).select("_row.doc_id", "language").collect()}
+    assert all(found[i] == "de" for i in range(200)) and all(found[1000 + i] == "fr" for i in range(200))
+    assert (found[2000], found[2001]) == ("de", "fr")
+    assert len(found) == len(rows)
+
+
+def test_host_priors_against_hand_counts(spark):
+    rows = [("a.x", "x", "de")] * 6 + [("a.x", "x", "fr")] * 2 + [("b.x", "x", "fr")] * 4 + [("c", "", None)]
+    df = spark.createDataFrame(rows, "_host string, _suffix string, _declared string")
+    got = {r._h: list(r._prior) for r in language_id.host_priors(df, ["de", "fr"], strength=2.0).collect()}
+    top = [(6 + 1) / (12 + 2), (6 + 1) / (12 + 2)]
+    x = [(6 + 2 * top[0]) / 14, (6 + 2 * top[1]) / 14]
+    assert np.allclose(got["a.x"], [(6 + 2 * x[0]) / 10, (2 + 2 * x[1]) / 10])
+    assert np.allclose(got["b.x"], [2 * x[0] / 6, (4 + 2 * x[1]) / 6])
+    assert np.allclose(got["c"], top)
+
+
+def test_pages_by_markup_and_address(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    truth = {r.page_id: r.l for r in pages.select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("l")).collect()}
+    stripped = pages.withColumn("html", F.when(F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0, F.regexp_replace("html", '<html lang="[a-z]+">', "<html>")).otherwise(F.col("html")))
+    found = {r.page_id: r.language for r in language_id.identify_pages(stripped).select("_row.page_id", "language").collect()}
+    assert _accuracy(found, {i: x for i, x in truth.items() if x}) > 0.9
+    assert language_id.identify_pages(pages.filter("false")).count() == 0
