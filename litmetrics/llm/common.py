@@ -116,6 +116,11 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], (place + F.col("_before")).alias("_nth"))
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df for the smaller side of a join, where it grows with the input: sorted and merged at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (the public SplitMix64 constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix64, pieces, releasing, utf8_column, with_uid, word_places
+from .common import discard, growing, materialise, mix64, pieces, releasing, utf8_column, with_uid, word_places
 from .graph import components
 
 BANDS, ROWS = 40, 6
@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b, ...) with `similar`: the sets' Jaccard similarity reaches the threshold."""
     one = sets.select(F.col("_uid").alias("b"), F.col("set").alias("set_b"))
     two = sets.select(F.col("_uid").alias("a"), F.col("set").alias("set_a"))
-    sized = pairs.join(one, "b").join(two, "a")
+    sized = growing(growing(pairs).join(one, "b")).join(two, "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
     possible = F.least(F.size("set_a"), F.size("set_b")) >= F.lit(threshold) * F.greatest(F.size("set_a"), F.size("set_b")) - 1e-9
@@ -235,20 +235,24 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     signed = materialise(hashed.mapInArrow(releasing(_signing(bands, rows, words, weighted)), "_uid long, digest binary, size long, keys array<long>"), "signatures")
     worded = signed.filter("size > 0")
     copies = materialise(worded.groupBy("digest").agg(F.min("_uid").alias("rep")), "copies")
-    chosen = worded.join(copies.select(F.col("rep").alias("_uid")), "_uid", "left_semi")
+    chosen = worded.join(growing(copies.select(F.col("rep").alias("_uid"))), "_uid", "left_semi")
     entries = materialise(chosen.select("_uid", F.explode("keys").alias("bucket")), "bands")
     crowds = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = materialise(entries.join(crowds, "bucket"), "shared")
+    discard(entries)
     # the text that meets most others leads its buckets: the original of a group resembles its copies more than they each other
     degrees = shared.groupBy("_uid").agg(F.sum("members").alias("degree"))
     leaders = shared.join(degrees, "_uid").groupBy("bucket").agg(F.max_by("_uid", F.struct("degree", -F.col("_uid"))).alias("leader"))
     members = materialise(shared.join(leaders, "bucket"), "buckets")
+    discard(shared)
     pairs = members.filter("_uid != leader").select(F.col("leader").alias("a"), F.col("_uid").alias("b")).distinct()  # one row for each member and leader
     pairs = materialise(pairs, "pairs")
     involved = members.select("_uid").distinct()
-    sets = materialise(docs.select("_uid", "_text").join(involved, "_uid", "left_semi").mapInArrow(releasing(_sets(words, weighted)), "_uid long, set array<long>"), "sets")
+    sets = materialise(docs.select("_uid", "_text").join(growing(involved), "_uid", "left_semi").mapInArrow(releasing(_sets(words, weighted)), "_uid long, set array<long>"), "sets")
+    discard(members)
     checked = materialise(_verified(pairs, sets, threshold), "checked")
-    written = [entries, shared, pairs, checked, members, sets]
+    discard(pairs)
+    written = [checked, sets]
     links = checked.filter("similar").select("a", "b")
     if checked.filter("not similar").limit(1).count():
         # whoever differs from the leader meets the rest of the leader's buckets, unless both are already of one class
@@ -270,5 +274,6 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options
     """df with one row of each class of near duplicates, all columns kept."""
     marked = df.select(F.struct(*df.columns).alias("_row"), F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_body"))
     docs = with_uid(marked, "_id", ["_row", "_body"])
-    kept = near_duplicate_classes(docs.select(F.col("_uid").alias("_row_id"), "_body"), "_row_id", "_body", **options).filter("kept").select("_uid")
-    return docs.join(kept, "_uid", "left_semi").select("_row.*")
+    classes = near_duplicate_classes(docs.select(F.col("_uid").alias("_row_id"), "_body"), "_row_id", "_body", **options)
+    gone = classes.filter("not kept").select("_uid")  # less than what stays
+    return docs.join(growing(gone), "_uid", "left_anti").select("_row.*")

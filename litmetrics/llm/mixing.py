@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, numbered, with_uid
+from .common import discard, growing, materialise, numbered, with_uid
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET, FAN, RESERVE, LONGEST = 4096, 64, 256, 128
@@ -196,7 +196,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     for x in decided[1:]:
         bits = bits.unionByName(x)
     discard(narrow)
-    joined = docs.join(bits, "_uid").join(table, F.col("_source").eqNullSafe(F.col("_name")))
+    joined = docs.join(growing(bits), "_uid").join(table, F.col("_source").eqNullSafe(F.col("_name")))
     copies = (F.col("_whole") + F.col("_bit")).cast("long")
     return joined.select("_row", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
