@@ -4,18 +4,24 @@ Plan
 1. Each text is scanned once. A window of `min_bytes` bytes holds `min_bytes - gram + 1` grams; the smallest gram hash
    of every window is an anchor (minimum sampling), so two equal windows have anchors of one hash. An anchor's context
    is the union of the windows whose anchor it is. Only (hash, context digest, place) is shuffled, about one row in 140 bytes.
-2. Anchors whose hash occurs once are done. Equal contexts (hash and digest) are one text with a multiplicity: all their
-   windows repeat. A hash with several different contexts goes to a suffix array over one copy of each context.
+2. Anchors whose hash occurs once are done. Equal contexts (64 bits of hash and a 128-bit digest of their bytes) are one
+   text with a multiplicity: all their windows repeat. A hash with several different contexts goes to a suffix array
+   over one copy of each context.
 3. Suffix array, two-stage sorting: only suffixes smaller than their successors are sorted directly, the larger ones
    are induced by scanning the buckets of first bytes in ascending order; common prefixes of neighbours in the array
    (capped at `min_bytes`, compared byte by byte) tell which windows repeat.
-4. A hash with more than `group_limit` different contexts is split without losing a window: a window that holds a known
-   common core of length c must extend it by (min_bytes - c) bytes, at least half of them on one side, so the context
-   is filed under the core grown by half on the left and under the core grown by half on the right. After at most
-   log2(min_bytes) rounds the core is the window itself and counting is enough.
-
-Defined results: null text is empty; texts shorter than `min_bytes` stay; rows with repeated or null ids are judged as
-documents of their own; other columns are ignored; an empty table gives an empty table.
+4. A hash with more than `group_limit` different contexts is dealt out without losing a window: a window that holds a
+   known common core of length c must extend it by (min_bytes - c) bytes, at least half of them on one side, so the
+   context is filed under the core grown by half on the left and under the core grown by half on the right. The groups
+   so made go to suffix arrays like all others. After at most log2(min_bytes) rounds the core is a whole window: such a
+   group is one string, there is nothing left to sort, and its places are counted by the window's bytes. Which of the
+   two happens changes where the work is done, not what is found: both compare bytes.
+
+Passages in words: with `min_words` a text is coded as eight bytes (a 64-bit hash) a word, and windows are `min_words`
+words; white space then makes no difference. What is removed begins at a word and ends before the next one that stays.
+
+Defined results: null text is empty; texts shorter than `min_bytes` (`min_words`) stay; rows with repeated or null ids
+are judged as documents of their own; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,20 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, discard, materialise, mix64, pieces, powers, utf8_column, with_uid
+from .common import byte_table, discard, growing, materialise, mix64, pieces, powers, releasing, utf8_column, with_uid, word_places
 
 GRAM = 128
 GROUP_LIMIT = 512
 BLOCK = 1 << 18  # bytes scanned or sorted at once, unless one text or group is longer
 SEGMENT = 1 << 20  # longer texts are scanned in overlapping segments
-SEPARATOR = 0xFF  # never a byte of UTF-8
+SEPARATOR = 0xFF  # stands between texts; no window holds it, as only windows inside a text are asked for
+CODE = 8  # bytes of a coded word
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, begins: np.ndarray, window: int, gram: int, own: tuple[int, int] | None = None):
-    """Anchors of the texts data[begin:end]: place, hash, context begin, context end, context digest.
+    """Anchors of the texts data[begin:end]: place, hash, context begin, context end.
 
     Every window of `window` bytes inside a text holds an anchor whose hash is the window's smallest gram hash.
     own: return only anchors in this range of places; neighbouring segments own the others.
@@ -46,7 +54,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, begins: np.ndarray, window: int,
     n, w = len(data), window - gram + 1
     empty = np.zeros(0, np.int64)
     if n < window:
-        return empty, empty.astype(np.uint64), empty, empty, empty.astype(np.uint64)
+        return empty, empty.astype(np.uint64), empty, empty
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(byte_table(1)[data] * up[:n], out=sums[1:])
@@ -65,7 +73,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, begins: np.ndarray, window: int,
     whole = np.flatnonzero(places[:m] + window <= ends_of[:m])
     at, head = np.unique((smallest[whole] & low).astype(np.int64), return_index=True)
     if not len(at):
-        return empty, empty.astype(np.uint64), empty, empty, empty.astype(np.uint64)
+        return empty, empty.astype(np.uint64), empty, empty
     # an anchor's windows stand in a row: the place of the smallest hash never moves back
     first, last = whole[head], whole[np.append(head[1:], len(whole)) - 1] + window
     if own is not None:
@@ -75,8 +83,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, begins: np.ndarray, window: int,
     first = np.where(thin, np.maximum(begins_of[at], at - (window - gram)), first)[keep]
     last = np.where(thin, np.minimum(ends_of[at], at + window), last)[keep]
     at = at[keep]
-    digest = mix64((sums[last] - sums[first]) * down[first] + mix64((last - first + 1000 * (at - first)).astype(np.uint64)))
-    return at, hashes[at], first, last, digest
+    return at, hashes[at], first, last
 
 
 def _thinned(at: np.ndarray, hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +103,9 @@ def _thinned(at: np.ndarray, hashes: np.ndarray, w: int) -> tuple[np.ndarray, np
     return keep, thin
 
 
-def _scan(window: int, gram: int):
+def _scan(window: int, gram: int, coded: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _coded(batches) if coded else batches:
             offsets, data = utf8_column(batch, "_text")
             uid = batch.column("_uid").to_numpy(zero_copy_only=False)
             for i, j in pieces(offsets, BLOCK):
@@ -112,11 +119,14 @@ def _scan(window: int, gram: int):
                     lo2, hi2 = max(int(offsets[i]), lo - window), min(int(offsets[j]), hi + window)
                     begins, ends = np.clip(offsets[i:j], lo2, hi2) - lo2, np.clip(offsets[i + 1 : j + 1], lo2, hi2) - lo2
                     own = (lo - lo2, min(hi, lo + SEGMENT - window) - lo2) if len(parts) > 1 else None
-                    at, h, first, last, digest = anchors(data[lo2:hi2], ends, begins, window, gram, own)
+                    at, h, first, last = anchors(data[lo2:hi2], ends, begins, window, gram, own)
+                    raw = memoryview(data[lo2:hi2].tobytes())
+                    # the seed is the anchor's place in its context
+                    digest = [xxhash.xxh3_128_digest(raw[a:b], p - a) for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]
                     row = np.searchsorted(offsets[i : j + 1], at + lo2, "right") - 1
                     base = offsets[i:j][row] - lo2 if len(at) else at
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(uid[i:j][row].astype(np.int64)), pa.array((at - base).astype(np.int64)), pa.array((first - base).astype(np.int64)), pa.array((last - base).astype(np.int64))],
+                        [pa.array(h.view(np.int64)), pa.array(digest, pa.binary()), pa.array(uid[i:j][row].astype(np.int64)), pa.array((at - base).astype(np.int64)), pa.array((first - base).astype(np.int64)), pa.array((last - base).astype(np.int64))],
                         names=["h", "digest", "_uid", "at", "first", "last"],
                     )
 
@@ -315,7 +325,7 @@ def _array_groups(window: int):
             found = repeated_starts([r[5] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), window)
             out = [(r[1], r[2], a, b) for r, s in zip(rows, found, strict=True) for a, b in _runs(s, window)]
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["h", "digest", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 1 else pa.int64()) for i in range(4)], names=["h", "digest", "a", "b"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("key", "h", "digest", "_uid", "first", "context")]
@@ -332,34 +342,67 @@ def _array_groups(window: int):
     return work
 
 
-def _contexts():
+def _contexts(coded: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in _coded(batches) if coded else batches:
             out: list[tuple] = []
-            for uid, text, wanted in zip(batch.column("_uid").to_pylist(), batch.column("_text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                out += [(w["h"], w["digest"], uid, w["first"], w["at"] - w["first"], raw[w["first"] : w["last"]]) for w in wanted]
-            types = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["h", "digest", "_uid", "first", "lo", "context"])
+            held = 0
+            for at, (uid, text, wanted) in enumerate(zip(batch.column("_uid"), batch.column("_text"), batch.column("wanted"), strict=True)):
+                raw, uid = text.as_py() or b"", uid.as_py()
+                for w in wanted.as_py():
+                    out.append((w["h"], bytes(w["digest"]), uid, w["first"], w["at"] - w["first"], raw[w["first"] : w["last"]]))
+                    held += w["last"] - w["first"]
+                if held >= BLOCK or at == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["h", "digest", "_uid", "first", "lo", "context"])
+                    out, held = [], 0
 
     return work
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, list[DataFrame]]:
-    """(_uid, a, b): byte runs of docs (_uid, _text) covered by repeated windows, possibly overlapping; and what to discard after use."""
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, in pieces, with the words of each `_text` as CODE bytes each."""
+    for batch in batches:
+        offsets, data = utf8_column(batch, "_text")
+        for i, j in pieces(offsets, BLOCK):
+            text, _, _, word = word_places(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
+            edges = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=j - i) * CODE)]).astype(np.int32)
+            codes = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(word.tobytes())])
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([codes if c == "_text" else part.column(c) for c in part.schema.names], names=part.schema.names)
+
+
+def _merged(runs: Column) -> Column:
+    """Ascending runs (a, b) with those joined that overlap or touch."""
+
+    def step(done: Column, run: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], run["b"]).alias("b"))
+        return F.when(last["b"] >= run["a"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(run)))
+
+    return F.aggregate(runs, F.slice(runs, 1, 1), step)
+
+
+def repeated_spans(docs: DataFrame, window: int = 400, gram: int = GRAM, group_limit: int = GROUP_LIMIT, across: bool = False, coded: bool = False) -> DataFrame:
+    """(_uid, spans): byte runs (a, b) of docs (_uid, _text binary) covered by repeated windows, possibly overlapping; written.
+
+    across: only windows that stand in another text too count as repeated. coded: texts are judged, and runs given, as coded words.
+    """
     gram = min(gram, window)
-    found = materialise(docs.select("_uid", "_text").mapInArrow(_scan(window, gram), "h long, digest long, _uid long, at long, first long, last long"), "anchors")
+    found = materialise(docs.select("_uid", "_text").mapInArrow(releasing(_scan(window, gram, coded)), "h long, digest binary, _uid long, at long, first long, last long"), "anchors")
     written = [found]
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    several = F.min("_uid") != F.max("_uid") if across else F.count(F.lit(1)) > 1
+    # written, so that a hot hash is dealt out by the join that follows
+    twice = materialise(found.groupBy("h").agg(several.alias("several")).filter("several").select("h"), "twice")
     found = materialise(found.join(twice, "h", "left_semi"), "repeated")
-    written.append(found)
-    # one row per different context, how often it occurs, and one place of it
-    kinds = found.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_uid", "at", "first", "last")).alias("one"))
+    written += [twice, found]
+    # one row per different context, whether it occurs elsewhere too, and one place of it
+    kinds = found.groupBy("h", "digest").agg(several.alias("several"), F.min(F.struct("_uid", "at", "first", "last")).alias("one"))
     kinds = materialise(kinds, "contexts")
     groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     mixed = kinds.join(groups.select("h"), "h", "left_semi")
     wanted = mixed.select(F.col("one._uid").alias("_uid"), F.struct("h", "digest", "one.at", "one.first", "one.last").alias("w")).groupBy("_uid").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.select("_uid", "_text").join(wanted, "_uid").mapInArrow(_contexts(), "h long, digest long, _uid long, first long, lo long, context binary")
+    texts = docs.select("_uid", "_text").join(growing(wanted), "_uid").mapInArrow(releasing(_contexts(coded)), "h long, digest binary, _uid long, first long, lo long, context binary")
     core = materialise(texts, "texts")
     keys = core.withColumn("key", F.col("h")).withColumn("hi", F.col("lo") + gram)
     parts = []
@@ -371,8 +414,9 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = GRAM, group_l
         written.append(many)
         hot = many.limit(1).count() > 0
         cold = keys.join(many, "key", "left_anti") if hot else keys
+        # bytes decide: texts with one key lie together and are compared
         ordered = cold.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-        part = materialise(ordered.select("key", "h", "digest", "_uid", "first", "context").mapInArrow(_array_groups(window), "h long, digest long, a long, b long"), "runs")
+        part = materialise(ordered.select("key", "h", "digest", "_uid", "first", "context").mapInArrow(releasing(_array_groups(window)), "h long, digest binary, a long, b long"), "runs")
         parts.append(part)
         if not hot:
             break
@@ -385,66 +429,90 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = GRAM, group_l
         grown = materialise(grown.drop("rest"), "grown")
         written.append(grown)
         full = grown.filter(F.col("hi") - F.col("lo") == window)
-        # the core is the window itself: two different places settle it
-        where = F.struct("_uid", (F.col("first") + F.col("lo")).alias("p"))
-        twice = full.groupBy("key").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x != y").select("key")
-        part = materialise(full.join(twice, "key", "left_semi").select("h", "digest", F.col("lo").alias("a"), F.col("hi").alias("b")), "windows")
+        # the core is the window itself: equal bytes at two different places settle it
+        full = full.withColumn("bytes", F.expr("substring(context, cast(lo + 1 as int), cast(hi - lo as int))"))
+        where = F.col("_uid") if across else F.struct("_uid", (F.col("first") + F.col("lo")).alias("p"))
+        same = full.groupBy("key", "bytes").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x != y").select("key", "bytes")
+        part = materialise(full.join(same, ["key", "bytes"], "left_semi").select("h", "digest", F.col("lo").alias("a"), F.col("hi").alias("b")), "windows")
         parts.append(part)
         keys = grown.filter(F.col("hi") - F.col("lo") < window)
     runs = parts[0]
     for p in parts[1:]:
         runs = runs.unionByName(p)
-    # runs are relative to the context's first byte; every place with that context has them
-    runs = runs.distinct()
-    some = found.join(kinds.filter("n = 1").select("h", "digest"), ["h", "digest"]).join(runs, ["h", "digest"]).select("_uid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    whole = found.join(kinds.filter("n > 1").select("h", "digest"), ["h", "digest"]).select("_uid", F.col("first").alias("a"), F.col("last").alias("b"))
-    spans = materialise(some.unionByName(whole), "spans")
+    # runs are relative to the context's first byte, and every place with that context has them; a context that occurs
+    # elsewhere too is a run as a whole. One row a context and one join, so that Spark can deal out a context with very
+    # many places.
+    whole = kinds.filter("several").select("h", "digest", F.lit(0).cast("long").alias("a"), (F.col("one.last") - F.col("one.first")).alias("b"))
+    answers = runs.unionByName(whole).groupBy("h", "digest").agg(_merged(F.sort_array(F.collect_set(F.struct("a", "b")))).alias("runs"))
+    answers = materialise(answers, "answers")
+    written.append(answers)
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
+    spans = found.join(answers, ["h", "digest"]).select("_uid", moved.alias("runs")).groupBy("_uid").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    spans = materialise(spans, "spans")
     for df in [*written, *parts]:
         discard(df)
-    return spans, [spans]
-
+    return spans
+
+
+def _cut(keep: str | None, min_words: int | None):
+    def words_of(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
+        """Spans of coded words as spans of bytes: whole words only, at least min_words of them."""
+        if not spans:
+            return spans
+        _, begin, _, _ = word_places(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+        begin = [*begin.tolist(), len(raw)]
+        whole = [(-(-a // CODE), b // CODE) for a, b in spans]
+        return [[begin[a], begin[b]] for a, b in whole if b - a >= min_words]
+
+    text_type = pa.string() if keep == "text" else pa.binary()
+    types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string(), text_type)
+
+    def cut(raw: bytes, spans: list[dict]) -> tuple:
+        merged: list[list[int]] = []
+        for s in sorted(spans, key=lambda s: (s["a"], s["b"])):
+            if merged and s["a"] <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s["b"])
+            else:
+                merged.append([s["a"], s["b"]])
+        if min_words:
+            merged = words_of(raw, merged)
+        kept, at = [], 0
+        for a, b in merged:
+            kept.append(raw[at:a])
+            at = b
+        rest = b"".join([*kept, raw[at:]])
+        left = rest if keep == "bytes" else rest.decode("utf-8", "ignore") if keep == "text" else None
+        return len(raw), len(raw) - len(rest), [{"a": a, "b": b} for a, b in merged], hashlib.sha256(rest).hexdigest(), left
 
-def _cut(keep: str | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                merged: list[list[int]] = []
-                for s in sorted(spans or [], key=lambda s: (s["a"], s["b"])):
-                    if merged and s["a"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["b"])
-                    else:
-                        merged.append([s["a"], s["b"]])
-                kept, at = [], 0
-                for a, b in merged:
-                    kept.append(raw[at:a])
-                    at = b
-                rest = b"".join([*kept, raw[at:]])
-                for c, v in zip(out, (len(raw), len(raw) - len(rest), [{"a": a, "b": b} for a, b in merged], hashlib.sha256(rest).hexdigest(), rest if keep == "bytes" else rest.decode("utf-8", "ignore") if keep == "text" else None), strict=True):
-                    c.append(v)
-            spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            made = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), spans_type, pa.string(), pa.string() if keep == "text" else pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, f in enumerate(batch.schema.names) if f not in ("_text", "spans")), *made], names=[*(f for f in batch.schema.names if f not in ("_text", "spans")), "n_bytes", "n_removed", "removed", "kept_sha256", "kept"])
+            offsets, _ = utf8_column(batch, "_text")
+            passed = [f for f in batch.schema.names if f not in ("_text", "spans")]
+            for i, j in pieces(offsets, 4 * BLOCK):
+                part = batch.slice(i, j - i)
+                out = [cut((text.as_py() or "").encode(), spans.as_py() or []) for text, spans in zip(part.column("_text"), part.column("spans"), strict=True)]
+                made = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*(part.column(f) for f in passed), *made], names=[*passed, "n_bytes", "n_removed", "removed", "kept_sha256", "kept"])
 
     return work
 
 
-def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = 400, keep: str | None = "bytes", carry: list[str] | None = None, group_limit: int = GROUP_LIMIT, gram: int = GRAM) -> DataFrame:
+def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = 400, min_words: int | None = None, across: bool = False, keep: str | None = "bytes", carry: list[str] | None = None, group_limit: int = GROUP_LIMIT, gram: int = GRAM) -> DataFrame:
     """Per row of df: key, n_bytes, n_removed, removed (spans a, b), kept_sha256, kept.
 
+    min_words: strings are judged by so many words instead of min_bytes. across: strings repeated inside one document only stay.
     keep: kept as "bytes", as "text" (what remains of characters cut apart is left out), or None for no such column.
-
     carry: further columns to return under their own names, after those.
     """
     names = list(dict.fromkeys([key, *(carry or [])]))
-    picked = df.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    col = lambda c: F.col(f"`{c}`")
+    picked = df.select(col(text).alias("_text"), *[col(c).alias(f"_c{i}") for i, c in enumerate(names)])
     docs = with_uid(picked, "_c0", ["_text", *[f"_c{i}" for i in range(len(names))]])
-    spans, _ = repeated_spans(docs, min_bytes, gram, group_limit)
-    by_doc = spans.groupBy("_uid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    judged = docs.select("_uid", F.col("_text").cast("binary").alias("_text"))
+    spans = repeated_spans(judged, CODE * min_words if min_words else min_bytes, gram, group_limit, across, bool(min_words))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    joined = docs.join(by_doc, "_uid", "left").select(*[f"_c{i}" for i in range(len(names))], "_text", "spans")
+    joined = docs.join(growing(spans), "_uid", "left").select(*[f"_c{i}" for i in range(len(names))], "_text", "spans")
     schema = ", ".join(f"_c{i} {fields[f'_c{i}']}" for i in range(len(names)))
-    out = joined.mapInArrow(_cut(keep), schema + ", n_bytes long, n_removed long, removed array<struct<a: long, b: long>>, kept_sha256 string, kept " + ("string" if keep == "text" else "binary"))
+    out = joined.mapInArrow(releasing(_cut(keep, min_words)), schema + ", n_bytes long, n_removed long, removed array<struct<a: long, b: long>>, kept_sha256 string, kept " + ("string" if keep == "text" else "binary"))
     made = ["n_bytes", "n_removed", "removed", "kept_sha256", *(["kept"] if keep else [])]
     return out.select(F.col("_c0").alias(key), *made, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if i])

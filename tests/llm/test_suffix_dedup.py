@@ -82,3 +82,55 @@ def test_odd_tables(spark):
     got = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup(df, min_bytes=60, gram=20).collect()))
     assert got == [(0, 70, 70), (1, 0, 0), (1, 10, 0)]
     assert suffix_dedup(df.filter("false")).count() == 0
+
+
+def repeated_across(texts, n):
+    """For each text the words that lie in n words which stand in another text too."""
+    where = {}
+    for d, w in enumerate(texts):
+        for i in range(len(w) - n + 1):
+            where.setdefault(tuple(w[i : i + n]), set()).add(d)
+    gone = [[False] * len(w) for w in texts]
+    for d, w in enumerate(texts):
+        for i in range(len(w) - n + 1):
+            if len(where[tuple(w[i : i + n])]) > 1:
+                gone[d][i : i + n] = [True] * n
+    return gone
+
+
+def test_passages_in_words_against_brute_force(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    shared = [say(n) for n in (10, 11, 12, 13, 20, 40)]
+    texts = [[], say(3), say(200) * 2]
+    for _ in range(80):
+        t = say(rng.randrange(0, 30))
+        for _ in range(rng.randrange(3)):
+            t += rng.choice(shared)[: rng.randrange(9, 41)] + say(rng.randrange(4))
+        texts.append(t)
+    blanks = [" ", "  ", "\n", "\t "]
+    rows = [(i, "".join(x + rng.choice(blanks) for x in t) or None, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed string").repartition(4)
+    want = [[x for x, g in zip(t, gone) if not g] for t, gone in zip(texts, repeated_across(texts, 12))]
+    assert any(len(a) != len(b) for a, b in zip(want, texts))
+    for limit in (512, 2):
+        got = {r.doc_id: (r.kept or "").split() for r in suffix_dedup(df, min_words=12, across=True, keep="text", gram=24, group_limit=limit).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_production_parameters_and_texts_in_segments(spark):
+    from litmetrics.llm.suffix_dedup import SEGMENT
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz  "
+    say = lambda n: "".join(rng.choices(letters, k=n))
+    shared = say(900)
+    long = say(SEGMENT + 5000)
+    border = SEGMENT - 400
+    long = long[: border - 300] + shared + long[border + 600 :]  # lies over the border of two segments
+    texts = [long, say(100) + shared[:400] + say(50), say(70) + shared[200:599] + say(9), say(2000), "ab" * 600, shared]
+    texts += [say(300) + shared + say(20) for _ in range(4)]
+    for limit in (512, 3):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup(df, group_limit=limit).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, 400)
