@@ -2,27 +2,32 @@
 
 language ID -> one document of each class of near duplicates -> repeated passages removed -> mixing to target weights ->
 packing. Every stage works on all rows that its predecessor kept and, but for the last, returns the columns of documents.
+
+Defined results: a document with a null or blank text has no language and goes at the first stage; rows with repeated or
+null ids are documents of their own; null sources are one source; further columns are carried along; an empty table
+gives an empty result with the same columns.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmetrics.llm import dart_minhash, language_id, mixing, packing, suffix_dedup
-from litmetrics.llm.common import shared_dir
+from litmetrics.llm.common import discard, materialise
 from litmetrics.llm.queries import vocabulary
 
 #: language likelihoods, the random pairing of the mix and tokens cannot be stated in SQL
 ORACLE_SQL = None
 
+#: passages of over 50 words are repeats wherever they begin; 50 leaves a word that a neighbour's punctuation changes
+PASSAGE = 50
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an identified language; `lang` becomes the language found."""
     found = language_id.identify(docs).filter("accepted")
-    return found.select(*[F.col("language").alias(c) if c == "lang" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    return found.select(*[F.col("language").alias(c) if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +36,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that stand elsewhere too; `n_chars` counts what is left.
+    """Documents without the passages of PASSAGE words or more that stand in another document too; `n_chars` counts what is left.
 
-    A cut inside a character removes the rest of that character; documents of which nothing is left go.
+    Documents of which no word is left go.
     """
-    cut = suffix_dedup.suffix_dedup(docs, keep="text", carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    clean = cut.filter("kept <> ''")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_body"))
+    cut = suffix_dedup.suffix_dedup(rows, "_id", "_body", min_words=PASSAGE, across=True, keep="text", carry=["_row"])
+    clean = cut.filter(F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     left = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return clean.select(*[left.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return clean.select(*[left.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +62,10 @@ STAGES = [("language_id", identify_language), ("near_dedup", drop_near_duplicate
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

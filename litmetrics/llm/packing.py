@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_uid
+from .common import materialise, releasing, with_uid
 
 WINDOW, SHARD, WORDS = 1024, 32768, 400_000
 SPECIAL = "<|endoftext|>"
@@ -165,13 +165,16 @@ def _tokenising(ranks_path: str, pattern: str, window: int, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern)
         tail = int(end_id).to_bytes(4, "little")
-        for batch in batches:
-            total, sums = [], []
-            for text in batch.column("_text"):
-                raw = encode(text.as_py() or "") + tail
-                total.append(len(raw) // 4)
-                sums.append([zlib.crc32(raw[i : i + 4 * window]) for i in range(0, len(raw), 4 * window)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_uid", "_key")), pa.array(total, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["_uid", "_key", "doc_tokens", "sums"])
+        try:
+            for batch in batches:
+                total, sums = [], []
+                for text in batch.column("_text"):
+                    raw = encode(text.as_py() or "") + tail
+                    total.append(len(raw) // 4)
+                    sums.append([zlib.crc32(raw[i : i + 4 * window]) for i in range(0, len(raw), 4 * window)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_uid", "_key")), pa.array(total, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["_uid", "_key", "doc_tokens", "sums"])
+        finally:
+            encode.table.clear()  # the worker outlives the task
 
     return work
 
@@ -212,7 +215,7 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc
     """Per piece: key, start, length, ids_crc32, doc_tokens, sequence_id and offset. Sequence ids are unique, not dense."""
     picked = df.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
     docs = with_uid(picked, "_key", ["_key", "_text"])
-    tokens = materialise(docs.mapInArrow(_tokenising(ranks_path, pattern, window, end_id), "_uid long, _key long, doc_tokens long, sums array<long>"), "tokens")
+    tokens = materialise(docs.mapInArrow(releasing(_tokenising(ranks_path, pattern, window, end_id)), "_uid long, _key long, doc_tokens long, sums array<long>"), "tokens")
     shards = max(1, -(-tokens.count() // shard))
     sharded = tokens.withColumn("_key", F.col("_key").cast("string")).withColumn("_shard", F.pmod(F.xxhash64("_uid"), F.lit(shards)))
     out = sharded.groupBy("_shard").applyInPandas(_packing(window, depth), "_key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
