@@ -93,6 +93,11 @@ def last_segment(url: Column) -> Column:
     return F.element_at(F.split(text_of(url), "/"), -1)
 
 
+def doi_key(c: Column) -> Column:
+    """A DOI without the resolver before it, lowered; null for blanks."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(text_of(c))), r"^https?://(dx\.)?doi\.org/", ""), F.lit(""))
+
+
 def seeded(*parts: Column | str) -> Column:
     """A reproducible pseudo-random order key that every SQL engine can compute."""
     return F.md5(F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))

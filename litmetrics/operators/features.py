@@ -12,12 +12,18 @@ BASE = ("bert_logit", "title_terms", "abstract_survey_cues", "abstract_research_
 FLAGS = ("magazine", "arxiv", "type_review", "this_article")
 
 
-def base_features(title: Column, abstract: Column, refs: Column, proba: Column) -> dict[str, Column]:
-    a = clean_text(abstract)
+def cleaned(df: DataFrame, title: str = "Title", abstract: str = "Abstract") -> DataFrame:
+    """df with `_title` and `_abstract`, cleaned once for all that reads them."""
+    return df.withColumn("_title", clean_text(F.col(title))).withColumn("_abstract", clean_text(F.col(abstract)))
+
+
+def base_features(title: Column, abstract: Column, refs: Column, proba: Column, clean: bool = False) -> dict[str, Column]:
+    """clean: title and abstract have been cleaned already."""
+    t, a = (title, abstract) if clean else (clean_text(title), clean_text(abstract))
     refs = F.coalesce(refs, F.lit(0))
     return {
         "bert_logit": logit(proba),
-        "title_terms": has(clean_text(title), V.TITLE_TERMS).cast("int"),
+        "title_terms": has(t, V.TITLE_TERMS).cast("int"),
         "abstract_survey_cues": capped_count(a, V.ABSTRACT_SURVEY),
         "abstract_research_cues": capped_count(a, V.ABSTRACT_RESEARCH),
         "abstract_missing": (word_count(a) < V.MIN_WORDS_MISSING).cast("int"),
@@ -38,7 +44,8 @@ def flag_features(abstract: Column, venue: Column, kind: Column) -> dict[str, Co
 
 def hybrid_features(df: DataFrame, proba: str, embedding: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """keep columns and `features`, an array of the base features, the flags and the embedding."""
-    cols = base_features(F.col("Title"), F.col("Abstract"), F.col("ReferenceCount"), F.col(proba)) | flag_features(F.col("Abstract"), F.col("Venue"), F.col("Type"))
+    df = cleaned(df)
+    cols = base_features(F.col("_title"), F.col("_abstract"), F.col("ReferenceCount"), F.col(proba), clean=True) | flag_features(F.col("Abstract"), F.col("Venue"), F.col("Type"))
     vector = F.array(*[c.cast("double") for c in cols.values()])
     if embedding:
         vector = F.concat(vector, F.col(embedding).cast("array<double>"))

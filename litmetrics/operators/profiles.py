@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import item_count, norm_title, text_of
+from ..functions.text import item_count, norm_title, rebuild_abstract, text_of
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -93,11 +93,27 @@ def combine(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def work_to_row(works: DataFrame) -> DataFrame:
-    """Flat row of a nested index record."""
+    """Flat row of a nested index record; what is missing in it is blank or 0, a missing year null."""
+    has = {f.name for f in works.schema.fields}
+    part = lambda name, c: c if name in has else F.lit("")
     return works.select(
-        F.regexp_replace("id", "^https?://[^/]*/", "").alias("id"), "title",
-        F.array_join(F.transform("authorships", lambda a: a["author"]["display_name"]), "; ").alias("authors"),
+        F.regexp_replace("id", "^https?://[^/]*/", "").alias("id"), F.coalesce("title", F.lit("")).alias("title"),
+        part("abstract_inverted_index", F.coalesce(rebuild_abstract(F.col("abstract_inverted_index")), F.lit("")) if "abstract_inverted_index" in has else None).alias("abstract"),
+        F.coalesce(F.array_join(F.transform("authorships", lambda a: F.coalesce(a["author"]["display_name"], F.lit(""))), "; "), F.lit("")).alias("authors"),
         F.coalesce("cited_by_count", F.lit(0)).cast("long").alias("citationCount"),
         F.coalesce("referenced_works_count", F.lit(0)).cast("long").alias("ReferenceCount"),
+        part("primary_location", F.coalesce(F.col("primary_location.source.display_name"), F.lit(""))).alias("venue"),
         F.col("publication_year").cast("int").alias("year"), F.coalesce("type", F.lit("")).alias("type"),
+        part("doi", F.coalesce("doi", F.lit(""))).alias("doi"),
+    )
+
+
+def record_to_row(papers: DataFrame) -> DataFrame:
+    """Flat row of a paper record whose references and authors are arrays of structs; references without an id go."""
+    ids = F.filter(F.transform("references", lambda r: r["paperId"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    return papers.select(
+        F.col("paperId").alias("id"), "title", "abstract",
+        F.coalesce(F.array_join(F.transform("authors", lambda a: a["name"]), "; "), F.lit("")).alias("authors"), "citationCount",
+        F.coalesce(F.array_join(ids, "; "), F.lit("")).alias("references"), "venue", "year",
+        F.coalesce(F.array_join("publicationTypes", "; "), F.lit("")).alias("type"),
     )

@@ -17,8 +17,30 @@ def per_stratum(df: DataFrame, stratum: str, n: int, key: str, seed: int) -> Dat
     return weighted.withColumn("StratumWeight", F.bround(F.col("_pool") / F.least(F.col("_pool"), F.lit(n)), 3)).drop("_pool")
 
 
+PREFIX = 3  # hexadecimal digits: up to 4096 ranges of a stratum
+
+
 def _rank(df: DataFrame, by: list[str], key: str, seed: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(seeded(F.col(key), F.lit(seed)), key)))
+    """df with its rows' places (from 1) within `by`, in the order of their seeded hashes.
+
+    No task sees a whole stratum: rows are counted by the first digits of the hash, the counts before give each range
+    its first place, and only the rows of a range are ranked together.
+    """
+    hashed = df.withColumn("_u", seeded(F.col(key), F.lit(seed))).withColumn("_range", F.substring("_u", 1, PREFIX))
+    counts = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))  # at most 16 ** PREFIX rows a stratum
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    starts = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), before.alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    nth = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_u", key))
+    placed = hashed.withColumn("_nth", nth).join(starts, same)
+    return placed.select(*df.columns, (F.col("_before") + F.col("_nth")).cast("int").alias(name))
+
+
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """df with each row's place in a global random order."""
+    return _rank(df.withColumn("_all", F.lit(0)), ["_all"], key, seed, name).drop("_all")
 
 
 def split(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:

@@ -198,12 +198,17 @@ select id, round(ln(pp / (1 - pp)), 9) as bert_logit, {has_sql(CT, V.TITLE_TERMS
  regexp_matches({text_sql('venue')}, {q('(?i)' + V.MAGAZINES)})::int as magazine, contains(lower({text_sql('venue')}), 'arxiv')::int as arxiv, {INDEXER}::int as type_review, {has_sql(text_sql('abstract'), 'this (?:article|magazine)')}::int as this_article from r""")
 def hybrid_features(spark, sf_dir):
     n = profiles.normalize(papers(spark, sf_dir), keep=("id", "proba"))
-    cols = features.base_features(F.col("Title"), F.col("Abstract"), F.col("ReferenceCount"), F.col("proba")) | features.flag_features(F.col("Abstract"), F.col("Venue"), F.col("Type"))
+    n = features.cleaned(n)
+    cols = features.base_features(F.col("_title"), F.col("_abstract"), F.col("ReferenceCount"), F.col("proba"), clean=True) | features.flag_features(F.col("Abstract"), F.col("Venue"), F.col("Type"))
     cols["bert_logit"], cols["log_refs"] = F.round(cols["bert_logit"], 9), F.round(cols["log_refs"], 9)
     return n.select("id", *[c.alias(k) for k, c in cols.items()])
 
 
-@query()
+_CUES = f"1 / (1 + exp(-(-2e0 + 3 * {has_sql(CT, V.TITLE_TERMS)}::int + {count_sql(CA, V.ABSTRACT_SURVEY)} - {count_sql(CA, V.ABSTRACT_RESEARCH)})))"
+
+
+@query(f"""with {P}, s as (select *, {_CUES} as cue from p), c as (select id, round_even(cue, 4) as SurveyScore, {CATEGORY.replace('proba >= 0.5', 'cue >= 0.5')} as Category from s)
+select id, Category, SurveyScore, Category <> 'survey' as Keep from c""")
 def classify_profile(spark, sf_dir):
     return pipelines.classify(papers(spark, sf_dir)).select("id", "Category", "SurveyScore", "Keep")
 
@@ -512,14 +517,14 @@ def tfidf_svm(spark, sf_dir):
 # Verification ---------------------------------------------------------------------------------------------------------
 
 
-_TOP = f"{P}, k as (select id, author, {key_sql('title')} as k, year, coalesce(citationCount, 0)::bigint as c, {CATEGORY} as cat, case when Label = '0' then 'S' when Label = '1' then 'R' else 'B' end as truth from p), r as (select id as ref, author, truth, year, case when year % 3 = 0 then left(k, 24) else k end as k from k where id % 5 = 0)"
+_TOP = f"{P}, k as (select id, author, {key_sql('title')} as k, year, coalesce(citationCount, 0)::bigint as c, {CATEGORY} as cat, case when Label = '0' then 'S' when Label = '1' then 'R' else 'B' end as truth from p), r as (select id as ref, author, truth, year, case when year % 3 = 0 then left(k, 24) else k end as k from k)"
 
 
 def _profile(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Keyed papers, and the fifth of them that serves as reference lists."""
+    """Keyed papers, and the reference list: all of them, of every third year only the beginnings of the titles."""
     truth = F.when(F.col("Label") == "0", "S").when(F.col("Label") == "1", "R").otherwise("B")
     k = papers(spark, sf_dir).select("id", "author", X.norm_title(F.col("title")).alias("k"), "year", F.coalesce("citationCount", F.lit(0)).cast("long").alias("c"), category().alias("cat"), truth.alias("truth"))
-    refs = k.filter("id % 5 = 0").select(F.col("id").alias("ref"), "author", "truth", "year", F.when(F.col("year") % 3 == 0, F.substring("k", 1, 24)).otherwise(F.col("k")).alias("k"))
+    refs = k.select(F.col("id").alias("ref"), "author", "truth", "year", F.when(F.col("year") % 3 == 0, F.substring("k", 1, 24)).otherwise(F.col("k")).alias("k"))
     return k, refs
 
 
@@ -539,11 +544,11 @@ def top_verification(spark, sf_dir):
 
 
 @query(f"""with {_TOP}, s as (select *, case when year < 2018 then 'A' else 'B' end as source from k), q as (select author || '|' || source as g, c, id from s), i as ({h_sql('q', 'g', 'c')}),
-f as (select author || '|' || source as g, count(*)::bigint as found from s where id % 5 = 0 group by all)
+f as (select author || '|' || source as g, count(*)::bigint as found from s join labels on id = doc_id group by all)
 select split_part(i.g, '|', 1) as author, split_part(i.g, '|', 2) as source, papers, citations, h_index, i10_index, coalesce(found, 0)::bigint as found from i left join f on i.g = f.g""")
 def profile_completeness(spark, sf_dir):
     k = _profile(spark, sf_dir)[0].withColumn("source", F.when(F.col("year") < 2018, "A").otherwise("B"))
-    out = verification.completeness(k, k.filter("id % 5 = 0").select("author", "source"), "author", "source", "c")
+    out = verification.completeness(k, k.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id").select("author", "source"), "author", "source", "c")
     return out.select("author", "source", "papers", "citations", "h_index", "i10_index", "found")
 
 
@@ -602,11 +607,11 @@ def recall_by_group(spark, sf_dir):
     return out.select("source", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("long").alias("papers"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
 
 
-@query("""with e as (select doc_id, quality from labels), s as (select doc_id, toxic from labels where doc_id % 2 = 0)
-select e.doc_id, quality, toxic, 'all' as part from e join s on e.doc_id = s.doc_id where e.doc_id % 2 = 0 union all
-select e.doc_id, quality, toxic, 'some' from e join s on e.doc_id = s.doc_id where not exists (select 1 from e where doc_id % 2 <> 0)""")
+@query("""with e as (select doc_id, quality from labels), s as (select doc_id, toxic from labels where quality = 1)
+select e.doc_id, quality, toxic, 'all' as part from e join s on e.doc_id = s.doc_id where quality = 1 union all
+select e.doc_id, quality, toxic, 'some' from e join s on e.doc_id = s.doc_id where not exists (select 1 from e where quality <> 1)""")
 def aligned_predictions(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    known, rows = labels.filter("doc_id % 2 = 0").select("doc_id", "toxic"), labels.select("doc_id", "quality")
-    whole = verification.aligned(rows.filter("doc_id % 2 = 0"), known, "doc_id").withColumn("part", F.lit("all"))
+    known, rows = labels.filter("quality = 1").select("doc_id", "toxic"), labels.select("doc_id", "quality")
+    whole = verification.aligned(rows.filter("quality = 1"), known, "doc_id").withColumn("part", F.lit("all"))
     return whole.unionByName(verification.aligned(rows, known, "doc_id").withColumn("part", F.lit("some")))

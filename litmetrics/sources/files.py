@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.profiles import first_per
+
 #: texts that spreadsheet tools write for a missing value
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")
 
@@ -20,7 +22,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType):
             df = df.withColumn(f.name, F.when(~F.col(f"`{f.name}`").isin(*MISSING), F.col(f"`{f.name}`")))
-    return df.withColumn("SourceFile", F.element_at(F.split(F.input_file_name(), "/"), -1)) if provenance else df
+    return df.withColumn("SourceFile", F.col("_metadata.file_name")) if provenance else df
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -56,7 +58,7 @@ def write_routed(df: DataFrame, routes: dict[str, Column], mode: str = "overwrit
 
 
 def enrich_csv(spark: SparkSession, path: str, out: str, extra: DataFrame, key: str, column: str, default: str = "") -> None:
-    """Adds or replaces a column by lookup and writes to a new path."""
+    """Adds or replaces a column by lookup (of several values of a key the smallest) and writes to a new path."""
     df = read_csv(spark, path)
     df = df.drop(column) if column in df.columns else df
-    write_csv(df.join(extra.select(key, column).dropDuplicates([key]), key, "left").withColumn(column, F.coalesce(column, F.lit(default))), out)
+    write_csv(df.join(first_per(extra.select(key, column), [key], F.col(column).asc_nulls_last()), key, "left").withColumn(column, F.coalesce(column, F.lit(default))), out)
