@@ -92,8 +92,8 @@ def combine(frames: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def work_to_row(works: DataFrame) -> DataFrame:
-    """Flat row of a nested index record; what is missing in it is blank or 0, a missing year null."""
+def work_to_row(works: DataFrame, **more: Column) -> DataFrame:
+    """Flat row of a nested index record; what is missing in it is blank or 0, a missing year null. more: further columns."""
     has = {f.name for f in works.schema.fields}
     part = lambda name, c: c if name in has else F.lit("")
     return works.select(
@@ -102,9 +102,9 @@ def work_to_row(works: DataFrame) -> DataFrame:
         F.coalesce(F.array_join(F.transform("authorships", lambda a: F.coalesce(a["author"]["display_name"], F.lit(""))), "; "), F.lit("")).alias("authors"),
         F.coalesce("cited_by_count", F.lit(0)).cast("long").alias("citationCount"),
         F.coalesce("referenced_works_count", F.lit(0)).cast("long").alias("ReferenceCount"),
-        part("primary_location", F.coalesce(F.col("primary_location.source.display_name"), F.lit(""))).alias("venue"),
+        part("primary_location", F.coalesce(F.col("primary_location.source.display_name"), F.lit("")) if "primary_location" in has else None).alias("venue"),
         F.col("publication_year").cast("int").alias("year"), F.coalesce("type", F.lit("")).alias("type"),
-        part("doi", F.coalesce("doi", F.lit(""))).alias("doi"),
+        part("doi", F.coalesce("doi", F.lit("")) if "doi" in has else None).alias("doi"), *[c.alias(n) for n, c in more.items()],
     )
 
 

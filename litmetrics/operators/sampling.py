@@ -102,3 +102,13 @@ def title_only(df: DataFrame, abstract: str, key: str, rate: float, seed: int) -
 
 def with_title_only_copies(df: DataFrame, abstract: str) -> DataFrame:
     return df.unionByName(df.withColumn(abstract, F.lit("")))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, from 1 on, by the hash of its columns; equal rows get numbers of their own."""
+    marked = df.withColumn("_c", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    single = marked.groupBy("_c").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = single.select(F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"), "_c").withColumn("_key", F.concat_ws("-", "_copy", "_c"))
+    placed = shuffled(rows, "_key", 0, name)
+    one = df.schema
+    return placed.select(name, F.from_json("_c", one).alias("_r")).select(name, *[F.col(f"_r.`{c}`").alias(c) for c in df.columns])

@@ -17,7 +17,7 @@ SHORTEST_TEXT = 20
 
 def labelled_rows(works: DataFrame, venues: DataFrame) -> DataFrame:
     """Rows of the index (profiles.work_to_row, with `source`, the venue's id) of the venues (source, Venue, Group, Label)."""
-    rows = works.join(venues, "source")
+    rows = works.drop("venue").join(venues, "source")  # the venue's own name, not the index's
     return rows.select(
         clean_record_text(F.col("title")).alias("Title"), clean_record_text(F.col("abstract")).alias("Abstract"), "Label", "Venue", "Group",
         F.col("year").alias("Year"), F.col("citationCount").alias("Citation"), "ReferenceCount", F.col("type").alias("Type"), F.col("id").alias("OpenAlexId"), F.col("doi").alias("DOI"),

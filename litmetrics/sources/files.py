@@ -62,3 +62,13 @@ def enrich_csv(spark: SparkSession, path: str, out: str, extra: DataFrame, key:
     df = read_csv(spark, path)
     df = df.drop(column) if column in df.columns else df
     write_csv(df.join(first_per(extra.select(key, column), [key], F.col(column).asc_nulls_last()), key, "left").withColumn(column, F.coalesce(column, F.lit(default))), out)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text to one file, wherever the path leads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

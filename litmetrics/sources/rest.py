@@ -13,37 +13,74 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-Transport = Callable[[str], tuple[int, str]]
+#: (url, body or None) -> (status, text)
+Transport = Callable[..., tuple[int, str]]
 
 
 class BudgetExceeded(RuntimeError):
     """The service says that the day's allowance is used up; trying again is pointless."""
 
 
-def http(url: str) -> tuple[int, str]:
+def http(url: str, body: dict | None = None, headers: dict[str, str] | None = None) -> tuple[int, str]:
+    data = None if body is None else json.dumps(body).encode()
+    asked = urllib.request.Request(url, data, {"Content-Type": "application/json"} | (headers or {}))
     try:
-        with urllib.request.urlopen(url, timeout=60) as r:
+        with urllib.request.urlopen(asked, timeout=60) as r:
             return r.status, r.read().decode()
     except urllib.error.HTTPError as e:
         return e.code, e.read().decode(errors="replace")
 
 
-def get(url: str, params: dict[str, str], transport: Transport = http, retries: int = 6, pause: Callable[[float], None] = time.sleep) -> dict:
-    """One GET. 429 and 5xx are tried again after 1, 2, 4, ... seconds, a used-up budget and other codes fail at once."""
+def request(url: str, params: dict[str, str], body: dict | None = None, transport: Transport = http, retries: int = 6, pause: Callable[[float], None] = time.sleep):
+    """One request, a POST where there is a body. 429 and 5xx are tried again after 1, 2, 4, ... seconds; a used-up budget
+    and other codes fail at once."""
     full = f"{url}?{urllib.parse.urlencode(params)}" if params else url
     for attempt in range(retries):
-        code, body = transport(full)
+        code, answer = transport(full) if body is None else transport(full, body)
         if code == 200:
-            return json.loads(body)
-        if code == 429 and "budget" in body.lower():
-            raise BudgetExceeded(body[:200])
+            return json.loads(answer)
+        if code == 429 and "budget" in answer.lower():
+            raise BudgetExceeded(answer[:200])
         if code != 429 and code < 500:
-            raise RuntimeError(f"HTTP {code}: {body[:200]}")
+            raise RuntimeError(f"HTTP {code}: {answer[:200]}")
         if attempt + 1 < retries:
             pause(2.0**attempt)
     raise RuntimeError(f"HTTP {code} after {retries} attempts")
 
 
+def get(url: str, params: dict[str, str], transport: Transport = http, retries: int = 6, pause: Callable[[float], None] = time.sleep, key: str | None = None, mailto: str | None = None) -> dict:
+    """One GET; key and mailto say who asks."""
+    who = {k: v for k, v in (("api_key", key), ("mailto", mailto)) if v}
+    return request(url, params | who, None, transport, retries, pause)
+
+
+def batches(ids: list[str], size: int) -> Iterator[list[str]]:
+    """ids in their order without repetitions, so many at a time: what one call may ask for."""
+    known = list(dict.fromkeys(ids))
+    for at in range(0, len(known), size):
+        yield known[at : at + size]
+
+
+def by_ids(url: str, ids: list[str], size: int = 500, fields: str | None = None, transport: Transport = http, **options) -> Iterator[tuple[str, dict | None]]:
+    """(id, record) of a batch endpoint that answers in the order asked, with null for what it does not know."""
+    for some in batches(ids, size):
+        answer = request(url, {"fields": fields} if fields else {}, {"ids": some}, transport, **options)
+        if len(answer) != len(some):
+            raise RuntimeError(f"{len(answer)} records for {len(some)} ids")
+        yield from zip(some, answer, strict=True)
+
+
+def sample(url: str, params: dict[str, str], n: int, seed: int, transport: Transport = http, **options) -> Iterator[dict]:
+    """n records that the service draws with a seed, page by page, never more."""
+    left, page = n, 1
+    while left > 0:
+        found = get(url, params | {"per-page": "200", "sample": str(n), "seed": str(seed), "page": str(page)}, transport, **options).get("results", [])
+        if not found:
+            return
+        yield from found[:left]
+        left, page = left - len(found), page + 1
+
+
 def pages(url: str, params: dict[str, str], transport: Transport = http, **options) -> Iterator[dict]:
     """All results behind a cursor."""
     cursor = "*"
@@ -63,14 +100,29 @@ def offset_pages(url: str, params: dict[str, str], transport: Transport = http,
         offset = answer.get("next")
 
 
+def with_key(key: str, send: Callable[..., tuple[int, str]] = http, header: str = "x-api-key") -> Transport:
+    """Sends the key in a header until the service refuses it (403); from then on it asks without one."""
+    held = {"key": key}
+
+    def transport(url: str, body: dict | None = None) -> tuple[int, str]:
+        if held["key"]:
+            code, text = send(url, body, {header: held["key"]})
+            if code != 403:
+                return code, text
+            held["key"] = ""
+        return send(url, body, {})
+
+    return transport
+
+
 def folder_transport(folder: str) -> Transport:
     """Answers from JSON files named by entity and cursor: `<entity>-<cursor>.json`."""
-    def answer(url: str) -> tuple[int, str]:
+    def answer(url: str, body: dict | None = None) -> tuple[int, str]:
         parts = urllib.parse.urlsplit(url)
         query = dict(urllib.parse.parse_qsl(parts.query))
         name = parts.path.rstrip("/").rsplit("/", 1)[-1]
         try:
-            with open(f"{folder}/{name}-{query.get('cursor', '*').replace('*', 'first')}.json") as f:
+            with open(f"{folder}/{name}-{(query.get('cursor') or query.get('page') or query.get('offset') or '*').replace('*', 'first')}.json") as f:
                 return 200, f.read()
         except FileNotFoundError:
             return 404, "no such fixture"
@@ -86,18 +138,30 @@ class Entity(InputPartition):
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
+        if "fixtures" not in options and "url" not in options:
+            raise ValueError("option url or fixtures is needed")
 
     def partitions(self) -> list[Entity]:
         return [Entity(x) for x in self.options["entities"].split(",") if x]
 
     def read(self, partition: Entity) -> Iterator[tuple]:
-        transport = folder_transport(self.options["fixtures"]) if "fixtures" in self.options else http
-        for record in pages(f"{self.options.get('url', 'https://localhost')}/{partition.value}", {}, transport):
+        o = self.options
+        transport = folder_transport(o["fixtures"]) if "fixtures" in o else with_key(o["key"]) if "key" in o else http
+        url = f"{o.get('url', 'file://fixtures')}/{partition.value}"
+        params = {k: o[k] for k in ("filter", "select", "search", "group_by") if k in o}
+        if "sample" in o:
+            found = sample(url, params, int(o["sample"]), int(o.get("seed", "42")), transport, mailto=o.get("mailto"))
+        elif o.get("paging", "cursor") == "offset":
+            found = offset_pages(url, params, transport, mailto=o.get("mailto"))
+        else:
+            found = pages(url, params, transport, mailto=o.get("mailto"))
+        for record in found:
             yield partition.value, json.dumps(record)
 
 
 class PagedSource(DataSource):
-    """format("paged_rest"): options entities (comma-separated), url or fixtures; rows (entity, record as JSON).
+    """format("paged_rest"): rows (entity, record as JSON). Options: entities (comma-separated); url or fixtures; paging
+    (cursor or offset); filter, select, search, group_by; sample and seed; key, mailto.
 
     One partition per entity: a cursor is sequential, entities are not.
     """
