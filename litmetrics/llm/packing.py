@@ -4,8 +4,10 @@ Documents become token ids plus an end id and are cut into full windows and a re
 own. The rests of a shard (about `shard` documents, by hash) are packed together: all combinations of one to `depth`
 lengths that fill the window exactly are enumerated, a non-negative least squares fit finds how often to use each so
 that the histogram of rests is met, the counts are rounded within what the histogram holds, and whatever is left is
-packed greedily, longest first, into the fullest sequence with room. Token ids are never shuffled: only lengths and
-checksums leave the task that tokenises.
+packed greedily, longest first, into the fullest sequence with room. The rests of sequences that still would need padding
+(a sequence whose length is a power of two needs none) are cut into pieces of powers of two, the longest first: in
+descending order these fill windows exactly, so a shard has one padded sequence at most. Token ids are never shuffled:
+only lengths and checksums (of windows, rests and their pieces) leave the task that tokenises.
 
 Tokeniser: byte-level BPE given as rank file and split pattern. Words are looked up in a table of at most `WORDS`
 recent ones per worker; texts with characters for which Python's classes could differ from the pattern's, or with the
@@ -161,18 +163,29 @@ def pack(histogram: np.ndarray, window: int, depth: int = 3) -> list[tuple[tuple
     return out
 
 
+def halves(length: int) -> list[int]:
+    """The powers of two that add up to a length, in descending order."""
+    return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
+
+
 def _tokenising(ranks_path: str, pattern: str, window: int, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern)
         tail = int(end_id).to_bytes(4, "little")
         try:
             for batch in batches:
-                total, sums = [], []
+                total, sums, bits = [], [], []
                 for text in batch.column("_text"):
                     raw = encode(text.as_py() or "") + tail
                     total.append(len(raw) // 4)
                     sums.append([zlib.crc32(raw[i : i + 4 * window]) for i in range(0, len(raw), 4 * window)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_uid", "_key")), pa.array(total, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["_uid", "_key", "doc_tokens", "sums"])
+                    at, own = len(raw) - len(raw) % (4 * window), []
+                    for n in halves(total[-1] % window):
+                        own.append(zlib.crc32(raw[at : at + 4 * n]))
+                        at += 4 * n
+                    bits.append(own)
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (sums, bits)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_uid", "_key")), pa.array(total, pa.int64()), *lists], names=["_uid", "_key", "doc_tokens", "sums", "bits"])
         finally:
             encode.table.clear()  # the worker outlives the task
 
@@ -191,22 +204,44 @@ def _packing(window: int, depth: int):
         sequence, offset = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         rest = np.flatnonzero(length < window)
         rest = rest[np.argsort(length[rest], kind="stable")]
-        made = 0
+        made, over = 0, []
         edges = np.searchsorted(length[rest], np.arange(window + 1))
         taken = edges[:-1].copy()
         for combo, n in pack(np.bincount(length[rest], minlength=window + 1), window, depth):
+            size = sum(combo)
+            padded = size < window and size & (size - 1)
             begin = 0
             for v in combo:
                 at = rest[taken[v] : taken[v] + n]
                 taken[v] += n
+                if padded:
+                    over.append(at)
+                    continue
                 sequence[at] = made + np.arange(n)
                 offset[at] = begin
                 begin += v
-            made += n
+            made += 0 if padded else n
         whole = np.flatnonzero(length == window)
         sequence[whole] = made + np.arange(len(whole))
-        shard = int(pdf["_shard"].iloc[0]) if len(pdf) else 0
-        return pd.DataFrame({"_key": pdf["_key"].to_numpy()[row], "start": start, "length": length, "ids_crc32": np.array([s[i] for s, i in zip(pdf["sums"].to_numpy()[row], nth, strict=True)], np.int64), "doc_tokens": total[row], "sequence_id": (np.int64(shard) << np.int64(32)) + sequence, "offset": offset})
+        made += len(whole)
+        sums = np.array([s[i] for s, i in zip(pdf["sums"].to_numpy()[row], nth, strict=True)], np.int64)
+        out = np.concatenate(over) if over else np.zeros(0, np.int64)
+        kept = np.ones(len(row), bool)
+        kept[out] = False
+        # pieces of powers of two in descending order meet every multiple of the window
+        cut = [(-n, int(i), k, int(start[i]) + sum(parts[:k])) for i in np.sort(out) for parts in (halves(int(length[i])),) for k, n in enumerate(parts)]
+        cut.sort()
+        size = -np.array([c[0] for c in cut], np.int64)
+        place = np.cumsum(size) - size
+        more = np.array([c[1] for c in cut], np.int64)
+        bits = pdf["bits"].to_numpy()
+        row_of, shard = np.concatenate([row[kept], row[more]]), int(pdf["_shard"].iloc[0]) if len(pdf) else 0
+        return pd.DataFrame({
+            "_key": pdf["_key"].to_numpy()[row_of], "start": np.concatenate([start[kept], np.array([c[3] for c in cut], np.int64)]), "length": np.concatenate([length[kept], size]),
+            "ids_crc32": np.concatenate([sums[kept], np.array([bits[row[c[1]]][c[2]] for c in cut], np.int64)]), "doc_tokens": total[row_of],
+            "sequence_id": (np.int64(shard) << np.int64(32)) + np.concatenate([sequence[kept], made + place // window]),
+            "offset": np.concatenate([offset[kept], place % window]),
+        })
 
     return work
 
@@ -215,7 +250,7 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc
     """Per piece: key, start, length, ids_crc32, doc_tokens, sequence_id and offset. Sequence ids are unique, not dense."""
     picked = df.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
     docs = with_uid(picked, "_key", ["_key", "_text"])
-    tokens = materialise(docs.mapInArrow(releasing(_tokenising(ranks_path, pattern, window, end_id)), "_uid long, _key long, doc_tokens long, sums array<long>"), "tokens")
+    tokens = materialise(docs.mapInArrow(releasing(_tokenising(ranks_path, pattern, window, end_id)), "_uid long, _key long, doc_tokens long, sums array<long>, bits array<long>"), "tokens")
     shards = max(1, -(-tokens.count() // shard))
     sharded = tokens.withColumn("_key", F.col("_key").cast("string")).withColumn("_shard", F.pmod(F.xxhash64("_uid"), F.lit(shards)))
     out = sharded.groupBy("_shard").applyInPandas(_packing(window, depth), "_key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

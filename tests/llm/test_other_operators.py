@@ -627,3 +627,70 @@ def test_hostile_pages_take_linear_time(bad):
     html_extract.extract("<body>" + bad * 50_000)
     html_extract.extract("<body>" + "<div><b>" * 25_000 + "</x>" * 25_000 + bad)
     assert time.time() - began < 5
+
+
+def test_packing_pads_one_sequence_of_a_shard_at_most(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "word " * int(rng.integers(0, 1500))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.pack_documents(df, *vocabulary(), shard=150)
+    size = {r.sequence_id: (r.n, r.far) for r in out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("far")).collect()}
+    assert all(n == far and n <= 1024 for n, far in size.values())
+    shards = -(-len(rows) // 150)
+    assert sum(n & (n - 1) != 0 for n, _ in size.values()) <= shards
+    parts = {}
+    for r in out.collect():
+        parts.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+    for (_, total), pieces in parts.items():
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == total
+    assert len(parts) == len(rows)
+    assert packing.halves(0) == [] and packing.halves(1023) == [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
+
+
+def test_recall_of_the_index_on_the_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect() if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
+        ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+        got: dict = {}
+        for r in multi_index.nearest(df).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        hits = asked = 0
+        for q in np.flatnonzero(ids % 100 == 0):
+            far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+            far[q] = np.inf
+            best = sorted(zip(far, ids, strict=True))[:10]
+            mine = sorted(got[ids[q]])
+            hits += len({i for _, i, _ in mine} & {i for _, i in best})
+            asked += 10
+            assert [m[0] for m in mine] == list(range(1, 11)) and [(m[2], m[1]) for m in mine] == sorted((m[2], m[1]) for m in mine)
+        assert hits >= 0.9 * asked, (sf, hits, asked)
+
+
+def test_warc_with_repeated_and_null_keys(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (2, "u", "b"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.payload_bytes, r.problem) for r in warc.archive_round_trip(df).collect())
+    assert got == sorted((str(i), len(h or ""), None) for i, _, h in rows)
+
+
+def test_mix_columns_against_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    sql = f"""with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from '{path}')
+    select doc_id, size, sum(size) over (partition by source)::bigint as source_size, source from s"""
+    want = duckdb.sql(sql.replace("\\\\", "\\")).fetchall()
+    out = mixing.mix(spark.read.parquet(path), carry=["doc_id", "source"]).collect()
+    assert sorted((r._row.doc_id, r["size"], r.source_size) for r in out) == sorted(x[:3] for x in want)
+    sizes = {source: total for _, _, total, source in want}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goals = dict(zip(names, shared_targets([sizes[n] for n in names]), strict=True))
+    for name in names:
+        mine = [r for r in out if r._row.source == name]
+        assert math.isclose(mine[0].target, goals[name]) and all(r.taken <= 3 * r["size"] for r in mine)
+        assert abs(sum(r.taken for r in mine) - goals[name]) <= 0.005 * goals[name]
