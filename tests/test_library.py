@@ -8,7 +8,7 @@ from litmetrics import report
 from litmetrics.functions import text as X
 from litmetrics.functions import vocabulary as V
 from litmetrics.operators import baselines, hybrid, indices, matching, metrics, profiles, rules, sampling, verification
-from litmetrics.plans import pipelines, registry
+from litmetrics.plans import composites, pipelines, registry  # noqa: F401 - composites registers its queries
 from litmetrics.sources import files, rest
 
 
