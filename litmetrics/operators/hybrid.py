@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .metrics import best_threshold, threshold_sweep
+from . import logistic
 from .sampling import folds
 
 C_GRID = (0.01, 0.1, 1.0)
@@ -21,84 +19,41 @@ C_GRID = (0.01, 0.1, 1.0)
 class Hybrid:
     mean: list[float]
     scale: list[float]
-    model: LogisticRegressionModel
+    coefficients: list[float]
+    intercept: float
     threshold: float
     c: float
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with hybrid_proba and is_survey."""
-        scored = self.model.transform(_standardized(df, self.mean, self.scale))
-        proba = vector_to_array("probability")[1]
-        return scored.withColumn("hybrid_proba", proba).withColumn("is_survey", (proba >= self.threshold).cast("int")).drop("_x", "rawPrediction", "probability", "prediction")
+        centre, slope = (F.array(*[F.lit(float(x)) for x in v]) for v in (self.mean, [c / s for c, s in zip(self.coefficients, self.scale, strict=True)]))
+        parts = F.zip_with(F.zip_with("features", centre, lambda x, m: x - m), slope, lambda x, b: x * b)
+        proba = 1 / (1 + F.exp(-F.aggregate(parts, F.lit(float(self.intercept)), lambda a, x: a + x)))
+        return df.withColumn("hybrid_proba", proba).withColumn("is_survey", (F.col("hybrid_proba") >= self.threshold).cast("int"))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        note = json.dumps({"mean": self.mean, "scale": self.scale, "threshold": self.threshold, "c": self.c})
-        from pyspark.sql import SparkSession
-
-        SparkSession.active().createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+        SparkSession.active().createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
     @classmethod
     def load(cls, path: str) -> Hybrid:
-        from pyspark.sql import SparkSession
-
-        note = json.loads(SparkSession.active().read.text(f"{path}/config").first().value)
-        return cls(note["mean"], note["scale"], LogisticRegressionModel.load(f"{path}/model"), note["threshold"], note["c"])
-
-
-def _moments(df: DataFrame) -> tuple[list[float], list[float]]:
-    """Unweighted mean and population deviation of every feature; constant features keep scale 1."""
-    rows = df.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
-    return [r.m for r in rows], [r.s or 1.0 for r in rows]
-
-
-def _standardized(df: DataFrame, mean: list[float], scale: list[float]) -> DataFrame:
-    m, s = F.array(*[F.lit(x) for x in mean]), F.array(*[F.lit(x) for x in scale])
-    return df.withColumn("_x", array_to_vector(F.transform(F.arrays_zip(F.col("features").alias("f"), m.alias("m"), s.alias("s")), lambda t: (t["f"] - t["m"]) / t["s"])))
-
-
-def _mean_one(df: DataFrame) -> DataFrame:
-    """df with its weights w scaled to mean 1."""
-    mean = df.agg(F.avg("w")).first()[0] or 1.0
-    return df.withColumn("w", F.col("w") / F.lit(float(mean)))
-
-
-def _fit(df: DataFrame, c: float) -> tuple[list[float], list[float], LogisticRegressionModel]:
-    mean, scale = _moments(df)
-    total = df.agg(F.sum("w")).first()[0]
-    model = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", standardization=False, regParam=1.0 / (c * total), maxIter=200).fit(_standardized(df, mean, scale))
-    return mean, scale, model
+        return cls(**json.loads(SparkSession.active().read.text(f"{path}/config").first().value))
 
 
 def fit_selected(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = None, k: int = 5, seed: int = 42, grid: tuple[float, ...] = C_GRID) -> Hybrid:
     """df (key, stratum, features, y, w); fixed rows (features, y, w) join every training part. The weights of df are
-    scaled to mean 1 in every training part, and stay as they are where thresholds are compared. The fits of the grid
-    run side by side; each is a handful of passes over a table of labelled papers."""
-    kept = folds(df, [stratum, "y"], key, k, seed).select("features", "y", "w", "fold").cache()
-    # every step of a fit is a job: a few labelled papers are not worth many tasks
-    parts = kept.coalesce(1 + kept.count() // 1024)
-    extra = fixed.select("features", "y", "w") if fixed is not None else None
-
-    def held_out(c: float, fold: int) -> DataFrame:
-        train = _mean_one(parts.filter(F.col("fold") != fold).select("features", "y", "w"))
-        mean, scale, model = _fit(train.unionByName(extra) if extra is not None else train, c)
-        out = model.transform(_standardized(parts.filter(F.col("fold") == fold), mean, scale))
-        return out.select("y", "w", vector_to_array("probability")[1].alias("score"))
-
-    def tried(c: float) -> tuple[float, float, float]:
-        scored = held_out(c, 0)
-        for fold in range(1, k):
-            scored = scored.unionByName(held_out(c, fold))
-        best = best_threshold(threshold_sweep(scored, F.col("y"), F.col("score"), F.col("w"))).first()
-        return best.f1, best.t, c
-
-    with ThreadPoolExecutor(len(grid)) as pool:
-        results = list(pool.map(tried, grid))
-    f1, threshold, c = max(results, key=lambda r: (r[0], -r[2]))
-    rows = _mean_one(parts.select("features", "y", "w"))
-    mean, scale, model = _fit(rows.unionByName(extra) if extra is not None else rows, c)
+    scaled to mean 1 in every training part, and stay as they are where thresholds are compared. All folds and strengths,
+    and the fits on all rows, are fitted in the same passes over the table (logistic.fit_all)."""
+    columns = [F.col("fold").cast("int").alias("fold"), F.col("features").cast("array<double>").alias("features"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w")]
+    rows = folds(df, [stratum, "y"], key, k, seed).select(*columns)
+    if fixed is not None:
+        rows = rows.unionByName(fixed.withColumn("fold", F.lit(-1)).select(*columns))
+    kept = rows.cache()
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")).first()
+    parts = kept.coalesce(1 + size.n // 4096)  # a few labelled papers are not worth many tasks
+    fits = logistic.fit_all(parts, k, grid, size.width)
+    f1, c, threshold, at = max((f1, -c, t, at) for at, (c, (f1, t)) in enumerate(zip(grid, logistic.thresholds(parts, fits, k), strict=True)))
     kept.unpersist()
-    return Hybrid(mean, scale, model, threshold, c)
+    return Hybrid(fits.mean[k].tolist(), fits.scale[k].tolist(), fits.beta[k, at, :-1].tolist(), float(fits.beta[k, at, -1]), threshold, -c)
 
 
 def source_weights(df: DataFrame, source: str, w: str, fixed: str = "llm", extra: str = "validation", share: float = 0.25) -> DataFrame:
@@ -111,7 +66,7 @@ def source_weights(df: DataFrame, source: str, w: str, fixed: str = "llm", extra
     return known.withColumn(w, weight).select(*df.columns)
 
 
-def nested_cv(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = None, reps: int = 5, outer: int = 10, inner: int = 5, seed: int = 42, grid: tuple[float, ...] = C_GRID, parallel: int = 2) -> DataFrame:
+def nested_cv(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = None, reps: int = 5, outer: int = 10, inner: int = 5, seed: int = 42, grid: tuple[float, ...] = C_GRID, parallel: int = 4) -> DataFrame:
     """(key, rep, pred): out-of-fold predictions of every repetition. C and the threshold are chosen anew inside every
     outer training part, so the held-out rows take no part in the choice. Rows are found by key, not by position."""
     parts = [folds(df, [stratum, "y"], key, outer, seed + rep).withColumnRenamed("fold", "_outer") for rep in range(reps)]
