@@ -46,10 +46,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    _LEFT[path] = spark
+    until_exit(spark, path)
     return out
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the process ends: lazy results may read it until then."""
+    _LEFT[path] = spark
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing lazy reads it any more."""
     spark, path = df.sparkSession, df._written_to

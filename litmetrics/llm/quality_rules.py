@@ -89,6 +89,7 @@ def quality_verdicts(df: DataFrame, key: str = "doc_id", text: str = "text", hos
     counted = counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     counts = materialise(counted, "counts")
     failing = counts.select("_host", F.col("base_failed").cast("int").alias("f_base"), *[(F.col(a) > F.lit(limit) * F.col(b)).cast("int").alias(f"f_{name}") for name, (a, b, limit) in RATIO_RULES.items()])
-    verdicts = host_verdicts(failing, ["f_base", *[f"f_{name}" for name in RATIO_RULES]], max_rate)
+    # written, so that its size is known and the join can deal out a hot host
+    verdicts = materialise(host_verdicts(failing, ["f_base", *[f"f_{name}" for name in RATIO_RULES]], max_rate), "hosts")
     joined = counts.join(verdicts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
     return joined.select(F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import discard, materialise, shared_dir, until_exit
 
 CRLF = b"\r\n"
 SEGMENT, RECORDS, CHUNK = 1 << 16, 512, 1 << 13
@@ -120,6 +120,7 @@ def write_warc(df: DataFrame, path: str, key: str = "page_id", uri: str = "url",
     rows = df.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{uri}`").cast("string").alias("_uri"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("_payload"))
     rows = rows.withColumn("_sha", F.sha1("_payload")).withColumn("_size", F.octet_length("_payload"))
     shared = rows.filter(F.col("_size") >= min_revisit).groupBy("_sha", "_size").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    shared = materialise(shared, "shared")  # written, so that the join can deal out a payload that very many rows have
     rows = rows.join(shared, ["_sha", "_size"], "left").withColumn("_refers", F.when(~F.col("_key").eqNullSafe(F.col("_first")), F.col("_first")))
     rows = rows.withColumn("_number", F.monotonically_increasing_id())
 
@@ -138,10 +139,11 @@ def write_warc(df: DataFrame, path: str, key: str = "page_id", uri: str = "url",
     # the text writer passes bytes through as they are; its line separator is the end of a WARC record
     made = rows.select("_key", "_number", "_uri", "_payload", "_refers").mapInArrow(work, "value binary").select(F.col("value").cast("string").alias("value"))
     made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    discard(shared)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives (.gz or plain) below path: id, type, key, digest, refers_to, origin, number, total, block."""
+    """Every record of the archives (.gz or plain, whatever their names) below path: id, type, key, digest, refers_to, origin, number, total, block."""
     import zlib
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(out), 256):
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out[i : i + 256]], t) for c, t in enumerate(types)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(work, "id string, type string, key long, digest string, refers_to long, origin string, number long, total long, block binary")
 
 
@@ -206,9 +208,11 @@ def reassemble(records: DataFrame, keep_payload: bool = True) -> DataFrame:
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Per archived row: page_id, payload_bytes, payload_digest, record_type, refers_to, problem."""
     records = read_warc(spark, path)
-    responses = reassemble(records, keep_payload=False)
+    # written without payloads: two results read them, and the archives are not read again for the second
+    responses = materialise(reassemble(records, keep_payload=False), "responses")
     own = responses.select(F.col("key").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "problem")
     sizes = responses.groupBy("key", "digest").agg(F.max("size").alias("size")).select(F.col("key").alias("k"), F.col("digest").alias("d"), "size")
+    sizes = materialise(sizes, "sizes")  # written, so that the join can deal out a response with very many revisits
     revisits = records.filter("type = 'revisit'").select("key", "digest", "refers_to")
     again = revisits.join(sizes, (F.col("refers_to") == F.col("k")) & (F.col("digest") == F.col("d")), "left")
     again = again.select(F.col("key").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to", F.when(F.col("size").isNull(), "the response is missing").alias("problem"))
@@ -219,5 +223,6 @@ def archive_round_trip(df: DataFrame, **options) -> DataFrame:
     """Writes df as archives to the shared folder and returns what read_payloads() finds in them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    until_exit(spark, path)
     write_warc(df, path, **options)
     return read_payloads(spark, path)

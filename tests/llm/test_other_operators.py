@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import math
 import zlib
@@ -694,3 +695,22 @@ def test_mix_columns_against_sql(spark):
         mine = [r for r in out if r._row.source == name]
         assert math.isclose(mine[0].target, goals[name]) and all(r.taken <= 3 * r["size"] for r in mine)
         assert abs(sum(r.taken for r in mine) - goals[name]) <= 0.005 * goals[name]
+
+
+def test_archives_of_any_name_and_with_a_hot_payload(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", "hot" if i % 3 else f"page {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    warc.write_warc(df, f"file://{tmp_path}/written", records=50)
+    there = tmp_path / "other"
+    there.mkdir()
+    for n, file in enumerate(sorted((tmp_path / "written").glob("part-*"))):
+        name = there / f"crawl-{n:05d}.warc"
+        if n % 2:
+            name.write_bytes(gzip.decompress(file.read_bytes()))
+        else:
+            name.with_suffix(".warc.gz").write_bytes(file.read_bytes())
+    got = {r.page_id: r for r in warc.read_payloads(spark, f"file://{there}").collect()}
+    assert len(got) == 300
+    for page, _, html in rows:
+        again = bool(page % 3) and page != 1
+        assert (got[page].payload_bytes, got[page].record_type, got[page].refers_to, got[page].problem) == (len(html), "revisit" if again else "response", 1 if again else None, None)
