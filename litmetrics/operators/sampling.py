@@ -74,17 +74,26 @@ def year_matched(pool: DataFrame, targets: DataFrame, key: str, year: str, seed:
     return ranked.filter("_first").select(*pool.columns).unionByName(filled.select(*pool.columns))
 
 
+FEW, BLOCK = 1 << 15, 50  # rows that every task may hold; replicates drawn from one row of the dealt-out table
+
+
 def bootstrap_draws(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int) -> DataFrame:
     """(rep, row columns): as many draws with replacement in every stratum and replicate as it has rows.
 
-    Draws are hashes of replicate, stratum and place, joined to rows by their place: an equi-join, no cross product.
+    Draws are hashes of replicate, stratum and place, joined to rows by their place: an equi-join, no cross product. Places
+    are dealt out with blocks of replicates before they multiply. Up to FEW rows go to the draws, counted before; beyond,
+    both sides are shuffled.
     """
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     placed = _rank(df, strata, key, seed, "_place").join(sizes, strata)
-    draws = placed.select(*strata, "_n", "_place").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    first = F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(BLOCK))).alias("_first")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as few bytes become many draws
+    dealt = placed.select(*strata, "_n", "_place", first).repartition(tasks, "_place", "_first")
+    draws = dealt.withColumn("rep", F.explode(F.sequence("_first", F.least(F.col("_first") + (BLOCK - 1), F.lit(replicates)))))
     hashed = F.conv(F.substring(seeded(F.lit(seed), F.col("rep"), F.col("_place"), *[F.col(s) for s in strata]), 1, 8), 16, 10).cast("long")
     draws = draws.select(*strata, "rep", (F.lit(1) + hashed % F.col("_n")).cast("int").alias("_place"))
-    return draws.join(placed.drop("_n"), [*strata, "_place"]).drop("_place")
+    rows = placed.drop("_n")
+    return draws.join(F.broadcast(rows) if df.count() <= FEW else rows, [*strata, "_place"]).drop("_place")
 
 
 def interval(df: DataFrame, by: list[str], value: Column, level: float = 0.95) -> DataFrame:

@@ -438,15 +438,16 @@ def sampling_design(spark, sf_dir):
     return s.select("Stratum", F.bround(F.col("w") * F.col("sampled"), 0).cast("long").alias("pool"), "sampled", "labeled", "surveys", F.round(F.try_divide("surveys", "labeled"), 9).alias("share"))
 
 
-_DRAWS = """r as (select doc_id, quality, toxic, count(*) over (partition by quality) as n, row_number() over (partition by quality order by md5(concat_ws('-', doc_id::varchar, '7')), doc_id) as place from labels),
-d as (select quality, rep, (1 + ('0x' || substr(md5(concat_ws('-', '7', rep::varchar, place::varchar, quality::varchar)), 1, 8))::bigint % n) as place from r, (select unnest(range(1, 101)) as rep)),
+REPLICATES = 2000
+_DRAWS = f"""r as (select doc_id, quality, toxic, count(*) over (partition by quality) as n, row_number() over (partition by quality order by md5(concat_ws('-', doc_id::varchar, '7')), doc_id) as place from labels),
+d as (select quality, rep, (1 + ('0x' || substr(md5(concat_ws('-', '7', rep::varchar, place::varchar, quality::varchar)), 1, 8))::bigint % n) as place from r, (select unnest(range(1, {REPLICATES + 1})) as rep)),
 b as (select d.rep, r.quality, r.toxic from d join r on d.quality = r.quality and d.place = r.place)"""
 
 
 @query(f"""with {_DRAWS}, f as (select rep, 2 * count(*) filter (quality = 1 and toxic = 1) / greatest(1, 2 * count(*) filter (quality = 1 and toxic = 1) + count(*) filter (quality <> toxic)) as f1 from b group by rep)
 select round(quantile_cont(f1, 0.025), 9) as low, round(quantile_cont(f1, 0.975), 9) as high from f""")
 def bootstrap_ci(spark, sf_dir):
-    draws = sampling.bootstrap_draws(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality"], "doc_id", 100, 7)
+    draws = sampling.bootstrap_draws(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality"], "doc_id", REPLICATES, 7)
     scores = metrics.confusion(draws, ["rep"], F.col("quality"), F.col("toxic"))
     return sampling.interval(scores, [], F.col("f1")).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
@@ -454,7 +455,7 @@ def bootstrap_ci(spark, sf_dir):
 @query(f"""with {_DRAWS}, f as (select rep, 2 * count(*) filter (quality = 1 and toxic = 1) / greatest(1, 2 * count(*) filter (quality = 1 and toxic = 1) + count(*) filter (quality <> toxic)) as f1, 2 * count(*) filter (quality = 1) / greatest(1, 2 * count(*) filter (quality = 1) + count(*) filter (quality = 0)) as g1 from b group by rep)
 select round(quantile_cont(f1 - g1, 0.025), 9) as low, round(quantile_cont(f1 - g1, 0.975), 9) as high from f""")
 def paired_bootstrap(spark, sf_dir):
-    draws = sampling.bootstrap_draws(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality"], "doc_id", 100, 7)
+    draws = sampling.bootstrap_draws(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality"], "doc_id", REPLICATES, 7)
     both = draws.select("rep", "quality", F.explode(F.array(F.struct(F.lit("a").alias("m"), F.col("toxic").alias("p")), F.struct(F.lit("b").alias("m"), F.lit(1).alias("p")))).alias("f")).select("rep", "quality", "f.*")
     f1 = metrics.confusion(both, ["rep", "m"], F.col("quality"), F.col("p")).groupBy("rep").agg((F.max(F.when(F.col("m") == "a", F.col("f1"))) - F.max(F.when(F.col("m") == "b", F.col("f1")))).alias("delta"))
     return sampling.interval(f1, [], F.col("delta")).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
