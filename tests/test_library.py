@@ -194,3 +194,13 @@ def test_queries_agree_with_sql(spark, sf_dir, name):
     plain = lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     rows = lambda some, cols: sorted((tuple(str(plain(r[cols.index(c)])) for c in sorted(cols)) for r in some))
     assert rows([tuple(r) for r in mine.collect()], mine.columns) == rows(theirs.fetchall(), names)
+
+
+def test_draws_are_the_same_with_and_without_a_small_side(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 3 == 0) for i in range(40)], "id long, rare boolean")
+    draws = lambda: sorted(tuple(r) for r in sampling.bootstrap_draws(df, ["rare"], "id", 120, 3).select("rep", "rare", "id").collect())
+    small = draws()
+    monkeypatch.setattr(sampling, "FEW", 0)
+    assert draws() == small and len(small) == 120 * 40
+    assert {(rep, sum(x[0] == rep and x[1] for x in small)) for rep in (1, 50, 51, 120)} == {(rep, 14) for rep in (1, 50, 51, 120)}
+    assert len({tuple(x[2] for x in small if x[0] == rep) for rep in range(1, 121)}) == 120
