@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, html_extract, language_id, mixing, multi_index, packing, quality_rules, suffix_dedup, url_filter, warc
+from . import dart_minhash, hamerly, html_extract, language_id, mixing, multi_index, packing, quality_rules, suffix_dedup, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,8 +62,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_read(spark, sf_dir, "documents"))
 
 
+def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hamerly.cluster_vectors(_read(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    return out.select("_row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_warc, op4_dart_minhash, op5_multi_index, op6_packing, op7_url_filter, op8_mixing, op9_html_extract, op10_quality_rules)}
+    found = (
+        op1_suffix_dedup, op2_language_id, op3_warc, op4_dart_minhash, op5_multi_index, op6_packing, op7_url_filter, op8_mixing, op9_html_extract, op10_quality_rules,
+        op12_hamerly,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP3_SQL = """
@@ -116,5 +125,34 @@ from q join x on q.source is not distinct from x.source
 """
 
 
+def _clusters_sql(rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = ["""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as x
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+s as (select *, row_number() over (order by sha256('1:' || vec_id)) as c from v),
+c0 as (select c, x from s where c <= 16)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+d{i} as (select vec_id, v.x, c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c{i}.x[i]) * (v.x[i] - c{i}.x[i])))::bigint as d from v, c{i}),
+a{i} as (select * from d{i} qualify row_number() over (partition by vec_id order by d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""
+u{i} as (select c, unnest(x) as x, generate_subscripts(x, 1) as i from a{i}),
+m{i} as (select c, i, sum(x)::bigint as s, count(*) as n from u{i} group by c, i),
+n{i} as (select c, list((s - ((s % n) + n) % n) // n order by i) as x from m{i} group by c),
+c{i + 1} as (select c, coalesce(n{i}.x, c{i}.x) as x from c{i} left join n{i} using (c))""")
+    return ",".join(parts) + f"""
+select vec_id, (c - 1)::int as cluster, d as distance, sum(d) over (partition by c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(array_to_string(c{rounds}.x, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (c)
+"""
+
+
+OP12_SQL = _clusters_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op10_quality_rules": OP10_SQL, "op12_hamerly": OP12_SQL}
