@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, hamerly, html_extract, language_id, mixing, multi_index, packing, quality_rules, suffix_dedup, url_filter, warc
+from . import dart_minhash, hamerly, html_extract, language_id, mixing, multi_index, packing, quality_rules, suffix_dedup, token_alignment, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def alignment_paths() -> tuple[str, str, str]:
+    """Rank file and split pattern of the byte-level vocabulary and the model of the one with byte fallback."""
+    import public_tokenizers
+
+    return *vocabulary(), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), keep=None).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
@@ -67,10 +74,15 @@ def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.align_tokens(_read(spark, sf_dir, "documents"), *alignment_paths(), carry=["doc_id"])
+    return out.select("_row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_language_id, op3_warc, op4_dart_minhash, op5_multi_index, op6_packing, op7_url_filter, op8_mixing, op9_html_extract, op10_quality_rules,
-        op12_hamerly,
+        op12_hamerly, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 
