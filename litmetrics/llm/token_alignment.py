@@ -1,8 +1,9 @@
 """Cross-tokenizer alignment: which tokens of one vocabulary stand where those of another do.
 
 A text with a space before it is encoded by a byte-level BPE (A) and by a BPE with byte fallback (B). Both cut the same
-bytes; a merge of the two sequences of cumulative token ends by two pointers emits a link for every pair of tokens whose
-bytes overlap, and closes a group wherever both end.
+bytes; a merge of the two sequences of cumulative token ends (a pointer into each side moves past every end it meets,
+for all chunks of a block at once) emits a link for every pair of tokens whose bytes overlap, and closes a group wherever
+both end.
 
 Both vocabularies cut before white space that follows something else, so a text falls into chunks (a run of white space
 and what follows it) that can be encoded, merged and remembered one by one; which characters may begin a chunk is read
@@ -28,7 +29,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,37 +39,9 @@ from pyspark.sql import types as T
 
 from .common import discard, growing, materialise, releasing
 
-BLOCK, WORDS, LONGEST = 1 << 22, 150_000, 64
+BLOCK, WORDS, LONGEST = 1 << 22, 400_000, 64
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
-#: n_a, n_b, n_groups, n_links, the groups as text, the linked pairs
-Chunk = tuple[int, int, int, int, bytes, list[int]]
-
-
-def merge(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> Chunk:
-    """Groups and links of two token sequences over the same bytes, given their cumulative ends."""
-    i = j = first_a = first_b = 0
-    links, groups = [], []
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        x, y = a_ends[i], b_ends[j]
-        if x <= y:
-            i += 1
-        if y <= x:
-            j += 1
-        if x == y:
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            first_a, first_b = i, j
-    return len(a), len(b), len(groups), len(links), ";".join(groups).encode(), links
-
-
-def _ends(tokens: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for t in tokens:
-        at += len(t)
-        out.append(at)
-    return out
-
 
 class Aligner:
     def __init__(self, ranks_path: str, pattern: str, model_path: str):
@@ -89,43 +64,88 @@ class Aligner:
         if not any(re.search("[^▁]▁", p) for p in pieces):
             breaks += " "
         self.chunks = re.compile(rf"\s*\S+(?:(?![{re.escape(breaks)}])\s+\S*)*|\s+").findall if " " in breaks else lambda text: [text]
-        self.known: dict[str, int] = {}
-        self.made: list[Chunk | None] = []
-
-    def encode_b(self, chunk: str) -> list[int]:
-        """B's ids of a chunk as it stands inside a text: without the space that the model puts before a text."""
-        if chunk == " ":
-            return [self.blank]
-        if chunk[0] == " ":
-            return self.model.encode(chunk[1:], num_threads=1)
-        ids = self.model.encode(chunk, num_threads=1)
-        return ids[1:] if ids[0] == self.blank else []
-
-    def align(self, chunk: str) -> Chunk | None:
-        """None if the bytes of either side's tokens are not the chunk's."""
-        a, b, raw = self.encode_a(chunk), self.encode_b(chunk), chunk.encode()
-        of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        return merge(a, _ends(of_a), b, _ends(of_b))
-
-    def numbers_of(self, text: str) -> list[int]:
-        """Places in `made` of the chunks of a text with its space."""
-        known, out = self.known, []
+        self.lengths = [np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]), np.array([len(x) for x in self.b_bytes])]
+        self.forget(-1)
+
+    def forget(self, most: int = WORDS) -> None:
+        """Lets go of all chunks if there are more than that many."""
+        if most < 0 or len(self.fine) > most:
+            self.known: dict[str, int] = {}
+            self.fresh: list[str] = []  # met, but not yet aligned
+            self.fine = np.zeros(0, bool)  # of each chunk: do both sides' bytes agree with it?
+            self.counts = np.zeros((0, 4), np.int64)  # its n_a, n_b, n_groups and n_links
+            self.groups: list[bytes] = []
+            self.edges = np.zeros(1, np.int64)  # where its links begin and end
+            self.links = np.zeros(0, np.int64)
+
+    def numbers_of(self, text: str) -> np.ndarray:
+        """The numbers of the chunks of a text with its space; new ones are noted for learn()."""
+        known, fresh, out, base = self.known, self.fresh, [], len(self.fine)
         for chunk in self.chunks(" " + text):
             at = known.get(chunk)
             if at is None:
-                at = len(self.made)
-                self.made.append(self.align(chunk))
+                at = base + len(fresh)
+                fresh.append(chunk)
                 if len(chunk) <= LONGEST:
                     known[chunk] = at
             out.append(at)
-        return out
-
-    def forget(self, most: int = WORDS) -> None:
-        if len(self.made) > most:
-            self.known.clear()
-            self.made.clear()
+        return np.array(out, np.int64)
+
+    def encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides of chunks as they stand inside a text: without the space that B's model puts before a text."""
+        b = self.model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        for at, c in enumerate(chunks):
+            if c == " ":
+                b[at] = [self.blank]
+            elif c[0] != " ":
+                b[at] = b[at][1:]
+        return [self.encode_a(c) for c in chunks], b
+
+    def learn(self) -> None:
+        """Aligns the chunks noted since the last time, all in one merge over their bytes laid end to end."""
+        chunks, self.fresh = self.fresh, []
+        if not chunks:
+            return
+        raw = [c.encode() for c in chunks]
+        sides, tables = self.encoded(chunks), (self.a_bytes, self.b_bytes)
+        fine = np.ones(len(chunks), bool)
+        for ids, table in zip(sides, tables, strict=True):
+            if b"".join([table[i] for x in ids for i in x]) != b"".join(raw):
+                fine &= [b"".join([table[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
+        kept = np.flatnonzero(fine)
+        chunk_ends = np.cumsum([len(raw[i]) for i in kept])
+        ids = [np.fromiter(chain.from_iterable(side[i] for i in kept), np.int64) for side in sides]
+        ends = [np.cumsum(lengths[x]) for lengths, x in zip(self.lengths, ids, strict=True)]
+        merged = np.union1d(*ends)
+        # at each end met, where the pointers into both sides stand: those two tokens overlap
+        links = ids[0][np.searchsorted(ends[0], merged)] << 32 | ids[1][np.searchsorted(ends[1], merged)]
+        closes = [np.isin(x, y, assume_unique=True) for x, y in (ends, ends[::-1])]
+        counts = np.zeros((len(chunks), 4), np.int64)
+        for k, places in enumerate((*ends, ends[0][closes[0]], merged)):
+            counts[kept, k] = np.bincount(np.searchsorted(chunk_ends, places), minlength=len(kept))
+        self.fine, self.counts = np.concatenate([self.fine, fine]), np.concatenate([self.counts, counts])
+        self.links, self.edges = np.concatenate([self.links, links]), np.concatenate([self.edges, self.edges[-1] + np.cumsum(counts[:, 3])])
+        texts = _groups(ids, ends, closes, chunk_ends)
+        groups = [b""] * len(chunks)
+        for at, g in zip(kept.tolist(), texts, strict=True):
+            groups[at] = g
+        self.groups += groups
+
+
+def _groups(ids: list[np.ndarray], ends: list[np.ndarray], closes: list[np.ndarray], chunk_ends: np.ndarray) -> list[bytes]:
+    """The groups of each chunk as text, `a1,a2|b1;a3|b2,b3`."""
+    if not len(chunk_ends):
+        return []
+    group = [np.cumsum(c) - c for c in closes]
+    order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+    mark = [np.where(closes[0], 1, 0), np.where(np.isin(ends[1], chunk_ends), 3, np.where(closes[1], 2, 0))]
+    marks = pa.array([",", "|", ";", ""]).take(pa.array(np.concatenate(mark)[order]))
+    words = pc.binary_join_element_wise(pc.cast(pa.array(np.concatenate(ids)[order]), pa.string()), marks, "")
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+    text = words.buffers()[2].to_pybytes()
+    last = np.cumsum(np.bincount(np.searchsorted(chunk_ends, np.concatenate(ends)), minlength=len(chunk_ends)))
+    cuts = [0, *offsets[last].tolist()]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _ALIGNERS: dict[tuple[str, str, str], Aligner] = {}
@@ -143,30 +163,20 @@ def _listed(values: pa.Array) -> pa.Array:
 
 def _block(aligner: Aligner, number: int, rows: list[pa.Array], texts: list[np.ndarray]) -> pa.RecordBatch:
     """The written row of a block: chunk numbers of each text, none for a text without tokens."""
-    made = aligner.made
-    counts = np.zeros((len(texts), 4), np.int64)
-    digests, fine = [], []
-    for nth, at in enumerate(texts):
-        mine = [made[i] for i in at.tolist()]
-        if not mine or None in mine:
-            digests.append("")
-            fine.append(np.zeros(0, np.int64))
-            continue
-        counts[nth] = [sum(c[k] for c in mine) for k in range(4)]
-        digests.append(hashlib.sha256(b";".join([c[4] for c in mine])).hexdigest())
-        fine.append(at)
+    aligner.learn()
+    groups, edges = aligner.groups, aligner.edges
+    fine = [at if aligner.fine[at].all() else at[:0] for at in texts]
+    counts = np.array([aligner.counts[at].sum(axis=0) for at in fine]).reshape(len(texts), 4)
+    digests = [hashlib.sha256(b";".join([groups[i] for i in at.tolist()])).hexdigest() if len(at) else "" for at in fine]
     # (text, chunk) with its count, then (text, pair) with its count
-    width = len(made) + 1
+    width = len(groups) + 1
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in fine])
-    key, times = np.unique(owner * width + (np.concatenate(fine) if fine else owner), return_counts=True)
-    chunk, local = np.unique(key % width, return_inverse=True)
-    of = [made[i][5] for i in chunk.tolist()]
-    sizes = np.array([len(x) for x in of], np.int64)
-    pairs, code = np.unique(np.fromiter(chain.from_iterable(of), np.int64, int(sizes.sum())), return_inverse=True)
-    begin = np.cumsum(sizes) - sizes
-    n = sizes[local]
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[local], n)
-    linked, at = np.unique(np.repeat(key // width, n) * (len(pairs) + 1) + code[place], return_inverse=True)
+    key, times = np.unique(owner * width + np.concatenate([*fine, np.zeros(0, np.int64)]), return_counts=True)
+    chunk = key % width
+    n = edges[chunk + 1] - edges[chunk]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(edges[chunk], n)
+    code, pairs = pd.factorize(aligner.links[place])
+    linked, at = np.unique(np.repeat(key // width, n) * (len(pairs) + 1) + code, return_inverse=True)
     often = np.bincount(at, weights=np.repeat(times, n), minlength=len(linked)).astype(np.int32)
     text, pair = linked // (len(pairs) + 1), (linked % (len(pairs) + 1)).astype(np.int32)
     made_columns = [
@@ -177,7 +187,7 @@ def _block(aligner: Aligner, number: int, rows: list[pa.Array], texts: list[np.n
     return pa.RecordBatch.from_arrays([_listed(pa.concat_arrays(rows)), *made_columns], names=["rows", *_BLOCK])
 
 
-def _aligning(*paths: str):
+def _aligning(block: int, *paths: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _ALIGNERS.get(paths) or _ALIGNERS.setdefault(paths, Aligner(*paths))
         number = TaskContext.get().partitionId() << 32
@@ -187,9 +197,9 @@ def _aligning(*paths: str):
                 at = 0
                 for nth, text in enumerate(batch.column("_text")):
                     raw = text.as_py() or ""
-                    texts.append(np.array(aligner.numbers_of(raw) if raw else [], np.int64))
+                    texts.append(aligner.numbers_of(raw) if raw else np.zeros(0, np.int64))
                     held += len(raw) + 64
-                    if held >= BLOCK:
+                    if held >= block:
                         yield _block(aligner, number, [*rows, batch.column("_row").slice(at, nth + 1 - at)], texts)
                         aligner.forget()
                         number, rows, texts, held, at = number + 1, [], [], 0, nth + 1
@@ -198,7 +208,7 @@ def _aligning(*paths: str):
             if texts:
                 yield _block(aligner, number, rows, texts)
         finally:
-            aligner.forget(0)  # the worker outlives the task
+            aligner.forget(-1)  # the worker outlives the task
 
     return work
 
@@ -223,10 +233,10 @@ def _scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(s) for s in sums], of("groups_sha256")], names=["_row", *NUMBERS, "n_best", "n_best_b", "count_sum", "groups_sha256"])
 
 
-def align_tokens(df: DataFrame, ranks_path: str, pattern: str, model_path: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def align_tokens(df: DataFrame, ranks_path: str, pattern: str, model_path: str, text: str = "text", carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """df's rows as _row (a struct of the columns `carry`, all by default) with n_a, n_b, n_groups, n_links, n_best (links
     whose pair is in as many texts as any pair of their A id), n_best_b (of their B id), count_sum and groups_sha256."""
-    aligned, counts = _linked(df, ranks_path, pattern, model_path, text, carry)
+    aligned, counts = _linked(df, ranks_path, pattern, model_path, text, carry, block)
     lists = aligned.select("block", F.posexplode("pairs").alias("at", "pair"))
     facts = lists.join(growing(counts), "pair").groupBy("block").agg(F.collect_list(F.struct("at", "best_a", "best_b", "count")).alias("facts"))
     schema = T.StructType([T.StructField("_row", aligned.schema["rows"].dataType.elementType), *T.StructType.fromDDL("n_a long, n_b long, n_groups long, n_links long, n_best long, n_best_b long, count_sum long, groups_sha256 string")])
@@ -237,19 +247,19 @@ def align_tokens(df: DataFrame, ranks_path: str, pattern: str, model_path: str,
 def pair_counts(df: DataFrame, ranks_path: str, pattern: str, model_path: str, text: str = "text") -> DataFrame:
     """The table of translation between the vocabularies: a, b, count (texts that link them), best_a and best_b (no other
     pair of that A or B id is in more texts)."""
-    aligned, counts = _linked(df, ranks_path, pattern, model_path, text, [])
+    aligned, counts = _linked(df, ranks_path, pattern, model_path, text, [], BLOCK)
     discard(aligned)
     return counts.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "count", "best_a", "best_b")
 
 
-def _linked(df: DataFrame, ranks_path: str, pattern: str, model_path: str, text: str, carry: list[str] | None) -> tuple[DataFrame, DataFrame]:
+def _linked(df: DataFrame, ranks_path: str, pattern: str, model_path: str, text: str, carry: list[str] | None, block: int) -> tuple[DataFrame, DataFrame]:
     """The blocks and the table of pairs, both written."""
     col = lambda c: F.col(f"`{c}`")
     names = df.columns if carry is None else carry
     row = F.struct(*[col(c) for c in names]) if names else F.struct(F.lit(0).alias("_"))
     picked = df.select(row.alias("_row"), col(text).alias("_text"))
     schema = T.StructType([T.StructField("rows", T.ArrayType(picked.schema["_row"].dataType)), *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in _BLOCK.items()))])
-    aligned = materialise(picked.mapInArrow(releasing(_aligning(ranks_path, pattern, model_path)), schema), "aligned")
+    aligned = materialise(picked.mapInArrow(releasing(_aligning(block, ranks_path, pattern, model_path)), schema), "aligned")
     counts = aligned.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.docs").alias("count"))
     counts = materialise(counts, "counts")
     a, b = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))

@@ -89,7 +89,7 @@ def test_odd_and_random_texts_by_definition(spark, libraries):
     assert {i: texts[i] for i in range(len(texts)) if found[i] != want[i]} == {}
 
 
-def test_documents_by_definition(spark, sf_dir, libraries, monkeypatch):
+def test_documents_by_definition(spark, sf_dir, libraries):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length("text") < 3000).orderBy("doc_id").collect()
     texts = [r.text for r in rows]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
@@ -97,16 +97,21 @@ def test_documents_by_definition(spark, sf_dir, libraries, monkeypatch):
     assert [found[i] for i in range(len(texts))] == want
 
 
-def test_blocks_make_no_difference(libraries, monkeypatch):
+def test_chunks_add_up_to_whole_texts(libraries):
     texts = [t for t in ODD if t]
     aligner = A.Aligner(*alignment_paths())
     for text in texts:
-        mine = [aligner.made[i] for i in aligner.numbers_of(text)]
-        whole = plain([text], libraries)[0]
-        total = (0, 0, 0, 0) if None in mine else tuple(sum(c[k] for c in mine) for k in range(4))
-        assert total == whole[:4], text
+        at = aligner.numbers_of(text)
+        aligner.learn()
+        total = tuple(aligner.counts[at].sum(axis=0).tolist()) if aligner.fine[at].all() else (0, 0, 0, 0)
+        assert total == plain([text], libraries)[0][:4], text
     aligner.forget(0)
-    assert not aligner.known and not aligner.made
+    assert not aligner.known and not aligner.groups
+
+
+def test_blocks_make_no_difference(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    assert got(df, carry=["doc_id"], block=20_000) == got(df, carry=["doc_id"])
 
 
 def test_null_and_repeated_ids_and_empty_tables(spark, libraries):
