@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, hamerly, html_extract, language_id, mixing, multi_index, packing, quality_rules, suffix_dedup, token_alignment, url_filter, warc
+from . import dart_minhash, hamerly, html_extract, language_id, mixing, multi_index, packing, quality_rules, suffix_dedup, token_alignment, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_read(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), carry=["doc_id"])
+    return out.select("_row.doc_id", "held_out", "score", "predicted")
+
+
 def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hamerly.cluster_vectors(_read(spark, sf_dir, "embeddings"), carry=["vec_id"])
     return out.select("_row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -82,7 +87,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_language_id, op3_warc, op4_dart_minhash, op5_multi_index, op6_packing, op7_url_filter, op8_mixing, op9_html_extract, op10_quality_rules,
-        op12_hamerly, op13_token_alignment,
+        op11_toxicity, op12_hamerly, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 
