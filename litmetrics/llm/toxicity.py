@@ -62,7 +62,9 @@ Hit = tuple[int, int]  # the term's number and the edits
 
 
 def words_of(text: str) -> list[str]:
-    return [_RUN.sub(r"\1", w) for w in _WORD.findall(text.lower())]
+    low = text.lower()
+    words = _WORD.findall(low)
+    return [_RUN.sub(r"\1", w) for w in words] if _RUN.search(low) else words
 
 
 def allowed_edits(term: str, stem: bool) -> int:
@@ -249,8 +251,9 @@ def _matching(terms: list[tuple[str, bool, float]]):
                 raw = text.as_py() or ""
                 words = words_of(raw)
                 own = set(words)
-                for w in own - known.keys():
-                    known[w] = best_of(automaton.match(w))
+                for w in own:
+                    if w not in known:
+                        known[w] = best_of(automaton.match(w))
                 counts.append(len(words))
                 hits.append(judged(raw, known) if any(known[w] is not None for w in own) else [])
                 if len(known) > WORDS:
