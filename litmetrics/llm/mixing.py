@@ -12,12 +12,13 @@ about `bucket` documents is one document with a fraction, and with it a reserve
 rounded, large enough to make up for the bucket's longest document if half of the bucket can. Both go up a reduction
 tree, `fan` buckets at a time, to one group per source.
 
-There the longest documents trade with all smaller ones at once, in the same way: one with fraction p becomes 1 with
-probability p, and the words so won or lost are shared among the others in proportion to what they can give and take in
-either case, so all keep their expectations and the words stay the same. The rest is paired, and the last residual and the
-smallest documents are settled from the longest to the shortest. Only where all smaller documents together cannot make up
-for one (the last few, or a long one in a source of few) is the total missed: by chance, if by no more than a thousandth of
-the target; otherwise the outcome nearer to the target is taken, and for that document the expectation shifts.
+There the longest documents trade with all smaller ones at once, strictly from the longest to the shortest: one with
+fraction p becomes 1 with probability p, and the words so won or lost are shared among the smaller ones in proportion to
+what they can give and take in either case, so all keep their expectations and the words stay the same. The rest is paired,
+and the last residual and the smallest documents are settled in the same order. Where all smaller documents together cannot
+make up for one (the last few, or a long one in a source of few), chance decides if that misses the total by no more than a
+thousandth of the target; otherwise the outcome is taken after which less is owed, the smaller ones take over what they
+can, and for that document the expectation shifts: target and expectation cannot both be kept there.
 Random numbers are hashes of seed and document, so reruns agree.
 
 Defined results: null text has size 0; documents without words are taken as often as the integral part says; sources
@@ -102,7 +103,7 @@ def pivotal(ids: list, sizes: list[float], parts: list[float], seed: int) -> tup
 def settle(ids: list, sizes: list[float], parts: list[float], seed: int, goal: float, count: int | None = None) -> list[int | None]:
     """Bits of documents in descending size: each trades with all later ones at once, as far as they can make up for it.
 
-    count: only the first so many, and of them only those that can be made up for; the others get None. parts is updated.
+    count: only the first so many; the others get None. parts is updated.
     """
     s, p = np.asarray(sizes, float), np.clip(np.asarray(parts, float), 0.0, 1.0)
     bits: list[int | None] = [None] * len(ids)
@@ -115,10 +116,8 @@ def settle(ids: list, sizes: list[float], parts: list[float], seed: int, goal: f
         room = s[rest] * np.minimum(p[rest] / ((1 - p[i]) * s[i]), (1 - p[rest]) / (p[i] * s[i]))
         total = float(room.sum())
         bit = int(chance(seed, "last", ids[i]) < p[i])
-        if total >= 1:
+        if total >= 1 and not off:
             p[rest] += np.divide((p[i] - bit) * s[i] * room / total, s[rest], out=np.zeros(len(room)), where=s[rest] > 0)
-        elif count is not None:
-            continue
         else:
             up, down = float(((1 - p[rest]) * s[rest]).sum()), float((p[rest] * s[rest]).sum())
             lacks = [max(off + p[i] * s[i] - up, 0.0), max((1 - p[i]) * s[i] - off - down, 0.0)]

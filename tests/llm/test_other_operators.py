@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -305,6 +306,35 @@ def test_mix_of_few_documents_null_keys_and_ties(spark):
     assert mixing.mix(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 8, 12, 20])
+def test_few_documents_come_near_the_best_reachable_subset(n):
+    rng = random.Random(4)
+    missed, least = [], []
+    for seed in range(60):
+        sizes = sorted((int(rng.lognormvariate(5, 1.3)) + 1 for _ in range(n)), reverse=True)
+        part = rng.uniform(0.1, 0.9)
+        goal, reached = part * sum(sizes), {0}
+        for s in sizes:
+            reached |= {x + s for x in reached}
+        bits, _ = mixing.round_group(list(range(n)), sizes, [part] * n, seed, goal, True)
+        missed.append(abs(sum(b * s for b, s in zip(bits, sizes, strict=True)) - goal) / goal)
+        least.append(min(abs(x - goal) for x in reached) / goal)
+    assert sum(missed) / 60 < sum(least) / 60 + 0.015
+
+
+def test_expectations_hold_where_all_can_be_made_up_for():
+    sizes, part = [40, 30, 20, 20, *[5] * 60], 0.4
+    taken = [mixing.round_group(list(range(64)), sizes, [part] * 64, seed, part * sum(sizes), True)[0] for seed in range(1500)]
+    for i in (0, 1, 2, 10, 30):  # the last one takes what is left of a word
+        assert abs(sum(t[i] for t in taken) / 1500 - part) < 0.05
+    assert all(abs(sum(b * s for b, s in zip(t, sizes, strict=True)) - part * sum(sizes)) <= 5 for t in taken)
+
+
+def test_every_source_comes_near_its_target(spark, sf_dir):
+    out = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["source"]).groupBy("_row.source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(out) > 10 and all(abs(r.taken - r.target) <= 0.03 * r.target for r in out)
+
+
 def test_mix_meets_targets_and_repeats(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), ["a", "b", "ü", None][min(3, int(rng.integers(0, 9)) // 2)]) for i in range(3000)] + [(9000, None, "a")]
