@@ -16,9 +16,10 @@ There the longest documents trade with all smaller ones at once, strictly from t
 fraction p becomes 1 with probability p, and the words so won or lost are shared among the smaller ones in proportion to
 what they can give and take in either case, so all keep their expectations and the words stay the same. The rest is paired,
 and the last residual and the smallest documents are settled in the same order. Where all smaller documents together cannot
-make up for one (the last few, or a long one in a source of few), chance decides if that misses the total by no more than a
-thousandth of the target; otherwise the outcome is taken after which less is owed, the smaller ones take over what they
-can, and for that document the expectation shifts: target and expectation cannot both be kept there.
+make up for one (a long one in a source of few), chance decides if that misses the total by no more than a thousandth of
+the target; otherwise the outcome is taken after which less is owed, and the smaller ones take over what they can. Of the last
+14 chance decides while the best choice of the others still comes within a hundredth of the target; otherwise the outcome
+is taken from which it comes nearer. For such documents the expectation shifts: target and expectation cannot both be kept.
 Random numbers are hashes of seed and document, so reruns agree.
 
 Defined results: null text has size 0; documents without words are taken as often as the integral part says; sources
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import discard, growing, materialise, numbered, with_uid
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET, FAN, RESERVE, LONGEST = 4096, 64, 256, 128
+BUCKET, FAN, RESERVE, LONGEST, EXACT = 4096, 64, 256, 128, 14
 
 
 def source_targets(sources: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -100,6 +101,13 @@ def pivotal(ids: list, sizes: list[float], parts: list[float], seed: int) -> tup
     return bits, held, p
 
 
+def subset_sums(sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1)
+    for x in sizes:
+        out = np.concatenate([out, out + x])
+    return out
+
+
 def settle(ids: list, sizes: list[float], parts: list[float], seed: int, goal: float, count: int | None = None) -> list[int | None]:
     """Bits of documents in descending size: each trades with all later ones at once, as far as they can make up for it.
 
@@ -116,13 +124,20 @@ def settle(ids: list, sizes: list[float], parts: list[float], seed: int, goal: f
         room = s[rest] * np.minimum(p[rest] / ((1 - p[i]) * s[i]), (1 - p[rest]) / (p[i] * s[i]))
         total = float(room.sum())
         bit = int(chance(seed, "last", ids[i]) < p[i])
-        if total >= 1 and not off:
+        if len(ids) - i - 1 <= EXACT:
+            # what each outcome leaves over when the others are taken as fits best
+            sums, due = subset_sums(s[rest]), off + float((p[i:] * s[i:]).sum())
+            lacks = [float(np.abs(due - b * s[i] - sums).min()) for b in (0, 1)]
+            if lacks[bit] > max(lacks[1 - bit], goal / 100):
+                bit = 1 - bit
+        if total >= 1 and not off and (p[i] - bit) * s[i] <= float(((1 - p[rest]) * s[rest]).sum()) and (bit - p[i]) * s[i] <= float((p[rest] * s[rest]).sum()):
             p[rest] += np.divide((p[i] - bit) * s[i] * room / total, s[rest], out=np.zeros(len(room)), where=s[rest] > 0)
         else:
             up, down = float(((1 - p[rest]) * s[rest]).sum()), float((p[rest] * s[rest]).sum())
-            lacks = [max(off + p[i] * s[i] - up, 0.0), max((1 - p[i]) * s[i] - off - down, 0.0)]
-            if lacks[bit] > max(lacks[1 - bit], goal / 1000):
-                bit = 1 - bit
+            if len(ids) - i - 1 > EXACT:
+                lacks = [max(off + p[i] * s[i] - up, 0.0), max((1 - p[i]) * s[i] - off - down, 0.0)]
+                if lacks[bit] > max(lacks[1 - bit], goal / 1000):
+                    bit = 1 - bit
             owed = off + (p[i] - bit) * s[i]
             if owed > 0:
                 p[rest] += (1 - p[rest]) * min(1.0, owed / up if up else 0.0)
