@@ -1,7 +1,7 @@
 """Toxicity scores from a learned lexicon, misspellings of its terms, and the context in which they stand.
 
-Lexicon. Labelled documents outside the held-out fifth (at most `FIT_ROWS` of each class, those with the smallest hash)
-are counted: in how many of either class a word stands, and in how many words a stem (a beginning of four letters or
+Lexicon. Labelled documents outside the held-out fifth (at most `FIT_ROWS` of each class, those with the smallest hash; of
+near copies, which share one of two smallest hashes of three words, only one) are counted: in how many of either class a word stands, and in how many words a stem (a beginning of four letters or
 more) goes on. A word or stem is a term if the classes differ by a likelihood ratio that chance gives to about one
 candidate in all (G2 over twice the logarithm of their number); at most `TERMS`, those with the largest ratio. A stem of which
 nearly all is one longer term goes, and so does a longer term that is no surer than its stem.
@@ -18,7 +18,7 @@ Context. Each occurrence is judged in a window of `WINDOW` words on either side:
 reporting it is a quotation; next to a second person it is addressed. A logistic regression over the sums of free, quoted and
 addressed weights is fitted with a prior that lets quotations count little unless the labels say otherwise.
 
-Texts are read twice, once for counting and once for matching, and never shuffled. Only terms, surfaces and one number
+Texts are read twice, the sample's for counting and all for matching, and never shuffled. Only terms, surfaces and one number
 per feature are joined; the driver gets at most TERMS terms and 2 * FIT_ROWS rows of five numbers.
 
 Defined results: null and empty texts have no hits and the score of such texts; null ids are held out, as are ids whose
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, growing, materialise, releasing
+from .common import discard, growing, materialise, mix64, releasing, utf8_column, word_places
 
 FIT_ROWS, TERMS, WINDOW = 20_000, 4096, 6
 SHORTEST, LONGEST = 4, 12  # letters of stems
@@ -161,6 +161,25 @@ class Automaton:
         return list(best.items())
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds two smallest hashes of three neighbouring words, by which near copies know each other."""
+    for batch in batches:
+        offsets, data = utf8_column(batch, "_text")
+        text, _, _, word = word_places(offsets, data)
+        three = word * np.uint64(3) + np.append(word[1:], np.uint64(0)) * np.uint64(5) + np.append(word[2:], np.zeros(2, np.uint64))[: len(word)] * np.uint64(7)
+        whole = np.append(text[2:], [-1, -1])[: len(text)] == text
+        out = []
+        for seed in (11, 12):
+            least = np.zeros(batch.num_rows, np.uint64)
+            hashed = mix64(three ^ np.uint64(seed))
+            if whole.any():
+                own, rows = hashed[whole], text[whole]
+                heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                least[rows[heads]] = np.minimum.reduceat(own, heads)
+            out.append(pa.array(least.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_key", "_toxic", "_text")), *out], names=["_key", "_toxic", "_text", "f1", "f2"])
+
+
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
 
@@ -224,14 +243,14 @@ def _matching(terms: list[tuple[str, bool, float]]):
 
     def judged(text: str, known: dict[str, Hit | None]) -> list[dict]:
         low = text.lower()
-        at = [(m.start(), _RUN.sub(r"\1", m.group())) for m in _WORD.finditer(low)]
+        places, words = [m.start() for m in _WORD.finditer(low)], words_of(text)
         spans = [m.span() for m in _QUOTED.finditer(low)]
-        words = [w for _, w in at]
         found: dict[str, dict] = {}
-        for i, (place, word) in enumerate(at):
+        for i, word in enumerate(words):
             hit = known[word]
             if hit is None:
                 continue
+            place = places[i]
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
             told = any(a < place < b for a, b in spans) or not REPORTING.isdisjoint(near)
             h = found.setdefault(word, {"surface": word, "term": hit[0], "edits": hit[1], "free": 0, "quoted": 0, "addressed": 0})
@@ -325,8 +344,16 @@ def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     parts = [known.filter(F.col("_toxic") == y).orderBy(F.xxhash64("_key"), "_key").limit(fit_rows) for y in (0, 1)]
     sample = materialise(parts[0].unionByName(parts[1]), "sample")
     picked = df.select(F.struct(*[col(c) for c in carry or df.columns]).alias("_row"), col(key).cast("string").alias("_key"), col(text).alias("_text"))
-    texts = picked.select("_key", "_text").join(F.broadcast(sample), "_key")  # at most 2 * fit_rows rows
-    terms = learn_terms(texts.select("_text", "_toxic"), min(m1, fit_rows), min(m0, fit_rows))
+    few = picked.select("_key", "_text").join(F.broadcast(sample), "_key")  # at most 2 * fit_rows rows, and rows with their ids
+    texts = materialise(few.select("_key", "_toxic", "_text").mapInArrow(releasing(_families), "_key string, _toxic int, _text string, f1 long, f2 long"), "texts")
+    discard(sample)
+    # copies are no further evidence: of each family of a class one document stays
+    once = texts.groupBy("_toxic", "f1").agg(F.min(F.struct("_key", "f2")).alias("x")).groupBy("_toxic", "x.f2").agg(F.min("x._key").alias("_key"))
+    sample = materialise(once.select("_key", "_toxic"), "sample")
+    kept = {r._toxic: r.n for r in sample.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = texts.select("_key", "_text").join(F.broadcast(sample), "_key")  # at most 2 * fit_rows rows
+    terms = learn_terms(own.select("_text", "_toxic"), kept.get(1, 0), kept.get(0, 0))
+    discard(texts)
     fields = [*picked.select("_row", "_key").schema, *T.StructType.fromDDL("_uid long, n_words long, hits array<struct<surface: string, term: int, edits: int, free: int, quoted: int, addressed: int>>")]
     docs = materialise(picked.mapInArrow(releasing(_matching(terms)), T.StructType(fields)), "hits")
     hits = docs.filter(F.size("hits") > 0).select("_uid", "_key", "n_words", F.explode("hits").alias("h")).select("_uid", "_key", "n_words", "h.*")
