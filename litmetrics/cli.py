@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import norm_title, word_count
-from .operators import hybrid, indices, profiles, rules, sampling, scoring
+from .operators import hybrid, indices, profiles, rules, sampling, scoring, text_model
 from .plans import dataset, evaluation, pipelines
 from .report import markdown, to_json
 from .sources import files
@@ -53,13 +53,29 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--output", required=True)
     c.add_argument("--hard-cases", required=True)
     c.add_argument("--seed", type=int, default=42)
-    c = sub.add_parser("train", help="fit the hybrid on labelled papers")
+    c = sub.add_parser("train", help="train the text model on labelled papers, and fit the hybrid on others with its scores")
     c.add_argument("--dataset", required=True)
+    c.add_argument("--labelled", help="CSV of papers to fit the hybrid on; without it the dataset's test part")
+    c.add_argument("--hybrid-only", action="store_true", help="keep the text model that is in the folder")
     c.add_argument("--output-dir", required=True)
+    c.add_argument("--seed", type=int, default=42)
     c.add_argument("--cv", action="store_true", help="also report out-of-fold metrics by nested cross-validation")
     return p
 
 
+def load_models(spark: SparkSession, path: str | None) -> tuple[hybrid.Hybrid | None, text_model.TextModel | None]:
+    """The hybrid of a folder, and the text model beside it if there is one."""
+    if not path:
+        return None, None
+    return hybrid.Hybrid.load(path), text_model.TextModel.load(f"{path}/text") if files.exists(spark, f"{path}/text/config") else None
+
+
+def normal_form(raw: DataFrame) -> DataFrame:
+    """Labelled papers with an id of their own."""
+    raw = raw if "id" in raw.columns else sampling.numbered(raw, "id")
+    return profiles.normalize(raw, keep=("id", "Label")).filter("Label in ('0', '1')")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if not args.command:
@@ -67,8 +83,8 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     spark = SparkSession.builder.appName("litmetrics").getOrCreate()
     if args.command == "classify":
-        model = hybrid.Hybrid.load(args.model) if args.model else None
-        df = pipelines.classify(files.read_csv(spark, args.input), args.threshold, model)
+        model, scorer = load_models(spark, args.model)
+        df = pipelines.classify(files.read_csv(spark, args.input), args.threshold, model, scorer=scorer)
         files.write_routed(df, {args.output: F.col("Category") == "research", args.surveys: F.col("Category") != "research"})
         print(markdown(indices.impact(df.withColumn("all", F.lit("all")).withColumn("citationCount", F.col("citationCount").try_cast("double")), "all", F.col("Category") == "survey")))
     elif args.command == "combine":
@@ -97,9 +113,9 @@ def main(argv: list[str] | None = None) -> int:
         papers = papers.withColumn("Stratum", rules.stratum(F.col("title"), F.col("abstract")))
         files.write_csv(sampling.per_stratum(papers, "Stratum", args.per_stratum, "id", args.seed).drop("_key").withColumn("Label", F.lit("")).withColumn("Notes", F.lit("")), args.output)
     elif args.command == "evaluate":
-        model = hybrid.Hybrid.load(args.model) if args.model else None
+        model, scorer = load_models(spark, args.model)
         profiles_of = lambda glob: files.read_csv(spark, glob, provenance=True) if glob else None
-        tables = pipelines.evaluation_report(files.read_csv(spark, args.eval_set), profiles_of(args.authors), profiles_of(args.comparison), model)
+        tables = pipelines.evaluation_report(files.read_csv(spark, args.eval_set), profiles_of(args.authors), profiles_of(args.comparison), model, scorer=scorer)
         text = evaluation.report(tables, digits=3)
         if args.report:
             files.write_text(spark, text, f"{args.report}/report.md")
@@ -115,15 +131,20 @@ def main(argv: list[str] | None = None) -> int:
         files.write_csv(built.orderBy("Place").drop("Place"), args.output)
         files.write_csv(hard, args.hard_cases)
     elif args.command == "train":
-        raw = files.read_csv(spark, args.dataset)
-        raw = raw if "id" in raw.columns else sampling.numbered(raw, "id")
-        labelled = profiles.normalize(raw, keep=("id", "Label")).filter("Label in ('0', '1')")
-        labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
-        model = pipelines.train_hybrid(labelled)
+        papers = normal_form(files.read_csv(spark, args.dataset))
+        if args.hybrid_only:
+            scorer, parts = text_model.TextModel.load(f"{args.output_dir}/text"), sampling.split(papers, "Label", "id", args.seed)
+        else:
+            scorer, parts = pipelines.train_text_model(papers, args.seed)
+            scorer.save(f"{args.output_dir}/text")
+            print(f"text model: {len(scorer.losses)} passes tested, threshold {scorer.threshold:.2f}")
+        rows = normal_form(files.read_csv(spark, args.labelled)) if args.labelled else parts.filter("Split = 'test'").drop("Split")
+        labelled = scoring.with_proba(rows, scorer, pipelines.VECTOR)
+        model = pipelines.train_hybrid(labelled, pipelines.VECTOR)
         model.save(args.output_dir)
         print(f"C {model.c:g}, threshold {model.threshold:.2f}")
         if args.cv:
-            print(markdown(pipelines.cross_validated(labelled), 3))
+            print(markdown(pipelines.cross_validated(labelled, pipelines.VECTOR), 3))
     return 0
 
 

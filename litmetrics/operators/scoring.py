@@ -1,15 +1,13 @@
-"""Scorers of texts. A neural model plugs in as a function of batches; the default is a deterministic stand-in."""
+"""Scorers of texts: the trained text model, or a deterministic stand-in made of cues where none has been trained."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import capped_count, clean_text, has, paper_text
+from ..functions.text import capped_count, clean_text, has
+from .text_model import TextModel
 
 
 def cue_score(title: Column, abstract: Column) -> Column:
@@ -19,17 +17,9 @@ def cue_score(title: Column, abstract: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def score_batches(df: DataFrame, key: str, load: Callable[[], Callable[[list[str]], tuple[list[float], list[list[float]]]]], batch: int = 32) -> DataFrame:
-    """(key, proba, embedding): one forward pass per text. `load` runs once per worker and returns a function from texts
-    to probabilities and embeddings; rows of a partition are ordered by length so that batches need little padding."""
-    texts = df.select(F.col(key).alias("_key"), paper_text(F.col("Title"), F.col("Abstract")).alias("_text")).sortWithinPartitions(F.length("_text"))
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
-        for frame in frames:
-            for i in range(0, len(frame), batch):
-                part = frame.iloc[i : i + batch]
-                proba, vectors = model(part["_text"].tolist())
-                yield pd.DataFrame({"_key": part["_key"].to_numpy(), "proba": proba, "embedding": vectors})
-
-    return texts.mapInPandas(work, f"_key {texts.schema['_key'].dataType.simpleString()}, proba float, embedding array<float>").withColumnRenamed("_key", key)
+def with_proba(df: DataFrame, model: TextModel | None = None, embedding: str | None = None, proba: str = "proba") -> DataFrame:
+    """df (Title, Abstract) with the survey probability: by the trained text model where there is one, whose embedding may be
+    asked for as well, else by the cues."""
+    if model is not None:
+        return model.score(df, proba=proba, embedding=embedding)
+    return df.withColumn(proba, cue_score(F.col("Title"), F.col("Abstract")))

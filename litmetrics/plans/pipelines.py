@@ -6,33 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_is_survey, last_segment, paper_text
-from ..operators import baselines, features, hybrid, indices, metrics, profiles, rules, scoring
+from ..operators import baselines, features, hybrid, indices, metrics, profiles, rules, sampling, scoring, text_model
+from ..operators.text_model import TextModel
 from . import evaluation
 
+VECTOR = "_embedding"
+
 WORK = "struct<id:string,title:string,doi:string,abstract_inverted_index:map<string,array<int>>,primary_location:struct<source:struct<id:string,display_name:string>>,authorships:array<struct<author:struct<id:string,display_name:string>,institutions:array<struct<display_name:string>>>>,cited_by_count:long,referenced_works_count:long,publication_year:int,type:string>"
 
 
 RECORD = "struct<paperId:string,title:string,abstract:string,authors:array<struct<name:string>>,citationCount:long,references:array<struct<paperId:string>>,venue:string,year:int,publicationTypes:array<string>>"
 
 
-def scored(df: DataFrame, model: hybrid.Hybrid | None = None, embedding: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """A profile with `_score`, the survey probability, and `_survey`: by the fitted hybrid where there is one, else by the cues alone."""
+def scored(df: DataFrame, model: hybrid.Hybrid | None = None, embedding: str | None = None, threshold: float = 0.5, scorer: TextModel | None = None) -> DataFrame:
+    """A profile with `_score`, the survey probability, and `_survey`: by the fitted hybrid where there is one, else by the
+    trained text model alone, else by the cues alone. embedding: a column of df that the hybrid was fitted with."""
     profiles.require_columns(df, "title", "citationCount")
     text = lambda *names: F.coalesce(profiles.pick(df, *names).cast("string"), F.lit(""))
     title, abstract = text("Title", "title"), text("Abstract", "abstract")
-    if model is None:
+    if model is None and scorer is None:
         score = scoring.cue_score(title, abstract)
         return df.withColumn("_score", score).withColumn("_survey", score >= threshold)
     frame = df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     keep = ("_row", *([embedding] if embedding else []))
-    frame = profiles.normalize(frame, keep=keep).withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
+    frame = scoring.with_proba(profiles.normalize(frame, keep=keep), scorer, None if embedding or model is None else VECTOR)
+    if model is None:
+        return frame.select("_row.*", F.col("proba").alias("_score"), (F.col("proba") >= scorer.threshold).alias("_survey"))
+    embedding = embedding or (VECTOR if scorer is not None else None)
     found = model.predict(features.hybrid_features(frame, "proba", embedding, keep=("_row",)))
     return found.select("_row.*", F.col("hybrid_proba").alias("_score"), (F.col("is_survey") == 1).alias("_survey"))
 
 
-def classify(df: DataFrame, threshold: float = 0.5, model: hybrid.Hybrid | None = None, embedding: str | None = None) -> DataFrame:
-    """A profile with Category, SurveyScore (four decimals, half to even) and Keep; model: a fitted hybrid decides."""
-    rows = scored(df, model, embedding, threshold)
+def classify(df: DataFrame, threshold: float = 0.5, model: hybrid.Hybrid | None = None, embedding: str | None = None, scorer: TextModel | None = None) -> DataFrame:
+    """A profile with Category, SurveyScore (four decimals, half to even) and Keep; model: a fitted hybrid decides; scorer: a
+    trained text model gives the probability (and the embedding) in place of the cues."""
+    rows = scored(df, model, embedding, threshold, scorer)
     text = lambda *names: F.coalesce(profiles.pick(df, *names).cast("string"), F.lit(""))
     title, abstract, venue, kind = (text(n, n.lower()) for n in ("Title", "Abstract", "Venue", "Type"))
     category = rules.categorize(title, abstract, venue, kind, F.col("_survey"))
@@ -61,16 +69,19 @@ def method_flags(title, abstract, venue, kind) -> dict:
     }
 
 
-def evaluate_methods(df: DataFrame, model: hybrid.Hybrid | None = None, svm: bool = False) -> DataFrame:
-    """Metrics of all methods on labelled papers (Label 0 is a survey, 1 research): the rules, the scorer, the hybrid where one
-    is given, and the linear SVM, trained on the rows whose Split is train, where asked for."""
+def evaluate_methods(df: DataFrame, model: hybrid.Hybrid | None = None, svm: bool = False, scorer: TextModel | None = None) -> DataFrame:
+    """Metrics of all methods on labelled papers (Label 0 is a survey, 1 research): the rules, the cues, the text model and the
+    hybrid where one is given, and the linear SVM, trained on the rows whose Split is train, where asked for."""
     frame = profiles.normalize(df, keep=tuple(c for c in ("id", "Label", "Split") if c in df.columns)).filter("Label in ('0', '1')")
-    score = scoring.cue_score(F.col("Title"), F.col("Abstract"))
-    flags = method_flags(*(F.col(c) for c in ("Title", "Abstract", "Venue", "Type"))) | {"Scorer": score >= 0.5}
+    frame = scoring.with_proba(frame, scorer, VECTOR if scorer is not None else None)
+    cues = F.col("proba") if scorer is None else scoring.cue_score(F.col("Title"), F.col("Abstract"))
+    flags = method_flags(*(F.col(c) for c in ("Title", "Abstract", "Venue", "Type"))) | {"Scorer": cues >= 0.5}
+    if scorer is not None:
+        flags["Text model"] = F.col("proba") >= scorer.threshold
     y = (F.col("Label") == "0").cast("int").alias("y")
     rows = frame.select(y, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), c.cast("int").alias("p")) for m, c in flags.items()])).alias("f")).select("y", "f.*")
     if model is not None:
-        found = model.predict(features.hybrid_features(frame.withColumn("proba", score), "proba", keep=("Label",)))
+        found = model.predict(features.hybrid_features(frame, "proba", VECTOR if scorer is not None else None, keep=("Label",)))
         rows = rows.unionByName(found.select(y, F.lit("Learned hybrid").alias("method"), F.col("is_survey").alias("p")))
     if svm:
         profiles.require_columns(df, "id", "Split")
@@ -87,16 +98,16 @@ def evaluate_rules(df: DataFrame) -> DataFrame:
     return evaluate_methods(df).filter(F.col("method").isin(names))
 
 
-def evaluation_report(labelled: DataFrame, authors: DataFrame | None = None, comparison: DataFrame | None = None, model: hybrid.Hybrid | None = None, trained: DataFrame | None = None, by: str = "SourceFile") -> dict[str, DataFrame]:
+def evaluation_report(labelled: DataFrame, authors: DataFrame | None = None, comparison: DataFrame | None = None, model: hybrid.Hybrid | None = None, trained: DataFrame | None = None, by: str = "SourceFile", scorer: TextModel | None = None) -> dict[str, DataFrame]:
     """The tables of the report: methods on labelled papers; for profiles (column `by` names the author's file) the impact of
     leaving out surveys and the methods by author; with a second cohort the comparison of both."""
-    tables = {"Methods": evaluate_methods(labelled, model)}
+    tables = {"Methods": evaluate_methods(labelled, model, scorer=scorer)}
     if authors is None:
         return tables
 
     def prepared(df: DataFrame) -> DataFrame:
         typed = df.withColumn("citationCount", F.coalesce(F.col("citationCount").cast("string").try_cast("double"), F.lit(0.0)))
-        return classify(typed.withColumn("authors", profiles.pick(df, "authors")), model=model)
+        return classify(typed.withColumn("authors", profiles.pick(df, "authors")), model=model, scorer=scorer)
 
     def compared(df: DataFrame) -> DataFrame:
         flags = method_flags(*(F.coalesce(F.col(c), F.lit("")) for c in ("title", "abstract", "venue", "type")))
@@ -112,6 +123,17 @@ def evaluation_report(labelled: DataFrame, authors: DataFrame | None = None, com
     return tables
 
 
+def train_text_model(labelled: DataFrame, seed: int = 42, share: float = 0.25, **options) -> tuple[TextModel, DataFrame]:
+    """The text model of papers in normal form with id and Label, and the papers with `Split`: a fifth is test, a tenth of
+    the rest stops the training and chooses the threshold, and of what is trained on a share loses its abstracts."""
+    y = (F.col("Label") == "0").cast("int")
+    parts = sampling.split(labelled, "Label", "id", seed)
+    train = sampling.title_only(parts.filter("Split = 'train'"), "Abstract", "id", share, seed)
+    model = text_model.fit(train.unionByName(parts.filter("Split = 'val'")), "id", y, seed=seed, **options)
+    model.threshold = text_model.chosen_threshold(model, parts.filter("Split = 'val'"), y)
+    return model, parts
+
+
 def train_hybrid(labelled: DataFrame, embedding: str | None = None):
     """labelled: normal form with id, Label and proba."""
     rows = features.hybrid_features(labelled, "proba", embedding, keep=("id", "Label"))
@@ -119,9 +141,9 @@ def train_hybrid(labelled: DataFrame, embedding: str | None = None):
     return hybrid.fit_selected(rows, "id", "stratum")
 
 
-def cross_validated(labelled: DataFrame, **options) -> DataFrame:
+def cross_validated(labelled: DataFrame, embedding: str | None = None, **options) -> DataFrame:
     """Metrics of out-of-fold predictions by nested cross-validation, averaged over its repetitions."""
-    rows = features.hybrid_features(labelled, "proba", keep=("id", "Label"))
+    rows = features.hybrid_features(labelled, "proba", embedding, keep=("id", "Label"))
     rows = rows.select("id", F.lit("all").alias("stratum"), "features", (F.col("Label") == "0").cast("double").alias("y"), F.lit(1.0).alias("w"))
     found = hybrid.nested_cv(rows, "id", "stratum", **options).join(rows.select("id", "y"), "id")
     each = metrics.confusion(found, ["rep"], F.col("y").cast("int"), F.col("pred"))

@@ -474,6 +474,28 @@ def hybrid_fit(spark, sf_dir):
     return hybrid.fit_selected(rows, "id", "stratum").predict(rows).select("id", F.round("hybrid_proba", 4).alias("hybrid_proba"), "is_survey")
 
 
+def _text_model(spark, sf_dir):
+    """The text model trained on the papers with a label, and those papers with their parts."""
+    labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label")).filter("Label in ('0', '1')")
+    return pipelines.train_text_model(labelled)
+
+
+@query()
+def text_scores(spark, sf_dir):
+    """Probability and verdict of the trained text model on every paper, with the part that it had in the training."""
+    model, parts = _text_model(spark, sf_dir)
+    every = profiles.normalize(papers(spark, sf_dir), keep=("id",)).join(parts.select("id", "Split"), "id", "left")
+    return model.score(every).select("id", "Split", F.round("proba", 4).alias("proba"), (F.col("proba") >= model.threshold).cast("int").alias("p"))
+
+
+@query()
+def text_model_metrics(spark, sf_dir):
+    """Methods on the part of the papers that the text model has not seen."""
+    model, parts = _text_model(spark, sf_dir)
+    out = pipelines.evaluate_methods(parts.filter("Split = 'test'").drop("Split"), scorer=model)
+    return out.select("method", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
 @query()
 def nested_cv(spark, sf_dir):
     """Out-of-fold predictions of the hybrid without embeddings, the rare stratum's papers as fixed rows."""

@@ -114,10 +114,11 @@ def labelled_csv(spark, path, n=120):
 def test_hybrid_is_fitted_saved_loaded_and_used(spark, tmp_path, capsys):
     labelled_csv(spark, f"{tmp_path}/labelled")
     assert cli.main(["train", "--dataset", f"{tmp_path}/labelled", "--output-dir", f"{tmp_path}/model"]) == 0
-    model = hybrid.Hybrid.load(f"{tmp_path}/model")
+    model, scorer = cli.load_models(spark, f"{tmp_path}/model")
     frame = spark.createDataFrame([("1", "A survey of things", "this survey reviews the field " * 8, "IEEE Network", "article", "5"), ("2", "Fast coding", "we propose a scheme that outperforms " * 8, "V", "article", "50"), ("3", "Some book", "x " * 30, "V", "book", None)], "id string, title string, abstract string, venue string, type string, citationCount string")
-    assert {r.id: r.Category for r in pipelines.classify(frame, model=model).collect()} == {"1": "survey", "2": "research", "3": "non-paper"}
-    assert len(model.mean) == 11
+    assert {r.id: r.Category for r in pipelines.classify(frame, model=model, scorer=scorer).collect()} == {"1": "survey", "2": "research", "3": "non-paper"}
+    assert {r.id: r.Category for r in pipelines.classify(frame, scorer=scorer).collect()} == {"1": "survey", "2": "research", "3": "non-paper"}
+    assert len(model.mean) == 11 + len(scorer.weights.head) - 1 and len(scorer.losses) > 2
     files.write_csv(frame, f"{tmp_path}/profile")
     assert cli.main(["classify", "--input", f"{tmp_path}/profile", "--output", f"{tmp_path}/kept", "--surveys", f"{tmp_path}/out", "--model", f"{tmp_path}/model"]) == 0
     assert [r.id for r in files.read_csv(spark, f"{tmp_path}/kept").collect()] == ["2"]
@@ -125,10 +126,25 @@ def test_hybrid_is_fitted_saved_loaded_and_used(spark, tmp_path, capsys):
     text = open(f"{tmp_path}/report/report.md").read()
     assert all(f"## {x}" in text for x in ("Methods", "Authors", "Methods by author", "Cohorts")) and "Learned hybrid" in text
     tables = json.load(open(f"{tmp_path}/report/tables.json"))
+    assert next(r for r in tables["Methods"] if r["method"] == "Text model")["f1"] == 1.0
     assert next(r for r in tables["Methods"] if r["method"] == "Learned hybrid")["f1"] == 1.0
     assert {r["method"] for r in tables["Cohorts"]} == {"Main", "Keyword only", "Title phrases", "Indexer type", "Strict phrases"}
 
 
+def test_training_again_only_the_hybrid(spark, tmp_path, capsys):
+    labelled_csv(spark, f"{tmp_path}/labelled")
+    labelled_csv(spark, f"{tmp_path}/others", 60)
+    train = ["train", "--dataset", f"{tmp_path}/labelled", "--labelled", f"{tmp_path}/others", "--output-dir", f"{tmp_path}/model"]
+    assert cli.main(train) == 0
+    first = cli.load_models(spark, f"{tmp_path}/model")
+    assert "text model: " in capsys.readouterr().out
+    assert cli.main([*train, "--hybrid-only"]) == 0
+    again = cli.load_models(spark, f"{tmp_path}/model")
+    assert "text model: " not in capsys.readouterr().out
+    assert first[0].coefficients == pytest.approx(again[0].coefficients) and (first[1].weights.table == again[1].weights.table).all()
+    assert cli.load_models(spark, None) == (None, None)
+
+
 def test_out_of_fold_metrics(spark):
     rows = [(i, f"A survey of field {i}" if i % 2 else f"Fast routing {i}", "this survey reviews " * 10 if i % 2 else "we propose a scheme " * 10, 0, "", "", "0" if i % 2 else "1", 0.9 if i % 2 else 0.1) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, Title string, Abstract string, ReferenceCount long, Venue string, Type string, Label string, proba double")
