@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
+from . import svm
+from .sampling import shuffled
 
 
 def terms(text: Column) -> Column:
@@ -45,30 +45,47 @@ class TfIdf:
         return raw.select(key, "term", (F.col("_raw") / length).alias("weight"))
 
 
-def sparse(weights: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
-    """(key, features): one sparse vector a document; terms are filed under `buckets` hashes, so no vocabulary is collected."""
-    cells = weights.groupBy(key, F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("_i")).agg(F.sum("weight").alias("_v"))
-    lists = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_c"))
-    # vectors have no native constructor for sparse values; one call a document
-    build = F.udf(lambda i, v: Vectors.sparse(buckets, i, v), VectorUDT())
-    return lists.select(key, build("_c._i", "_c._v").alias("features"))
+def dictionary(idf: DataFrame) -> DataFrame:
+    """(term, i): the terms numbered from 1 on, by ranges of their hashes and the counts before: no vocabulary is collected."""
+    return shuffled(idf.select("term"), "term", 0, "i")
 
 
-def fit_svm(vectors: DataFrame, label: str = "y", c: float = 1.0) -> LinearSVCModel:
-    """vectors (features, label 0/1). Hinge loss, where a squared one is usual elsewhere: close, not equal."""
-    rows = vectors.select("features", label).cache()
-    n = rows.count()
-    # every step of the fit is a job: a few labelled texts are not worth many tasks
-    model = LinearSVC(labelCol=label, regParam=1.0 / (c * max(1, n)), standardization=False, maxIter=100, tol=1e-4).fit(rows.coalesce(1 + n // 1024))
-    rows.unpersist()
-    return model
+def sparse(weights: DataFrame, key: str, numbers: DataFrame) -> DataFrame:
+    """(key, at, value): the weights of a document by the numbers of their terms, ascending."""
+    cells = F.sort_array(F.collect_list(F.struct("i", "weight")))
+    return weights.join(numbers, "term").groupBy(key).agg(cells.alias("_c")).select(key, F.col("_c.i").alias("at"), F.col("_c.weight").alias("value"))
+
+
+@dataclass
+class LinearSvm:
+    """Weights by term (term, weight), and the intercept."""
+
+    weights: DataFrame
+    intercept: float
+
+    def margins(self, vectors: DataFrame, key: str) -> DataFrame:
+        """(key, margin) of documents given as (key, term, weight); those without a known term are not there."""
+        known = vectors.join(self.weights.withColumnRenamed("weight", "_w"), "term")
+        return known.groupBy(key).agg((F.sum(F.col("weight") * F.col("_w")) + F.lit(self.intercept)).alias("margin"))
+
+
+def fit_svm(tfidf: TfIdf, train: DataFrame, key: str, text: Column, label: str, c: float = 1.0) -> LinearSvm:
+    """The support vector machine with squared hinge loss of labelled texts over all terms of tfidf."""
+    numbers = dictionary(tfidf.idf).cache()
+    width = 1 + numbers.count()
+    lists = sparse(tfidf.transform(train, key, text), key, numbers)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = train.select(key, F.col(label).alias("y")).join(lists, key, "left")
+    w = svm.fit(rows.select(F.coalesce("at", none("int")).alias("at"), F.coalesce("value", none("double")).alias("value"), "y"), width, c)
+    table = train.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(1, width, dtype=np.int32), "weight": w[1:]}), "i int, weight double")
+    return LinearSvm(numbers.join(table, "i").select("term", "weight"), float(w[0]))
 
 
 def tfidf_svm(train: DataFrame, test: DataFrame, key: str, text: Column, label: str, c: float = 1.0) -> DataFrame:
     """(key, p, margin) for the rows of test; train holds the 0/1 column `label`. Rows without known terms get p 0 or 1 by the intercept."""
     tfidf = TfIdf.fit(train, text)
-    fitted = sparse(tfidf.transform(train, key, text), key).join(train.select(key, F.col(label).cast("double").alias("y")), key)
-    model = fit_svm(fitted, "y", c)
-    scored = model.transform(sparse(tfidf.transform(test, key, text), key)).select(key, vector_to_array("rawPrediction")[1].alias("_m"))
-    margin = F.coalesce("_m", F.lit(float(model.intercept)))
+    tfidf.idf = tfidf.idf.cache()
+    model = fit_svm(tfidf, train, key, text, label, c)
+    scored = model.margins(tfidf.transform(test, key, text), key)
+    margin = F.coalesce("margin", F.lit(model.intercept))
     return test.select(key).join(scored, key, "left").select(key, (margin > 0).cast("int").alias("p"), margin.alias("margin"))
