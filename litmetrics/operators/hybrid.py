@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import seeded
 from . import logistic
-from .sampling import folds
+from .sampling import PREFIX, folds
 
 C_GRID = (0.01, 0.1, 1.0)
+ROWS = 4096  # of a task: a few labelled papers are not worth many
+
+
+def _chosen(grid: tuple[float, ...], reached: list[tuple[float, float]]) -> tuple[float, float, float, int]:
+    """(F1, -C, threshold, place in the grid) of the largest F1, then of the smallest C."""
+    return max((f1, -c, t, at) for at, (c, (f1, t)) in enumerate(zip(grid, reached, strict=True)))
 
 
 @dataclass
@@ -49,9 +55,10 @@ def fit_selected(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None
         rows = rows.unionByName(fixed.withColumn("fold", F.lit(-1)).select(*columns))
     kept = rows.cache()
     size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")).first()
-    parts = kept.coalesce(1 + size.n // 4096)  # a few labelled papers are not worth many tasks
-    fits = logistic.fit_all(parts, k, grid, size.width)
-    f1, c, threshold, at = max((f1, -c, t, at) for at, (c, (f1, t)) in enumerate(zip(grid, logistic.thresholds(parts, fits, k), strict=True)))
+    tasks = 1 + size.n // ROWS
+    parts = kept.coalesce(tasks)
+    fits = logistic.fit_all(parts, k, grid, size.width, 1, tasks)
+    f1, c, threshold, at = _chosen(grid, logistic.thresholds(parts, fits, k, 1, tasks))
     kept.unpersist()
     return Hybrid(fits.mean[k].tolist(), fits.scale[k].tolist(), fits.beta[k, at, :-1].tolist(), float(fits.beta[k, at, -1]), threshold, -c)
 
@@ -66,20 +73,55 @@ def source_weights(df: DataFrame, source: str, w: str, fixed: str = "llm", extra
     return known.withColumn(w, weight).select(*df.columns)
 
 
-def nested_cv(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = None, reps: int = 5, outer: int = 10, inner: int = 5, seed: int = 42, grid: tuple[float, ...] = C_GRID, parallel: int = 4) -> DataFrame:
+def nested_folds(df: DataFrame, key: str, stratum: str, reps: int, outer: int, inner: int, seed: int) -> DataFrame:
+    """df with `outer`, the outer fold of every repetition, and `folds`: for each repetition and outer fold the inner fold
+    among the rows outside that fold, OUT for the rows inside.
+
+    Inner folds deal out the rows of a class and stratum in one seeded order, held-out rows left out: a row's place is
+    its place among all less the number of held-out ones before it, which is counted in ranges of that order.
+    """
+    rows = df
+    for rep in range(reps):
+        rows = folds(rows, [stratum, "y"], key, outer, seed + rep).withColumnRenamed("fold", f"_o{rep}")
+    hashed = rows.withColumn("_u", seeded(F.col(key), F.lit(seed))).withColumn("_range", F.substring("_u", 1, PREFIX))
+    jobs = [(r, o) for r in range(reps) for o in range(outer)]
+    inside = [F.count_if(F.col(f"_o{r}") != o) for r, o in jobs]
+    counts = hashed.groupBy(stratum, "y", "_range").agg(F.array(*inside).alias("_n"))  # at most 16 ** PREFIX rows a class and stratum
+    earlier = Window.partitionBy(stratum, "y").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.array(*[F.coalesce(F.sum(F.get("_n", F.lit(j))).over(earlier), F.lit(0)) for j in range(len(jobs))])
+    starts = counts.select(F.col(stratum).alias("_s"), F.col("y").alias("_y"), F.col("_range").alias("_r"), before.alias("_before"))
+    sofar = Window.partitionBy(stratum, "y", "_range").orderBy("_u", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hashed.withColumn("_in", F.array(*[c.over(sofar) for c in inside]))
+    same = F.col(stratum).eqNullSafe(F.col("_s")) & F.col("y").eqNullSafe(F.col("_y")) & (F.col("_range") == F.col("_r"))
+    place = [F.when(F.col(f"_o{r}") == o, logistic.OUT).otherwise((F.get("_before", F.lit(j)) + F.get("_in", F.lit(j)) - 1) % inner).cast("int") for j, (r, o) in enumerate(jobs)]
+    return placed.join(starts, same).select(*df.columns, F.array(*[F.col(f"_o{r}") for r in range(reps)]).alias("outer"), F.array(*place).alias("folds"))
+
+
+def nested_cv(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = None, reps: int = 5, outer: int = 10, inner: int = 5, seed: int = 42, grid: tuple[float, ...] = C_GRID) -> DataFrame:
     """(key, rep, pred): out-of-fold predictions of every repetition. C and the threshold are chosen anew inside every
-    outer training part, so the held-out rows take no part in the choice. Rows are found by key, not by position."""
-    parts = [folds(df, [stratum, "y"], key, outer, seed + rep).withColumnRenamed("fold", "_outer") for rep in range(reps)]
-
-    def held_out(job: tuple[int, int]) -> DataFrame:
-        rep, fold = job
-        rows = parts[rep]
-        model = fit_selected(rows.filter(F.col("_outer") != fold).drop("_outer"), key, stratum, fixed, inner, seed, grid)
-        return model.predict(rows.filter(F.col("_outer") == fold)).select(key, F.lit(rep).alias("rep"), F.col("is_survey").alias("pred"))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        out = list(pool.map(held_out, [(r, f) for r in range(reps) for f in range(outer)]))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
+    outer training part, so the held-out rows take no part in the choice. All fits of all repetitions, folds and strengths
+    go over the rows in the same passes, and the predictions are one join with the table of reps * outer models."""
+    jobs = reps * outer
+    rows = nested_folds(df, key, stratum, reps, outer, inner, seed).cache()
+    columns = [F.col("features").cast("array<double>").alias("features"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w")]
+    sets = rows.select("folds", F.lit(True).alias("free"), *columns)
+    if fixed is not None:
+        sets = sets.unionByName(fixed.select(F.array_repeat(F.lit(inner), jobs).alias("folds"), F.lit(False).alias("free"), *columns))
+    kept = sets.cache()
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")).first()
+    tasks = 1 + size.n // ROWS
+    parts = kept.coalesce(tasks)
+    fits = logistic.fit_all(parts, inner, grid, size.width, jobs, tasks)
+    reached = logistic.thresholds(parts, fits, inner, jobs, tasks)
+    kept.unpersist()
+    models = []
+    for job in range(jobs):
+        _, _, threshold, at = _chosen(grid, reached[job * len(grid) : (job + 1) * len(grid)])
+        whole = job * (inner + 1) + inner
+        slope = fits.beta[whole, at, :-1] / fits.scale[whole]
+        models.append((job, slope.tolist(), float(fits.beta[whole, at, -1] - slope @ fits.mean[whole]), threshold))
+    table = df.sparkSession.createDataFrame(models, "_job int, _slope array<double>, _start double, _threshold double")
+    held = rows.select(key, "features", F.posexplode("outer").alias("rep", "_o")).withColumn("_job", F.col("rep") * outer + F.col("_o"))
+    z = F.aggregate(F.zip_with(F.col("features").cast("array<double>"), "_slope", lambda x, b: x * b), F.col("_start"), lambda a, x: a + x)
+    pred = (1 / (1 + F.exp(-z)) >= F.col("_threshold")).cast("int")
+    return held.join(F.broadcast(table), "_job").select(key, "rep", pred.alias("pred"))  # reps * outer models

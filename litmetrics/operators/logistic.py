@@ -3,10 +3,13 @@
 A table (fold, features, y, w) has k + 1 training sets: set i < k leaves out the rows of fold i, set k takes all. Rows
 whose fold is negative are fixed: they are in every set with the weight they have, while the weights of the other rows
 are scaled to mean 1 within each set. Features are standardized by the set's own unweighted means and deviations.
+In place of `fold` a row may hold `folds`, an array with a fold for each of several jobs, each with its own k + 1 sets, and
+`free` (false: fixed): OUT says that the row takes no part in a job, k that it is in all of the job's sets.
 
 Every step of Newton's method is one pass for all sets and strengths: a task adds up the gradient and the second
-derivatives of its rows, the tasks' sums are added by (set, strength), and only the totals reach the driver, which are
-(k + 1) * len(grid) * (features + 1) ** 2 numbers whatever the number of rows. A step that makes the loss larger is halved.
+derivatives of its rows, the tasks' sums are added by set (of many tasks first in SALT shares), and only the totals reach
+the driver, which are jobs * (k + 1) * len(grid) * (features + 1) ** 2 numbers whatever the number of rows. A step that
+makes the loss larger is halved.
 
 Defined results: a constant feature keeps scale 1; a set with one class only tends to that class; no rows give
 coefficients of 0.
@@ -21,12 +24,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 STEPS, TOLERANCE, RIDGE = 100, 1e-9, 1e-10
 LOW, HIGH = 5, 95  # per cent: the thresholds tried
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+OUT, SALT = -1, 64
+
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # folds by job, whether free, features, y, w
 
 
 @dataclass
@@ -39,12 +45,21 @@ class Fits:
 
 
 def _rows_of(batch: pa.RecordBatch) -> Rows:
-    x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    fold, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "y", "w"))
-    return fold, x, y, w
+    matrix = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+    if "fold" in batch.schema.names:
+        fold = batch.column("fold").to_numpy(zero_copy_only=False)
+        return np.where(fold < 0, np.iinfo(np.int32).max, fold)[:, None], fold >= 0, matrix("features"), y, w
+    return matrix("folds"), batch.column("free").to_numpy(zero_copy_only=False), matrix("features"), y, w
+
 
+def _members(folds: np.ndarray, at: int, k: int) -> np.ndarray:
+    """Which rows are in set `at`."""
+    fold = folds[:, at // (k + 1)]
+    return (fold != OUT) & (fold != at % (k + 1)) if at % (k + 1) < k else fold != OUT
 
-def _added(rows: DataFrame, sums_of: Callable[[Rows], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+
+def _added(rows: DataFrame, sums_of: Callable[[Rows], np.ndarray], shape: tuple[int, ...], tasks: int = 1) -> np.ndarray:
     """The sum of sums_of over all rows: an array of that shape, added up in every task first and then by its first index."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,14 +67,18 @@ def _added(rows: DataFrame, sums_of: Callable[[Rows], np.ndarray], shape: tuple[
         for batch in batches:
             if batch.num_rows:
                 total += sums_of(_rows_of(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), pa.array(list(total.reshape(shape[0], -1)), pa.list_(pa.float64()))], names=["at", "sums"])
+        salt = pa.array([TaskContext.get().partitionId() % SALT] * shape[0], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), salt, pa.array(list(total.reshape(shape[0], -1)), pa.list_(pa.float64()))], names=["at", "salt", "sums"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": part["at"].iloc[:1], "sums": [reduce(np.add, part["sums"])]})
-
-    out, schema = np.zeros((shape[0], int(np.prod(shape[1:])))), "at int, sums array<double>"
-    for at, sums in rows.mapInArrow(work, schema).groupBy("at").applyInPandas(add, schema).collect():
-        out[at] = sums
+        return pd.DataFrame({"at": part["at"].iloc[:1], "salt": part["salt"].iloc[:1], "sums": [reduce(np.add, part["sums"])]})
+
+    out, schema = np.zeros((shape[0], int(np.prod(shape[1:])))), "at int, salt int, sums array<double>"
+    sums = rows.mapInArrow(work, schema)
+    if tasks > SALT:
+        sums = sums.groupBy("at", "salt").applyInPandas(add, schema)
+    for at, _, values in (sums.groupBy("at").applyInPandas(add, schema) if tasks > 1 else sums).collect():
+        out[at] += values
     return out.reshape(shape)
 
 
@@ -67,27 +86,27 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int) -> Fits:
-    """rows (fold, features, y, w), features of that width. The loss of a set is the weighted log loss + |coefficients|^2 / (2 c)."""
-    sets, many, d = k + 1, len(grid), width
+def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int, jobs: int = 1, tasks: int = 2) -> Fits:
+    """rows (fold or folds and free, features, y, w), features of that width, in about so many tasks. The loss of a set is the weighted log loss + |coefficients|^2 / (2 c)."""
+    sets, many, d = jobs * (k + 1), len(grid), width
 
     def first(data: Rows) -> np.ndarray:
-        fold, x, _, w = data
+        folds, free, x, _, w = data
         out = np.zeros((sets, 3 + d))
         for i in range(sets):
-            free = (fold != i) & (fold >= 0)
-            out[i] = [(fold != i).sum(), free.sum(), w[free].sum(), *x[fold != i].sum(axis=0)]
+            own = _members(folds, i, k)
+            out[i] = [own.sum(), (own & free).sum(), w[own & free].sum(), *x[own].sum(axis=0)]
         return out
 
-    moments = _added(rows, first, (sets, 3 + d))
+    moments = _added(rows, first, (sets, 3 + d), tasks)
     n = np.maximum(moments[:, 0], 1)
     mean = moments[:, 3:] / n[:, None]
 
     def second(data: Rows) -> np.ndarray:
-        fold, x, _, _ = data
-        return np.stack([((x[fold != i] - mean[i]) ** 2).sum(axis=0) for i in range(sets)])
+        folds, _, x, _, _ = data
+        return np.stack([((x[_members(folds, i, k)] - mean[i]) ** 2).sum(axis=0) for i in range(sets)])
 
-    scale = np.sqrt(_added(rows, second, (sets, d)) / n[:, None])
+    scale = np.sqrt(_added(rows, second, (sets, d), tasks) / n[:, None])
     scale[scale <= 1e-12 * np.maximum(1, np.abs(mean))] = 1
     unit = np.where(moments[:, 2] > 0, moments[:, 2] / np.maximum(moments[:, 1], 1), 1.0)  # the mean weight
 
@@ -101,14 +120,14 @@ def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int) -> Fit
         place, active = here + step, busy.copy()
 
         def derivatives(data: Rows, place: np.ndarray = place, active: np.ndarray = active) -> np.ndarray:
-            fold, x, y, w = data
+            folds, free, x, y, w = data
             out = np.zeros((sets, many, 2 + q + q * q))
             for i in range(sets):
                 if not active[i].any():
                     continue
-                own = fold != i
+                own = _members(folds, i, k)
                 xs = np.hstack([(x[own] - mean[i]) / scale[i], np.ones((own.sum(), 1))])
-                ws = np.where(fold[own] >= 0, w[own] / unit[i], w[own])
+                ws = np.where(free[own], w[own] / unit[i], w[own])
                 for c in np.flatnonzero(active[i]):
                     z = xs @ place[i, c]
                     p = _sigmoid(z)
@@ -116,7 +135,7 @@ def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int) -> Fit
                     out[i, c] = [loss, ws.sum(), *(xs.T @ (ws * (p - y[own]))), *(xs.T @ (xs * (ws * p * (1 - p))[:, None])).ravel()]
             return out
 
-        sums = _added(rows, derivatives, (sets, many, 2 + q + q * q))
+        sums = _added(rows, derivatives, (sets, many, 2 + q + q * q), tasks)
         for i, c in zip(*np.nonzero(active), strict=True):
             loss = sums[i, c, 0] + (penalty[c] * place[i, c] ** 2).sum() / 2
             if loss > best[i, c] + 1e-12 * abs(best[i, c]):
@@ -134,25 +153,26 @@ def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int) -> Fit
     return Fits(mean, scale, here)
 
 
-def thresholds(rows: DataFrame, fits: Fits, k: int) -> list[tuple[float, float]]:
-    """For each strength the largest weighted F1 of the rows, each scored by the set that leaves it out, and the first threshold that has it."""
+def thresholds(rows: DataFrame, fits: Fits, k: int, jobs: int = 1, tasks: int = 2) -> list[tuple[float, float]]:
+    """For each job and strength the largest weighted F1 of the free rows, each scored by the set that leaves it out, and the first threshold that has it."""
     many, bins = fits.beta.shape[1], HIGH - LOW + 2
 
     def reached(data: Rows) -> np.ndarray:
-        fold, x, y, w = data
-        out = np.zeros((many, 2, bins))
-        for i in range(k):
-            own = fold == i
-            xs = (x[own] - fits.mean[i]) / fits.scale[i]
-            for c in range(many):
-                score = _sigmoid(xs @ fits.beta[i, c, :-1] + fits.beta[i, c, -1])
-                at = np.clip(np.floor(score * 100 + 1e-9), LOW - 1, HIGH).astype(int) - (LOW - 1)
-                out[c, 0] += np.bincount(at, w[own] * (y[own] == 1), bins)
-                out[c, 1] += np.bincount(at, w[own], bins)
+        folds, free, x, y, w = data
+        out = np.zeros((jobs, many, 2, bins))
+        for job in range(jobs):
+            for i in range(k):
+                own, at = free & (folds[:, job] == i), job * (k + 1) + i
+                xs = (x[own] - fits.mean[at]) / fits.scale[at]
+                for c in range(many):
+                    score = _sigmoid(xs @ fits.beta[at, c, :-1] + fits.beta[at, c, -1])
+                    bin_of = np.clip(np.floor(score * 100 + 1e-9), LOW - 1, HIGH).astype(int) - (LOW - 1)
+                    out[job, c, 0] += np.bincount(bin_of, w[own] * (y[own] == 1), bins)
+                    out[job, c, 1] += np.bincount(bin_of, w[own], bins)
         return out
 
     found = []
-    for pos, every in _added(rows, reached, (many, 2, bins)):
+    for pos, every in _added(rows, reached, (jobs, many, 2, bins), tasks).reshape(jobs * many, 2, bins):
         hit, flagged = (np.cumsum(v[::-1])[::-1][1:] for v in (pos, every))
         precision, recall = hit / np.maximum(flagged, 1e-12), hit / max(pos.sum(), 1e-12)
         f1 = np.where(precision + recall == 0, 0.0, 2 * precision * recall / np.maximum(precision + recall, 1e-300))

@@ -86,3 +86,24 @@ def test_saved_models_predict_the_same(spark, tmp_path):
     model = hybrid.fit_selected(df, "id", "stratum", k=2, grid=(0.1,))
     model.save(f"file://{tmp_path}/m")
     assert hybrid.Hybrid.load(f"file://{tmp_path}/m") == model
+
+
+def test_nested_predictions_are_those_of_single_fits(spark):
+    """Every repetition and outer fold fitted by itself, one after the other."""
+    rows = noisy(150, 5)
+    df = spark.createDataFrame([(*r, "ab"[r[0] % 2]) for r in rows], "id int, features array<double>, y double, w double, stratum string").repartition(3).cache()
+    fixed = spark.createDataFrame(noisy(20, 6, fixed=True), "id int, features array<double>, y double, w double").drop("id")
+    want = {}
+    for rep in range(2):
+        parts = hybrid.folds(df, ["stratum", "y"], "id", 3, 42 + rep).withColumnRenamed("fold", "_outer").cache()
+        for fold in range(3):
+            model = hybrid.fit_selected(parts.filter(F.col("_outer") != fold).drop("_outer"), "id", "stratum", fixed, 3, 42, GRID)
+            want |= {(r.id, rep): r.is_survey for r in model.predict(parts.filter(F.col("_outer") == fold)).collect()}
+    got = {(r.id, r.rep): r.pred for r in hybrid.nested_cv(df, "id", "stratum", fixed, reps=2, outer=3, inner=3, grid=GRID).collect()}
+    assert len(got) == 300 and got == want
+
+
+def test_sums_of_many_tasks_are_added_in_shares(spark):
+    rows = spark.createDataFrame([(i % 3, *r) for i, *r in noisy(200, 8)], "fold int, features array<double>, y double, w double")
+    one, many = (logistic.fit_all(rows.repartition(n), 3, GRID, 4, 1, tasks) for n, tasks in ((2, 2), (70, 70)))
+    assert np.allclose(one.beta, many.beta, atol=1e-7) and np.allclose(one.mean, many.mean)

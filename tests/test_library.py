@@ -135,9 +135,10 @@ def test_registered_models_use_the_whole_grid_and_all_folds(spark, sf_dir, monke
     monkeypatch.setattr(hybrid, "fit_selected", fit_selected)
     registry.queries()["hybrid_fit"](spark, sf_dir)
     assert grids == [(5, (0.01, 0.1, 1.0))]
-    grids.clear()
-    registry.queries()["nested_cv"](spark, sf_dir)
-    assert grids == [(5, (0.01, 0.1, 1.0))] * 50
+    monkeypatch.setattr(hybrid.logistic, "fit_all", lambda rows, k, grid, width, jobs, tasks: grids.append((k, grid, jobs)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        registry.queries()["nested_cv"](spark, sf_dir)
+    assert grids[1:] == [(5, (0.01, 0.1, 1.0), 50)]
 
 
 def test_nested_cv_predicts_every_row_once(spark):
