@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import baselines, features, hybrid, indices, matching, metrics, profiles, rules, sampling, scoring, verification
+from ..operators import baselines, features, hybrid, indices, matching, metrics, profiles, resampling, rules, sampling, scoring, verification
 from . import pipelines
 from .papers import papers, papers_sql
 
@@ -466,9 +466,11 @@ def paired_bootstrap(spark, sf_dir):
 
 @query()
 def hybrid_fit(spark, sf_dir):
-    """Predictions of the hybrid on the papers it was fitted on, embeddings included."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label")).filter("Label in ('0', '1')").join(vectors, "id")
+    """Predictions of the hybrid on the papers it was fitted on, embeddings included; papers without one have zeros and a mark."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat("embedding", F.array(F.lit(0.0).cast("float"))).alias("embedding"))
+    labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label")).filter("Label in ('0', '1')").join(vectors, "id", "left")
+    none = F.concat(F.array_repeat(F.lit(0.0).cast("float"), 64), F.array(F.lit(1.0).cast("float")))
+    labelled = labelled.withColumn("embedding", F.coalesce("embedding", none))
     labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
     rows = features.hybrid_features(labelled, "proba", "embedding", keep=("id", "Label")).select("id", F.lit("all").alias("stratum"), "features", (F.col("Label") == "0").cast("double").alias("y"), F.lit(1.0).alias("w"))
     return hybrid.fit_selected(rows, "id", "stratum").predict(rows).select("id", F.round("hybrid_proba", 4).alias("hybrid_proba"), "is_survey")
@@ -496,15 +498,48 @@ def text_model_metrics(spark, sf_dir):
     return out.select("method", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
-@query()
-def nested_cv(spark, sf_dir):
-    """Out-of-fold predictions of the hybrid without embeddings, the rare stratum's papers as fixed rows."""
+def _cross_validated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Labelled papers (id, Stratum, features, y, w) less the rare stratum, and out-of-fold predictions (id, rep, pred) on them."""
     labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label", "Stratum", "StratumWeight")).filter("Label in ('0', '1')")
     labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
     rows = features.hybrid_features(labelled, "proba", keep=("id", "Label", "Stratum", "StratumWeight"))
     rows = rows.select("id", "Stratum", "features", (F.col("Label") == "0").cast("double").alias("y"), F.col("StratumWeight").alias("w"))
     rare = F.col("Stratum") == "title_kw"
-    return hybrid.nested_cv(rows.filter(~rare), "id", "Stratum", rows.filter(rare))
+    return rows.filter(~rare), hybrid.nested_cv(rows.filter(~rare), "id", "Stratum", rows.filter(rare))
+
+
+@query()
+def nested_cv(spark, sf_dir):
+    """Out-of-fold predictions of the hybrid without embeddings, the rare stratum's papers as fixed rows."""
+    return _cross_validated(spark, sf_dir)[1]
+
+
+def _rate_samples(spark, sf_dir) -> DataFrame:
+    rows, found = _cross_validated(spark, sf_dir)
+    both = found.join(rows.select("id", "Stratum", "y", "w"), "id")
+    return resampling.rate_samples(both, ["Stratum"], "id", "rep", F.col("y"), F.col("pred"), F.col("w"), REPLICATES)
+
+
+@query()
+def error_rate_samples(spark, sf_dir):
+    """Rates of the cross-validated hybrid with 95 % intervals over 2000 stratified replicates."""
+    samples = _rate_samples(spark, sf_dir).cache()
+    ends = [F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(f"_{c}") for c in ("tpr", "fpr")]
+    point = samples.filter("rep = 0").select("tpr", "fpr")
+    wide = samples.filter("rep > 0").agg(*ends)  # one row
+    out = point.crossJoin(F.broadcast(wide))
+    return out.select(*[c for n in ("tpr", "fpr") for c in (F.round(n, 6).alias(n), F.round(F.col(f"_{n}")[0], 6).alias(f"{n}_low"), F.round(F.col(f"_{n}")[1], 6).alias(f"{n}_high"))])
+
+
+@query()
+def corrected_impact(spark, sf_dir):
+    """Shares of surveys and of their citations by author, corrected by the cross-validated error rates, with intervals."""
+    survey, cites = category() == "survey", F.coalesce(F.sum("citationCount"), F.lit(0.0))
+    shares = papers(spark, sf_dir).groupBy("author").agg(F.avg(survey.cast("int")).alias("flagged"), (F.coalesce(F.sum(F.when(survey, F.col("citationCount"))), F.lit(0.0)) / F.greatest(F.lit(1), cites)).alias("cites"))
+    samples = _rate_samples(spark, sf_dir).cache()
+    point = samples.filter("rep = 0").first()
+    out = verification.corrected_table(shares, "author", (float(point.tpr or 0), float(point.fpr or 0)), samples.filter("rep > 0"))
+    return out.select("author", *[F.round(c, 6).alias(c) for c in ("papers", "papers_low", "papers_high", "citations", "citations_low", "citations_high")])
 
 
 @query(f"""with {P}, s as (select id, case Stratum when 'title_kw' then 'validation' when 'abstract_cue' then 'llm' else 'hand' end as source, StratumWeight * (1 + id % 3) as w from p),
