@@ -147,6 +147,10 @@ def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int, jobs:
             bend = sums[i, c, 2 + q :].reshape(q, q) + np.diag(penalty[c] + RIDGE)
             busy[i, c] = np.abs(slope).max() > TOLERANCE * max(sums[i, c, 1], 1e-300)
             step[i, c] = -np.linalg.solve(bend, slope)
+            if busy[i, c] and -(slope @ step[i, c]) / 2 <= 1e-12 * abs(loss):
+                # the loss can no longer tell whether this last step is one: close to the end it is
+                here[i, c] += step[i, c]
+                busy[i, c] = False
         step[~busy] = 0
         if not busy.any():
             break
