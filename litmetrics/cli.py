@@ -97,8 +97,7 @@ def main(argv: list[str] | None = None) -> int:
         options = {"entities": args.author, "paging": "offset" if args.source == "scholar" else "cursor"}
         options |= {k: v for k, v in (("url", args.url), ("fixtures", args.fixtures)) if v}
         raw = spark.read.format("paged_rest").options(**options).load()
-        rows = pipelines.works_from_json(raw) if args.source == "index" else profiles.first_per(pipelines.records_from_json(raw), ["id"], F.col("citationCount").desc_nulls_last(), F.col("title"))
-        rows = profiles.merge_versions(rows)
+        rows = profiles.merge_versions(pipelines.works_from_json(raw)) if args.source == "index" else profiles.most_cited(profiles.first_per(pipelines.records_from_json(raw), ["id"], F.col("citationCount").desc_nulls_last(), F.col("title")))
         if args.types:
             extra = profiles.first_per(files.read_csv(spark, args.types).select("id", F.col("type").alias("_type")), ["id"], F.col("_type").asc_nulls_last())
             rows = rows.join(extra, "id", "left").withColumn("type", F.coalesce("_type", "type")).drop("_type")

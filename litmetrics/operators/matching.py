@@ -21,21 +21,40 @@ def without_clashes(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.join(clash, key, "left_anti")
 
 
+SALT = 32  # shares of a head
+
+
+def beginnings(rows: DataFrame, key: str, refs: DataFrame, ref_key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows, once for each beginning of their key that some reference key of PREFIX characters or more (and of the same
+    `by`) may be, as `_r`.
+
+    A head, the first PREFIX characters, knows the lengths of its references; a row is cut at these, so it multiplies by
+    the lengths of its head and not by the references. Heads are salted: one that half of the rows share is dealt out.
+    """
+    long = refs.filter(F.length(ref_key) >= PREFIX)
+    lengths = long.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.substring(ref_key, 1, PREFIX).alias("_head")).agg(F.collect_set(F.length(ref_key)).alias("_lengths"))
+    heads = lengths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("_share", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALT)).cast("int"))
+    meet = (F.substring(key, 1, PREFIX) == F.col("_head")) & (F.col("_share") == F.col("_salt"))
+    for c in by:
+        meet &= F.col(c) == F.col(f"_by_{c}")
+    cut = F.transform(F.filter("_lengths", lambda n: n <= F.length(key)), lambda n: F.substr(F.col(key), F.lit(1), n))
+    return salted.join(heads, meet).select(*rows.columns, F.explode(cut).alias("_r"))
+
+
 def prefix_match(refs: DataFrame, profile: DataFrame, ref_id: str, ref_key: str, key: str, cites: str, row_id: str) -> DataFrame:
     """(ref_id, row_id, exact): the profile row for each reference title. An exact key wins; else, for keys of at least
     20 characters, profile keys that begin with it; most cited first, ties to the smaller id.
 
-    Prefixes meet by equality of their first 20 characters, so no nested loop is needed.
+    The best row of every key and of every beginning is found before references come in, so they meet one row each.
     """
     r = refs.select(F.col(ref_id), F.col(ref_key).alias("_r"))
     p = profile.select(F.col(row_id), F.col(key).alias("_p"), F.col(cites).alias("_c"))
-    exact = r.join(p, F.col("_r") == F.col("_p")).filter("_r <> ''").withColumn("exact", F.lit(1))
-    longer = r.filter(F.length("_r") >= PREFIX).withColumn("_h", F.substring("_r", 1, PREFIX))
-    headed = p.withColumn("_g", F.substring("_p", 1, PREFIX))
-    begun = longer.join(headed, F.col("_h") == F.col("_g")).filter(F.col("_p").startswith(F.col("_r")) & (F.col("_p") != F.col("_r"))).withColumn("exact", F.lit(0))
-    found = exact.select(ref_id, row_id, "exact", "_c").unionByName(begun.select(ref_id, row_id, "exact", "_c"))
-    best = F.max_by(F.struct(row_id, "exact"), F.struct(F.col("exact"), F.coalesce("_c", F.lit(0)), -F.col(row_id)))
-    return found.groupBy(ref_id).agg(best.alias("x")).select(ref_id, f"x.{row_id}", "x.exact")
+    best = F.max_by(F.struct(row_id, F.coalesce("_c", F.lit(0)).alias("_c")), F.struct(F.coalesce("_c", F.lit(0)), -F.col(row_id))).alias("x")
+    exact = p.filter("_p <> ''").groupBy(F.col("_p").alias("_r")).agg(best).withColumn("exact", F.lit(1))
+    begun = beginnings(p, "_p", r, "_r").filter("_p <> _r").groupBy("_r").agg(best).withColumn("exact", F.lit(0))
+    found = exact.unionByName(begun).groupBy("_r").agg(F.max_by(F.struct(F.col(f"x.{row_id}"), "exact"), F.struct(F.col("exact"), F.col("x._c"), -F.col(f"x.{row_id}"))).alias("y"))
+    return r.join(found, "_r").groupBy(ref_id).agg(F.max_by("y", F.struct(F.col("y.exact"), -F.col(f"y.{row_id}"))).alias("y")).select(ref_id, f"y.{row_id}", "y.exact")
 
 
 def candidate_overlap(titles: DataFrame, candidate: str, key: str, known: DataFrame, min_common: int = 2, min_share: float = 0.5) -> DataFrame:

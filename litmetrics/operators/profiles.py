@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import item_count, norm_title, rebuild_abstract, text_of
+from ..functions.text import item_count, norm_title, rebuild_abstract, text_of, unicode_title
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -42,6 +42,12 @@ def first_per(df: DataFrame, keys: list[str | Column], *order: Column) -> DataFr
     return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
+def most_cited(df: DataFrame, title: str = "title", cites: str = "citationCount", id_col: str = "id") -> DataFrame:
+    """One row per title, by letters and digits of every script: the most cited, then the smallest id; rows without either go."""
+    keyed = df.withColumn("_key", unicode_title(F.col(title))).filter("_key <> ''")
+    return first_per(keyed, ["_key"], F.coalesce(F.col(cites), F.lit(0)).desc(), F.col(id_col)).drop("_key")
+
+
 def merge_versions(df: DataFrame, id_col: str = "id", strict: bool = False) -> DataFrame:
     """One row per normalized title: no preprint before a preprint, then the most cited, then the smallest id.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indices import h_index
-from .matching import PREFIX
+from .matching import PREFIX, beginnings
 from .metrics import corrected_shares
 
 #: fixed values: which categories are right for a reference label
@@ -15,13 +15,13 @@ EXPECTED = {"S": ("survey",), "M": ("survey",), "R": ("research",), "B": ("resea
 
 def coverage(refs: DataFrame, profile: DataFrame, by: str, key: str) -> DataFrame:
     """(by, found, total): reference titles that a profile covers. A long title is covered by any key that begins with
-    it, a short one by an equal key. Both kinds meet by equality, the long ones on their first characters."""
+    it, a short one by an equal key. Both kinds meet by equality, the long ones with the beginnings of the keys."""
     r = refs.select(by, F.col(key).alias("_r"), F.monotonically_increasing_id().alias("_id"))
     p = profile.select(by, F.col(key).alias("_p")).distinct()
     long = F.length("_r") >= PREFIX
     short_hits = r.filter(~long).join(p, (r[by] == p[by]) & (F.col("_r") == F.col("_p")), "left_semi")
-    begun = (r[by] == p[by]) & (F.substring("_r", 1, PREFIX) == F.substring("_p", 1, PREFIX)) & F.col("_p").startswith(F.col("_r"))
-    hits = short_hits.unionByName(r.filter(long).join(p, begun, "left_semi")).groupBy(by).agg(F.count(F.lit(1)).alias("found"))
+    begun = beginnings(p, "_p", r, "_r", (by,)).select(by, "_r").distinct()
+    hits = short_hits.unionByName(r.filter(long).join(begun, [by, "_r"], "left_semi").select(*r.columns)).groupBy(by).agg(F.count(F.lit(1)).alias("found"))
     total = refs.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
     return total.join(hits, by, "left").select(by, F.coalesce("found", F.lit(0)).alias("found"), "total")
 
