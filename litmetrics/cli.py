@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--url", help="address of the service, or else --fixtures")
     c.add_argument("--fixtures")
     c.add_argument("--author", required=True, help="ids, separated by commas")
+    c.add_argument("--cache", help="folder of kept pages: a run that failed goes on where it stopped, a second one asks for nothing")
     c.add_argument("--types", help="CSV with id and type to add")
     c.add_argument("--output", required=True)
     c = sub.add_parser("make-eval-set", help="stratified sample for labelling")
@@ -91,12 +92,17 @@ def main(argv: list[str] | None = None) -> int:
         frames = {name: files.read_csv(spark, path) for name, _, path in (s.partition("=") for s in args.source)}
         files.write_csv(profiles.combine(frames).drop("_key"), args.output)
     elif args.command == "extract":
-        from .sources.rest import PagedSource
+        from .sources import rest
 
-        spark.dataSource.register(PagedSource)
-        options = {"entities": args.author, "paging": "offset" if args.source == "scholar" else "cursor"}
-        options |= {k: v for k, v in (("url", args.url), ("fixtures", args.fixtures)) if v}
-        raw = spark.read.format("paged_rest").options(**options).load()
+        paging = "offset" if args.source == "scholar" else "cursor"
+        if args.cache:
+            names = spark.createDataFrame([(a,) for a in args.author.split(",") if a], "entity string")
+            send = (lambda: rest.folder_transport(args.fixtures)) if args.fixtures else (lambda: rest.http)
+            raw = rest.resumed(names, args.cache, args.url or "file://fixtures", {}, paging, send)
+        else:
+            spark.dataSource.register(rest.PagedSource)
+            options = {"entities": args.author, "paging": paging} | {k: v for k, v in (("url", args.url), ("fixtures", args.fixtures)) if v}
+            raw = spark.read.format("paged_rest").options(**options).load()
         rows = profiles.merge_versions(pipelines.works_from_json(raw)) if args.source == "index" else profiles.most_cited(profiles.first_per(pipelines.records_from_json(raw), ["id"], F.col("citationCount").desc_nulls_last(), F.col("title")))
         if args.types:
             extra = profiles.first_per(files.read_csv(spark, args.types).select("id", F.col("type").alias("_type")), ["id"], F.col("_type").asc_nulls_last())

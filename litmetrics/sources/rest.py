@@ -1,4 +1,4 @@
-"""Paged REST sources as a Python data source, and a read-through cache. Transport is a function, so fixtures work offline."""
+"""Paged REST sources as a Python data source, or resumable over a folder of kept pages. Transport is a function, so fixtures work offline."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: (url, body or None) -> (status, text)
@@ -177,10 +179,60 @@ class PagedSource(DataSource):
         return PagedReader(dict(self.options))
 
 
-def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() gives, from Parquet if it has been made before."""
-    path = f"{folder.rstrip('/')}/{uuid.uuid5(uuid.NAMESPACE_URL, key).hex}"
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+PAGES = "entity string, nth int, next string, records array<string>, error string"
+
+
+def page_after(url: str, params: dict[str, str], cursor: str, paging: str, transport: Transport, **options) -> tuple[list[str], str | None]:
+    """The records of one page and where the next one begins; None after the last."""
+    if paging == "offset":
+        answer = get(url, params | {"offset": cursor, "limit": params.get("limit", "1000")}, transport, **options)
+        following = answer.get("next")
+        return [json.dumps(r) for r in answer.get("data", [])], None if following is None else str(following)
+    answer = get(url, params | {"per-page": "200", "cursor": cursor}, transport, **options)
+    found = answer.get("results", [])
+    return [json.dumps(r) for r in found], answer.get("meta", {}).get("next_cursor") if found else None
+
+
+def resumed(entities: DataFrame, folder: str, url: str, params: dict[str, str], paging: str = "cursor", transport: Callable[[], Transport] = lambda: http, per_round: int = 20, tasks: int = 8, **options) -> DataFrame:
+    """(entity, record as JSON) of all pages of the entities (one column of names), which are kept in a folder.
+
+    In a round each unfinished entity asks for up to per_round pages, from where its last kept page ended; what it has got
+    is written before the next round, also if a later page failed, and only then is the failure raised. A rerun with the
+    same url, params and paging asks for nothing that is there: finished entities are left out by a join with the kept
+    pages, others go on. transport is made once a task, so it may hold a key.
+    """
+    spark = entities.sparkSession
+    kept = f"{folder.rstrip('/')}/{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([url, sorted(params.items()), paging])).hex}"
+    start = "0" if paging == "offset" else "*"
+    names = entities.select(F.col(f"`{entities.columns[0]}`").cast("string").alias("entity")).filter("entity is not null").distinct()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        send = transport()
+        for frame in frames:
+            for entity, nth, cursor in frame.itertuples(index=False):
+                for at in range(nth, nth + per_round):
+                    try:
+                        records, cursor = page_after(f"{url}/{entity}", params, cursor, paging, send, **options)
+                    except Exception as e:  # told to the driver with the page that it hit
+                        yield pd.DataFrame({"entity": [entity], "nth": [at], "next": [None], "records": [None], "error": [f"{type(e).__name__}: {e}"]})
+                        break
+                    yield pd.DataFrame({"entity": [entity], "nth": [at], "next": [cursor], "records": [records], "error": [None]})
+                    if cursor is None:
+                        break
+
+    while True:
+        path = spark._jvm.org.apache.hadoop.fs.Path(kept)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        done = spark.read.schema(PAGES).option("recursiveFileLookup", "true").parquet(kept) if there else spark.createDataFrame([], PAGES)
+        state = done.filter("error is null").groupBy("entity").agg(F.max_by("next", "nth").alias("next"), F.max("nth").alias("last"))
+        todo = names.join(state, "entity", "left").filter("last is null or next is not null")
+        todo = todo.select("entity", (F.coalesce("last", F.lit(-1)) + 1).alias("nth"), F.coalesce("next", F.lit(start)).alias("cursor"))
+        if todo.isEmpty():
+            wanted = done.filter("error is null").join(names, "entity", "left_semi")
+            return wanted.select("entity", F.explode("records").alias("record"))
+        batch = f"{kept}/{uuid.uuid4().hex}"
+        todo.repartition(tasks).mapInPandas(ask, PAGES).write.parquet(batch)
+        failed = spark.read.schema(PAGES).parquet(batch).filter("error is not null").orderBy("entity").limit(3).collect()
+        if failed:
+            kind = BudgetExceeded if any(r.error.startswith("BudgetExceeded") for r in failed) else RuntimeError
+            raise kind("; ".join(f"{r.entity}, page {r.nth}: {r.error}" for r in failed))
