@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -121,6 +122,11 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], (place + F.col("_before")).alias("_nth"))
 
 
+def fields(df: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The schema of those columns of df, whatever is in them, with more columns as DDL."""
+    return T.StructType([*df.select(*columns).schema, *T.StructType.fromDDL(more)])
+
+
 def growing(df: DataFrame) -> DataFrame:
     """df for the smaller side of a join, where it grows with the input: sorted and merged at every size, never broadcast."""
     return df.hint("merge")

@@ -272,7 +272,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """df with one row of each class of near duplicates, all columns kept."""
-    marked = df.select(F.struct(*df.columns).alias("_row"), F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_body"))
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_body"))
     docs = with_uid(marked, "_id", ["_row", "_body"])
     classes = near_duplicate_classes(docs.select(F.col("_uid").alias("_row_id"), "_body"), "_row_id", "_body", **options)
     gone = classes.filter("not kept").select("_uid")  # less than what stays

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, releasing, utf8_column, with_uid
+from .common import fields, materialise, pieces, releasing, utf8_column, with_uid
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -153,10 +153,9 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     docs = with_uid(picked, "_key", ["_row", "_text", "_declared", "_host"]).withColumn("_suffix", F.when(F.col("_host").contains("."), F.element_at(F.split("_host", r"\."), -1)).otherwise(F.lit("")))
     languages, table = train(docs, per_language)
     k = len(languages)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.select("_row", "_declared", "_host").schema.fields}
-    schema = ", ".join(f"{a} {b}" for a, b in kinds.items())
+    kinds = ["_row", "_declared", "_host"]
     inner = text if text in (carry or df.columns) else None
-    scored = docs.select("_row", "_declared", "_host", *([] if inner else ["_text"])).mapInArrow(releasing(_scoring(table, list(kinds), inner)), f"{schema}, _scores array<double>, _grams long")
+    scored = docs.select(*kinds, *([] if inner else ["_text"])).mapInArrow(releasing(_scoring(table, kinds, inner)), fields(docs, kinds, "_scores array<double>, _grams long"))
     if not k:
         return scored.select("_row", F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("posterior"), F.lit(False).alias("accepted"))
     # one row per host, written so that its size is known: Spark broadcasts it if it is small, without a shuffle of the

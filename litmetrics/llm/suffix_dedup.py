@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, discard, growing, materialise, mix64, pieces, powers, releasing, utf8_column, with_uid, word_places
+from .common import byte_table, discard, fields, growing, materialise, mix64, pieces, powers, releasing, utf8_column, with_uid, word_places
 
 GRAM = 128
 GROUP_LIMIT = 512
@@ -510,9 +510,8 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_byt
     docs = with_uid(picked, "_c0", ["_text", *[f"_c{i}" for i in range(len(names))]])
     judged = docs.select("_uid", F.col("_text").cast("binary").alias("_text"))
     spans = repeated_spans(judged, CODE * min_words if min_words else min_bytes, gram, group_limit, across, bool(min_words))
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     joined = docs.join(growing(spans), "_uid", "left").select(*[f"_c{i}" for i in range(len(names))], "_text", "spans")
-    schema = ", ".join(f"_c{i} {fields[f'_c{i}']}" for i in range(len(names)))
-    out = joined.mapInArrow(releasing(_cut(keep, min_words)), schema + ", n_bytes long, n_removed long, removed array<struct<a: long, b: long>>, kept_sha256 string, kept " + ("string" if keep == "text" else "binary"))
+    schema = fields(docs, [f"_c{i}" for i in range(len(names))], "n_bytes long, n_removed long, removed array<struct<a: long, b: long>>, kept_sha256 string, kept " + ("string" if keep == "text" else "binary"))
+    out = joined.mapInArrow(releasing(_cut(keep, min_words)), schema)
     made = ["n_bytes", "n_removed", "removed", "kept_sha256", *(["kept"] if keep else [])]
     return out.select(F.col("_c0").alias(key), *made, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if i])
