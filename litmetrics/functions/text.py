@@ -21,16 +21,16 @@ def collapse(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Text without formulas, markup, LaTeX commands and brackets, and without a leading "abstract"."""
-    for pattern in (r"(?s)<tex-math.*?</tex-math>", r"<[^>]+>", r"\$[^$]*\$", r"\\[a-zA-Z]+\*?(?:\{[^}]*\})?", r"[{}\[\]]"):
+    for pattern in V.CUT_MARKUP:
         c = F.regexp_replace(text_of(c), pattern, " ")
-    return collapse(F.regexp_replace(c, FLAGS + r"^\s*abstract[:.\s-]*", ""))
+    return collapse(F.regexp_replace(c, FLAGS + V.CUT_HEADING, ""))
 
 
 def clean_record_text(c: Column) -> Column:
     """The builder's own cleaner: tags, a leading "abstract", a copyright notice up to the end of the text's last line."""
-    c = F.regexp_replace(text_of(c), r"<[^>]+>", " ")
-    c = F.regexp_replace(c, FLAGS + r"^\s*abstract[:.\s-]*", "")
-    return collapse(F.regexp_replace(c, r"(?id)(©|\(c\)|copyright).*$", ""))
+    c = F.regexp_replace(text_of(c), V.CUT_TAGS, " ")
+    c = F.regexp_replace(c, FLAGS + V.CUT_HEADING, "")
+    return collapse(F.regexp_replace(c, "(?id)" + V.CUT_NOTICE, ""))
 
 
 def paper_text(title: Column, abstract: Column) -> Column:

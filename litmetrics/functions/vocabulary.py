@@ -22,6 +22,13 @@ STRICT_PHRASES = (
 REVIEW_VENUES = r"review|survey|trends in"
 REVIEW_TYPES = r"review|meta-?analysis"
 
+# What is cut from titles and abstracts, in this order, and from the builder's records.
+CUT_MARKUP = (r"(?s)<tex-math.*?</tex-math>", r"<[^>]+>", r"\$[^$]*\$", r"\\[a-zA-Z]+\*?(?:\{[^}]*\})?", r"[{}\[\]]")
+CUT_TAGS = r"<[^>]+>"
+CUT_HEADING = r"^\s*abstract[:.\s-]*"
+CUT_NOTICE = r"(©|\(c\)|copyright).*$"
+
+# Abstracts of fewer words are missing, leave a paper out of the sample, or out of the training set.
 MIN_WORDS_MISSING, MIN_WORDS_SAMPLE, MIN_WORDS_TRAIN = 10, 30, 50
 
 

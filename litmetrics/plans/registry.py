@@ -54,9 +54,9 @@ def q(s: str) -> str:
 
 
 def clean_sql(c: str) -> str:
-    for pattern in (r"(?s)<tex-math.*?</tex-math>", r"<[^>]+>", r"\$[^$]*\$", r"\\[a-zA-Z]+\*?(?:\{[^}]*\})?", r"[{}\[\]]"):
+    for pattern in V.CUT_MARKUP:
         c = f"regexp_replace({c}, {q(pattern)}, ' ', 'g')"
-    return f"trim(regexp_replace(regexp_replace({c}, {q(r'(?i)^\s*abstract[:.\s-]*')}, ''), {q(r'\s+')}, ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({c}, {q('(?i)' + V.CUT_HEADING)}, ''), {q(r'\s+')}, ' ', 'g'))"
 
 
 def text_sql(c: str) -> str:
