@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title, spaced_title
-from ..operators import indices, matching, metrics, rules, verification
+from ..operators import indices, matching, metrics, resampling, rules, verification
 from ..report import markdown
 
 
@@ -21,6 +21,24 @@ def survey_rates(rows: DataFrame, by: list[str], y: Column, p: Column, w: Column
     return rows.groupBy(*by).agg(F.try_divide(F.sum(y * w), F.sum(w)).alias("true_rate"), F.try_divide(F.sum(p * w), F.sum(w)).alias("predicted_rate"))
 
 
+def method_intervals(df: DataFrame, methods: dict[str, Column], y: Column, key: str, strata: tuple[str, ...] = (), w: Column | None = None, reference: str | None = None, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """(method, f1, f1_low, f1_high, delta, delta_low, delta_high): weighted F1 of each method with its 95 % interval over
+    stratified bootstrap replicates, and how much better it is than the reference method (the first by default) in the
+    same replicates."""
+    names, weight = list(methods), F.lit(1.0) if w is None else w.cast("double")
+    cells = {"tp": lambda p: (y == 1) & (p == 1), "fp": lambda p: (y == 0) & (p == 1), "fn": lambda p: (y == 1) & (p == 0)}
+    flags = [F.coalesce(methods[m].cast("int"), F.lit(0)) for m in names]
+    values = {f"{c}{i}": F.when(test(p), weight).otherwise(0.0) for i, p in enumerate(flags) for c, test in cells.items()}
+    drawn = resampling.bootstrap_totals(df, list(strata), key, values, replicates, seed)
+    every = drawn.unionByName(df.agg(F.lit(0).alias("rep"), *[F.coalesce(F.sum(v), F.lit(0.0)).alias(c) for c, v in values.items()]))
+    f1 = [F.coalesce(F.try_divide(2 * F.col(f"tp{i}"), 2 * F.col(f"tp{i}") + F.col(f"fp{i}") + F.col(f"fn{i}")), F.lit(0.0)) for i in range(len(names))]
+    base = f1[names.index(reference) if reference else 0]
+    rows = every.select("rep", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), x.alias("f1"), (x - base).alias("delta")) for m, x in zip(names, f1, strict=True)])).alias("x")).select("rep", "x.*")
+    ends = lambda c: F.percentile(F.when(F.col("rep") > 0, F.col(c)), F.array(F.lit(0.025), F.lit(0.975)))
+    per = rows.groupBy("method").agg(*[x for c in ("f1", "delta") for x in (F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c), ends(c).alias(f"_{c}"))])
+    return per.select("method", *[x for c in ("f1", "delta") for x in (c, F.col(f"_{c}")[0].alias(f"{c}_low"), F.col(f"_{c}")[1].alias(f"{c}_high"))])
+
+
 def confident_f1(rows: DataFrame, by: list[str], y: Column, p: Column, confidence: str) -> DataFrame:
     """(by, f1, f1_confident): over all rows and over those labelled with high or medium confidence."""
     sure = F.coalesce(F.col(confidence).isin("H", "M"), F.lit(False)).cast("double")

@@ -98,10 +98,27 @@ def evaluate_rules(df: DataFrame) -> DataFrame:
     return evaluate_methods(df).filter(F.col("method").isin(names))
 
 
+def _intervals(labelled: DataFrame, model: hybrid.Hybrid | None, scorer: TextModel | None) -> DataFrame:
+    """Weighted F1 of all methods with intervals, against the hybrid where there is one; papers are resampled within `Stratum`
+    and weigh `StratumWeight` where they have one."""
+    extra = [c for c in ("Stratum", "StratumWeight") if c in labelled.columns]
+    rows = labelled if "id" in labelled.columns else sampling.numbered(labelled, "id")
+    frame = scoring.with_proba(profiles.normalize(rows, keep=("id", "Label", *extra)).filter("Label in ('0', '1')"), scorer, VECTOR if scorer is not None else None)
+    flags = method_flags(*(F.col(c) for c in ("Title", "Abstract", "Venue", "Type"))) | {"Scorer": F.col("proba") >= (0.5 if scorer is None else scorer.threshold)}
+    reference = "Scorer"
+    if model is not None:
+        found = model.predict(features.hybrid_features(frame, "proba", VECTOR if scorer is not None else None, keep=("id",)))
+        frame = frame.join(found.select("id", "is_survey"), "id")
+        flags, reference = flags | {"Learned hybrid": F.col("is_survey")}, "Learned hybrid"
+    w = F.coalesce(F.col("StratumWeight").cast("string").try_cast("double"), F.lit(1.0)) if "StratumWeight" in extra else None
+    out = evaluation.method_intervals(frame, flags, (F.col("Label") == "0").cast("int"), "id", tuple(c for c in extra if c == "Stratum"), w, reference)
+    return out.orderBy("method")
+
+
 def evaluation_report(labelled: DataFrame, authors: DataFrame | None = None, comparison: DataFrame | None = None, model: hybrid.Hybrid | None = None, trained: DataFrame | None = None, by: str = "SourceFile", scorer: TextModel | None = None) -> dict[str, DataFrame]:
     """The tables of the report: methods on labelled papers; for profiles (column `by` names the author's file) the impact of
     leaving out surveys and the methods by author; with a second cohort the comparison of both."""
-    tables = {"Methods": evaluate_methods(labelled, model, scorer=scorer)}
+    tables = {"Methods": evaluate_methods(labelled, model, scorer=scorer), "Intervals": _intervals(labelled, model, scorer)}
     if authors is None:
         return tables
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import baselines, features, hybrid, indices, matching, metrics, profiles, resampling, rules, sampling, scoring, verification
-from . import pipelines
+from . import evaluation, pipelines
 from .papers import papers, papers_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -531,6 +531,15 @@ def error_rate_samples(spark, sf_dir):
     return out.select(*[c for n in ("tpr", "fpr") for c in (F.round(n, 6).alias(n), F.round(F.col(f"_{n}")[0], 6).alias(f"{n}_low"), F.round(F.col(f"_{n}")[1], 6).alias(f"{n}_high"))])
 
 
+@query()
+def method_intervals(spark, sf_dir):
+    """F1 of the rule methods on labelled papers, their 95 % intervals and how much better than the title words they are."""
+    rows = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label", "Stratum", "StratumWeight")).filter("Label in ('0', '1')")
+    methods = pipelines.method_flags(*(F.col(c) for c in ("Title", "Abstract", "Venue", "Type")))
+    out = evaluation.method_intervals(rows, methods, (F.col("Label") == "0").cast("int"), "id", ("Stratum",), F.col("StratumWeight"), "Keyword only", REPLICATES)
+    return out.select("method", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
 @query()
 def corrected_impact(spark, sf_dir):
     """Shares of surveys and of their citations by author, corrected by the cross-validated error rates, with intervals."""

@@ -64,3 +64,28 @@ def test_rates_by_hand(spark):
     assert got["rep"].tolist() == list(range(401))
     assert got["tpr"][0] == pytest.approx(np.mean([rate(r, 1) for r in range(3)])) and got["fpr"][0] == pytest.approx(np.mean([rate(r, 0) for r in range(3)]))
     assert abs(got["tpr"][1:].mean() - got["tpr"][0]) < 0.03 and 0.02 < got["tpr"][1:].std() < 0.2
+
+
+def test_method_intervals_against_drawing_rows(spark):
+    from litmetrics.plans import evaluation
+
+    rng = np.random.default_rng(3)
+    y = (rng.random(240) < 0.4).astype(int)
+    rows = [(i, "ab"[i % 2], int(v), int(v if rng.random() < 0.9 else 1 - v), int(v if rng.random() < 0.7 else 1 - v), 1.0 + i % 2) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "id int, s string, y int, p int, q int, w double")
+    got = {r.method: r for r in evaluation.method_intervals(df, {"p": F.col("p"), "q": F.col("q") == 1}, F.col("y"), "id", ("s",), F.col("w")).collect()}
+    t = np.array([r[2:] for r in rows])
+
+    def f1(at, c):
+        own = t[at]
+        tp, miss = (own[:, 3] * (own[:, 0] == 1) * (own[:, c] == 1)).sum(), (own[:, 3] * (own[:, 0] != own[:, c])).sum()
+        return 2 * tp / (2 * tp + miss)
+
+    assert got["p"].f1 == pytest.approx(f1(np.arange(240), 1)) and got["q"].delta == pytest.approx(f1(np.arange(240), 2) - f1(np.arange(240), 1))
+    parts = [np.arange(0, 240, 2), np.arange(1, 240, 2)]
+    draws = [np.concatenate([rng.choice(g, len(g)) for g in parts]) for _ in range(2000)]
+    both = np.array([[f1(d, 1), f1(d, 2)] for d in draws])
+    for name, values in (("p", both[:, 0]), ("q", both[:, 1])):
+        assert (got[name].f1_low, got[name].f1_high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])), abs=0.012)
+    assert (got["q"].delta_low, got["q"].delta_high) == pytest.approx(tuple(np.quantile(both[:, 1] - both[:, 0], [0.025, 0.975])), abs=0.015)
+    assert got["p"].delta == got["p"].delta_low == got["p"].delta_high == 0
