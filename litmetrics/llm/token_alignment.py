@@ -7,8 +7,8 @@ both end.
 
 Both vocabularies cut before white space that follows something else, so a text falls into chunks (a run of white space
 and what follows it) that can be encoded, merged and remembered one by one; which characters may begin a chunk is read
-from the vocabularies, and where none may the whole text is one chunk. Chunks of up to 64 characters are remembered, at
-most `WORDS` of them per worker.
+from the vocabularies, and where none may the whole text is one chunk. Chunks of up to 64 characters are remembered. A
+worker holds about `WORDS` chunks or `HELD` bytes of them at most, and those of one block.
 
 Texts are dealt with in blocks of about `BLOCK` bytes. A block is one written row: for every text its numbers and, coded by
 the block's own list of different pairs, which it links how often. Only those lists are exploded: one row per block and
@@ -39,7 +39,8 @@ from pyspark.sql import types as T
 
 from .common import discard, growing, materialise, releasing
 
-BLOCK, WORDS, LONGEST = 1 << 22, 400_000, 64
+BLOCK, WORDS, HELD, LONGEST = 1 << 22, 400_000, 1 << 25, 64
+TOGETHER = 2  # blocks of a row group: who reads one holds all its rows
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -68,8 +69,9 @@ class Aligner:
         self.forget(-1)
 
     def forget(self, most: int = WORDS) -> None:
-        """Lets go of all chunks if there are more than that many."""
-        if most < 0 or len(self.fine) > most:
+        """Lets go of all chunks if there are more than that many, or too many bytes of them."""
+        if most < 0 or len(self.fine) > most or self.held > HELD:
+            self.held = 0  # bytes of chunks and groups
             self.known: dict[str, int] = {}
             self.fresh: list[str] = []  # met, but not yet aligned
             self.fine = np.zeros(0, bool)  # of each chunk: do both sides' bytes agree with it?
@@ -130,6 +132,7 @@ class Aligner:
         for at, g in zip(kept.tolist(), texts, strict=True):
             groups[at] = g
         self.groups += groups
+        self.held += sum(map(len, raw)) + sum(map(len, groups))
 
 
 def _groups(ids: list[np.ndarray], ends: list[np.ndarray], closes: list[np.ndarray], chunk_ends: np.ndarray) -> list[bytes]:
@@ -259,7 +262,7 @@ def _linked(df: DataFrame, ranks_path: str, pattern: str, model_path: str, text:
     row = F.struct(*[col(c) for c in names]) if names else F.struct(F.lit(0).alias("_"))
     picked = df.select(row.alias("_row"), col(text).alias("_text"))
     schema = T.StructType([T.StructField("rows", T.ArrayType(picked.schema["_row"].dataType)), *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in _BLOCK.items()))])
-    aligned = materialise(picked.mapInArrow(releasing(_aligning(block, ranks_path, pattern, model_path)), schema), "aligned")
+    aligned = materialise(picked.mapInArrow(releasing(_aligning(block, ranks_path, pattern, model_path)), schema), "aligned", TOGETHER)
     counts = aligned.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.docs").alias("count"))
     counts = materialise(counts, "counts")
     a, b = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))

@@ -130,3 +130,25 @@ def test_pair_table(spark, libraries):
     cat = (enc_a.encode(" cat").ids[0], enc_b.encode("cat")[0])
     assert table[cat] == (2, True, True)
     assert all(n >= 1 for n, _, _ in table.values())
+
+
+def test_row_groups_hold_few_blocks(spark):
+    """A reader or writer of the blocks holds a row group: its rows must not grow with those of a task."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, f"text number {i} of some words") for i in range(40)], "doc_id int, text string").coalesce(1)
+    aligned, _ = A._linked(df, *alignment_paths(), "text", ["doc_id"], 100)
+    files = [pq.ParquetFile(f).metadata for f in Path(aligned._written_to.removeprefix("file://")).glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) >= 20 and max(groups) <= A.TOGETHER
+
+
+def test_long_chunks_are_let_go_of():
+    aligner = A.Aligner(*alignment_paths())
+    for n in range(3):
+        aligner.numbers_of(f"{n}" + "ab" * (A.HELD // 8))
+        aligner.learn()
+        aligner.forget()
+    assert len(aligner.fine) < 3
