@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +25,62 @@ def _with_pairs(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def term_counts(text: Column) -> Column:
+    """array<struct<term, tf>>: the different terms of a text and how often it holds each, from one sort of its terms."""
+    return F.transform(F.array(F.sort_array(terms(text))), _runs)[0]
+
+
+def _runs(ordered: Column) -> Column:
+    n = F.size(ordered)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    run = lambda own: F.transform(own, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(own, k + 1), n) - i).alias("tf")))
+    return F.transform(F.array(starts), run)[0]
+
+
+BLOCK = 2048  # documents of a block, which asks for the frequency of a term once
+
+
+@dataclass
+class _Blocks:
+    """Occurrences (_block, key, term, tf) of documents dealt out in blocks, and what is found out about a block's terms.
+
+    Only the texts, a block's different terms and the answers are shuffled. The answers come back to where the
+    occurrences are: both lie by block, so neither their union nor the windows over it move them again.
+    """
+
+    rows: DataFrame
+    number: int
+    key: str
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, text: Column, n: int) -> _Blocks:
+        number = 1 + n // BLOCK
+        dealt = df.select(F.pmod(F.xxhash64(key), F.lit(number)).cast("int").alias("_block"), F.col(key), text.alias("_text")).repartition(number, "_block")
+        # rows of one key are one document
+        whole = dealt.groupBy("_block", key).agg(F.collect_list("_text").alias("_texts"))
+        one = whole.filter(F.size("_texts") == 1).select("_block", key, F.inline(term_counts(F.get("_texts", F.lit(0)))))
+        many = whole.filter(F.size("_texts") > 1).select("_block", key, F.explode("_texts").alias("_text")).select("_block", key, F.inline(term_counts(F.col("_text"))))
+        return cls(one.unionByName(many.groupBy("_block", key, "term").agg(F.sum("tf").cast("int").alias("tf"))), number, key)
+
+    def asked(self) -> DataFrame:
+        """(_block, term, n): in how many of the block's documents a term is."""
+        return self.rows.groupBy("_block", "term").agg(F.count(F.lit(1)).alias("n"))
+
+    def weights(self, answers: DataFrame) -> DataFrame:
+        """(key, term, weight) by the answers (_block, term, idf), at most one for each."""
+        back = answers.select("_block", F.lit(None).cast(self.rows.schema[self.key].dataType).alias(self.key), "term", F.lit(None).cast("int").alias("tf"), "idf").repartition(self.number, "_block")
+        both = self.rows.withColumn("idf", F.lit(None).cast("double")).unionByName(back)
+        known = both.withColumn("idf", F.max("idf").over(Window.partitionBy("_block", "term"))).filter("tf is not null and idf is not null")
+        raw = known.select("_block", self.key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("_raw"))
+        length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("_block", self.key)))
+        return raw.select(self.key, "term", (F.col("_raw") / length).alias("weight"))
+
+
+def _idf(n: int) -> Column:
+    return F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+
+
 @dataclass
 class TfIdf:
     """Inverse document frequencies (term, idf) of the terms that at least `min_df` documents of the fitted rows hold."""
@@ -39,10 +95,17 @@ class TfIdf:
 
     def transform(self, df: DataFrame, key: str, text: Column) -> DataFrame:
         """(key, term, weight): (1 + ln tf) * idf, scaled to length 1 by document; unknown terms are left out."""
-        counts = df.select(key, F.explode(terms(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-        raw = counts.join(self.idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("_raw"))
-        length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
-        return raw.select(key, "term", (F.col("_raw") / length).alias("weight"))
+        blocks = _Blocks.of(df, key, text, df.count())
+        return blocks.weights(blocks.asked().join(self.idf, "term").select("_block", "term", "idf"))
+
+
+def tfidf_weights(df: DataFrame, key: str, text: Column, min_df: int = 2) -> DataFrame:
+    """(key, term, weight) of the documents by their own frequencies: fit and transform in one, a term's frequency being the
+    sum over the blocks that ask for it."""
+    n = df.count()
+    blocks = _Blocks.of(df, key, text, n)
+    summed = blocks.asked().withColumn("df", F.sum("n").over(Window.partitionBy("term"))).filter(F.col("df") >= min_df)
+    return blocks.weights(summed.select("_block", "term", _idf(n).alias("idf")))
 
 
 def dictionary(idf: DataFrame) -> DataFrame:
@@ -77,8 +140,13 @@ def fit_svm(tfidf: TfIdf, train: DataFrame, key: str, text: Column, label: str,
     none = lambda kind: F.array().cast(f"array<{kind}>")
     rows = train.select(key, F.col(label).alias("y")).join(lists, key, "left")
     w = svm.fit(rows.select(F.coalesce("at", none("int")).alias("at"), F.coalesce("value", none("double")).alias("value"), "y"), width, c)
-    table = train.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(1, width, dtype=np.int32), "weight": w[1:]}), "i int, weight double")
-    return LinearSvm(numbers.join(table, "i").select("term", "weight"), float(w[0]))
+    held = train.sparkSession.sparkContext.broadcast(w)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(held.value[batch.column("i").to_numpy()])], names=["term", "weight"])
+
+    return LinearSvm(numbers.select("term", "i").mapInArrow(looked_up, "term string, weight double"), float(w[0]))
 
 
 def tfidf_svm(train: DataFrame, test: DataFrame, key: str, text: Column, label: str, c: float = 1.0) -> DataFrame:

@@ -3,8 +3,8 @@
 The loss is |w|^2 / 2 + c * sum of max(0, 1 - s m)^2, where m = w x, s = 1 for label 1 and -1 for label 0, and a component of
 1 (number 0) stands in every row for the intercept, which is so regularised like the others. Newton steps are found by
 conjugate gradients inside a trust region; they need only products of the second derivatives with a vector. A value, a
-slope or a product is one pass: each task adds up what its rows contribute to each component, Spark adds up by component,
-and the driver receives a number for each component that any row holds, however many rows there are.
+slope or a product is one pass: each task adds up what its rows contribute to each component, Spark adds up by ranges of
+components, which go as bytes, and the driver receives a number for each component, however many rows there are.
 
 Defined results: rows without components have the intercept alone; a single class tends to that class; no rows give zeros.
 """
@@ -12,18 +12,36 @@ Defined results: rows without components have the intercept alone; a single clas
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STEPS, INNER, TOLERANCE = 100, 200, 1e-6
 ROWS = 4096  # of a task: a few labelled texts are not worth many
+RANGE = 1 << 15  # components that are sent and added up together
 
 
-def _passes(rows: DataFrame, width: int, c: float):
-    """Functions for the loss with its slope at w, and for the product of the second derivatives at w with v."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a batch, numbers as bytes: every pass reads them as they are."""
+    for batch in batches:
+        if batch.num_rows:
+            lists = [batch.column(n) for n in ("at", "value")]
+            sizes = np.diff(lists[0].offsets.to_numpy(zero_copy_only=False)).astype(np.int32)
+            side = 2.0 * batch.column("y").to_numpy(zero_copy_only=False) - 1
+            arrays = [sizes, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists), side]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["sizes", "at", "value", "side"])
+
+
+def _sum_of_range(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"at": part["at"].iloc[:1], "sums": [reduce(np.add, map(np.frombuffer, part["sums"])).tobytes()]})
+
+
+def _passes(rows: DataFrame, width: int, c: float, tasks: int):
+    """Functions for the loss with its slope at w, and for the product of the second derivatives at w with v; rows are packed."""
     spark = rows.sparkSession
 
     def summed(vectors: tuple[np.ndarray, ...]) -> tuple[float, np.ndarray]:
@@ -33,27 +51,33 @@ def _passes(rows: DataFrame, width: int, c: float):
             w, *other = held.value
             total, loss = np.zeros(width), 0.0
             for batch in batches:
-                lists = [batch.column(n) for n in ("at", "value")]
-                sizes = np.diff(lists[0].offsets.to_numpy(zero_copy_only=False))
-                at, value = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                dot = lambda u: np.bincount(row, value * u[at], len(sizes)) + u[0]  # noqa: B023, E731
-                side = 2.0 * batch.column("y").to_numpy(zero_copy_only=False) - 1
-                margin = side * dot(w)
-                active = margin < 1
-                loss += float(((1 - margin[active]) ** 2).sum())
-                share = 2 * c * active * (dot(other[0]) if other else side * (margin - 1))
-                total += np.bincount(at, value * share[row], width)
-                total[0] += share.sum()
-            hit = np.append(np.flatnonzero(total), -1)  # the loss goes as number -1
-            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(np.append(total[hit[:-1]], loss))], names=["i", "part"])
-
-        found = rows.mapInArrow(work, "i int, part double").groupBy("i").agg(F.sum("part").alias("part")).toPandas()
+                for nth in range(batch.num_rows):
+                    sizes, at, value, side = (np.frombuffer(batch.column(n)[nth].as_buffer(), t) for n, t in (("sizes", np.int32), ("at", np.int32), ("value", float), ("side", float)))
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    dot = lambda u: np.bincount(row, value * u[at], len(sizes)) + u[0]  # noqa: B023, E731
+                    margin = side * dot(w)
+                    active = margin < 1
+                    loss += float(((1 - margin[active]) ** 2).sum())
+                    share = 2 * c * active * (dot(other[0]) if other else side * (margin - 1))
+                    total += np.bincount(at, value * share[row], width)
+                    total[0] += share.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([loss]).tobytes()], pa.binary())], names=["at", "sums"])
+            for start in range(0, width, RANGE):
+                own = total[start : start + RANGE]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([start], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["at", "sums"])
+
+        schema = "at int, sums binary"
+        sums = rows.mapInArrow(work, schema)
+        out, loss = np.zeros(width), 0.0
+        for at, part in (sums.groupBy("at").applyInPandas(_sum_of_range, schema) if tasks > 1 else sums).collect():
+            values = np.frombuffer(part)
+            if at < 0:
+                loss += float(values[0])
+            else:
+                out[at : at + len(values)] += values
         held.destroy()
-        at, part = found["i"].to_numpy(int), found["part"].to_numpy(float)
-        out = np.zeros(width)
-        out[at[at >= 0]] = part[at >= 0]
-        return float(part[at < 0].sum()), out
+        return loss, out
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, slope = summed((w,))
@@ -110,8 +134,12 @@ def minimise(value, bend, width: int, steps: int = STEPS, tolerance: float = TOL
 
 def fit(rows: DataFrame, width: int, c: float = 1.0) -> np.ndarray:
     """Weights of the components 0 (the intercept) to width - 1 for rows (at array<int>, value array<double>, y 0 or 1)."""
-    kept = rows.select("at", "value", F.col("y").cast("double").alias("y")).cache()
+    kept = rows.select(F.col("at").cast("array<int>").alias("at"), F.col("value").cast("array<double>").alias("value"), F.col("y").cast("double").alias("y")).cache()
     n = kept.count()
-    out = minimise(*_passes(kept.coalesce(1 + n // ROWS), width, c), width) if n else np.zeros(width)
+    tasks = 1 + n // ROWS
+    packed = kept.coalesce(tasks).mapInArrow(_packed, "sizes binary, at binary, value binary, side binary").cache()
+    packed.count()
     kept.unpersist()
+    out = minimise(*_passes(packed, width, c, tasks), width) if n else np.zeros(width)
+    packed.unpersist()
     return out

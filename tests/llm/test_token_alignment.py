@@ -145,7 +145,8 @@ def test_row_groups_hold_few_blocks(spark):
     assert sum(groups) >= 20 and max(groups) <= A.TOGETHER
 
 
-def test_long_chunks_are_let_go_of():
+def test_long_chunks_are_let_go_of(monkeypatch):
+    monkeypatch.setattr(A, "HELD", 1 << 12)
     aligner = A.Aligner(*alignment_paths())
     for n in range(3):
         aligner.numbers_of(f"{n}" + "ab" * (A.HELD // 8))

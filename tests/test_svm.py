@@ -95,3 +95,16 @@ def test_no_python_runs_where_vectors_are_made(spark, sf_dir):
     model = baselines.TfIdf.fit(docs, F.col("text"))
     plan = baselines.sparse(model.transform(docs, "doc_id", F.col("text")), "doc_id", baselines.dictionary(model.idf))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_weights_of_own_frequencies(spark):
+    """Fit and transform in one, over several blocks and with two rows of one key."""
+    texts = [(i, " ".join(f"w{(i * k) % 7} w{k % 3}" for k in range(1, 2 + i % 5))) for i in range(30)] + [(3, "w1 w1 w2"), (40, None), (41, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    joined = df.groupBy("id").agg(F.concat_ws(" , ", F.collect_list("text")).alias("text")).filter("id <> 3")
+    key = lambda r: (r.id, r.term)
+    one = {key(r): r.weight for r in baselines.tfidf_weights(df.filter("id <> 3"), "id", F.col("text")).collect()}
+    two = {key(r): r.weight for r in baselines.TfIdf.fit(joined, F.col("text")).transform(joined, "id", F.col("text")).collect()}
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+    every = baselines.tfidf_weights(df, "id", F.col("text"))
+    assert every.count() == every.select("id", "term").distinct().count()
