@@ -84,6 +84,20 @@ def rebuild_abstract(index: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " ")
 
 
+def inverted_index(texts: Column) -> Column:
+    """{word: [places]} of the words between blanks of an array of texts, from one sort of them; null without words."""
+    words = F.transform(texts, lambda t: F.transform(F.filter(F.split(t, " "), lambda x: x != ""), lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    return F.transform(F.array(F.sort_array(F.flatten(words))), _index_of)[0]
+
+
+def _index_of(ordered: Column) -> Column:
+    n = F.size(ordered)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i)["w"] != F.get(ordered, i - 1)["w"]))
+    places = lambda a, b: F.transform(F.slice(ordered, a + 1, b - a), lambda x: x["p"])
+    entries = lambda own: F.map_from_entries(F.transform(own, lambda i, k: F.struct(F.get(ordered, i)["w"], places(i, F.coalesce(F.get(own, k + 1), n)))))
+    return F.when(n > 0, F.transform(F.array(starts), entries)[0])
+
+
 def logit(p: Column, edge: float = 1e-4) -> Column:
     p = F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge))
     return F.log(p / (1 - p))

@@ -136,8 +136,8 @@ def text_keys(spark, sf_dir):
 @query("""with w as (select doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) as w, generate_subscripts(list_filter(string_split(text, ' '), lambda x: x <> ''), 1) as p from documents)
 select doc_id, string_agg(w, ' ' order by p) as abstract from w group by doc_id""")
 def rebuild_abstract(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    texts = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    index = texts.select("doc_id", X.inverted_index(F.col("texts")).alias("m")).filter("m is not null")
     return index.select("doc_id", X.rebuild_abstract(F.col("m")).alias("abstract"))
 
 

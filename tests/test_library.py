@@ -205,3 +205,11 @@ def test_draws_are_the_same_with_and_without_a_small_side(spark, monkeypatch):
     assert draws() == small and len(small) == 120 * 40
     assert {(rep, sum(x[0] == rep and x[1] for x in small)) for rep in (1, 50, 51, 120)} == {(rep, 14) for rep in (1, 50, 51, 120)}
     assert len({tuple(x[2] for x in small if x[0] == rep) for rep in range(1, 121)}) == 120
+
+
+def test_index_from_one_sort(spark, sf_dir):
+    """Words and places of a document, of two rows with one key too; only the texts are shuffled."""
+    df = spark.createDataFrame([(1, ["b a  b", "a"]), (2, [""]), (3, [])], "id int, t array<string>")
+    got = {r.id: r.m for r in df.select("id", X.inverted_index(F.col("t")).alias("m")).collect()}
+    assert got == {1: {"a": [0, 1], "b": [0, 2]}, 2: None, 3: None}
+    assert registry.rebuild_abstract(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
