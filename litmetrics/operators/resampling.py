@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
@@ -25,13 +25,14 @@ from ..functions.text import seeded
 BITS, ROWS, BLOCK = 12, 4096, 64
 
 
-def halved(sizes: np.ndarray, at: int, replicates: int, seed: list[int]) -> np.ndarray:
-    """How many draws of each replicate fall into range `at` of a stratum whose ranges hold so many rows (a power of two of them)."""
-    low, high = 0, len(sizes)
-    drawn = np.full(replicates, int(sizes.sum()), np.int64)
-    while high - low > 1:
+def halved(path: list[int], at: int, replicates: int, seed: list[int]) -> np.ndarray:
+    """How many draws of each replicate fall into range `at` of a stratum of a power of two of ranges. path: the rows of the
+    whole stratum, of the half that holds the range, of its half that does, and so on down to the range."""
+    low, high = 0, 1 << (len(path) - 1)
+    drawn = np.full(replicates, path[0], np.int64)
+    for whole, own in zip(path[:-1], path[1:], strict=True):
         middle = (low + high) // 2
-        left, whole = int(sizes[low:middle].sum()), int(sizes[low:high].sum())
+        left = own if at < middle else whole - own
         first = np.random.default_rng([*seed, low, high]).binomial(drawn, left / whole if whole else 0.0)
         drawn, low, high = (first, low, middle) if at < middle else (drawn - first, middle, high)
     return drawn
@@ -55,24 +56,23 @@ def bootstrap_totals(df: DataFrame, strata: list[str], key: str, values: dict[st
     if bits is None:
         bits = min(BITS, max(0, (picked.count() // ROWS).bit_length()))
     ranged = picked.withColumn("_range", F.shiftright(F.conv(F.substring("_u", 1, 3), 16, 10).cast("int"), 12 - bits))
-    per = ranged.groupBy("_s", "_range").agg(F.count(F.lit(1)).alias("n")).groupBy("_s").agg(F.collect_list(F.struct("_range", "n")).alias("_sizes"))
-    # a row a stratum, with 2 ** BITS numbers at most
-    facts = F.broadcast(per.withColumnRenamed("_s", "_t"))
+    per = ranged.groupBy("_s", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    path = F.array(*[F.sum("_n").over(Window.partitionBy("_s", F.shiftright("_range", bits - level))) for level in range(bits + 1)])
+    # a row a range, with BITS + 1 numbers at most: what a row of the table bears must not grow with the number of ranges
+    facts = F.broadcast(per.select(F.col("_s").alias("_t"), F.col("_range").alias("_r"), path.alias("_path")))
     # sorted after the join, beneath which a sort would be dropped
-    dealt = ranged.repartition("_s", "_range").join(facts, F.col("_s") == F.col("_t")).select("_s", "_range", "_u", "_v", "_sizes").sortWithinPartitions("_s", "_range", "_u", "_v")
+    same = (F.col("_s") == F.col("_t")) & (F.col("_range") == F.col("_r"))
+    dealt = ranged.repartition("_s", "_range").join(facts, same).select("_s", "_range", "_u", "_v", "_path").sortWithinPartitions("_s", "_range", "_u", "_v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, held, last = np.zeros((replicates, len(names))), [], None
         seen = False
 
         def close() -> None:
-            stratum, at, sizes = last
-            table = np.zeros(1 << bits, np.int64)
-            for s in sizes:
-                table[s["_range"]] = s["n"]
+            stratum, at, path = last
             own = [seed, zlib.crc32(stratum.encode())]
             x = np.concatenate(held)
-            for a, b, counts in counted(len(x), halved(table, at, replicates, own), [*own, at, 1 << 20]):
+            for a, b, counts in counted(len(x), halved(path, at, replicates, own), [*own, at, 1 << 20]):
                 totals[:] += counts @ x[a:b]
             held.clear()
 
@@ -87,7 +87,7 @@ def bootstrap_totals(df: DataFrame, strata: list[str], key: str, values: dict[st
                 if last is not None and last[:2] != groups[a]:
                     close()
                 if last is None or last[:2] != groups[a]:
-                    last = (*groups[a], batch.column("_sizes")[a].as_py())
+                    last = (*groups[a], batch.column("_path")[a].as_py())
                 held.append(x[a:b])
         if seen:
             close()

@@ -89,3 +89,16 @@ def test_method_intervals_against_drawing_rows(spark):
         assert (got[name].f1_low, got[name].f1_high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])), abs=0.012)
     assert (got["q"].delta_low, got["q"].delta_high) == pytest.approx(tuple(np.quantile(both[:, 1] - both[:, 0], [0.025, 0.975])), abs=0.015)
     assert got["p"].delta == got["p"].delta_low == got["p"].delta_high == 0
+
+
+@pytest.mark.parametrize("at", [0, 5, 7])
+def test_draws_of_a_range_by_its_path(at):
+    """A range needs the rows of the halves that hold it, a number a level, to draw what all ranges' numbers would give."""
+    sizes = np.array([5, 0, 7, 3, 0, 9, 4, 2])
+    path = [int(sizes.reshape(-1, w)[at // w].sum()) for w in (8, 4, 2, 1)]
+    drawn, low, high = np.full(50, 30), 0, 8
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = np.random.default_rng([3, low, high]).binomial(drawn, sizes[low:middle].sum() / sizes[low:high].sum() if sizes[low:high].any() else 0.0)
+        drawn, low, high = (first, low, middle) if at < middle else (drawn - first, middle, high)
+    assert (R.halved(path, at, 50, [3]) == drawn).all()
