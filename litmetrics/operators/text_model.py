@@ -32,6 +32,7 @@ from ..functions.text import paper_text, seeded
 from .baselines import terms
 
 BUCKETS, WIDTH, SHARD = 1 << 15, 16, 16_384
+TERMS = 1 << 17  # whose vectors are held at once
 
 
 def bag(title: Column, abstract: Column, buckets: int = BUCKETS) -> Column:
@@ -55,6 +56,10 @@ class Texts:
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[at] - n, n)
         return Texts(self.ids[place], n, self.y[at], self.w[at])
 
+    def slice(self, a: int, b: int) -> Texts:
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        return Texts(self.ids[ends[a] : ends[b]], self.sizes[a:b], self.y[a:b], self.w[a:b])
+
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Texts:
         lists = batch.column("ids")
@@ -82,17 +87,29 @@ class Weights:
             total[full] = np.add.reduceat(self.table[x.ids], starts[full], axis=0)
         return total[:-1] / np.maximum(x.sizes, 1)[:, None]
 
+    def scores(self, x: Texts) -> np.ndarray:
+        """What the logistic function is of, by one number a term: no vector is looked up."""
+        owner = np.repeat(np.arange(len(x.sizes)), x.sizes)
+        return np.bincount(owner, (self.table @ self.head[:-1])[x.ids], len(x.sizes)) / np.maximum(x.sizes, 1) + self.head[-1]
+
+    def embeddings(self, x: Texts) -> np.ndarray:
+        """embed() by slices of texts with about TERMS terms: what is held of the terms' vectors is bounded."""
+        cuts = np.flatnonzero(np.diff(np.cumsum(x.sizes) // TERMS, prepend=0))
+        edges = [0, *cuts[cuts > 0].tolist(), len(x.sizes)]
+        return np.concatenate([self.embed(x.slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
     def loss(self, x: Texts) -> float:
-        z = self.embed(x) @ self.head[:-1] + self.head[-1]
+        z = self.scores(x)
         return float((x.w * (np.logaddexp(0, z) - x.y * z)).sum())
 
     def gradient(self, x: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the loss: the buckets touched, by their vectors, and by the head."""
-        h = self.embed(x)
-        g = x.w * (1 / (1 + np.exp(-np.clip(h @ self.head[:-1] + self.head[-1], -500, 500))) - x.y)
-        touched, at = np.unique(x.ids, return_inverse=True)
-        share = np.repeat(g / np.maximum(x.sizes, 1), x.sizes)
-        return touched, np.bincount(at, share, len(touched))[:, None] * self.head[:-1], np.append(g @ h, g.sum())
+        g = x.w * (1 / (1 + np.exp(-np.clip(self.scores(x), -500, 500))) - x.y)
+        there = np.zeros(len(self.table), bool)
+        there[x.ids] = True
+        touched = np.flatnonzero(there)
+        share = np.bincount(x.ids, np.repeat(g / np.maximum(x.sizes, 1), x.sizes), len(self.table))[touched]
+        return touched, share[:, None] * self.head[:-1], np.append(share @ self.table[touched], g.sum())
 
 
 def descend(start: Weights, x: Texts, pace: list[float], batch: int, seed: int) -> tuple[Weights, np.ndarray]:
@@ -115,6 +132,27 @@ def descend(start: Weights, x: Texts, pace: list[float], batch: int, seed: int)
     return own, touches
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The shards of a task, whose rows are sorted by shard, one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = batch.column("shard").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[0].column("shard")[0].as_py() != at[a]:
+                yield held[0].column("shard")[0].as_py(), pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0].column("shard")[0].as_py(), pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _changes(out: list[tuple[int, float, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([float(o[1]) for o in out], pa.float64()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["bucket", "n", "change"])
+
+
 def paces(n: int, batch: int, passes: int, top: float, warm: float = 0.1) -> list[float]:
     """The pace of each step of all passes over n rows: up to `top` over the share `warm` of them, then down to nothing."""
     steps = passes * max(1, -(-n // batch))
@@ -136,8 +174,12 @@ class TextModel:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = held.value
             for batch in batches:
-                h = weights.embed(Texts.of(batch))
-                p = 1 / (1 + np.exp(-np.clip(h @ weights.head[:-1] + weights.head[-1], -500, 500)))
+                texts = Texts.of(batch)
+                p = 1 / (1 + np.exp(-np.clip(weights.scores(texts), -500, 500)))
+                if not embedding:
+                    yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(p), pa.nulls(len(p), pa.list_(pa.float32()))], names=["_row", "_p", "_e"])
+                    continue
+                h = weights.embeddings(texts)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]), pa.array(h.astype(np.float32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(p), vectors], names=["_row", "_p", "_e"])
 
@@ -183,12 +225,8 @@ def fit(df: DataFrame, key: str, label: Column, split: str = "Split", title: str
         held = spark.sparkContext.broadcast(weights)
 
         def work(batches: Iterator[pa.RecordBatch], held=held, nth=nth) -> Iterator[pa.RecordBatch]:
-            frames = [b for b in batches if b.num_rows]
-            whole = pa.Table.from_batches(frames).combine_chunks().to_batches()[0] if frames else None
             out: list[tuple[int, float, np.ndarray]] = []
-            at = whole.column("shard").to_numpy() if whole else np.zeros(0)
-            for number in np.unique(at):
-                own = whole.slice(int(np.searchsorted(at, number)), int((at == number).sum()))
+            for number, own in _shards(batches):
                 x, val = Texts.of(own), own.column("val").to_numpy(zero_copy_only=False)
                 test = x.part(np.flatnonzero(val))
                 out.append((-2, test.w.sum(), np.append(held.value.loss(test), np.zeros(width))))
@@ -202,7 +240,9 @@ def fit(df: DataFrame, key: str, label: Column, split: str = "Split", title: str
                 hit = np.flatnonzero(touches)
                 change = (after.table[hit] - held.value.table[hit]) * touches[hit][:, None]
                 out += [(int(b), float(t), np.append(c, 0.0)) for b, t, c in zip(hit, touches[hit], change, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([float(o[1]) for o in out], pa.float64()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["bucket", "n", "change"])
+                yield _changes(out)
+                out = []
+            yield _changes(out)
 
         changes = rows.mapInArrow(work, "bucket int, n double, change array<double>").groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(F.get("change", F.lit(i))).alias(f"c{i}") for i in range(width + 1)]).toPandas()
         held.destroy()

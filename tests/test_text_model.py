@@ -144,3 +144,22 @@ def test_save_load_and_odd_tables(spark, labelled, tmp_path):
     assert {r.proba for r in none.score(odd).collect()} == {0.5}
     blind = M.fit(small.filter("Split = 'train'"), "id", F.col("y"), passes=2, buckets=128, width=3)
     assert blind.losses == () and blind.threshold == 0.5
+
+
+def test_scores_and_slices_agree_with_whole_embeddings(monkeypatch):
+    """Vectors of the terms are held a slice at a time, and scores need none."""
+    rng = np.random.default_rng(2)
+    sizes = np.array([3, 0, 50, 7, 0, 120, 1, 0])
+    x = M.Texts(rng.integers(0, 40, sizes.sum()), sizes, np.zeros(8), np.ones(8))
+    w = M.Weights.start(40, 5, 1)
+    monkeypatch.setattr(M, "TERMS", 16)
+    assert np.allclose(w.embeddings(x), w.embed(x)) and np.allclose(w.scores(x), w.embed(x) @ w.head[:-1] + w.head[-1])
+    assert M.Weights.start(40, 5, 1).embeddings(x.slice(0, 0)).shape == (0, 5)
+
+
+def test_shards_come_one_by_one():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"shard": s, "v": v}) for s, v in (([0, 0, 2], [1, 2, 3]), ([], []), ([2, 2], [4, 5]), ([5], [6]))]
+    batches[1] = batches[0].slice(0, 0)
+    assert [(n, b.column("v").to_pylist()) for n, b in M._shards(iter(batches))] == [(0, [1, 2]), (2, [3, 4, 5]), (5, [6])]
