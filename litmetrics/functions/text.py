@@ -16,7 +16,7 @@ def text_of(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U) \s+|[\s&&[^ ]]\s*", " "))  # single blanks stay, and need no copy
 
 
 def clean_text(c: Column) -> Column:
@@ -57,6 +57,11 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(text_of(c), F.lit(r"(?U)\S+")).cast("long")
 
 
+def has_words(c: Column, n: int) -> Column:
+    """Whether there are n words (one at least), without counting the rest."""
+    return text_of(c).rlike(rf"(?U)^\s*+(?:\S++\s++){{{n - 1}}}\S")
+
+
 def item_count(c: Column) -> Column:
     """Non-blank items between semicolons."""
     return F.size(F.filter(F.split(text_of(c), ";"), lambda x: F.trim(x) != "")).cast("long")

@@ -13,7 +13,7 @@ from . import logistic
 from .sampling import PREFIX, folds
 
 C_GRID = (0.01, 0.1, 1.0)
-ROWS = 4096  # of a task: a few labelled papers are not worth many
+ROWS = 4096  # of a task: a few different papers are not worth many
 
 
 def _chosen(grid: tuple[float, ...], reached: list[tuple[float, float]]) -> tuple[float, float, float, int]:
@@ -53,7 +53,7 @@ def fit_selected(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None
     rows = folds(df, [stratum, "y"], key, k, seed).select(*columns)
     if fixed is not None:
         rows = rows.unionByName(fixed.withColumn("fold", F.lit(-1)).select(*columns))
-    kept = rows.cache()
+    kept = logistic.patterns(rows, k).cache()
     size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")).first()
     tasks = 1 + size.n // ROWS
     parts = kept.coalesce(tasks)
@@ -82,7 +82,7 @@ def nested_folds(df: DataFrame, key: str, stratum: str, reps: int, outer: int, i
     """
     rows = df
     for rep in range(reps):
-        rows = folds(rows, [stratum, "y"], key, outer, seed + rep).withColumnRenamed("fold", f"_o{rep}")
+        rows = folds(rows, [stratum, "y"], key, outer, seed + rep, df).withColumnRenamed("fold", f"_o{rep}")
     hashed = rows.withColumn("_u", seeded(F.col(key), F.lit(seed))).withColumn("_range", F.substring("_u", 1, PREFIX))
     jobs = [(r, o) for r in range(reps) for o in range(outer)]
     inside = [F.count_if(F.col(f"_o{r}") != o) for r, o in jobs]
@@ -107,7 +107,7 @@ def nested_cv(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = N
     sets = rows.select("folds", F.lit(True).alias("free"), *columns)
     if fixed is not None:
         sets = sets.unionByName(fixed.select(F.array_repeat(F.lit(inner), jobs).alias("folds"), F.lit(False).alias("free"), *columns))
-    kept = sets.cache()
+    kept = logistic.patterns(sets, inner).cache()
     size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")).first()
     tasks = 1 + size.n // ROWS
     parts = kept.coalesce(tasks)

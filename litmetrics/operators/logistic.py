@@ -6,6 +6,9 @@ are scaled to mean 1 within each set. Features are standardized by the set's own
 In place of `fold` a row may hold `folds`, an array with a fold for each of several jobs, each with its own k + 1 sets, and
 `free` (false: fixed): OUT says that the row takes no part in a job, k that it is in all of the job's sets.
 
+Rows that agree in features, y, w and free differ only in the sets that hold them. `patterns` makes them one row with `times`,
+how often each set holds it, so the passes below grow with the different rows and not with all; both forms are taken.
+
 Every step of Newton's method is one pass for all sets and strengths: a task adds up the gradient and the second
 derivatives of its rows, the tasks' sums are added by set (of many tasks first in SALT shares), and only the totals reach
 the driver, which are jobs * (k + 1) * len(grid) * (features + 1) ** 2 numbers whatever the number of rows. A step that
@@ -32,7 +35,7 @@ LOW, HIGH = 5, 95  # per cent: the thresholds tried
 
 OUT, SALT = -1, 64
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # folds by job, whether free, features, y, w
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # times by set, whether free, features, y, w
 
 
 @dataclass
@@ -44,29 +47,68 @@ class Fits:
     beta: np.ndarray
 
 
-def _rows_of(batch: pa.RecordBatch) -> Rows:
-    matrix = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _folds_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Folds by job, and whether the rows are free."""
     if "fold" in batch.schema.names:
         fold = batch.column("fold").to_numpy(zero_copy_only=False)
-        return np.where(fold < 0, np.iinfo(np.int32).max, fold)[:, None], fold >= 0, matrix("features"), y, w
-    return matrix("folds"), batch.column("free").to_numpy(zero_copy_only=False), matrix("features"), y, w
+        return np.where(fold < 0, np.iinfo(np.int32).max, fold)[:, None], fold >= 0
+    return _matrix(batch, "folds"), batch.column("free").to_numpy(zero_copy_only=False)
+
+
+def _times(folds: np.ndarray, at: np.ndarray, many: int, k: int) -> np.ndarray:
+    """How often each of the job's sets holds each of `many` patterns; at: the pattern of each row."""
+    out = np.zeros((many, folds.shape[1], k + 1), np.int32)
+    for job, fold in enumerate(folds.T):
+        out[:, job] = np.bincount(at[fold != OUT], minlength=many)[:, None]
+        held = (fold != OUT) & (fold < k)
+        out[:, job, :k] -= np.bincount(at[held] * k + fold[held], minlength=many * k).reshape(many, k)
+    return out.reshape(many, -1)
+
+
+def _rows_of(batch: pa.RecordBatch, k: int) -> Rows:
+    y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+    if "times" in batch.schema.names:
+        times, free = _matrix(batch, "times"), batch.column("free").to_numpy(zero_copy_only=False)
+    else:
+        folds, free = _folds_of(batch)
+        times = _times(folds, np.arange(batch.num_rows), batch.num_rows, k)
+    return times.astype(float), free, _matrix(batch, "features"), y, w
+
+
+def patterns(rows: DataFrame, k: int) -> DataFrame:
+    """(free, features, y, w, times): equal rows of an Arrow batch as one. What batches share is not brought together, as
+    sums over all rows are the same; a batch of different rows keeps them all."""
+
+    def lists(x: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            folds, free = _folds_of(batch)
+            x = _matrix(batch, "features")
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+            whole = np.ascontiguousarray(np.column_stack([free, y, w, x]), np.float64)
+            _, first, at = np.unique(whole.view(f"V{whole.strides[0]}").ravel(), return_index=True, return_inverse=True)
+            columns = [pa.array(free[first]), lists(x[first]), pa.array(y[first]), pa.array(w[first]), lists(_times(folds, at, len(first), k))]
+            yield pa.RecordBatch.from_arrays(columns, names=["free", "features", "y", "w", "times"])
 
-def _members(folds: np.ndarray, at: int, k: int) -> np.ndarray:
-    """Which rows are in set `at`."""
-    fold = folds[:, at // (k + 1)]
-    return (fold != OUT) & (fold != at % (k + 1)) if at % (k + 1) < k else fold != OUT
+    return rows.mapInArrow(work, "free boolean, features array<double>, y double, w double, times array<int>")
 
 
-def _added(rows: DataFrame, sums_of: Callable[[Rows], np.ndarray], shape: tuple[int, ...], tasks: int = 1) -> np.ndarray:
+def _added(rows: DataFrame, k: int, sums_of: Callable[[Rows], np.ndarray], shape: tuple[int, ...], tasks: int = 1) -> np.ndarray:
     """The sum of sums_of over all rows: an array of that shape, added up in every task first and then by its first index."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
-                total += sums_of(_rows_of(batch))
+                total += sums_of(_rows_of(batch, k))
         salt = pa.array([TaskContext.get().partitionId() % SALT] * shape[0], pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), salt, pa.array(list(total.reshape(shape[0], -1)), pa.list_(pa.float64()))], names=["at", "salt", "sums"])
 
@@ -87,26 +129,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int, jobs: int = 1, tasks: int = 2) -> Fits:
-    """rows (fold or folds and free, features, y, w), features of that width, in about so many tasks. The loss of a set is the weighted log loss + |coefficients|^2 / (2 c)."""
+    """rows (fold or folds and free, features, y, w) or their patterns, features of that width, in about so many tasks. The loss of a set is the weighted log loss + |coefficients|^2 / (2 c)."""
     sets, many, d = jobs * (k + 1), len(grid), width
 
     def first(data: Rows) -> np.ndarray:
-        folds, free, x, _, w = data
-        out = np.zeros((sets, 3 + d))
-        for i in range(sets):
-            own = _members(folds, i, k)
-            out[i] = [own.sum(), (own & free).sum(), w[own & free].sum(), *x[own].sum(axis=0)]
-        return out
+        times, free, x, _, w = data
+        return np.column_stack([times.sum(axis=0), times[free].sum(axis=0), times[free].T @ w[free], times.T @ x])
 
-    moments = _added(rows, first, (sets, 3 + d), tasks)
+    moments = _added(rows, k, first, (sets, 3 + d), tasks)
     n = np.maximum(moments[:, 0], 1)
     mean = moments[:, 3:] / n[:, None]
 
     def second(data: Rows) -> np.ndarray:
-        folds, _, x, _, _ = data
-        return np.stack([((x[_members(folds, i, k)] - mean[i]) ** 2).sum(axis=0) for i in range(sets)])
+        times, _, x, _, _ = data
+        return np.stack([times[:, i] @ (x - mean[i]) ** 2 for i in range(sets)])
 
-    scale = np.sqrt(_added(rows, second, (sets, d), tasks) / n[:, None])
+    scale = np.sqrt(_added(rows, k, second, (sets, d), tasks) / n[:, None])
     scale[scale <= 1e-12 * np.maximum(1, np.abs(mean))] = 1
     unit = np.where(moments[:, 2] > 0, moments[:, 2] / np.maximum(moments[:, 1], 1), 1.0)  # the mean weight
 
@@ -120,22 +158,24 @@ def fit_all(rows: DataFrame, k: int, grid: tuple[float, ...], width: int, jobs:
         place, active = here + step, busy.copy()
 
         def derivatives(data: Rows, place: np.ndarray = place, active: np.ndarray = active) -> np.ndarray:
-            folds, free, x, y, w = data
+            times, free, x, y, w = data
             out = np.zeros((sets, many, 2 + q + q * q))
             for i in range(sets):
                 if not active[i].any():
                     continue
-                own = _members(folds, i, k)
+                own = times[:, i] > 0
                 xs = np.hstack([(x[own] - mean[i]) / scale[i], np.ones((own.sum(), 1))])
-                ws = np.where(free[own], w[own] / unit[i], w[own])
+                ws = times[own, i] * np.where(free[own], w[own] / unit[i], w[own])
                 for c in np.flatnonzero(active[i]):
                     z = xs @ place[i, c]
                     p = _sigmoid(z)
                     loss = ws @ (np.logaddexp(0, z) - y[own] * z)
-                    out[i, c] = [loss, ws.sum(), *(xs.T @ (ws * (p - y[own]))), *(xs.T @ (xs * (ws * p * (1 - p))[:, None])).ravel()]
+                    half = xs * np.sqrt(ws * p * (1 - p))[:, None]  # a product with itself takes half the steps
+                    out[i, c, 0], out[i, c, 1], out[i, c, 2 : 2 + q] = loss, ws.sum(), xs.T @ (ws * (p - y[own]))
+                    out[i, c, 2 + q :] = (half.T @ half).ravel()
             return out
 
-        sums = _added(rows, derivatives, (sets, many, 2 + q + q * q), tasks)
+        sums = _added(rows, k, derivatives, (sets, many, 2 + q + q * q), tasks)
         for i, c in zip(*np.nonzero(active), strict=True):
             loss = sums[i, c, 0] + (penalty[c] * place[i, c] ** 2).sum() / 2
             if loss > best[i, c] + 1e-12 * abs(best[i, c]):
@@ -162,21 +202,24 @@ def thresholds(rows: DataFrame, fits: Fits, k: int, jobs: int = 1, tasks: int =
     many, bins = fits.beta.shape[1], HIGH - LOW + 2
 
     def reached(data: Rows) -> np.ndarray:
-        folds, free, x, y, w = data
+        times, free, x, y, w = data
         out = np.zeros((jobs, many, 2, bins))
         for job in range(jobs):
             for i in range(k):
-                own, at = free & (folds[:, job] == i), job * (k + 1) + i
+                at = job * (k + 1) + i
+                held = times[:, job * (k + 1) + k] - times[:, at]
+                own = free & (held > 0)
+                ws = held[own] * w[own]
                 xs = (x[own] - fits.mean[at]) / fits.scale[at]
                 for c in range(many):
                     score = _sigmoid(xs @ fits.beta[at, c, :-1] + fits.beta[at, c, -1])
                     bin_of = np.clip(np.floor(score * 100 + 1e-9), LOW - 1, HIGH).astype(int) - (LOW - 1)
-                    out[job, c, 0] += np.bincount(bin_of, w[own] * (y[own] == 1), bins)
-                    out[job, c, 1] += np.bincount(bin_of, w[own], bins)
+                    out[job, c, 0] += np.bincount(bin_of, ws * (y[own] == 1), bins)
+                    out[job, c, 1] += np.bincount(bin_of, ws, bins)
         return out
 
     found = []
-    for pos, every in _added(rows, reached, (jobs, many, 2, bins), tasks).reshape(jobs * many, 2, bins):
+    for pos, every in _added(rows, k, reached, (jobs, many, 2, bins), tasks).reshape(jobs * many, 2, bins):
         hit, flagged = (np.cumsum(v[::-1])[::-1][1:] for v in (pos, every))
         precision, recall = hit / np.maximum(flagged, 1e-12), hit / max(pos.sum(), 1e-12)
         f1 = np.where(precision + recall == 0, 0.0, 2 * precision * recall / np.maximum(precision + recall, 1e-300))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import clean_text, has, has_part, keyword_is_survey, word_count
+from ..functions.text import clean_text, has, has_part, has_words, keyword_is_survey
 
 def is_non_paper(title: Column, kind: Column) -> Column:
     return has(clean_text(title), V.NON_PAPER_TITLES) | has(kind, V.NON_PAPER_TYPES)
@@ -14,7 +14,7 @@ def is_non_paper(title: Column, kind: Column) -> Column:
 
 def has_no_metadata(abstract: Column, venue: Column, kind: Column) -> Column:
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    return (word_count(abstract) < V.MIN_WORDS_MISSING) & blank(venue) & blank(kind)
+    return ~has_words(abstract, V.MIN_WORDS_MISSING) & blank(venue) & blank(kind)
 
 
 def categorize(title: Column, abstract: Column, venue: Column, kind: Column, is_survey: Column) -> Column:
@@ -38,7 +38,7 @@ def strict_phrase_rule(title: Column, abstract: Column, venue: Column, kind: Col
 
 
 def usable_record(title: Column, abstract: Column) -> Column:
-    return (title != "") & (word_count(abstract) >= V.MIN_WORDS_TRAIN) & ~has(title, V.JUNK_TITLES)
+    return (title != "") & has_words(abstract, V.MIN_WORDS_TRAIN) & ~has(title, V.JUNK_TITLES)
 
 
 def is_hard_case(title: Column, kind: Column) -> Column:

@@ -20,14 +20,16 @@ def per_stratum(df: DataFrame, stratum: str, n: int, key: str, seed: int) -> Dat
 PREFIX = 3  # hexadecimal digits: up to 4096 ranges of a stratum
 
 
-def _rank(df: DataFrame, by: list[str], key: str, seed: int, name: str) -> DataFrame:
+def _rank(df: DataFrame, by: list[str], key: str, seed: int, name: str, base: DataFrame | None = None) -> DataFrame:
     """df with its rows' places (from 1) within `by`, in the order of their seeded hashes.
 
     No task sees a whole stratum: rows are counted by the first digits of the hash, the counts before give each range
-    its first place, and only the rows of a range are ranked together.
+    its first place, and only the rows of a range are ranked together. base: a table of the same rows to count in, for a df
+    that has been ranked before, which would be ranked twice.
     """
-    hashed = df.withColumn("_u", seeded(F.col(key), F.lit(seed))).withColumn("_range", F.substring("_u", 1, PREFIX))
-    counts = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))  # at most 16 ** PREFIX rows a stratum
+    ranged = lambda x: x.withColumn("_u", seeded(F.col(key), F.lit(seed))).withColumn("_range", F.substring("_u", 1, PREFIX))
+    hashed = ranged(df)
+    counts = ranged(df if base is None else base).groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))  # at most 16 ** PREFIX rows a stratum
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
     starts = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), before.alias("_before"))
     same = F.col("_range") == F.col("_r")
@@ -52,8 +54,8 @@ def split(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     return ranked.withColumn("Split", F.when(F.col("_r") <= test, "test").when(F.col("_r") <= test + val, "val").otherwise("train")).drop("_r", "_n")
 
 
-def folds(df: DataFrame, by: list[str], key: str, k: int, seed: int) -> DataFrame:
-    return _rank(df, by, key, seed, "_r").withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
+def folds(df: DataFrame, by: list[str], key: str, k: int, seed: int, base: DataFrame | None = None) -> DataFrame:
+    return _rank(df, by, key, seed, "_r", base).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def year_matched(pool: DataFrame, targets: DataFrame, key: str, year: str, seed: int) -> DataFrame:

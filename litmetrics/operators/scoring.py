@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vocabulary as V
-from ..functions.text import capped_count, clean_text, has
+from ..functions.text import clean_text
+from .features import cue_proba, cues
 from .text_model import TextModel
 
 
 def cue_score(title: Column, abstract: Column) -> Column:
     """Stand-in probability from cues: logistic in title terms, survey cues and research cues."""
-    a = clean_text(abstract)
-    z = -2.0 + 3.0 * has(clean_text(title), V.TITLE_TERMS).cast("int") + 1.0 * capped_count(a, V.ABSTRACT_SURVEY) - 1.0 * capped_count(a, V.ABSTRACT_RESEARCH)
-    return 1 / (1 + F.exp(-z))
+    return cue_proba(**cues(clean_text(title), clean_text(abstract)))
 
 
 def with_proba(df: DataFrame, model: TextModel | None = None, embedding: str | None = None, proba: str = "proba") -> DataFrame:

@@ -471,8 +471,8 @@ def hybrid_fit(spark, sf_dir):
     labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label")).filter("Label in ('0', '1')").join(vectors, "id", "left")
     none = F.concat(F.array_repeat(F.lit(0.0).cast("float"), 64), F.array(F.lit(1.0).cast("float")))
     labelled = labelled.withColumn("embedding", F.coalesce("embedding", none))
-    labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
-    rows = features.hybrid_features(labelled, "proba", "embedding", keep=("id", "Label")).select("id", F.lit("all").alias("stratum"), "features", (F.col("Label") == "0").cast("double").alias("y"), F.lit(1.0).alias("w"))
+    rows = features.hybrid_features(labelled, None, "embedding", keep=("id", "Label")).select("id", F.lit("all").alias("stratum"), "features", (F.col("Label") == "0").cast("double").alias("y"), F.lit(1.0).alias("w"))
+    rows = rows.cache()  # for the fit and the predictions
     return hybrid.fit_selected(rows, "id", "stratum").predict(rows).select("id", F.round("hybrid_proba", 4).alias("hybrid_proba"), "is_survey")
 
 
@@ -501,8 +501,7 @@ def text_model_metrics(spark, sf_dir):
 def _cross_validated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Labelled papers (id, Stratum, features, y, w) less the rare stratum, and out-of-fold predictions (id, rep, pred) on them."""
     labelled = profiles.normalize(papers(spark, sf_dir), keep=("id", "Label", "Stratum", "StratumWeight")).filter("Label in ('0', '1')")
-    labelled = labelled.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract")))
-    rows = features.hybrid_features(labelled, "proba", keep=("id", "Label", "Stratum", "StratumWeight"))
+    rows = features.hybrid_features(labelled, None, keep=("id", "Label", "Stratum", "StratumWeight"))
     rows = rows.select("id", "Stratum", "features", (F.col("Label") == "0").cast("double").alias("y"), F.col("StratumWeight").alias("w"))
     rare = F.col("Stratum") == "title_kw"
     return rows.filter(~rare), hybrid.nested_cv(rows.filter(~rare), "id", "Stratum", rows.filter(rare))

@@ -107,3 +107,24 @@ def test_sums_of_many_tasks_are_added_in_shares(spark):
     rows = spark.createDataFrame([(i % 3, *r) for i, *r in noisy(200, 8)], "fold int, features array<double>, y double, w double")
     one, many = (logistic.fit_all(rows.repartition(n), 3, GRID, 4, 1, tasks) for n, tasks in ((2, 2), (70, 70)))
     assert np.allclose(one.beta, many.beta, atol=1e-7) and np.allclose(one.mean, many.mean)
+
+
+def test_equal_rows_are_fitted_as_one(spark):
+    """Free, fixed and held-out rows with copies: the same sets, coefficients and thresholds, from one row of each kind."""
+    kinds = noisy(20, 9)
+    jobs = [[(i * 7) % 3, (i * 5) % 4 - 1] for i in range(600)]  # in the second job a quarter is held out
+    rows = [(fold, True, *kinds[i % 20][1:]) for i, fold in enumerate(jobs)] + [([3, 3], False, *kinds[i % 20][1:]) for i in range(40)]
+    df = spark.createDataFrame(rows, "folds array<int>, free boolean, features array<double>, y double, w double").coalesce(1).cache()
+    few = logistic.patterns(df, 3).cache()
+    assert few.count() == 2 * 20
+    one, all_of = (logistic.fit_all(x, 3, GRID, 4, 2) for x in (few, df))
+    assert np.allclose(one.beta, all_of.beta, atol=1e-7) and np.allclose(one.scale, all_of.scale)
+    reached = [logistic.thresholds(x, all_of, 3, 2) for x in (few, df)]
+    assert [t for _, t in reached[0]] == [t for _, t in reached[1]]
+    assert np.allclose(*([f for f, _ in r] for r in reached))
+
+
+def test_nested_folds_rank_each_repetition_once(spark):
+    df = spark.createDataFrame(noisy(60, 3), "id int, features array<double>, y double, w double").withColumn("stratum", F.lit("s"))
+    scans = [hybrid.nested_folds(df, "id", "stratum", reps, 3, 2, 1)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for reps in (2, 4)]
+    assert scans == [6, 10]  # twice a repetition and once, for counting inner folds and for placing rows

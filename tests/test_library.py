@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litmetrics import report
 from litmetrics.functions import text as X
 from litmetrics.functions import vocabulary as V
-from litmetrics.operators import baselines, hybrid, indices, matching, metrics, profiles, rules, sampling, verification
+from litmetrics.operators import baselines, features, hybrid, indices, matching, metrics, profiles, rules, sampling, scoring, verification
 from litmetrics.plans import composites, pipelines, registry  # noqa: F401 - composites registers its queries
 from litmetrics.sources import files, rest
 
@@ -213,3 +213,20 @@ def test_index_from_one_sort(spark, sf_dir):
     got = {r.id: r.m for r in df.select("id", X.inverted_index(F.col("t")).alias("m")).collect()}
     assert got == {1: {"a": [0, 1], "b": [0, 2]}, 2: None, 3: None}
     assert registry.rebuild_abstract(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_cues_of_probability_and_features_are_counted_once(spark):
+    texts = [("A Survey", "We review this survey. " * 5), ("x", None), ("A review of", "we propose; the proposed scheme"), ("b", "w " * 9), ("b", " w " * 10)]
+    df = spark.createDataFrame([(i, t, a, 3, "v", "article") for i, (t, a) in enumerate(texts)], "id int, Title string, Abstract string, ReferenceCount long, Venue string, Type string")
+    once = features.hybrid_features(df, None, keep=("id",))
+    apart = features.hybrid_features(df.withColumn("proba", scoring.cue_score(F.col("Title"), F.col("Abstract"))), "proba", keep=("id",))
+    assert once.collect() == apart.collect()
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+
+
+def test_words_and_blanks_without_a_copy(spark):
+    texts = ["", " ", "a", "a b", " a  b", "a b c", "a \t b", "a\tb", "\n a b\n\nc ", "　a b", "x" * 200_000]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for n in (1, 2, 3):
+        assert all(r.a == r.b for r in df.select(X.has_words(F.col("t"), n).alias("a"), (X.word_count(F.col("t")) >= n).alias("b")).collect())
+    assert all(r.a == r.b for r in df.select(X.collapse(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("b")).collect())
