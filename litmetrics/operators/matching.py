@@ -21,25 +21,37 @@ def without_clashes(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.join(clash, key, "left_anti")
 
 
-SALT = 32  # shares of a head
+SALT, HOT = 32, 4096  # shares of a head that more rows have
 
 
 def beginnings(rows: DataFrame, key: str, refs: DataFrame, ref_key: str, by: tuple[str, ...] = ()) -> DataFrame:
     """rows, once for each beginning of their key that some reference key of PREFIX characters or more (and of the same
     `by`) may be, as `_r`.
 
-    A head, the first PREFIX characters, knows the lengths of its references; a row is cut at these, so it multiplies by
-    the lengths of its head and not by the references. Heads are salted: one that half of the rows share is dealt out.
+    A head, the first PREFIX characters, has a row for each length of its references; a row of the table is cut at these,
+    so it multiplies by the lengths of its head and not by the references. Lengths are rows and no sets, as an aggregate of
+    sets is sorted where there are many heads. Heads of more than HOT rows are salted: one that half of the rows share is
+    dealt out. The others are not multiplied, as there may be as many of them as references.
     """
+    head = F.substring(key, 1, PREFIX)
+    hot = rows.groupBy(*[F.col(c).alias(f"_hot_{c}") for c in by], head.alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT)
+    hot = F.broadcast(hot.withColumn("_shares", F.lit(SALT)).drop("_n"))  # one row in HOT at most
+
+    def shared(df: DataFrame, head: Column, named: str) -> DataFrame:
+        same = head == F.col("_hot")
+        for c in by:
+            same &= F.col(f"{named}{c}") == F.col(f"_hot_{c}")
+        return df.join(hot, same, "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
+
     long = refs.filter(F.length(ref_key) >= PREFIX)
-    lengths = long.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.substring(ref_key, 1, PREFIX).alias("_head")).agg(F.collect_set(F.length(ref_key)).alias("_lengths"))
-    heads = lengths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = rows.withColumn("_share", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALT)).cast("int"))
-    meet = (F.substring(key, 1, PREFIX) == F.col("_head")) & (F.col("_share") == F.col("_salt"))
+    lengths = long.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.substring(ref_key, 1, PREFIX).alias("_head"), F.length(ref_key).alias("_length")).distinct()
+    heads = shared(lengths, F.col("_head"), "_by_").select(*lengths.columns, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_salt"))
+    salted = shared(rows, head, "").select(*rows.columns, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_shares")).cast("int").alias("_share"))
+    meet = (head == F.col("_head")) & (F.col("_share") == F.col("_salt"))
     for c in by:
         meet &= F.col(c) == F.col(f"_by_{c}")
-    cut = F.transform(F.filter("_lengths", lambda n: n <= F.length(key)), lambda n: F.substr(F.col(key), F.lit(1), n))
-    return salted.join(heads, meet).select(*rows.columns, F.explode(cut).alias("_r"))
+    meet &= F.length(key) >= F.col("_length")
+    return salted.join(heads, meet).select(*rows.columns, F.substr(F.col(key), F.lit(1), F.col("_length")).alias("_r"))
 
 
 def prefix_match(refs: DataFrame, profile: DataFrame, ref_id: str, ref_key: str, key: str, cites: str, row_id: str) -> DataFrame:

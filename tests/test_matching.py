@@ -66,6 +66,21 @@ def test_a_head_of_half_the_rows_is_dealt_out(spark):
     assert sum(counts) == n / 2 + n / 10  # one length a head: every row of a head that references have, once
 
 
+def test_heads_are_salted_where_many_rows_have_them_and_hold_no_sets(spark, monkeypatch):
+    rows = [("xy"[i % 2], HEAD + str(i) if i % 3 else f"{i:020d}" + "ab"[: i % 5 % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "who string, k string")
+    refs = df.select("who", F.substring("k", 1, 21).alias("r"))
+    find = lambda: matching.beginnings(df, "k", refs, "r", ("who",))
+    lengths = {}
+    for who, k in rows:
+        lengths.setdefault((who, k[:20]), set()).add(min(len(k), 21))
+    want = sorted((who, k, k[:n]) for who, k in rows for n in lengths[who, k[:20]] if n <= len(k))
+    assert sorted(tuple(r) for r in find().collect()) == want
+    monkeypatch.setattr(matching, "HOT", 50)
+    assert sorted(tuple(r) for r in find().collect()) == want
+    assert "collect_set" not in find()._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_records_of_every_script_stay(spark):
     rows = [("1", "Обзор методов", 5), ("2", "Обзор методов!", 9), ("3", "Другая статья", None), ("4", "Третья", 0), ("5", "A Survey", 1), ("6", "a  survey", 1), ("7", "...", 9), ("8", None, 9)]
     df = spark.createDataFrame(rows, "id string, title string, citationCount long")
