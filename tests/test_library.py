@@ -230,3 +230,13 @@ def test_words_and_blanks_without_a_copy(spark):
     for n in (1, 2, 3):
         assert all(r.a == r.b for r in df.select(X.has_words(F.col("t"), n).alias("a"), (X.word_count(F.col("t")) >= n).alias("b")).collect())
     assert all(r.a == r.b for r in df.select(X.collapse(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("b")).collect())
+
+
+def test_hybrid_fit_predicts_from_the_features_it_was_fitted_on(spark, sf_dir, monkeypatch):
+    class Model:
+        def predict(self, df):
+            return df.selectExpr("*", "0.5 as hybrid_proba", "1 as is_survey")
+
+    monkeypatch.setattr(hybrid, "fit_selected", lambda df, key, stratum: Model())
+    plan = registry.queries()["hybrid_fit"](spark, sf_dir)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan
