@@ -542,8 +542,9 @@ def method_intervals(spark, sf_dir):
 @query()
 def corrected_impact(spark, sf_dir):
     """Shares of surveys and of their citations by author, corrected by the cross-validated error rates, with intervals."""
-    survey, cites = category() == "survey", F.coalesce(F.sum("citationCount"), F.lit(0.0))
-    shares = papers(spark, sf_dir).groupBy("author").agg(F.avg(survey.cast("int")).alias("flagged"), (F.coalesce(F.sum(F.when(survey, F.col("citationCount"))), F.lit(0.0)) / F.greatest(F.lit(1), cites)).alias("cites"))
+    survey, cites = F.col("_survey"), F.coalesce(F.sum("citationCount"), F.lit(0.0))
+    flagged = papers(spark, sf_dir).select("author", "citationCount", (category() == "survey").alias("_survey"))  # once a paper
+    shares = flagged.groupBy("author").agg(F.avg(survey.cast("int")).alias("flagged"), (F.coalesce(F.sum(F.when(survey, F.col("citationCount"))), F.lit(0.0)) / F.greatest(F.lit(1), cites)).alias("cites")).cache()  # a row an author, read several times
     samples = _rate_samples(spark, sf_dir).cache()
     point = samples.filter("rep = 0").first()
     out = verification.corrected_table(shares, "author", (float(point.tpr or 0), float(point.fpr or 0)), samples.filter("rep > 0"))
@@ -658,8 +659,9 @@ w as (select author, rep, q, c, papers, citations from m union all select 'Avera
 select author, round(any_value(papers) filter (rep < 0), 6) as papers, round(quantile_cont(papers, 0.025) filter (rep >= 0), 6) as papers_low, round(quantile_cont(papers, 0.975) filter (rep >= 0), 6) as papers_high,
  round(any_value(citations) filter (rep < 0), 6) as citations, round(quantile_cont(citations, 0.025) filter (rep >= 0), 6) as citations_low, round(quantile_cont(citations, 0.975) filter (rep >= 0), 6) as citations_high from w group by author""")
 def corrected_table(spark, sf_dir):
-    survey, cites = category() == "survey", F.coalesce(F.sum("citationCount"), F.lit(0.0))
-    shares = papers(spark, sf_dir).groupBy("author").agg(F.avg(survey.cast("int")).alias("flagged"), (F.coalesce(F.sum(F.when(survey, F.col("citationCount"))), F.lit(0.0)) / F.greatest(F.lit(1), cites)).alias("cites"))
+    survey, cites = F.col("_survey"), F.coalesce(F.sum("citationCount"), F.lit(0.0))
+    flagged = papers(spark, sf_dir).select("author", "citationCount", (category() == "survey").alias("_survey"))  # once a paper
+    shares = flagged.groupBy("author").agg(F.avg(survey.cast("int")).alias("flagged"), (F.coalesce(F.sum(F.when(survey, F.col("citationCount"))), F.lit(0.0)) / F.greatest(F.lit(1), cites)).alias("cites"))
     samples = spark.range(50).select(F.col("id").alias("rep"), (0.7 + F.col("id") * 0.004).alias("tpr"), (0.01 + (F.col("id") * 7 % 50) * 0.002).alias("fpr"))
     out = verification.corrected_table(shares, "author", (0.8, 0.05), samples)
     return out.select("author", *[F.round(c, 6).alias(c) for c in ("papers", "papers_low", "papers_high", "citations", "citations_low", "citations_high")])

@@ -240,3 +240,10 @@ def test_hybrid_fit_predicts_from_the_features_it_was_fitted_on(spark, sf_dir, m
     monkeypatch.setattr(hybrid, "fit_selected", lambda df, key, stratum: Model())
     plan = registry.queries()["hybrid_fit"](spark, sf_dir)._jdf.queryExecution().withCachedData().toString()
     assert "InMemoryRelation" in plan
+
+
+def test_abstracts_are_read_only_where_venue_and_type_are_blank(spark):
+    df = spark.createDataFrame([("v", ""), (" ", "t"), ("v", None)], "venue string, type string")
+    long = F.concat("venue", F.raise_error(F.lit("read")).cast("string"))
+    assert [r.x for r in df.select(rules.has_no_metadata(long, F.col("venue"), F.col("type")).alias("x")).collect()] == [False] * 3
+    assert one(spark, rules.has_no_metadata(F.lit("a b"), F.lit(" "), F.lit(None))) and not one(spark, rules.has_no_metadata(F.lit("a " * 10), F.lit(" "), F.lit(None)))
