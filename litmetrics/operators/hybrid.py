@@ -13,7 +13,6 @@ from . import logistic
 from .sampling import PREFIX, folds
 
 C_GRID = (0.01, 0.1, 1.0)
-ROWS = 4096  # of a task: a few different papers are not worth many
 
 
 def _chosen(grid: tuple[float, ...], reached: list[tuple[float, float]]) -> tuple[float, float, float, int]:
@@ -54,11 +53,10 @@ def fit_selected(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None
     if fixed is not None:
         rows = rows.unionByName(fixed.withColumn("fold", F.lit(-1)).select(*columns))
     kept = logistic.patterns(rows, k).cache()
-    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")).first()
-    tasks = 1 + size.n // ROWS
-    parts = kept.coalesce(tasks)
-    fits = logistic.fit_all(parts, k, grid, size.width, 1, tasks)
+    parts, width, tasks = logistic.gathered(kept)
+    fits = logistic.fit_all(parts, k, grid, width, 1, tasks)
     f1, c, threshold, at = _chosen(grid, logistic.thresholds(parts, fits, k, 1, tasks))
+    parts.unpersist()
     kept.unpersist()
     return Hybrid(fits.mean[k].tolist(), fits.scale[k].tolist(), fits.beta[k, at, :-1].tolist(), float(fits.beta[k, at, -1]), threshold, -c)
 
@@ -108,11 +106,10 @@ def nested_cv(df: DataFrame, key: str, stratum: str, fixed: DataFrame | None = N
     if fixed is not None:
         sets = sets.unionByName(fixed.select(F.array_repeat(F.lit(inner), jobs).alias("folds"), F.lit(False).alias("free"), *columns))
     kept = logistic.patterns(sets, inner).cache()
-    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")).first()
-    tasks = 1 + size.n // ROWS
-    parts = kept.coalesce(tasks)
-    fits = logistic.fit_all(parts, inner, grid, size.width, jobs, tasks)
+    parts, width, tasks = logistic.gathered(kept)
+    fits = logistic.fit_all(parts, inner, grid, width, jobs, tasks)
     reached = logistic.thresholds(parts, fits, inner, jobs, tasks)
+    parts.unpersist()
     kept.unpersist()
     models = []
     for job in range(jobs):

@@ -7,7 +7,8 @@ In place of `fold` a row may hold `folds`, an array with a fold for each of seve
 `free` (false: fixed): OUT says that the row takes no part in a job, k that it is in all of the job's sets.
 
 Rows that agree in features, y, w and free differ only in the sets that hold them. `patterns` makes them one row with `times`,
-how often each set holds it, so the passes below grow with the different rows and not with all; both forms are taken.
+how often each set holds it, and `gathered` one of those of all batches, so the passes below grow with the different rows and
+not with all; both forms are taken.
 
 Every step of Newton's method is one pass for all sets and strengths: a task adds up the gradient and the second
 derivatives of its rows, the tasks' sums are added by set (of many tasks first in SALT shares), and only the totals reach
@@ -29,11 +30,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STEPS, TOLERANCE, RIDGE = 100, 1e-9, 1e-10
 LOW, HIGH = 5, 95  # per cent: the thresholds tried
 
 OUT, SALT = -1, 64
+ROWS = 4096  # patterns of a task: a few are not worth many
 
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # times by set, whether free, features, y, w
 
@@ -79,26 +82,61 @@ def _rows_of(batch: pa.RecordBatch, k: int) -> Rows:
     return times.astype(float), free, _matrix(batch, "features"), y, w
 
 
-def patterns(rows: DataFrame, k: int) -> DataFrame:
-    """(free, features, y, w, times): equal rows of an Arrow batch as one. What batches share is not brought together, as
-    sums over all rows are the same; a batch of different rows keeps them all."""
+def _unified(free: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, times_of: Callable[[np.ndarray, int], np.ndarray]) -> pa.RecordBatch:
+    """Equal rows as one; times_of: of the pattern of each row and the number of patterns, how often each set holds each."""
 
     def lists(x: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
+    whole = np.ascontiguousarray(np.column_stack([free, y, w, x]), np.float64)
+    _, first, at = np.unique(whole.view(f"V{whole.strides[0]}").ravel(), return_index=True, return_inverse=True)
+    columns = [pa.array(free[first]), lists(x[first]), pa.array(y[first]), pa.array(w[first]), lists(times_of(at, len(first)))]
+    return pa.RecordBatch.from_arrays(columns, names=["free", "features", "y", "w", "times"])
+
+
+SAME, PATTERNS = ["free", "features", "y", "w"], "free boolean, features array<double>, y double, w double, times array<int>"
+
+
+def patterns(rows: DataFrame, k: int) -> DataFrame:
+    """(free, features, y, w, times): equal rows of an Arrow batch as one. What batches share `gathered` brings together;
+    a batch of different rows keeps them all."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            folds, free = _folds_of(batch)
-            x = _matrix(batch, "features")
-            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
-            whole = np.ascontiguousarray(np.column_stack([free, y, w, x]), np.float64)
-            _, first, at = np.unique(whole.view(f"V{whole.strides[0]}").ravel(), return_index=True, return_inverse=True)
-            columns = [pa.array(free[first]), lists(x[first]), pa.array(y[first]), pa.array(w[first]), lists(_times(folds, at, len(first), k))]
-            yield pa.RecordBatch.from_arrays(columns, names=["free", "features", "y", "w", "times"])
-
-    return rows.mapInArrow(work, "free boolean, features array<double>, y double, w double, times array<int>")
+            if batch.num_rows:
+                folds, free = _folds_of(batch)
+                y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+                yield _unified(free, _matrix(batch, "features"), y, w, lambda at, many, folds=folds: _times(folds, at, many, k))
+
+    return rows.mapInArrow(work, PATTERNS)
+
+
+def gathered(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """Cached patterns in few partitions, the width of their features and the number of partitions. Patterns that many
+    batches share meet by a shuffle, so that what a fit goes over grows with the different rows; where most occur once, as
+    rows with an embedding do, they stay where they are."""
+    facts = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*SAME)).alias("different"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width")]
+    size = rows.agg(*facts).first()
+    if size.n < 2 * size.different:
+        tasks = 1 + size.n // ROWS
+        return rows.coalesce(tasks), size.width, tasks
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                times = _matrix(batch, "times")
+
+                def added(at: np.ndarray, many: int, times: np.ndarray = times) -> np.ndarray:
+                    out = np.zeros((many, times.shape[1]), np.int32)
+                    np.add.at(out, at, times)
+                    return out
+
+                free, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("free", "y", "w"))
+                yield _unified(free, _matrix(batch, "features"), y, w, added)
+
+    tasks = 1 + size.different // ROWS
+    # sorted, so that of a pattern only what lies about the end of a batch is left in two rows
+    return rows.repartition(tasks, *SAME).sortWithinPartitions(*SAME).mapInArrow(work, PATTERNS).cache(), size.width, tasks
 
 
 def _added(rows: DataFrame, k: int, sums_of: Callable[[Rows], np.ndarray], shape: tuple[int, ...], tasks: int = 1) -> np.ndarray:

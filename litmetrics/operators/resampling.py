@@ -105,7 +105,7 @@ def rate_samples(df: DataFrame, strata: list[str], key: str, rep: str, y: Column
     named = df.select(*strata, F.col(key).alias("_k"), F.col(rep).alias("_rep"), y.alias("_y"), p.alias("_p"), w.cast("double").alias("_w"))
     flags = [F.max(F.when(F.col("_rep") == r, F.col("_p"))).alias(f"_p{i}") for i, r in enumerate(known)]
     there = [F.max(F.when(F.col("_rep") == r, 1)).alias(f"_h{i}") for i, r in enumerate(known)]
-    wide = named.groupBy(*strata, "_k").agg(F.max("_y").alias("_y"), F.max("_w").alias("_w"), *flags, *there)
+    wide = named.groupBy(*strata, "_k").agg(F.max("_y").alias("_y"), F.max("_w").alias("_w"), *flags, *there).cache()  # a row a key, read several times
     values = {}
     for i in range(len(known)):
         for name, own in (("t", F.col("_y") == 1), ("f", F.col("_y") == 0)):

@@ -124,6 +124,22 @@ def test_equal_rows_are_fitted_as_one(spark):
     assert np.allclose(*([f for f, _ in r] for r in reached))
 
 
+def test_equal_rows_of_many_batches_are_fitted_as_one(spark):
+    """Rows of 20 kinds over 9 tasks become 20, with the same fits; rows that are all different are not shuffled."""
+    kinds = noisy(20, 9)
+    df = spark.createDataFrame([(i // 20 % 4 - 1, *kinds[i % 20][1:]) for i in range(900)], "fold int, features array<double>, y double, w double").repartition(9).cache()
+    few, width, tasks = logistic.gathered(logistic.patterns(df, 3))
+    kept = few.collect()
+    assert (width, tasks, len(kept)) == (4, 1, 40)  # free and fixed
+    assert sum(r.times[3] for r in kept) == 900
+    one, all_of = (logistic.fit_all(x, 3, GRID, 4) for x in (few, df))
+    assert np.allclose(one.beta, all_of.beta, atol=1e-7) and np.allclose(one.mean, all_of.mean) and np.allclose(one.scale, all_of.scale)
+    single = spark.createDataFrame([(i % 3, *r) for i, *r in noisy(200, 8)], "fold int, features array<double>, y double, w double")
+    other, _, _ = logistic.gathered(logistic.patterns(single, 3))
+    assert other.count() == 200 and "Exchange" not in other._jdf.queryExecution().executedPlan().toString()
+    assert logistic.gathered(logistic.patterns(single.limit(0), 3))[1:] == (0, 1)
+
+
 def test_nested_folds_rank_each_repetition_once(spark):
     df = spark.createDataFrame(noisy(60, 3), "id int, features array<double>, y double, w double").withColumn("stratum", F.lit("s"))
     scans = [hybrid.nested_folds(df, "id", "stratum", reps, 3, 2, 1)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for reps in (2, 4)]

@@ -66,6 +66,12 @@ def test_rates_by_hand(spark):
     assert abs(got["tpr"][1:].mean() - got["tpr"][0]) < 0.03 and 0.02 < got["tpr"][1:].std() < 0.2
 
 
+def test_rates_bring_repetitions_together_once(spark):
+    df = spark.createDataFrame([(i, rep, "a", i % 2, 1, 1.0) for i in range(8) for rep in range(2)], "id int, rep int, s string, y int, p int, w double")
+    plan = R.rate_samples(df, ["s"], "id", "rep", F.col("y"), F.col("p"), F.col("w"), 5)._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") == 3  # for the draws, their ranges and the exact rates
+
+
 def test_method_intervals_against_drawing_rows(spark):
     from litmetrics.plans import evaluation
 
