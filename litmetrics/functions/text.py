@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
 
 FLAGS = "(?iU)"  # case-insensitive, Unicode classes
+FOLDED = "\u017f\u212a\u0130\u0131"  # all letters beyond ASCII that these flags take for one of a to z: s, k, i and i
 
 
 def text_of(c: Column) -> Column:
@@ -21,9 +25,11 @@ def collapse(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Text without formulas, markup, LaTeX commands and brackets, and without a leading "abstract"."""
+    text = cut = text_of(c)
     for pattern in V.CUT_MARKUP:
-        c = F.regexp_replace(text_of(c), pattern, " ")
-    return collapse(F.regexp_replace(c, FLAGS + V.CUT_HEADING, ""))
+        cut = F.regexp_replace(cut, pattern, " ")
+    cut = F.when(text.rlike(V.MARKUP), cut).otherwise(text)  # one look at the texts that have nothing to cut
+    return collapse(F.regexp_replace(cut, FLAGS + V.CUT_HEADING, ""))
 
 
 def clean_record_text(c: Column) -> Column:
@@ -67,16 +73,27 @@ def item_count(c: Column) -> Column:
     return F.size(F.filter(F.split(text_of(c), ";"), lambda x: F.trim(x) != "")).cast("long")
 
 
-def has(c: Column, alternatives: str) -> Column:
-    return text_of(c).rlike(FLAGS + V.word_bound(alternatives))
+def may_have(c: Column, stems: tuple[str, ...]) -> Column:
+    """False only where none of the stems (in lower case) is in the text in any case; plain search costs less than an
+    expression that is tried at every letter. Texts with one of FOLDED may have anything."""
+    low = F.lower(text_of(c))
+    return reduce(or_, [F.contains(low, F.lit(s)) for s in stems] + [F.contains(text_of(c), F.lit(x)) for x in FOLDED])
+
+
+def has(c: Column, alternatives: str, stems: tuple[str, ...] = ()) -> Column:
+    """stems: one of them at least is in all that the alternatives match, and texts without any are not searched further."""
+    found = text_of(c).rlike(FLAGS + V.word_bound(alternatives))
+    return F.when(may_have(c, stems), found).otherwise(False) if stems else found
 
 
 def has_part(c: Column, alternatives: str) -> Column:
     return text_of(c).rlike(FLAGS + f"(?:{alternatives})")
 
 
-def capped_count(c: Column, alternatives: str, most: int = 3) -> Column:
-    return F.least(F.regexp_count(text_of(c), F.lit(FLAGS + V.word_bound(alternatives))), F.lit(most)).cast("long")
+def capped_count(c: Column, alternatives: str, most: int = 3, stems: tuple[str, ...] = ()) -> Column:
+    """stems: as in `has`."""
+    found = F.least(F.regexp_count(text_of(c), F.lit(FLAGS + V.word_bound(alternatives))), F.lit(most)).cast("long")
+    return F.when(may_have(c, stems), found).otherwise(F.lit(0).cast("long")) if stems else found
 
 
 def keyword_is_survey(title: Column) -> Column:

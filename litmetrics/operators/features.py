@@ -21,8 +21,8 @@ def cues(title: Column, abstract: Column) -> dict[str, Column]:
     """What is counted in the cleaned texts."""
     return {
         "title_terms": has(title, V.TITLE_TERMS).cast("int"),
-        "abstract_survey_cues": capped_count(abstract, V.ABSTRACT_SURVEY),
-        "abstract_research_cues": capped_count(abstract, V.ABSTRACT_RESEARCH),
+        "abstract_survey_cues": capped_count(abstract, V.ABSTRACT_SURVEY, stems=V.ABSTRACT_SURVEY_STEMS),
+        "abstract_research_cues": capped_count(abstract, V.ABSTRACT_RESEARCH, stems=V.ABSTRACT_RESEARCH_STEMS),
     }
 
 
@@ -51,7 +51,7 @@ def flag_features(abstract: Column, venue: Column, kind: Column) -> dict[str, Co
         "magazine": text_of(venue).rlike(f"(?iU){V.MAGAZINES}").cast("int"),
         "arxiv": has_part(venue, "arxiv").cast("int"),
         "type_review": has(kind, "review").cast("int"),
-        "this_article": has(abstract, "this (?:article|magazine)").cast("int"),
+        "this_article": has(abstract, V.THIS_ARTICLE, V.THIS_ARTICLE_STEMS).cast("int"),
     }
 
 

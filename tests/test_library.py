@@ -1,5 +1,6 @@
 import json
 import math
+from re import _parser as sre_parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,48 @@ def test_abstracts_are_read_only_where_venue_and_type_are_blank(spark):
     long = F.concat("venue", F.raise_error(F.lit("read")).cast("string"))
     assert [r.x for r in df.select(rules.has_no_metadata(long, F.col("venue"), F.col("type")).alias("x")).collect()] == [False] * 3
     assert one(spark, rules.has_no_metadata(F.lit("a b"), F.lit(" "), F.lit(None))) and not one(spark, rules.has_no_metadata(F.lit("a " * 10), F.lit(" "), F.lit(None)))
+
+
+def test_stems_are_in_all_that_the_expressions_match(spark):
+    def words(alternatives):
+        """All that an expression of literals, groups and question marks matches."""
+        parsed = sre_parse.parse(alternatives)
+
+        def of(items):
+            out = [""]
+            for op, arg in items:
+                name = str(op)
+                if name == "LITERAL":
+                    found = [chr(arg)]
+                elif name == "BRANCH":
+                    found = [x for branch in arg[1] for x in of(branch)]
+                elif name == "SUBPATTERN":
+                    found = of(arg[-1])
+                elif name == "IN":
+                    found = [chr(x) for _, x in arg]
+                else:
+                    assert name == "MAX_REPEAT" and arg[:2] == (0, 1)
+                    found = ["", *of(arg[2])]
+                out = [a + b for a in out for b in found]
+            return out
+
+        return of(parsed)
+
+    cues = [(V.ABSTRACT_SURVEY, V.ABSTRACT_SURVEY_STEMS), (V.ABSTRACT_RESEARCH, V.ABSTRACT_RESEARCH_STEMS), (V.THIS_ARTICLE, V.THIS_ARTICLE_STEMS)]
+    for alternatives, stems in cues:
+        every = words(alternatives)
+        assert len(every) > 1 and all(any(s in x for s in stems) for x in every)
+        texts = [f(x) for x in every for f in (str, str.upper, lambda x: f"é {x.replace('s', 'ſ').replace('k', 'K')}. {x}", lambda x: x.replace("i", "İ"), lambda x: x.replace("i", "ı"), lambda x: f"x{x}")]
+        df = spark.createDataFrame([(t,) for t in [*texts, "", None, "none of them"]], "t string")
+        got = df.select(X.capped_count(F.col("t"), alternatives, stems=stems).alias("n"), X.capped_count(F.col("t"), alternatives).alias("m"), X.has(F.col("t"), alternatives, stems).alias("h"), X.has(F.col("t"), alternatives).alias("g"))
+        rows = got.collect()
+        assert all(r.n == r.m and r.h == r.g for r in rows) and {0, 1, 2} <= {r.n for r in rows}
+    every = spark.range(128, 0x110000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert sorted(r.c for r in every.filter("c rlike '(?iU)^[a-z]$'").collect()) == sorted(X.FOLDED)
+
+
+def test_cues_are_searched_plainly_first(spark, sf_dir):
+    rows = profiles.normalize(registry.papers(spark, sf_dir), keep=("id",))
+    plan = features.hybrid_features(rows, None, keep=("id",))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Contains(" in plan and s in plan for s in (*V.ABSTRACT_SURVEY_STEMS, *V.ABSTRACT_RESEARCH_STEMS, *V.THIS_ARTICLE_STEMS))
+    assert V.MARKUP in plan
