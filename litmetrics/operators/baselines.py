@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from . import svm
+from . import postings, svm
 from .sampling import shuffled
 
 
 def terms(text: Column) -> Column:
     """Lower-cased words of at least two word characters, then the pairs of neighbouring ones."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w\w+"), F.lit(0))
-    return F.transform(F.array(words), _with_pairs)[0]
+    return F.transform(F.array(postings.words(text)), _with_pairs)[0]
 
 
 def _with_pairs(words: Column) -> Column:
@@ -119,41 +120,93 @@ def sparse(weights: DataFrame, key: str, numbers: DataFrame) -> DataFrame:
     return weights.join(numbers, "term").groupBy(key).agg(cells.alias("_c")).select(key, F.col("_c.i").alias("at"), F.col("_c.weight").alias("value"))
 
 
-@dataclass
-class LinearSvm:
-    """Weights by term (term, weight), and the intercept."""
-
-    weights: DataFrame
-    intercept: float
+def _passes(posts: DataFrame, tasks: int, total: int, n: int, all_n: int):
+    """Functions over the postings: the squared lengths of all documents, and of numbers of the fitted ones (each document's times
+    its value in a term, added up by term) the sums over the terms of each fitted, or of each other, document."""
+    spark, held = posts.sparkSession, posts.coalesce(tasks)
+    own, other = ["df", "sizes", "rows", "places", "tf"], ["others", "other_rows", "other_places", "other_tf"]
+
+    def summed(numbers: np.ndarray | None, others: bool) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(numbers)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given, out = sent.value, np.zeros(all_n)
+            waiting, many = [], 0
+
+            def add():
+                if waiting:
+                    rows, values = waiting[0] if len(waiting) == 1 else (np.concatenate(x) for x in zip(*waiting))
+                    out[:] += np.bincount(rows, values, all_n)
+                    waiting.clear()
+
+            for batch in batches:
+                for nth in range(batch.num_rows):
+                    df, *ints = (np.frombuffer(batch.column(x)[nth].as_buffer(), np.int32) for x in range(batch.num_columns))
+                    idf = np.log((1 + total) / (1 + df)) + 1
+                    by_term = idf * idf
+                    if given is not None and len(df):
+                        sizes, rows, places, tf = ints[:4]
+                        own = given[rows]
+                        own[places] *= 1 + np.log(tf)
+                        by_term *= np.add.reduceat(own, np.cumsum(sizes) - sizes)
+                    for first in (0, 4) if given is None else (4,) if others else (0,):
+                        sizes, rows, places, tf = ints[first : first + 4]
+                        values = np.repeat(by_term, sizes)
+                        values[places] *= (1 + np.log(tf)) ** (2 if given is None else 1)
+                        waiting.append((rows, values))
+                        many += len(rows)
+                    if many > all_n:
+                        add()
+                        many = 0
+            add()
+            yield from svm.parts(0, out)
+
+        out = svm.added(held.select(*own, *(other if others else [])).mapInArrow(work, "at int, sums binary"), all_n, tasks)
+        sent.destroy()
+        return out
+
+    return lambda: summed(None, True), lambda a: summed(a, False)[:n], lambda a: summed(a, True)[n:]
 
-    def margins(self, vectors: DataFrame, key: str) -> DataFrame:
-        """(key, margin) of documents given as (key, term, weight); those without a known term are not there."""
-        known = vectors.join(self.weights.withColumnRenamed("weight", "_w"), "term")
-        return known.groupBy(key).agg((F.sum(F.col("weight") * F.col("_w")) + F.lit(self.intercept)).alias("margin"))
 
+def tfidf_svm(train: DataFrame, test: DataFrame, key: str, text: Column, label: str, c: float = 1.0) -> DataFrame:
+    """(key, p, margin) for the rows of test; train holds the 0/1 column `label`. Rows without known terms get p 0 or 1 by the intercept.
 
-def fit_svm(tfidf: TfIdf, train: DataFrame, key: str, text: Column, label: str, c: float = 1.0) -> LinearSvm:
-    """The support vector machine with squared hinge loss of labelled texts over all terms of tfidf."""
-    numbers = dictionary(tfidf.idf).cache()
-    width = 1 + numbers.count()
-    lists = sparse(tfidf.transform(train, key, text), key, numbers)
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    rows = train.select(key, F.col(label).alias("y")).join(lists, key, "left")
-    w = svm.fit(rows.select(F.coalesce("at", none("int")).alias("at"), F.coalesce("value", none("double")).alias("value"), "y"), width, c)
-    held = train.sparkSession.sparkContext.broadcast(w)
+    The machine with squared hinge loss over the terms that two rows of train hold, of TF-IDF rows. Postings are read term by
+    term: a task holds all of a term's documents, so a pass sends a number for each document, and none for a term.
+    """
+    spark = train.sparkSession
+    context = spark.sparkContext
+    rows = [x.count() for x in (train, test)]
+    numbers = [postings.blocks_of(x) for x in rows]
+    fitted, first = numbers[0], (0, numbers[0])
+    labels = postings.dealt(train, key, fitted, extra=(label,)).groupBy("_block", "_at").agg(F.sum(F.col(label) * 1.0).alias("pos"), F.count(label).alias("n")).toArrow()
+    places = postings.dealt(test, key, numbers[1], first=fitted).select("_block", "_at", key).distinct()
+    starts = np.zeros(sum(numbers) + 1, np.int64)
+    np.add.at(starts, labels["_block"].to_numpy() + 1, 1)
+    for block, held in places.groupBy("_block").count().collect():
+        starts[block + 1] = held
+    starts = np.cumsum(starts)
+    n, all_n = int(starts[fitted]), int(starts[-1])
+    pos, neg = np.zeros(n), np.zeros(n)
+    at = starts[labels["_block"].to_numpy()] + labels["_at"].to_numpy()
+    pos[at] = c * labels["pos"].to_numpy()
+    neg[at] = c * labels["n"].to_numpy() - pos[at]
+    ranges = postings.blocks_of(sum(rows))
+    both = [postings.dealt(x, key, k, text, first=f) for x, k, f in zip((train, test), numbers, first)]
+    posts = postings.posted(postings.asked(both[0].unionByName(both[1]), ranges, True), starts, fitted).cache()
+    lengths, product, others = _passes(posts, min(ranges, context.defaultParallelism), rows[0], n, all_n)
+    length = lengths() ** 0.5
+    inverse = np.divide(1, length, out=np.zeros(all_n), where=length > 0)
+    a = svm.solve(lambda a: inverse[:n] * product(inverse[:n] * a) + a.sum(), pos, neg)
+    intercept = float(a.sum())
+    margins = context.broadcast(inverse[n:] * others(inverse[:n] * a) + intercept)
+    posts.unpersist()
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(held.value[batch.column("i").to_numpy()])], names=["term", "weight"])
+            at = starts[batch.column("_block").to_numpy()] - n + batch.column("_at").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(margins.value[at])], names=[key, "margin"])
 
-    return LinearSvm(numbers.select("term", "i").mapInArrow(looked_up, "term string, weight double"), float(w[0]))
-
-
-def tfidf_svm(train: DataFrame, test: DataFrame, key: str, text: Column, label: str, c: float = 1.0) -> DataFrame:
-    """(key, p, margin) for the rows of test; train holds the 0/1 column `label`. Rows without known terms get p 0 or 1 by the intercept."""
-    tfidf = TfIdf.fit(train, text)
-    tfidf.idf = tfidf.idf.cache()
-    model = fit_svm(tfidf, train, key, text, label, c)
-    scored = model.margins(tfidf.transform(test, key, text), key)
-    margin = F.coalesce("margin", F.lit(model.intercept))
+    scored = places.mapInArrow(looked_up, StructType([places.schema[key], StructField("margin", DoubleType())]))
+    margin = F.coalesce("margin", F.lit(intercept))
     return test.select(key).join(scored, key, "left").select(key, (margin > 0).cast("int").alias("p"), margin.alias("margin"))

@@ -6,6 +6,11 @@ conjugate gradients inside a trust region; they need only products of the second
 slope or a product is one pass: each task adds up what its rows contribute to each component, Spark adds up by ranges of
 components, which go as bytes, and the driver receives a number for each component, however many rows there are.
 
+`solve` finds the same weights where there are far more components than rows: they are a sum of rows, so a number for each row
+states them, and all it asks for is the product of the rows' inner products with such numbers, one pass over the postings of
+the components. Losses and slopes follow from products it has. After each pass it goes to the least loss among all sums of the
+slopes it keeps, so what is learnt of the curvature outlives a change of the rows that count.
+
 Defined results: rows without components have the intercept alone; a single class tends to that class; no rows give zeros.
 """
 
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 STEPS, INNER, TOLERANCE = 100, 200, 1e-6
 ROWS = 4096  # of a task: a few labelled texts are not worth many
 RANGE = 1 << 15  # components that are sent and added up together
+KEPT, NUMBERS = 40, 1 << 24  # slopes that solve keeps at most, and the numbers they may take together
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,6 +42,23 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["sizes", "at", "value", "side"])
 
 
+def parts(start: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(at, sums): total in ranges, from place `start` on, without those of zeros alone."""
+    for nth in range(0, len(total), RANGE):
+        own = total[nth : nth + RANGE]
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([start + nth], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["at", "sums"])
+
+
+def added(sums: DataFrame, size: int, tasks: int) -> np.ndarray:
+    """The parts of all tasks added up; what is much is first added by range."""
+    out = np.zeros(size)
+    for at, part in (sums.groupBy("at").applyInPandas(_sum_of_range, "at int, sums binary") if tasks * size > NUMBERS // 16 else sums).collect():
+        values = np.frombuffer(part)
+        out[at : at + len(values)] += values
+    return out
+
+
 def _sum_of_range(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": part["at"].iloc[:1], "sums": [reduce(np.add, map(np.frombuffer, part["sums"])).tobytes()]})
 
@@ -143,3 +166,63 @@ def fit(rows: DataFrame, width: int, c: float = 1.0) -> np.ndarray:
     out = minimise(*_passes(packed, width, c, tasks), width) if n else np.zeros(width)
     packed.unpersist()
     return out
+
+
+def _least(gram: np.ndarray, margins: np.ndarray, pos: np.ndarray, neg: np.ndarray, z: np.ndarray, goal: float) -> np.ndarray:
+    """Where z gram z / 2 + the losses at z margins is least, by Newton's method from z on."""
+    def loss(z):
+        m = z @ margins
+        return z @ gram @ z / 2 + pos @ np.maximum(0, 1 - m) ** 2 + neg @ np.maximum(0, 1 + m) ** 2, m
+
+    f, m = loss(z)
+    for _ in range(STEPS):
+        slope = gram @ z - margins @ _pull(m, pos, neg)
+        if np.linalg.norm(slope) <= goal:
+            break
+        bend = 2 * (pos * (m < 1) + neg * (m > -1))
+        on = np.flatnonzero(bend)
+        own = margins[:, on]
+        step = np.linalg.lstsq(gram + (own * bend[on]) @ own.T, -slope, rcond=None)[0]
+        size, (f_new, m_new) = 1.0, loss(z + step)
+        while f_new > f + 1e-4 * size * float(slope @ step) and size > 1e-8:
+            size /= 2
+            f_new, m_new = loss(z + size * step)
+        if f_new >= f:
+            break
+        z, f, m = z + size * step, f_new, m_new
+    return z
+
+
+def _pull(m: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    return 2 * (pos * np.maximum(0, 1 - m) - neg * np.maximum(0, 1 + m))
+
+
+def solve(product, pos: np.ndarray, neg: np.ndarray, kept: int | None = None, steps: int = 1000, tolerance: float = TOLERANCE) -> np.ndarray:
+    """The numbers of the rows whose sum are the weights; product(a) are the inner products of all rows with such a sum.
+
+    pos and neg: what a row's loss counts as one of label 1 and of label 0.
+    """
+    n = len(pos)
+    kept = kept or max(8, min(KEPT, NUMBERS // max(1, n)))
+    sums, margins = np.zeros((kept, n)), np.zeros((kept, n))
+    a, m, used, goal = np.zeros(n), np.zeros(n), 0, 0.0
+    z = np.zeros(0)
+    for _ in range(steps):
+        slope = a - _pull(m, pos, neg)
+        along = product(slope)
+        size = max(float(slope @ along), 0.0) ** 0.5
+        goal = goal or tolerance * size
+        if size <= goal:
+            break
+        if used == kept:  # where it is and the later half stay
+            half = kept // 2
+            length = float(a @ m) ** 0.5
+            for held, own in ((sums, a), (margins, m)):
+                held[1 : 1 + half] = held[kept - half :].copy()
+                held[0] = own / length
+            used, z = 1 + half, np.array([length, *[0.0] * half])
+        sums[used], margins[used] = slope / size, along / size
+        used += 1
+        z = _least(sums[:used] @ margins[:used].T, margins[:used], pos, neg, np.append(z, 0.0), 0.1 * goal)
+        a, m = z @ sums[:used], z @ margins[:used]
+    return a

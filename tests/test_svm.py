@@ -108,3 +108,52 @@ def test_weights_of_own_frequencies(spark):
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
     every = baselines.tfidf_weights(df, "id", F.col("text"))
     assert every.count() == every.select("id", "term").distinct().count()
+
+
+@pytest.mark.parametrize("kept", [3, 40])
+def test_numbers_of_rows_against_gradient_descent(spark, kept):
+    """Few passes, and the weights of an independent solver, also where only few slopes are kept and rows count more than once."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 30)) * (rng.random((120, 30)) < 0.3)
+    y = (x @ rng.normal(size=30) + rng.normal(0, 0.8, 120) > 0.2).astype(float)
+    passes = []
+    ones = np.column_stack([np.ones(len(x)), x])
+    a = svm.solve(lambda u: passes.append(1) or ones @ (ones.T @ u), 0.5 * y, 0.5 * (1 - y), kept)
+    assert ones.T @ a == pytest.approx(descent(x, y, 0.5), abs=1e-5) and len(passes) < 1000
+    twice = svm.solve(lambda u: ones @ (ones.T @ u), y, 1 - y)
+    every = np.concatenate([ones, ones])
+    assert ones.T @ twice == pytest.approx(every.T @ svm.solve(lambda u: every @ (every.T @ u), np.tile(0.5 * y, 2), np.tile(0.5 * (1 - y), 2)), abs=1e-5)
+    assert svm.solve(lambda u: u, np.zeros(0), np.zeros(0)).size == 0
+
+
+def test_a_pass_sends_numbers_of_documents_not_of_terms(spark, monkeypatch):
+    """Few passes, none of which sends a number for each of the many terms to the tasks or back."""
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(np.size(x)) or broadcast(self, x))
+    words = lambda i: " ".join(f"w{(i * k) % 97}" for k in range(1, 60))
+    df = spark.createDataFrame([(i, words(i // 2), i // 2 % 2) for i in range(80)], "id int, text string, y int")
+    spark.sparkContext.setJobGroup("svm", "svm")
+    got = baselines.tfidf_svm(df.filter("id < 60"), df.filter("id >= 60"), "id", F.col("text"), "y").collect()
+    terms = baselines.TfIdf.fit(df.filter("id < 60"), F.col("text")).idf.count()
+    assert len(got) == 20 and terms > 1000 and max(sent) <= 80 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("svm")) < 100
+
+
+def test_rows_of_one_key_are_one_document_in_training(spark):
+    """Rows of one key in train share their words, each with its own label; terms are counted by rows; unknown ones are left out."""
+    rows = [(1, "deep net deep", 1), (1, "net survey", 1), (2, "circuit gain", 0), (3, "circuit deep", 0), (4, None, 0), (5, "gain survey net", 1)]
+    df = spark.createDataFrame(rows, "id int, text string, y int")
+    test = spark.createDataFrame([(7, "deep circuit", 0), (8, "unknown", 0), (9, "net", 1), (9, "survey", 1), (None, "net", 1)], "id int, text string, y int")
+    got = sorted((r.id or 0, round(r.margin, 4)) for r in baselines.tfidf_svm(df, test, "id", F.col("text"), "y").collect())
+    texts = ["deep net deep ! net survey", "circuit gain", "circuit deep", "", "gain survey net"]
+    names = {"deep": 2, "net": 3, "survey": 2, "circuit": 2, "gain": 2}  # by rows; no pair is in two
+
+    def vector(t):
+        v = np.array([(1 + math.log(t.split().count(w))) * (math.log(7 / (1 + n)) + 1) if w in t.split() else 0 for w, n in names.items()])
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    x = np.array([vector(texts[i]) for i in (0, 0, 1, 2, 3, 4)])
+    w = descent(x, np.array([1, 1, 0, 0, 0, 1]), 1.0)
+    m = lambda t: round(float(vector(t) @ w[1:] + w[0]), 4)
+    assert [k for k, _ in got] == [0, 7, 8, 9, 9]
+    assert [v for _, v in got] == pytest.approx([w[0], m("deep circuit"), w[0], m("net survey"), m("net survey")], abs=2e-4)
