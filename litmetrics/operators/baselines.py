@@ -78,10 +78,6 @@ class _Blocks:
         return raw.select(self.key, "term", (F.col("_raw") / length).alias("weight"))
 
 
-def _idf(n: int) -> Column:
-    return F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-
-
 @dataclass
 class TfIdf:
     """Inverse document frequencies (term, idf) of the terms that at least `min_df` documents of the fitted rows hold."""
@@ -102,11 +98,12 @@ class TfIdf:
 
 def tfidf_weights(df: DataFrame, key: str, text: Column, min_df: int = 2) -> DataFrame:
     """(key, term, weight) of the documents by their own frequencies: fit and transform in one, a term's frequency being the
-    sum over the blocks that ask for it."""
+    sum over the blocks that ask for it. Questions go compressed, answers as numbers in the questions' order."""
     n = df.count()
-    blocks = _Blocks.of(df, key, text, n)
-    summed = blocks.asked().withColumn("df", F.sum("n").over(Window.partitionBy("term"))).filter(F.col("df") >= min_df)
-    return blocks.weights(summed.select("_block", "term", _idf(n).alias("idf")))
+    number = postings.blocks_of(n)
+    rows = postings.dealt(df, key, number, text)
+    answers = postings.answered(postings.asked(rows, number, False))
+    return postings.weighed(rows, answers, key, number, number, n, min_df)
 
 
 def dictionary(idf: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BLOCK = 2048  # documents of a block
 ASKED = "_range int, _block int, sizes binary, terms binary, df binary, cells binary, at binary, tf binary"
@@ -193,3 +194,39 @@ def posted(questions: DataFrame, starts: np.ndarray, fitted: int, min_df: int =
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for x in arrays], names=[x.split()[0] for x in POSTED.split(", ")])
 
     return questions.mapInArrow(post, POSTED)
+
+
+ANSWERED = "_block int, _range int, df binary"
+
+
+def answered(questions: DataFrame) -> DataFrame:
+    """For each question how many rows of all blocks hold its terms, in their order."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _Range(batches)
+        if got.table is None:
+            return
+        total = np.bincount(got.code, got.df).astype(np.int32)[got.code]
+        df = [_zip(x) for x in np.split(total, np.cumsum(got.asked)[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(got.blocks), got.table["_range"].combine_chunks(), pa.array(df, pa.binary())], names=["_block", "_range", "df"])
+
+    return questions.mapInArrow(answer, ANSWERED)
+
+
+def weighed(rows: DataFrame, answers: DataFrame, key: str, number: int, ranges: int, total: int, min_df: int) -> DataFrame:
+    """(key, term, weight) of the blocks of `dealt` by their answers: (1 + ln tf) * idf, scaled to length 1 by document."""
+
+    def weigh(block: pa.Table, answer: pa.Table) -> pa.Table:
+        c = _count(block, ranges)
+        order = np.argsort(answer["_range"].to_numpy())
+        df = np.concatenate([np.zeros(0, np.int32), *(_unzip(answer["df"][int(i)]) for i in order)])
+        kept = df[c.term] >= min_df
+        term, at = c.term[kept], c.at[kept]
+        raw = (1 + np.log(c.tf[kept])) * (np.log((1 + total) / (1 + df[term])) + 1)
+        weight = raw / np.bincount(at, raw * raw)[at] ** 0.5
+        first = np.unique(block["_at"].to_numpy(), return_index=True)[1]
+        keys = block[key].combine_chunks().take(pa.array(first[at]))
+        return pa.table({key: keys, "term": c.terms.take(pa.array(term)).cast(pa.string()), "weight": weight})
+
+    schema = StructType([StructField(key, rows.schema[key].dataType), StructField("term", StringType()), StructField("weight", DoubleType())])
+    return rows.groupBy("_block").cogroup(answers.repartition(number, "_block").groupBy("_block")).applyInArrow(weigh, schema)

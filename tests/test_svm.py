@@ -157,3 +157,19 @@ def test_rows_of_one_key_are_one_document_in_training(spark):
     m = lambda t: round(float(vector(t) @ w[1:] + w[0]), 4)
     assert [k for k, _ in got] == [0, 7, 8, 9, 9]
     assert [v for _, v in got] == pytest.approx([w[0], m("deep circuit"), w[0], m("net survey"), m("net survey")], abs=2e-4)
+
+
+def test_a_terms_text_moves_once_and_compressed(spark):
+    """Of documents with many terms little more is shuffled than their texts, and the weights are those of their words."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 900, 120)) for _ in range(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    store, lists = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: (x := store.stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), lists())) and {x.apply(i).stageId(): x.apply(i).shuffleWriteBytes() for i in range(x.size())}
+    known = stages().keys()
+    out = baselines.tfidf_weights(df, "id", F.col("text"))
+    got = {(r.id, r.term): r.weight for r in out.filter("id < 5").collect()}
+    moved = sum(n for k, n in stages().items() if k not in known)
+    assert moved < 2 * sum(map(len, texts))
+    want, names = tfidf(texts[:5], texts)
+    assert got == {(i, t): pytest.approx(v) for i, row in enumerate(want) for t, v in zip(names, row) if v}
